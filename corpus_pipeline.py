@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import exact_dedup, minhash, mixing, packing
+from strandline.llm import exact_dedup, minhash, mixing, packing, quality
 from strandline.llm.common import cut
 
 
+def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier grades sound and clean; the others go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("grade", quality.grade())
+    return quality.selected(docs, quality.train(docs, labels))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
     return exact_dedup.without_copies(docs)
@@ -28,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", exact), ("minhash near-dedup", near), ("source mix", mix), ("packing", packed)]
+STAGES = [("quality classifier", sound), ("exact dedup", exact), ("minhash near-dedup", near), ("source mix", mix), ("packing", packed)]
 
 #: Near-duplicate components, tokenisation and packing have no SQL form.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing
+from . import exact_dedup, html, lm, minhash, mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
     "op4_minhash": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
+    "op5_html": lambda s, d: html.extract(table(s, d, "pages")),
     "op6_packing": lambda s, d: packing.pack(table(s, d, "documents")),
+    "op7_quality": lambda s, d: quality.query(table(s, d, "documents"), table(s, d, "labels")),
     "op8_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(table(s, d, "documents").select("doc_id", "text")),
+    "op9_pii": lambda s, d: pii.query(table(s, d, "documents")),
+    "op10_lm": lambda s, d: lm.query(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
