@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html, lm, minhash, mixing, packing, pii, quality
+from . import ann, exact_dedup, html, licenses, lm, minhash, mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": lambda s, d: licenses.scan(table(s, d, "documents")),
+    "op2_ann": lambda s, d: ann.query(table(s, d, "embeddings")),
     "op3_mixing": lambda s, d: mixing.query(table(s, d, "documents")),
     "op4_minhash": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
     "op5_html": lambda s, d: html.extract(table(s, d, "pages")),
