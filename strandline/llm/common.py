@@ -165,7 +165,7 @@ def hash_shingles(h: np.ndarray, first: np.ndarray, k: int = 5) -> list[np.ndarr
         if m >= k:
             out.append(np.unique(s[a : b - k + 1]))
         elif m:
-            x = (h[a:b] * mult[:m]).sum(dtype=np.uint64) + mult[k + m - 1]
+            x = np.append(h[a:b] * mult[:m], mult[k + m - 1]).sum(dtype=np.uint64)
             out.append(mix64(np.array([x], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))

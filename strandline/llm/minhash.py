@@ -7,10 +7,11 @@
    posterior after m of n agreements is Beta(m + 1, n - m + 1); a pair is dropped as soon as its
    posterior chance to reach the threshold is under ``miss``.
 4. Survivors are verified on their full sets.
-5. Buckets whose members are in different components by then are gone through again: all pairs
-   across components are compared by signature inside the task, block against block for large
-   buckets, and first only the most similar spanning forest is verified; what is still apart then
-   is verified pair by pair. Pairs already connected need no verification, no pair is capped.
+5. Buckets whose members are in different components by then are gone through again, block against
+   block for large ones, signatures and sets at hand: pairs across components are pruned in the same
+   way, and the survivors verified from the most similar one down, skipping those connected
+   meanwhile. A pair is looked at in the first bucket that it shares, and none is capped; only
+   links leave the task.
 
 Components come from alternating large-star and small-star steps on the verified links.
 """
@@ -31,8 +32,8 @@ from .common import cut, drop_ids, hash_shingles, hash_words, maybe_broadcast, m
 ROWS, BANDS = 5, 25
 HASHES, BATCH = 128, 32
 MISS = 1e-4
-#: Members of one block when a large bucket is compared block against block.
-BLOCK = 1024
+#: Members of one block, and bytes of their sets, when a large bucket is compared block against block.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 
 _rng = np.random.RandomState(20)
 _A = (_rng.randint(0, 2**31, HASHES).astype(np.uint32) * np.uint32(2)) | np.uint32(1)
@@ -134,6 +135,15 @@ def _prune(least: dict[int, int]):
     return run
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
 def _verify(percent: int):
     """Rows ordered so that a set comes before those to compare it with -> links."""
     def run(batches):
@@ -146,10 +156,7 @@ def _verify(percent: int):
                 if y is None:
                     own, now = s, x
                 elif now == x:
-                    small, big = (s, own) if len(s) < len(own) else (own, s)
-                    at = np.searchsorted(big, small)
-                    at[at == len(big)] = 0
-                    both = int((big[at] == small).sum())
+                    both = _shared(s, own)
                     if 100 * both >= percent * (len(s) + len(own) - both):
                         links.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], ["u", "v"])
@@ -183,37 +190,48 @@ class _Forest:
         return x != y
 
 
-def _across(least: dict[int, int], forest_only: bool):
-    """Members of a bucket (or of two of its blocks), grouped -> pairs across components that may link."""
-    def pairs(ids, comp, sig, block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        own = np.flatnonzero(block == 0)
-        other = np.flatnonzero(block == 1)
+def _across(least: dict[int, int], percent: int):
+    """Members of a bucket (or of two of its blocks), grouped -> verified links across components."""
+    def candidates(key, pivot, ids, comp, sig, keys, block):
+        """Pairs whose first common bucket this is, that may reach the threshold, with agreements."""
+        band = int(np.flatnonzero(keys[0] == key)[0])
+        own, other = np.flatnonzero(block == 0), np.flatnonzero(block == 1)
         two = len(other) > 0
         for x in own.tolist():
+            if ids[x] == pivot:
+                continue  # met every member already
             y = other if two else own[own > x]
-            y = y[comp[y] != comp[x]]
+            y = y[(comp[y] != comp[x]) & (ids[y] != pivot)]
+            if band and len(y):
+                y = y[~(keys[y, :band] == keys[x, :band]).any(1)]
             if len(y):
                 live, same = may_reach(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)
                 if len(live):
                     yield np.full(len(live), x), y[live], same[live]
 
-    def group(rows) -> list[tuple[int, int]]:
-        ids = np.array([r[0] for r in rows], np.int64)
-        comp = np.array([r[1] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(-1, HASHES)
-        block = np.array([r[3] for r in rows])
-        found = list(pairs(ids, comp, sig, block))
+    def group(key, rows) -> list[tuple[int, int]]:
+        pivot, ids, comp, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        if len(np.unique(comp)) < 2:
+            return []
+        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(-1, HASHES)
+        keys = np.array([r[5] for r in rows], np.int64)
+        found = list(candidates(key, pivot[0], ids, comp, sig, keys, block))
         if not found:
             return []
         x, y, same = (np.concatenate(c) for c in zip(*found))
-        if forest_only:
-            tree, keep = _Forest(), []
-            for i in np.argsort(-same, kind="stable").tolist():
-                if tree.join(int(comp[x[i]]), int(comp[y[i]])):
-                    keep.append(i)
-            x, y = x[keep], y[keep]
-        a, b = ids[x], ids[y]
-        return list(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+        forest, links, sets = _Forest(), [], {}
+        for i in np.argsort(-same, kind="stable").tolist():
+            a, b = int(x[i]), int(y[i])
+            if forest.root(int(comp[a])) == forest.root(int(comp[b])):
+                continue
+            for r in (a, b):
+                if r not in sets:
+                    sets[r] = np.frombuffer(rows[r][6], np.uint64)
+            both = _shared(sets[a], sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                forest.join(int(comp[a]), int(comp[b]))
+                links.append((int(ids[a]), int(ids[b])))
+        return links
 
     def run(batches):
         now, rows = None, []
@@ -222,38 +240,53 @@ def _across(least: dict[int, int], forest_only: bool):
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("key", "i", "j", "id", "comp", "sig", "block")]
+            cols = [b.column(c).to_pylist() for c in ("key", "i", "j", "pivot", "id", "comp", "block", "sig", "keys", "set")]
             for key, i, j, *r in zip(*cols):
                 if (key, i, j) != now:
                     if len(rows) > 1:
-                        yield out(group(rows))
+                        yield out(group(now[0], rows))
                     now, rows = (key, i, j), []
                 rows.append(r)
         if len(rows) > 1:
-            yield out(group(rows))
+            yield out(group(now[0], rows))
     return run
 
 
+def _contract(batches):
+    """Links of a task -> a star around the smallest id of each of its components."""
+    forest = _Forest()
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            forest.join(u, v)
+    pairs = [(r, x) for x in forest.up if (r := forest.root(x)) != x]
+    for i in range(0, len(pairs), 100_000):
+        part = pairs[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """(u, v) -> id, comp: the smallest id that each linked one reaches."""
-    edges = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct())
-    before = None
+    few = 2 * links.sparkSession.sparkContext.defaultParallelism
+
+    def keep(df):  # narrow rows: no more files than the cluster has use for
+        return cut(df.coalesce(few))
+
+    edges = keep(map_arrow(links, _contract, "u long, v long"))
     for _ in range(limit):
-        # large star: every larger neighbour (and itself) to the smallest one around
+        # large star: every larger neighbour to the smallest one around
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-        # small star: every smaller neighbour and itself to the smallest one
-        large = cut(large)
-        least = cut(large.groupBy("v").agg(F.min("u").alias("m")))
-        small = large.join(least, "v").select(F.col("m"), F.explode(F.array("u", "v")).alias("w")).filter("m <> w")
-        edges = cut(small.select(F.col("m").alias("u"), F.col("w").alias("v")).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    # stars by now: every id has one neighbour, its smallest
-    return edges.select(F.col("v").alias("id"), F.col("u").alias("comp")).union(edges.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.filter("v > u").join(maybe_broadcast(least), "u").select(F.col("m").alias("u"), "v").filter("u <> v")
+        large = keep(map_arrow(large, _contract, "u long, v long"))
+        # small star: every smaller neighbour to the smallest one
+        least = keep(large.groupBy("v").agg(F.min("u").alias("m"), F.max("u").alias("top")))
+        if not least.filter("m < top").limit(1).count():
+            centres = least.select("m").distinct()
+            if not centres.join(least, centres.m == least.v, "left_semi").limit(1).count():
+                return least.select(F.col("v").alias("id"), F.col("m").alias("comp")).union(centres.select("m", "m"))
+        small = large.join(maybe_broadcast(least), "v").select(F.col("m"), F.explode(F.array("u", "v")).alias("w")).filter("m <> w")
+        edges = keep(small.select(F.col("m").alias("u"), F.col("w").alias("v")).distinct())
+    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, k: int = 5) -> DataFrame:
@@ -273,14 +306,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("id", "n", F.coalesce("rep", "id").alias("rep"))
     others = linked.select("id", "a", "b", "n").join(maybe_broadcast(classes), ["a", "b", "n"]).filter("id <> rep").select("id")
     # one row for each class; equal ids with different texts meet here
-    reps = drop_ids(linked.select("id", "sig", "keys"), others, "id")
+    reps = drop_ids(linked.select("id", "n", "sig", "keys"), others, "id")
 
-    exploded = reps.select("id", F.explode("keys").alias("key"))
-    crowded = cut(exploded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1"))
-    members = cut(exploded.join(crowded, "key"))
+    exploded = reps.select("id", "n", F.explode("keys").alias("key"))
+    crowded = cut(exploded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("size > 1"))
+    members = cut(exploded.drop("n").join(crowded, "key"))
     ids = cut(members.select("id").distinct())
     few = maybe_broadcast(ids, 2_000_000)
-    sigs = cut(reps.select("id", "sig").join(few, "id", "left_semi").dropDuplicates(["id"]))
+    sigs = cut(reps.select("id", "sig", "keys").join(few, "id", "left_semi").dropDuplicates(["id"]))
     sets = cut(map_arrow(base.join(few, "id", "left_semi"), _shingle_sets(k), "id long, set binary").filter(F.length("set") > 0).dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -294,25 +327,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         p = pairs.join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("sig_v")), "v")
         return map_arrow(p.join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("sig_u")), "u"), _prune(least), "u long, v long")
 
-    stars = cut(members.filter("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct())
+    stars = members.filter("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
     links = cut(verified(cut(pruned(stars))))
     labels = cut(components(links))
-    for forest_only in (True, False):
-        named = members.filter("size > 2").join(maybe_broadcast(labels), "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp"))
-        apart = cut(named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"))
-        if not apart.limit(1).count():
-            break
-        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        spread = named.join(maybe_broadcast(apart), "key", "left_semi").withColumn("blocks", blocks).withColumn("own", own)
-        spread = spread.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        spread = spread.select("key", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    named = cut(members.filter("size > 2").join(maybe_broadcast(labels), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    apart = cut(named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"))
+    if apart.limit(1).count():
+        spread = named.join(maybe_broadcast(apart), "key", "left_semi")
+        spread = spread.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int"))
+        spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("key", "pivot", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                                F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("block"))
-        spread = spread.join(sigs, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = map_arrow(spread, _across(least, forest_only), "u long, v long").distinct()
-        more = verified(cut(found.join(stars, ["u", "v"], "left_anti")))
-        links = cut(links.union(more).distinct())
-        labels = cut(components(links))
+        spread = spread.join(sigs, "id").join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        more = cut(map_arrow(spread, _across(least, percent), "u long, v long"))
+        if more.limit(1).count():
+            labels = cut(components(links.union(more)))
     out = rows.join(maybe_broadcast(labels), rows.rep == labels.id, "left").select(
         rows.id.alias("doc_id"), rows.n.alias("n_shingles"), F.coalesce(labels.comp, rows.rep).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
