@@ -166,6 +166,31 @@ def native_sketch(seq: str, w: int, k: int, compressed: bool = False) -> list[tu
     k-mers that share a window's least hash are minimizers. Other letters than bases break k-mers but
     not windows. With ``compressed``, a run of one base counts as one and spans the run.
     """
+    if not compressed and seq and not set(seq) - set("ACGTacgt"):
+        return _plain_sketch(seq, w, k)
+    return _stepwise_sketch(seq, w, k, compressed)
+
+
+def _plain_sketch(seq: str, w: int, k: int) -> list[tuple[int, int, int, int]]:
+    """Bases only: an entry is a minimizer if the greatest minimum of the windows that hold it is its own."""
+    codes = _CODE[np.frombuffer(seq.encode(), np.uint8)]
+    fwd, rev = big_endian(codes, k)
+    at = np.flatnonzero(fwd != rev)
+    if not len(at):
+        return []
+    strand = (fwd > rev)[at]
+    x = masked64(np.minimum(fwd, rev)[at], k)
+    m = sliding_min(x, w)
+    if len(m):
+        padded = np.concatenate([np.zeros(w - 1, np.uint64), m, np.zeros(w - 1, np.uint64)])
+        most = ~sliding_min(~padded, w)
+        keep = np.flatnonzero(most == x)
+    else:
+        keep = np.array([len(x) - 1 - int(np.argmin(x[::-1]))])
+    return list(zip(x[keep].tolist(), [k] * len(keep), (at[keep] + k - 1).tolist(), strand[keep].astype(int).tolist()))
+
+
+def _stepwise_sketch(seq: str, w: int, k: int, compressed: bool) -> list[tuple[int, int, int, int]]:
     mask, top = (1 << 2 * k) - 1, 2 * (k - 1)
     code = {"A": 0, "C": 1, "G": 2, "T": 3, "U": 3, "a": 0, "c": 1, "g": 2, "t": 3, "u": 3}
     fwd = rev = have = 0

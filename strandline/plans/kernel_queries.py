@@ -1,4 +1,79 @@
-"""Queries whose operators have no SQL form."""
+"""Queries whose operators are sequential per sequence, query or pair, so that SQL has no form of them."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from ..functions.seq import bases
+from ..operators import alignment as A
+from ..operators import chaining, sketch
+from ..runtime import map_arrow
+from ..sinks import formats
+from . import mapper
+from .index_queries import _anchors
+from .options import preset
+from .sketch_queries import sequences, table
+
+
+def _records(s, d, name, id_col, prefix):
+    return table(s, d, name).select(F.col(id_col).alias("rid"), F.concat(F.lit(prefix), F.col(id_col).cast("string")).alias("name"), bases("text").alias("seq"))
+
+
+def _options():
+    return preset(k=11, w=5, min_cnt=2, min_chain_score=18, mid_occ=60)
+
+
+def _chains(s, d):
+    return chaining.chains(_anchors(s, d), chaining.ChainOptions(min_cnt=2, min_score=15))
+
+
+def _long_chains(s, d):
+    return chaining.chains(_anchors(s, d), chaining.ChainOptions(min_cnt=2, min_score=15), long_gaps=True)
+
+
+def _mapped(s, d, aligned=True):
+    return mapper.map_reads(_records(s, d, "benchmark", "item_id", "item"), _records(s, d, "documents", "doc_id", "doc"), _options(), aligned)
+
+
+def _paf(s, d):
+    return formats.paf(_mapped(s, d), {"NM": ("i", "nm"), "ms": ("i", "dp_max"), "AS": ("i", "dp_score"), "cm": ("i", "cnt"), "s1": ("i", "score"), "s2": ("i", "subsc"), "de": ("f", "div"), "cg": ("Z", "cigar"), "cs": ("Z", "cs")})
+
+
+def _sam(s, d):
+    reads = _records(s, d, "benchmark", "item_id", "item").select(F.col("name").alias("qname"), "seq", F.lit(None).cast("string").alias("qual"))
+    return formats.sam(_mapped(s, d).withColumn("seg", F.lit(0)).join(reads, "qname"))
+
+
+def _pairwise(s, d):
+    """Neighbouring benchmark items aligned with each other: global, dual and single cost, and local."""
+    b = sequences(s, d, "benchmark", "item_id").filter(F.length("seq") > 0)
+    n = b.select((F.col("seq_id") - 1).alias("seq_id"), F.substring("seq", 1, 300).alias("other"))
+    pairs = b.select("seq_id", F.substring("seq", 1, 300).alias("seq")).join(n, "seq_id")
+
+    def run(batches):
+        for x in batches:
+            rows = []
+            for i, q, t in zip(x.column("seq_id").to_pylist(), x.column("seq").to_pylist(), x.column("other").to_pylist()):
+                one, two = A.align(q, t, dual=False), A.align(q, t)
+                c = A.left_aligned(two.cigar, q, t)
+                rows.append((i, one.score, two.score, A.local_score(q, t), A.text(c), A.md_tag(c, q, t), A.cs_tag(c, q, t)))
+            c = list(zip(*rows)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in c[:4]] + [pa.array(v, pa.string()) for v in c[4:]], ["seq_id", "single", "dual", "local", "cigar", "md", "cs"])
+
+    return map_arrow(pairs, run, "seq_id long, single long, dual long, local long, cigar string, md string, cs string")
+
+
+QUERIES = {
+    "sketch_native": lambda s, d: sketch.native_seeds(sequences(s, d), 15, 10),
+    "sketch_native_hpc": lambda s, d: sketch.native_seeds(sequences(s, d, "benchmark", "item_id"), 11, 5, True),
+    "sdust": lambda s, d: sketch.low_complexity(sequences(s, d, "benchmark", "item_id")),
+    "chains": _chains,
+    "chains_long_gaps": _long_chains,
+    "parents": lambda s, d: mapper.regions_of(_chains(s, d), _options()).select("qid", "tid", "rev", "rank", "parent", "subsc", "n_sub"),
+    "mappings": lambda s, d: _mapped(s, d, False),
+    "align_affine": _pairwise,
+    "paf": _paf,
+    "sam": _sam,
+}
 ORACLES: dict = {}
