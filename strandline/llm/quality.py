@@ -26,6 +26,8 @@ BUCKETS = 1 << 18
 MAX_RATED = 12_000
 GRADES = 3
 BEGINNINGS = (5, 6, 7)
+#: A text is selected if its chance of the asked grade is at least this; under a half, as losing a clean text costs more.
+CHANCE = 0.4
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ENDING = re.compile(r"[^\w\s]+$")
 
@@ -94,7 +96,7 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int = GRADES, steps: int = 3000, rate: float = 0.5, l1: float = 1e-3, seed: int = 5) -> Ordinal:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int = GRADES, steps: int = 6000, rate: float = 1.0, l1: float = 5e-4, seed: int = 5) -> Ordinal:
     """(feature indices, values, grade) -> weights and ordered cuts.
 
     Weights by regularised dual averaging with adaptive steps: those whose mean gradient stays under
@@ -169,7 +171,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit(got)
 
 
-def grades(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", at_least: int = 2, chance: float = 0.5) -> DataFrame:
+def grades(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", at_least: int = 2, chance: float = CHANCE) -> DataFrame:
     """One row per input row: id, expected_grade, tail_probability (of ``at_least``), kept.
 
     Nulls: a null or wordless text has no feature and the grade of the cuts alone; it is not kept. A
@@ -196,7 +198,7 @@ def grades(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: st
     return map_arrow(base, run, f"id {kind}, expected_grade double, tail_probability double, kept boolean")
 
 
-def selected(docs: DataFrame, model: Ordinal, text_col: str = "text", at_least: int = 2, chance: float = 0.5) -> DataFrame:
+def selected(docs: DataFrame, model: Ordinal, text_col: str = "text", at_least: int = 2, chance: float = CHANCE) -> DataFrame:
     """The rows whose text is likely enough of that grade, with exactly the columns they came with."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     kept = grades(rows, model, "row", "text", at_least, chance).filter("kept")
