@@ -1,7 +1,7 @@
 """Exact duplicates by sorting contents.
 
 Texts are range-partitioned by their normalised bytes (Spark samples the splitters), sorted
-externally within the ranges, and neighbours are compared in full; of equal texts the row with
+externally within the ranges so that equal ones are adjacent, and neighbours are compared in full; of equal texts the row with
 the smallest identifier stays. Only DataFrame functions run here.
 """
 
@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .common import SPACES, cut, text_or_empty
 
 
+#: Leading characters by which texts are dealt to ranges.
+LEAD = 48
+
+
 def normalised(col: str = "text") -> Column:
     """Each stretch of ASCII white space as one space; null as the empty text."""
     return F.regexp_replace(text_or_empty(col), SPACES, " ")
@@ -43,14 +47,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # at most total / hot < 4 * parts + 1 rows
     base = base.join(F.broadcast(heavy), "_h", "left")
     base = base.withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("_id"), F.col("_salts"))))
-    ranged = base.repartitionByRange(parts, "_norm", "_salt")
-    run = Window.partitionBy("_norm", "_salt")
+    # splitters are sampled from leading bytes, with a hash of the whole for texts that begin alike,
+    # so what the sample sends to the driver does not grow with the texts' length
+    ranged = base.withColumn("_lead", F.substring("_norm", 1, LEAD)).repartitionByRange(parts, "_lead", "_h", "_salt")
+    run = Window.partitionBy("_lead", "_h", "_salt", "_norm")
     first = run.orderBy(F.col("_id").asc_nulls_last())
     marked = ranged.withColumns({
         "_keep": F.first("_id").over(first),
         "_rank": F.row_number().over(first),
         "_size": F.count("*").over(run),
-    }).withColumn("_sha", F.sha2(F.col("_norm").cast("binary"), 256)).drop("_norm", "_h", "_salts")
+    }).withColumn("_sha", F.sha2(F.col("_norm").cast("binary"), 256)).drop("_norm", "_lead", "_h", "_salts")
     return _joined(marked, id_col, out, carry, docs.columns, heavy.limit(1).count() > 0)
 
 
