@@ -46,3 +46,10 @@ def tolerance(measured: DataFrame, warn: float, fail: float) -> DataFrame:
 def grid_summary(runs: DataFrame, *by: str) -> DataFrame:
     """Mean and deviation at each point of a sweep."""
     return runs.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("std"))
+
+
+def scan_totals(hits: DataFrame, lengths: DataFrame) -> DataFrame:
+    """One row: sequences, bases, hits, density, and an order-free digest of the places."""
+    h = hits.agg(F.count("*").alias("hits"), F.coalesce(F.bit_xor((F.col("seq_id") * 1_000_003 + F.col("pos")) % 2147483647), F.lit(0)).alias("digest"))
+    n = lengths.agg(F.count("*").alias("sequences"), F.coalesce(F.sum("length"), F.lit(0)).alias("bases"))
+    return n.crossJoin(h).select("sequences", "bases", "hits", F.round(F.col("hits") / F.col("bases"), 6).alias("density"), "digest")  # two single rows

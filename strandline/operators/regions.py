@@ -134,3 +134,24 @@ def pairs(first: DataFrame, second: DataFrame, max_gap: int) -> DataFrame:
 def pair_mapq(own: Column, pair: Column) -> Column:
     """A read's quality, lifted towards that of its pair."""
     return F.when(own < pair, F.floor(0.2 * own + 0.8 * pair + 0.499)).otherwise(own).cast("int")
+
+
+def split_at(chain_anchors: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Chains cut before given anchors: (qid, chain, at) says from which anchor, in order, a part begins.
+
+    Parts are numbered within the chain; a chain without cuts is one part.
+    """
+    w = Window.partitionBy("qid", "chain").orderBy("tpos", "qpos")
+    a = chain_anchors.withColumn("_i", F.row_number().over(w) - 1)
+    c = cuts.select("qid", "chain", F.col("at").alias("_i"), F.lit(1).alias("_cut"))
+    a = a.join(c, ["qid", "chain", "_i"], "left")
+    return a.withColumn("part", F.sum(F.coalesce("_cut", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_i", "_cut")
+
+
+def merged_parts(parts: list[DataFrame], id_shifts: list[int]) -> DataFrame:
+    """Hits of an index in several parts as hits of the whole: target ids shifted, ranks made anew."""
+    out = None
+    for p, shift in zip(parts, id_shifts):
+        p = p.withColumn("tid", F.col("tid") + shift)
+        out = p if out is None else out.unionByName(p)
+    return ranked(out)

@@ -76,6 +76,15 @@ def _audit(s, d):
     return metrics.marker_audit(sketch.syncmers(b, 31, 11), b.select("seq_id", F.length("seq").cast("long").alias("length")), 31)
 
 
+def _totals(s, d):
+    b = sequences(s, d)
+    return metrics.scan_totals(sketch.syncmers(b, 31, 11, t=5, closed=False), b.select("seq_id", F.length("seq").cast("long").alias("length")))
+
+
+def _block_compat(s, d):
+    return sketch.minimizers(sequences(s, d), 15, 11, block_compat=True)
+
+
 def _mutated(s, d):
     b = sequences(s, d)
     m = b.select("seq_id", seq.point_mutated(F.col("seq"), F.col("seq_id"), 20).alias("seq"))
@@ -109,6 +118,8 @@ QUERIES = {
     "harvest_kmers": _harvest,
     "mix64_keys": _mixed,
     "marker_audit": _audit,
+    "scan_totals": _totals,
+    "minimizers_block_compat": _block_compat,
     "snp_conservation": _mutated,
     "sketch_jaccard": _shared,
 }
@@ -154,6 +165,8 @@ ORACLES = {
     "SELECT seq_id, pos, CAST(xor(x, x >> 33) >> 1 AS BIGINT) AS half_hash, strand FROM x2",
     "marker_audit": f"WITH {_B}, {O.syncmers('s', 'b', 31, 11)}, g AS (SELECT s.seq_id, s.pos, length(b.seq) AS len, s.pos - lag(s.pos) OVER (PARTITION BY s.seq_id ORDER BY s.pos) AS gap FROM s JOIN b USING (seq_id)) "
     "SELECT seq_id, count(*) AS hits, CAST(count(*) FILTER (pos + 31 > len) AS BIGINT) AS out_of_bounds, CAST(count(*) FILTER (gap < 31) AS BIGINT) AS close, CAST(sum(least(coalesce(gap, 31), 31)) AS BIGINT) AS covered, round(sum(least(coalesce(gap, 31), 31)) / len, 6) AS coverage FROM g GROUP BY seq_id, len",
+    "scan_totals": f"WITH {_B}, {O.syncmers('s', 'b', 31, 11, t=5, closed=False)}, n AS (SELECT count(*) AS sequences, CAST(sum(length(seq)) AS BIGINT) AS bases FROM b), h AS (SELECT count(*) AS hits, coalesce(bit_xor((seq_id*1000003 + pos) % 2147483647), 0) AS digest FROM s) SELECT sequences, bases, hits, round(hits/bases, 6) AS density, digest FROM n, h",
+    "minimizers_block_compat": f"WITH {_B}, {O.minimizers('m', 'b', 15, 11)} SELECT DISTINCT seq_id, m & 4294967295 AS pos, (m >> 32)*256 AS hash FROM m_m WHERE pos + 25 <= len AND pos < greatest(0, (len + 127)//128 - 1)*128",
     "snp_conservation": f"WITH {_B}, {_MUTATED}, {O.minimizers('p', 'b', 21, 11)}, {O.minimizers('q', 'm', 21, 11)}" + _COMPARE.format(on="seq_id, pos, hash", a="p", b="q"),
     "sketch_jaccard": f"WITH {_B}, {O.seqs('i', 'benchmark', 'item_id')}, {O.minimizers('p', 'b', 15, 11)}, {O.minimizers('q', 'i', 15, 11)}" + _COMPARE.format(on="hash", a="p", b="q"),
 }

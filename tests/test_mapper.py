@@ -214,3 +214,38 @@ def test_parents(spark):
     df = spark.createDataFrame(rows, "qid long, rank long, qs long, qe long, score long, cnt long")
     got = {r["rank"]: (r.parent, r.subsc, r.n_sub) for r in C.parents(df).collect()}
     assert got == {1: (1, 80, 1), 2: (1, 0, 0), 3: (3, 0, 0)}
+
+
+def test_regions_tools(spark):
+    from strandline.operators import regions as R
+
+    a = spark.createDataFrame([(0, 0, t, t, 15) for t in (10, 30, 50, 900, 930)], "qid long, chain long, tpos long, qpos long, span int")
+    cuts = spark.createDataFrame([(0, 0, 3)], "qid long, chain long, at int")
+    assert [r.part for r in R.split_at(a, cuts).orderBy("tpos").collect()] == [0, 0, 0, 1, 1]
+    one = spark.createDataFrame([(0, 0, 5, 0, 50, 1)], "qid long, tid long, rs long, rev int, score long, hash long")
+    two = spark.createDataFrame([(0, 0, 9, 0, 70, 2)], one.schema)
+    got = R.merged_parts([one, two], [0, 10]).orderBy("rank").collect()
+    assert [(r.tid, r.rank) for r in got] == [(10, 1), (0, 2)]
+    inv = spark.createDataFrame([(0, 0, 40, False), (0, 50, 0, True), (0, 90, 20, False)], "qid long, qs long, mapq int, inv boolean")
+    assert [r.mapq for r in R.inversion_mapq(inv).orderBy("qs").collect()] == [40, 20, 20]
+    rows = [(0, 1, 1, 100, 0.01, False), (0, 2, 1, 90, 0.2, True), (0, 3, 1, 10, 0.005, True), (0, 4, 2, 5, 0.0, False)]
+    r = spark.createDataFrame(rows, "qid long, rank long, parent long, score long, div double, strand_retained boolean")
+    left = R.strand_filter(r)
+    assert sorted(x["rank"] for x in left.collect()) == [1, 3, 4]
+    assert sorted((x["rank"], x.parent) for x in R.renumbered(left).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert [x.sam_pri for x in R.sam_primary(R.renumbered(left)).orderBy("rank").collect()] == [True, False, False]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from strandline.__main__ import main
+
+    genome = "".join(rng.choice("ACGT") for _ in range(3000))
+    (tmp_path / "r.fa").write_text(f">g\n{genome}\n")
+    (tmp_path / "q.fq").write_text(f"@q\n{genome[500:900]}\n+\n{'I' * 400}\n")
+    main(["scan", str(tmp_path / "r.fa")])
+    assert "bases=3000" in capsys.readouterr().out
+    main(["map", str(tmp_path / "r.fa"), str(tmp_path / "q.fq"), str(tmp_path / "out"), "-x", "map-ont"])
+    lines = [r.value.split("\t") for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [x[:9] for x in lines] == [["q", "400", "0", "400", "+", "g", "3000", "500", "900"]]
+    main(["map", str(tmp_path / "r.fa"), str(tmp_path / "q.fq"), str(tmp_path / "sam"), "-a"])
+    assert spark.read.text(str(tmp_path / "sam" / "records")).first().value.startswith("q\t0\tg\t501\t60\t400M")
