@@ -211,3 +211,26 @@ def judge(line: str) -> tuple[str, float, float, bool] | None:
     sure = p[k] >= ALONE or p[k] >= CONFIDENT and own >= CONFIRMED
     family = name if name == "none" and p[k] >= NONE or name in FAMILIES and sure else "unknown"
     return family, round(float(p[k]), 6), round(own, 6), family in FAMILIES and own >= CONFIRMED
+
+
+def oracle() -> str:
+    """The scan in SQL, with the trained weights as a table of values."""
+    m = model()
+    cols = [f"c{i}" for i in range(len(CLASSES))] + [f"t{i}" for i in range(len(m.templates))]
+    values = ", ".join("('" + g + "', " + ", ".join(map(str, [*ws, *ts])) + ")" for g, ws, ts in m.table())
+    z = ", ".join(f"(sum(c{i}) + {int(b)}) / ({SCALE} * {m.temperature})::DOUBLE" for i, b in enumerate(m.biases))
+    held = ", ".join("greatest(0.0::DOUBLE" + "".join(f", sum(t{i}) / {len(g)}::DOUBLE" for i, (f, g) in enumerate(m.templates) if f == c) + ")" for c in CLASSES)
+    names = ", ".join(f"'{c}'" for c in CLASSES)
+    known = ", ".join(f"'{c}'" for c in FAMILIES)
+    cue = CUE.replace("(?<![a-z0-9])", "(^|[^a-z0-9])")
+    return f"""
+        WITH v(gram, {", ".join(cols)}) AS (VALUES {values}),
+        p AS (SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(range(0, len(ls))) AS paragraph, unnest(ls) AS line FROM p),
+        w AS (SELECT doc_id, paragraph, line, regexp_extract_all(line, '{WORD}') AS w FROM l WHERE regexp_matches(line, '{cue}')),
+        g AS (SELECT doc_id, paragraph, line, unnest(list_distinct(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) AS gram FROM w),
+        s AS (SELECT doc_id, paragraph, line, [{z}] AS z, [{held}] AS held FROM g JOIN v USING (gram) GROUP BY doc_id, paragraph, line),
+        b AS (SELECT doc_id, paragraph, z, held, list_position(z, list_max(z)) AS best, 1 / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))) AS p FROM s),
+        n AS (SELECT doc_id, paragraph, p, held[best] AS own, [{names}][best] AS name FROM b),
+        f AS (SELECT *, CASE WHEN (name = 'none' AND p >= {NONE}) OR (name IN ({known}) AND (p >= {ALONE} OR (p >= {CONFIDENT} AND own >= {CONFIRMED}))) THEN name ELSE 'unknown' END AS family FROM n)
+        SELECT doc_id, CAST(paragraph AS BIGINT) AS paragraph, family, round(p, 6) AS probability, round(own, 6) AS containment, family IN ({known}) AND own >= {CONFIRMED} AS confirmed FROM f WHERE family <> 'none'"""

@@ -34,3 +34,8 @@ ORACLES: dict[str, str] = {
                row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t ORDER BY doc_id NULLS LAST)""",
 }
+
+
+def oracles() -> dict[str, str]:
+    """All of them; the one for licences holds trained weights, so it is made when asked for."""
+    return {"op1_licenses": licenses.oracle(), **ORACLES}

@@ -436,12 +436,12 @@ def test_neighbours(spark):
 
 def test_sql_twins(spark, tmp_path):
     r = random.Random(4)
-    texts = [*ODD[:8], *[prose(r.randrange(0, 50), i % 30) for i in range(150)], *["dup  x"] * 30]
+    texts = [*ODD[:8], *[prose(r.randrange(0, 50), i % 30) for i in range(150)], *["dup  x"] * 30, "Released under the MIT License.\nx", "the license of a Foo"]
     df = docs(spark, texts, [r.choice(["a", "b", "c", "d", None]) for _ in texts])
     df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    for name, sql in queries.ORACLES.items():
+    for name, sql in queries.oracles().items():
         got, want = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(sql).df()
         cols = sorted(want.columns)
         key = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None)))
