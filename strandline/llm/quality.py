@@ -148,13 +148,16 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int = GRADES, st
 
 
 def grade() -> Column:
-    """Of a rated row: 0 poor, 1 sound but toxic, 2 sound and clean."""
-    return F.when(F.col("quality") <= 0, 0).when(F.col("toxic") >= 1, 1).otherwise(2)
+    """Of a rated row: 0 poor, 1 sound but toxic, 2 sound and clean; none if a rating it needs is null."""
+    return F.when(F.col("quality").isNull() | (F.col("quality") > 0) & F.col("toxic").isNull(), None).when(F.col("quality") <= 0, 0).when(F.col("toxic") >= 1, 1).otherwise(2)
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_RATED) -> Ordinal:
-    """ratings: id and grade. Rows without a grade or a text take no part."""
-    rated = ratings.filter(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).dropDuplicates(["id"])
+    """ratings: id and grade. Rows without a grade or a text take no part; of several grades the lowest counts.
+
+    With fewer than two grades there is nothing to learn, and every text with a word is selected.
+    """
+    rated = ratings.filter(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("grade").cast("int").alias("grade"))
     rated = cut(rated.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(most))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(rated), "id")
 

@@ -348,6 +348,8 @@ def test_quality(spark):
         assert right > 0.95
     left = quality.selected(df, model)
     assert left.columns == df.columns and left.count() == sum(r.kept for r in got.values())
+    graded = spark.createDataFrame([(0, 0), (1, 1), (1, 0), (None, 0), (1, None), (0, None)], "quality int, toxic int").withColumn("g", quality.grade()).collect()
+    assert [r.g for r in graded] == [0, 1, 2, None, None, 0]
     odd = docs(spark, ODD, ids=[None, None, *range(len(ODD) - 2)])
     kept = quality.grades(odd, model).collect()
     assert len(kept) == len(ODD) and not any(r.kept for r in kept[:3])
