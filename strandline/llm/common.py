@@ -119,14 +119,15 @@ def runs(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         i = j
 
 
-def hash_words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a run, and where each text's words begin (one more at the end).
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of the words of a run, and where each text's words begin (one more at the end).
 
-    Words are the maximal stretches of bytes other than ASCII white space; A-Z are lower-cased.
+    Words are the maximal stretches of bytes other than ASCII white space within a text.
     """
     n = len(raw)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(off), np.int64)
     space = _IS_SPACE[raw]
     word = ~space
     edge = np.zeros(n + 1, bool)
@@ -136,6 +137,15 @@ def hash_words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np
     ends = word
     ends[:-1] &= space[1:] | edge[1:n]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return s, e, np.searchsorted(s, off)
+
+
+def hash_words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a run (A-Z lower-cased), and where each text's words begin."""
+    s, e, first = word_spans(raw, off)
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), first
     p, q = _pow(n)
     terms = (_LOWER[raw] if lower else raw).astype(np.uint64)
     terms += np.uint64(1)
@@ -144,7 +154,7 @@ def hash_words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np
     np.cumsum(terms, out=sums[1:])
     h = (sums[e] - sums[s]) * q[s]
     h += (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(h), np.searchsorted(s, off)
+    return mix64(h), first
 
 
 def hash_shingles(h: np.ndarray, first: np.ndarray, k: int = 5) -> list[np.ndarray]:

@@ -1,16 +1,13 @@
 """Quality grades by ordinal cumulative-link regression on hashed text.
 
 P(grade <= k) = logistic(cut_k - w.x): one weight vector shared by all grades, and ordered cuts.
-Features are hashed: words (lower-cased), their beginnings, words' shapes (runs of letter
-case, digits and other characters), and words' trailing marks. Fitted on the driver on a bounded sample of rated rows,
+Features are hashed from the bytes: words (A-Z lower-cased), their beginnings, their shapes
+(runs of capitals, other letters, digits and each other character), and the marks at their ends. Fitted on the driver on a bounded sample of rated rows,
 whose features are hashed where the text lies; applied to all texts in one pass.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
-from .common import cut, text_or_empty
+from .common import cut, mix64, runs, text_or_empty, word_spans
 
 BUCKETS = 1 << 18
 #: Rated rows used for fitting, at most (taken by a hash of their identifier).
@@ -27,63 +24,84 @@ MAX_RATED = 12_000
 GRADES = 3
 BEGINNINGS = (5, 6, 7)
 #: A text is selected if its chance of the asked grade is at least this; under a half, as losing a clean text costs more.
-CHANCE = 0.4
-_LETTERS = re.compile(r"[^\W\d_]+")
-_ENDING = re.compile(r"[^\w\s]+$")
-
-
-def _shape(w: str) -> str:
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w[:40])
-    return re.sub(r"(.)\1+", r"\1", s)
-
-
-def _bucket(kind: bytes, text: str, share: bool) -> int:
-    return zlib.crc32(kind + text.encode()) % (BUCKETS // 2) * 2 + share
-
-
-def word_features(w: str) -> tuple[int, ...]:
-    """Buckets of a word: itself without marks and its beginnings; its shape and its ending.
-
-    The first ones are even and count once a text; the others are odd and count by their share.
+CHANCE = 0.33
+_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What a byte counts as in a shape: a capital, another letter (all of other scripts), a digit, or itself.
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 1, 2, 2, 3
+_LETTER, _MARK = np.isin(_CLASS, (1, 2)), _CLASS > 3
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _sums(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of values times powers (of their place), and the inverse powers."""
+    n = len(values) + 1
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, _BASE_INV)):
+            p = np.full(max(n, 1 << 21), b, np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    out = np.zeros(n, np.uint64)
+    terms = (values.astype(np.uint64) + np.uint64(1)) * _powers[0][: n - 1]
+    np.cumsum(terms, out=out[1:])
+    return out, _powers[1]
+
+
+def _bucket(h: np.ndarray, kind: int, share: bool) -> np.ndarray:
+    h = mix64(h + np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return (h >> np.uint64(64 - 17)).view(np.int64) * 2 + share
+
+
+def run_features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a run of texts: (text, bucket) of every feature of every word, and the words of each text.
+
+    A word has these features: itself from its first letter to its last, its beginnings of a few
+    bytes, its shape (byte classes, repeats once), and up to three marks at its end. The first two are
+    even buckets and count once a text, the others odd ones and count by their share.
     """
-    low = w.lower()
-    core = "".join(_LETTERS.findall(low)) or low
-    out = [_bucket(b"w", core, False), *(_bucket(b"p", core[:k], False) for k in BEGINNINGS if len(core) > k), _bucket(b"s", _shape(w), True)]
-    m = _ENDING.search(w)
-    if m:
-        out.append(_bucket(b"e", m[0][-3:], True))
-    return tuple(out)
-
-
-class _Words:
-    """Features of words seen lately, those with a weight only if weights are given."""
-
-    def __init__(self, weights: np.ndarray | None = None, most: int = 300_000):
-        self.weights, self.most, self.known = weights, most, {}
-
-    def __call__(self, w: str) -> tuple[int, ...]:
-        f = self.known.get(w)
-        if f is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            f = word_features(w)
-            if self.weights is not None:
-                f = tuple(x for x in f if self.weights[x])
-            self.known[w] = f
-        return f
-
-
-def text_features(text: str, words) -> dict[int, float] | None:
-    """Values of a text's features; none if it has no word."""
-    counts = Counter(text.split())
-    n = counts.total()
-    if not n:
-        return None
-    seen: dict[int, int] = {}
-    for w, c in counts.items():
-        for f in words(w):
-            seen[f] = seen.get(f, 0) + c
-    return {f: 2 * (c / n) ** 0.5 if f % 2 else 0.5 for f, c in seen.items()}
+    starts, ends, first = word_spans(raw, off)
+    words = np.diff(first)
+    doc = np.repeat(np.arange(len(words)), words)
+    if not len(starts):
+        return doc, doc, words
+    cls = _CLASS[raw]
+    text, inv = _sums(_LOWER[raw])
+    letters = np.flatnonzero(_LETTER[raw])
+    i, j = np.searchsorted(letters, starts), np.searchsorted(letters, ends)
+    has = j > i
+    a, b = starts.copy(), ends.copy()
+    a[has], b[has] = letters[i[has]], letters[j[has] - 1] + 1
+    docs, buckets = [doc], [_bucket((text[b] - text[a]) * inv[a], 1, False)]
+    for k in BEGINNINGS:
+        at = np.flatnonzero(b - a > k)
+        docs.append(doc[at])
+        buckets.append(_bucket((text[a[at] + k] - text[a[at]]) * inv[a[at]], 10 + k, False))
+    turns = np.ones(len(raw), bool)
+    turns[1:] = cls[1:] != cls[:-1]
+    turns[starts] = True
+    at = np.flatnonzero(turns)
+    shape, inv = _sums(cls[at])
+    i, j = np.searchsorted(at, starts), np.searchsorted(at, ends)
+    docs.append(doc)
+    buckets.append(_bucket((shape[j] - shape[i]) * inv[i], 2, True))
+    at = np.flatnonzero(_MARK[raw[ends - 1]])
+    e = ends[at]
+    s = e - 1
+    for _ in range(2):
+        s = np.where((s > starts[at]) & _MARK[raw[np.maximum(s - 1, 0)]], s - 1, s)
+    docs.append(doc[at])
+    buckets.append(_bucket((text[e] - text[s]) * _powers[1][s], 3, True))
+    return np.concatenate(docs), np.concatenate(buckets), words
+
+
+def valued(doc: np.ndarray, bucket: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, value), each pair once: a half for what counts once, else twice the root of the share."""
+    key, n = np.unique(doc * BUCKETS + bucket, return_counts=True)
+    doc, bucket = key // BUCKETS, key % BUCKETS
+    return doc, bucket, np.where(bucket % 2 == 1, 2 * np.sqrt(n / np.maximum(words[doc], 1)), 0.5)
 
 
 @dataclass
@@ -162,10 +180,12 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(rated), "id")
 
     def features(batches):
-        words = _Words()
         for b in batches:
-            fs = [text_features(x.as_py(), words) or {} for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([list(f) for f in fs], pa.list_(pa.int32())), pa.array([list(f.values()) for f in fs], pa.list_(pa.float32()))], ["grade", "f", "v"])
+            for i, j, raw, off in runs(b.column(0)):
+                doc, bucket, value = valued(*run_features(raw, off))
+                edge = pa.array(np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(1).slice(i, j - i), pa.ListArray.from_arrays(edge, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(edge, pa.array(value.astype(np.float32)))], ["grade", "f", "v"])
 
     rows = map_arrow(texts.select("text", "grade"), features, "grade int, f array<int>, v array<float>").toArrow()  # `most` rows at most
     got = [(f.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(np.float64), g) for g, f, v in zip(rows["grade"].to_pylist(), rows["f"], rows["v"]) if len(f)]
@@ -185,17 +205,15 @@ def grades(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         own = Ordinal(*shared.value)
-        words = _Words(own.weights)
+        weighty = own.weights != 0
         for b in batches:
-            z, empty = np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
-            for i, x in enumerate(b.column(1)):
-                f = text_features(x.as_py(), words)
-                empty[i] = f is None
-                if f:
-                    z[i] = own.weights[np.fromiter(f, np.int64, len(f))] @ np.fromiter(f.values(), np.float32, len(f))
-            t = own.tails(z)
-            keep = (t[:, at_least - 1] >= chance) & ~empty
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t.sum(1)), pa.array(t[:, at_least - 1]), pa.array(keep)], ["id", "expected_grade", "tail_probability", "kept"])
+            for i, j, raw, off in runs(b.column(1)):
+                doc, bucket, words = run_features(raw, off)
+                keep = weighty[bucket]
+                doc, bucket, value = valued(doc[keep], bucket[keep], words)
+                t = own.tails(np.bincount(doc, weights=own.weights[bucket] * value, minlength=j - i))
+                kept = (t[:, at_least - 1] >= chance) & (words > 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(t.sum(1)), pa.array(t[:, at_least - 1]), pa.array(kept)], ["id", "expected_grade", "tail_probability", "kept"])
 
     base = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return map_arrow(base, run, f"id {kind}, expected_grade double, tail_probability double, kept boolean")
