@@ -56,8 +56,11 @@ def _summed(a):
 
 def _pseudo_regions(s, d):
     """One row per query, target and strand with two anchors at least."""
-    a = _anchors(s, d).withColumn("chain", F.lit(0))
-    r = regions.summarise_chains(a).filter("cnt >= 2")
+    return _regions(_anchors(s, d))
+
+
+def _regions(anchors):
+    r = regions.summarise_chains(anchors.withColumn("chain", F.lit(0))).filter("cnt >= 2")
     h = (F.col("tid") * 7919 + F.col("rs") * 31 + F.col("rev")) % 1000003
     return r.withColumn("score", F.col("mlen")).withColumn("hash", h)
 
@@ -102,11 +105,20 @@ def _divergence(s, d):
     return regions.chain_divergence(a, query_seeds(s, d), K).select("qid", "tid", "n_match", "n_tot", "div")
 
 
+def _halves(s, d):
+    """Each document's bases as a pair of reads: 2 * id and 2 * id + 1."""
+    b = sequences(s, d)
+    half = F.floor(F.length("seq") / 2).cast("int")
+    return b.select((F.col("seq_id") * 2).alias("seq_id"), F.substring("seq", F.lit(1), half).alias("seq")).union(
+        b.select((F.col("seq_id") * 2 + 1).alias("seq_id"), F.substring("seq", half + 1, F.length("seq")).alias("seq")))
+
+
 def _pairs(s, d):
-    r = regions.ranked(_pseudo_regions(s, d))
-    even, odd = r.filter("qid % 2 = 0"), r.filter("qid % 2 = 1")
-    half = lambda x: x.withColumn("qid", F.floor(F.col("qid") / 2).cast("long"))
-    return regions.pairs(half(even), half(odd), 5000)
+    reads = _halves(s, d)
+    lengths = reads.select("seq_id", F.length("seq").cast("long").alias("length"))
+    r = regions.ranked(_regions(seeding.anchors(sketch.seeds(reads, K, W), targets(s, d), lengths, 20)))
+    fragment = lambda x: x.withColumn("qid", F.floor(F.col("qid") / 2).cast("long"))
+    return regions.pairs(fragment(r.filter("qid % 2 = 0")), fragment(r.filter("qid % 2 = 1")), 5000)
 
 
 def _collisions(s, d):
@@ -154,6 +166,7 @@ QUERIES = {
 _B, _I = O.seqs(), O.seqs("i", "benchmark", "item_id")
 _T = f"{_B}, {O.seeds('t', 'b', K, W)}"
 _C = f"{_T}, cnt AS (SELECT key, count(*) AS n FROM t GROUP BY key)"
+_H = "i AS (SELECT seq_id*2 AS seq_id, substr(seq, 1, length(seq)//2) AS seq FROM b UNION ALL SELECT seq_id*2 + 1, substr(seq, length(seq)//2 + 1) FROM b)"
 _A = (f"{_C}, {_I}, {O.seeds('q', 'i', K, W)}, a AS (SELECT q.seq_id AS qid, t.seq_id AS tid, CAST(q.strand <> t.strand AS INT) AS rev, t.pos AS tpos, "
       f"CASE WHEN q.strand = t.strand THEN q.pos ELSE length(i.seq) - (q.pos + 1 - q.span) - 1 END AS qpos, q.span FROM q JOIN i ON q.seq_id = i.seq_id JOIN t ON q.key = t.key JOIN cnt ON cnt.key = t.key WHERE cnt.n <= {CAP})")
 _SUM = "SELECT qid, tid, rev, count(*) AS n, min(qpos) AS q0, max(qpos) AS q1, min(tpos) AS t0, max(tpos) AS t1 FROM a {where} GROUP BY qid, tid, rev"
@@ -163,6 +176,8 @@ _R = (_A + ", g AS (SELECT *, tpos - lag(tpos) OVER w AS dt, qpos - lag(qpos) OV
       "r AS (SELECT *, (tid*7919 + rs*31 + rev) % 1000003 AS hash FROM r0), rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mlen DESC, hash DESC, tid, rs, rev) AS rank FROM r)")
 _S = f"{_C}, sc AS (SELECT t.seq_id, t.pos, t.span, cnt.n FROM t JOIN cnt USING (key))"
 
+_P = _R.replace(_I, _H).replace(f"cnt.n <= {CAP}", "cnt.n <= 20")
+
 ORACLES = {
     "index_build": f"WITH {_T}, o AS (SELECT key, list({{'rid': seq_id, 'pos': pos, 'strand': strand}} ORDER BY seq_id, pos, strand) AS occ FROM t GROUP BY key) "
     "SELECT key, len(occ) AS n, occ[1].rid AS first_rid, occ[1].pos AS first_pos, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(occ, lambda x: CAST(x.rid*7 + x.pos + x.strand AS BIGINT))), lambda u, v: (u*31 + v) % 1000003) AS occ_digest FROM o",
@@ -190,7 +205,7 @@ ORACLES = {
     "SELECT qid, tid, rev, rank, CAST(CASE WHEN rank = 1 THEN greatest(0, least(60, floor(40.0::DOUBLE*pen*(1.0::DOUBLE - sub/mlen)*ln(mlen::DOUBLE)) - floor(4.343::DOUBLE*ln(n_sub + 1.0::DOUBLE) + 0.499::DOUBLE))) ELSE 0 END AS INT) AS mapq FROM x",
     "divergence": f"WITH {_A}, e AS (SELECT qid, tid, count(DISTINCT qpos) AS n_match, min(qpos) AS x, max(qpos) AS y FROM a WHERE rev = 0 GROUP BY qid, tid), "
     f"n AS (SELECT e.qid, e.tid, n_match, count(*) AS n_tot FROM e JOIN q ON q.seq_id = e.qid AND q.pos BETWEEN x AND y GROUP BY e.qid, e.tid, n_match) SELECT qid, tid, n_match, n_tot, round(1 - pow(n_match/n_tot, 1/{K}.0::DOUBLE), 6) AS div FROM n",
-    "pairing": f"WITH {_R}, p AS (SELECT x.qid//2 AS qid, x.tid, x.rev, x.rank AS rank1, y.rank AS rank2, x.mlen + y.mlen AS score, row_number() OVER (PARTITION BY x.qid//2 ORDER BY x.mlen + y.mlen DESC, x.hash + y.hash DESC, x.tid, x.rank, y.rank) AS k "
+    "pairing": f"WITH {_P}, p AS (SELECT x.qid//2 AS qid, x.tid, x.rev, x.rank AS rank1, y.rank AS rank2, x.mlen + y.mlen AS score, row_number() OVER (PARTITION BY x.qid//2 ORDER BY x.mlen + y.mlen DESC, x.hash + y.hash DESC, x.tid, x.rank, y.rank) AS k "
     "FROM rk x JOIN rk y ON x.qid % 2 = 0 AND y.qid = x.qid + 1 AND x.tid = y.tid AND x.rev = y.rev WHERE greatest(x.rs, y.rs) - least(x.re, y.re) <= 5000) SELECT qid, tid, rev, rank1, rank2, score FROM p WHERE k = 1",
     "fragment_offsets": "SELECT conv_id AS frag_id, turn AS seg, CAST(length(coalesce(text,'')) AS BIGINT) AS length, CAST(coalesce(sum(length(coalesce(text,''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM conversations",
     "fragment_split": f"WITH b AS (SELECT conv_id*1000 + turn AS seq_id, {O.BASES} AS seq FROM conversations), {O.minimizers('m', 'b', 10, 5)} SELECT seq_id // 1000 AS qid, seq_id % 1000 AS seg, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM m GROUP BY ALL",
