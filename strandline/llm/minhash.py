@@ -33,7 +33,7 @@ ROWS, BANDS = 5, 25
 HASHES, BATCH = 128, 32
 MISS = 1e-4
 #: Members of one block, and bytes of their sets, when a large bucket is compared block against block.
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 
 _rng = np.random.RandomState(20)
 _A = (_rng.randint(0, 2**31, HASHES).astype(np.uint32) * np.uint32(2)) | np.uint32(1)
