@@ -249,3 +249,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert [x[:9] for x in lines] == [["q", "400", "0", "400", "+", "g", "3000", "500", "900"]]
     main(["map", str(tmp_path / "r.fa"), str(tmp_path / "q.fq"), str(tmp_path / "sam"), "-a"])
     assert spark.read.text(str(tmp_path / "sam" / "records")).first().value.startswith("q\t0\tg\t501\t60\t400M")
+
+
+def test_single_intron():
+    left, right = "ACGATCGATTACGGATCTAC", "TTGACCATGGCATCAGGTTA"
+    intron = "GTAAGT" + "C" * 60 + "TTTCAG"
+    s = A.Scoring(gap_open2=20)
+    t = left + intron + right
+    got = A.single_intron(left + right, t, s)
+    d, a = A.splice_site_costs(t)
+    whole = A.align(left + right, t, s, spliced=True, donor=d, acceptor=a)
+    assert A.text(got.cigar) == "20M72N20M" == A.text(whole.cigar) and got.score == whole.score
+    assert A.single_intron("A" * 40, t, s) is None and A.single_intron(left, left, s) is None
