@@ -309,6 +309,47 @@ def test_spelling_model_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_contexts_share_no_counts_in_a_large_corpus(spark):
+    """With more pairs of words and bits than 2^18, scores are those of counts by context."""
+    r = np.random.RandomState(3)
+    words = [f"w{k}" for k in range(60_000)]
+    texts = [" ".join(words[k] for k in r.randint(0, len(words), 3_000)) for _ in range(60)]
+    held = [" ".join(words[k] for k in r.randint(0, len(words), 200)) for _ in range(4)] + [texts[0][:600] + " " + texts[1][:900]]
+    df = docs(spark, texts + held)
+    old, lm.CHUNK_BYTES = lm.CHUNK_BYTES, 1 << 17
+    try:
+        rows = {x.id: x for x in lm.score_texts(df, common.F.col("doc_id") < len(texts)).collect()}
+    finally:
+        lm.CHUNK_BYTES = old
+
+    def tokens(x):
+        return lm.tokens(*next((raw, off) for _, _, raw, off in common.runs(pa.array([x]))))
+
+    seen, tally = [collections.defaultdict(collections.Counter) for _ in range(lm.CONTEXTS)], collections.Counter()
+    for x in texts:
+        t, begin = tokens(x)
+        tally.update(t.tolist())
+        for k, c in enumerate(lm.contexts(t, begin)):
+            for a, code in zip(c.tolist(), (t >> np.uint64(56)).tolist()):
+                seen[k][a][code] += 1
+    assert sum(len(x) for x in seen) > 1 << lm.SLOTS
+    inside = collections.Counter()
+    for h, c in tally.items():
+        inside[h >> 56] += c + 0.5
+    for i, text in enumerate(held, len(texts)):
+        t, begin = tokens(text)
+        x = np.zeros((len(t), lm.DEPTH, lm.CONTEXTS), np.float32)
+        codes = (t >> np.uint64(56)).tolist()
+        for k, c in enumerate(lm.contexts(t, begin)):
+            for j, (a, code) in enumerate(zip(c.tolist(), codes)):
+                for d in range(lm.DEPTH):
+                    n = [sum(m for y, m in seen[k].get(a, {}).items() if y >> 7 - d == (code >> 8 - d) * 2 + bit) for bit in (0, 1)]
+                    x[j, d, k] = np.log((n[1] + 0.4) / (n[0] + 0.4))
+        known = np.array([a in seen[2] for a in lm.contexts(t, begin)[2].tolist()])
+        want = sum(np.log10(tally[h] + 0.5) - np.log10(inside[h >> 56] + 0.5) for h in t.tolist()) - lm.mix(t, begin, x, known)[0] * np.log10(2)
+        assert rows[i].score == pytest.approx(want, rel=1e-6)
+
+
 def test_language_model_of_nothing(spark):
     df = docs(spark, ["a b", None], ids=[None, None])
     none = lm.score_texts(df, common.F.lit(False)).collect()
