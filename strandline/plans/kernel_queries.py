@@ -48,8 +48,8 @@ def _sam(s, d):
 def _pairwise(s, d):
     """Neighbouring benchmark items aligned with each other: global, dual and single cost, and local."""
     b = sequences(s, d, "benchmark", "item_id").filter(F.length("seq") > 0)
-    n = b.select((F.col("seq_id") - 1).alias("seq_id"), F.substring("seq", 1, 300).alias("other"))
-    pairs = b.select("seq_id", F.substring("seq", 1, 300).alias("seq")).join(n, "seq_id")
+    n = b.select((F.col("seq_id") - 1).alias("seq_id"), F.col("seq").alias("other"))
+    pairs = b.select("seq_id", "seq").join(n, "seq_id")
 
     def run(batches):
         for x in batches:

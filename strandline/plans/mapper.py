@@ -81,14 +81,15 @@ def map_reads(reads: DataFrame, refs: DataFrame, options: Options | str | None =
     m = r.join(places, ["qid", "chain"]).join(q, "qid").join(t, "tid")
     m = m.select(*keep, "places", "qseq", "tseq")
     ship(reads.sparkSession)
-    scoring, band, zdrop, spliced = o.scoring(), o.bw, o.zdrop, o.spliced
+    scoring, zdrop, spliced = o.scoring(), o.zdrop, o.spliced
+    band, band_between = int(o.bw * 1.5 + 1), int(max(o.bw, o.bw_long) * 1.5 + 1)
 
     def run(batches):
         for pdf in batches:
             rows = []
             for x in pdf.itertuples(index=False):
                 query = A.reverse_complement(x.qseq) if x.rev else x.qseq
-                got = A.align_chain(query, x.tseq, [(int(p["qpos"]), int(p["tpos"]), int(p["span"])) for p in x.places], scoring, min(band, 500), zdrop, spliced=spliced)
+                got = A.align_chain(query, x.tseq, [(int(p["qpos"]), int(p["tpos"]), int(p["span"])) for p in x.places], scoring, band, zdrop, spliced, band_between)
                 part, target = query[got["qs"] : got["qe"]], x.tseq[got["rs"] : got["re"]]
                 s = A.summary(got["cigar"], part, target, scoring)
                 a, b = (x.qlen - got["qe"], x.qlen - got["qs"]) if x.rev else (got["qs"], got["qe"])

@@ -72,6 +72,35 @@ def test_extension_stops_where_it_falls():
     assert (a.query_end, a.target_end, a.dropped) == (60, 60, True) and a.score == 120 and A.text(a.cigar) == "60M"
 
 
+def test_chain_is_extended_to_the_ends():
+    r = random.Random(4)
+    t = "".join(r.choice("ACGT") for _ in range(4000))
+    q = t[100:1800] + t[1805:3900]
+    got = A.align_chain(q, t, [(1500, 1600, 15)])
+    assert (got["qs"], got["qe"], got["rs"], got["re"], A.text(got["cigar"])) == (0, len(q), 100, 3900, "1700M5D2095M")
+
+
+def test_rows_computed_again_give_the_same(monkeypatch):
+    r = random.Random(5)
+    for mode, band in (("global", -1), ("global", 30), ("extend", 25), ("local", -1)):
+        t = "".join(r.choice("ACGT") for _ in range(150))
+        q = t[:40] + t[52:90] + "ACGT" * 3 + t[90:]
+        want = A.align(q, t, mode=mode, band=band)
+        monkeypatch.setattr(A, "CELLS", 100)
+        assert A.align(q, t, mode=mode, band=band) == want and want.score > 0
+        monkeypatch.undo()
+
+
+def test_neighbours_are_aligned_whole(spark, tmp_path):
+    from strandline.plans import kernel_queries
+
+    r = random.Random(6)
+    t = "".join(r.choice("ACGT") for _ in range(900))
+    spark.createDataFrame([(1, t), (2, t[:700] + t[710:])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    row, = kernel_queries.QUERIES["align_affine"](spark, str(tmp_path)).collect()
+    assert (row.seq_id, sum(n for op, n in A.parse(row.cigar) if op == "M"), sum(n for op, n in A.parse(row.cigar) if op == "I")) == (1, 890, 10)
+
+
 def test_intron():
     left, right = "ACGATCGATTACGGATCTAC", "TTGACCATGGCATCAGGTTA"
     intron = "GTAAGT" + "".join(rng.choice("ACGT") for _ in range(80)) + "TTTCAG"
