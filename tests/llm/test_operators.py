@@ -415,6 +415,30 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+# ------------------------------------------------------------------ recall by the index
+
+@pytest.mark.parametrize("kind", ["clustered", "uniform", "a third identical"])
+def test_recall_of_full_blocks(spark, kind):
+    """With the parameters as they are, on blocks that are ranked by the index and not searched whole."""
+    n, dim, r = 4 * 8192, 64, np.random.RandomState(1)
+    x = r.randn(n, dim)
+    if kind == "clustered":
+        x = r.randn(200, dim)[r.randint(0, 200, n)] + 0.4 * x
+    elif kind != "uniform":
+        x[::3] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(x)})).repartition(2).cache()
+    asked = r.choice(n, 40, replace=False).tolist()
+    rows = ann.nearest(df, df.filter(common.F.col("vec_id").isin(asked)), 10).collect()
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += sum(d[v] <= np.sort(d)[9] + 1e-9 for v in {y.vec_id for y in rows if y.query_id == q})
+    df.unpersist()
+    assert max(ann.LEAST, int(ann.SHARE * 8192)) < 8192 // 4 and hits / (10 * len(asked)) >= 0.9
+
+
 # ------------------------------------------------------------------ pages
 
 def page(body, head=""):
