@@ -143,18 +143,22 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def hash_words(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a run (A-Z lower-cased), and where each text's words begin."""
     s, e, first = word_spans(raw, off)
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), first
-    p, q = _pow(n)
-    terms = (_LOWER[raw] if lower else raw).astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= p[:n]
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
-    h = (sums[e] - sums[s]) * q[s]
-    h += (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(h), first
+    out = np.empty(len(s), np.uint64)
+    i = 0
+    while i < len(s):  # words of about RUN_BYTES at once, so a long text takes no more than its words
+        j = max(i + 1, int(np.searchsorted(e, s[i] + 2 * RUN_BYTES, "right")))
+        a, b = s[i], e[j - 1]
+        p, q = _pow(int(b - a))
+        terms = (_LOWER[raw[a:b]] if lower else raw[a:b]).astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= p[: b - a]
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        h = (sums[e[i:j] - a] - sums[s[i:j] - a]) * q[s[i:j] - a]
+        h += (e[i:j] - s[i:j]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        out[i:j] = mix64(h)
+        i = j
+    return out, first
 
 
 def hash_shingles(h: np.ndarray, first: np.ndarray, k: int = 5) -> list[np.ndarray]:
