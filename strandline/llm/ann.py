@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by the order of its nearest pivots and posted in the inverted files of
-the first of them. A query meets the vectors that share one of its first pivots; they are ranked by
-the footrule distance of the two orders (pivots beyond a list's end count as just behind it), and
-the best are reranked by their Euclidean distance on the original vectors.
-
-Vectors lie in blocks, each with its own inverted files; queries come in blocks of a fixed number of
-bytes. A block of vectors answers a block of queries with its best ``k`` for each, so what is
-exchanged are ``k`` rows per query and block, whatever the posting lists' lengths.
+Every vector is represented by the order of its nearest pivots and posted, with its place, in the
+inverted files of the first POSTED of them. A query asks the files of its first ASKED pivots. What it
+meets there is ranked by the footrule distance of the two orders as far as they are posted (a pivot
+that one of them lacks counts as just behind its end), and the best SHARE are reranked by their
+Euclidean distance on the original vectors.
+
+Vectors lie in blocks of a fixed number of rows, each with its own inverted files, and queries in
+blocks of a fixed number of bytes. Every block of queries meets every block of vectors in a task of
+its own, which returns the best ``k`` of each query; nothing but counts and pivots crosses the driver.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import map_arrow
-from .common import cut
+from ..runtime import ship
 
-PIVOTS, LENGTH, POSTED = 256, 128, 48
+#: Pivots, first ones by which a vector is posted, and first ones that a query asks.
+PIVOTS, POSTED, ASKED = 1024, 24, 48
 #: Rows from which pivots are drawn, at most.
 SAMPLE = 4096
-#: Share of a block that is reranked, and the fewest of its vectors that are.
-SHARE, LEAST = 0.15, 800
-QUERY_BYTES = 16 << 20
+#: Share of a block's vectors that are reranked, at most.
+SHARE = 0.15
+BLOCK_ROWS, QUERY_BYTES = 8192, 16 << 20
 
 
 def usable(embedding: str = "embedding"):
@@ -61,40 +62,39 @@ def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 
 class Block:
-    """Vectors with their permutations and inverted files."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, length: int = LENGTH, posted: int = POSTED):
-        self.ids, self.x, self.pivots, self.length = ids, x, pivots, min(length, len(pivots))
-        perm = orders(x, pivots, self.length)
-        # place of each pivot in each vector's order; those behind its end stand just behind it
-        self.place = np.full((len(pivots), len(ids)), self.length, np.int16)
-        rows = np.arange(len(ids))
-        for k in range(self.length):
-            self.place[perm[:, k], rows] = k
-        first = perm[:, :posted]
+    """Vectors with the inverted files of their first pivots."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, posted: int = POSTED, asked: int = ASKED):
+        self.ids, self.x, self.pivots, self.asked = ids, x, pivots, min(asked, len(pivots))
+        first = orders(x, pivots, posted)
+        self.posted = first.shape[1]
         at = np.argsort(first.ravel(), kind="stable")
         edge = np.searchsorted(first.ravel()[at], np.arange(len(pivots) + 1))
-        self.files = [at[a:b] // first.shape[1] for a, b in zip(edge[:-1], edge[1:])]
-        self.posted = posted
-
-    def search(self, qid: np.ndarray, q: np.ndarray, k: int, share: float = SHARE, least: int = LEAST):
-        """(query, id, distance) rows: at most k for each query."""
-        perm = orders(q, self.pivots, self.length)
+        row, place = at // self.posted, (at % self.posted).astype(np.int16)
+        self.files = [(row[a:b], place[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+    def ranked(self, order: np.ndarray, share: float = SHARE) -> tuple[np.ndarray, int]:
+        """Rows met by a query's order, those with the least footrule distance (ties at the edge stay), and how many were met."""
+        # a shared pivot brings the orders nearer by what both would count without it
+        near = np.zeros(len(self.ids), np.int32)
+        for place, pivot in enumerate(order.tolist()):
+            rows, places = self.files[pivot]
+            near[rows] += (self.asked - place) + (self.posted - places) - np.abs(places - place)
+        met = np.flatnonzero(near)
+        most = max(1, int(np.ceil(share * len(self.ids))))
+        if len(met) > most:
+            edge = np.partition(near[met], len(met) - most)[len(met) - most]
+            return met[near[met] >= edge], len(met)
+        return met, len(met)
+
+    def search(self, qid: np.ndarray, q: np.ndarray, k: int, share: float = SHARE):
+        """(query, id, distance) rows: the k nearest found for each query."""
         out_q, out_v, out_d = [], [], []
-        most = max(least, int(share * len(self.ids)))
-        for i in range(len(qid)):
-            p = perm[i]
-            met = np.zeros(len(self.ids), bool)
-            for f in p[: self.posted].tolist():
-                met[self.files[f]] = True
-            c = np.flatnonzero(met)
-            if len(c) < most:  # few neighbours share a pivot: all take part
+        for i, order in enumerate(orders(q, self.pivots, self.asked)):
+            c, _ = self.ranked(order, share)
+            if (self.ids[c] != qid[i]).sum() < k:  # too few to answer with: all take part
                 c = np.arange(len(self.ids))
             c = c[self.ids[c] != qid[i]]
-            if len(c) > most:
-                foot = np.abs(self.place[p][:, c] - np.arange(self.length, dtype=np.int16)[:, None]).sum(0, dtype=np.int32)
-                edge = np.partition(foot, most - 1)[most - 1]
-                c = c[foot <= edge]  # ties at the edge stay
             d = np.sqrt(((self.x[c] - q[i]) ** 2).sum(1))
             if len(c) > k:
                 edge = np.partition(d, k - 1)[k - 1]
@@ -111,7 +111,7 @@ def _array(col: pa.Array, dim: int) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-            pivots: int = PIVOTS, length: int = LENGTH, posted: int = POSTED, share: float = SHARE, block_rows: int = 8192) -> DataFrame:
+            pivots: int = PIVOTS, posted: int = POSTED, asked: int = ASKED, share: float = SHARE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k nearest vectors other than its own row.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those
@@ -124,59 +124,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     def clean(df):
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x")).filter(usable("x") & F.col("id").isNotNull())
 
-    base, asked = clean(vectors), clean(queries)
+    base, ask = clean(vectors), clean(queries)
     dims = base.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if dims is None:
-        return spark.createDataFrame([], schema)
-    dim = dims[0]
-    base, asked = base.filter(F.size("x") == dim), asked.filter(F.size("x") == dim)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, rows = dims
+    base, ask = base.filter(F.size("x") == dim), ask.filter(F.size("x") == dim).dropDuplicates(["id"])
     sample = base.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).select("x").toArrow()  # a fixed number of rows
-    own = choose_pivots(_array(sample["x"].combine_chunks(), dim), pivots)
-    index = spark.sparkContext.broadcast(own)
-    per_block = max(1, QUERY_BYTES // (8 * dim))
-    asked = cut(asked.dropDuplicates(["id"]))
-    n = asked.count()
-    blocks = max(1, -(-n // per_block))
-    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(blocks))))
-    # blocks of vectors of about block_rows, whatever the files' sizes
-    rows = base.count()
-    base = base.repartition(max(1, -(-rows // block_rows)))
-    if blocks > 1:
-        base = cut(base)
-
-    def answer(sent):
-        def run(batches):
-            ids, xs = [], []
-
-            def out():
-                qid, q = sent.value
-                b = Block(np.concatenate(ids), np.concatenate(xs), index.value, length, posted)
-                a, v, d = b.search(qid, q, k, share)
-                return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(d.astype(np.float64))], ["query_id", "vec_id", "score"])
-
-            held = 0
-            for b in batches:
-                ids.append(b.column(0).to_numpy())
-                xs.append(_array(b.column(1), dim))
-                held += b.num_rows
-                if held >= 2 * block_rows:
-                    yield out()
-                    ids, xs, held = [], [], 0
-            if held:
-                yield out()
-        return run
-
-    found = None
-    for k_block in range(blocks):
-        part = asked.filter(F.col("block") == k_block).select("id", "x").toArrow()  # about QUERY_BYTES
-        if not part.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((part["id"].to_numpy(), _array(part["x"].combine_chunks(), dim)))
-        one = map_arrow(base, answer(sent), "query_id long, vec_id long, score double")
-        found = one if found is None else found.union(one)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    index = spark.sparkContext.broadcast(choose_pivots(_array(sample["x"].combine_chunks(), dim), pivots))
+    n_query = max(1, -(-ask.count() // max(1, QUERY_BYTES // (8 * dim))))
+    n_vector = max(1, -(-rows // block_rows))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    base = base.withColumn("v", F.pmod(F.monotonically_increasing_id(), F.lit(n_vector)).cast("int")).withColumn("q", every(n_query))
+    ask = ask.withColumn("q", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(n_query)).cast("int")).withColumn("v", every(n_vector))
+
+    def answer(left, right):
+        ids, qid = (t.column("id").to_numpy() for t in (left, right))
+        found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(ids) and len(qid):
+            x, q = (_array(t.column("x").combine_chunks(), dim) for t in (left, right))
+            found = Block(ids, x, index.value, posted, asked).search(qid, q, k, share)
+        return pa.table([pa.array(c.astype(t)) for c, t in zip(found, (np.int64, np.int64, np.float64))], ["query_id", "vec_id", "score"])
+
+    ship(spark)
+    found = base.groupBy("v", "q").cogroup(ask.groupBy("v", "q")).applyInArrow(answer, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
