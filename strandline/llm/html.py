@@ -1,15 +1,20 @@
 """Main text of web pages by consensus host paths.
 
-1. Every page is parsed into its containers. A container's score is the text of its own blocks,
-   less what stands in links, with boilerplate left out; the best one is the page's own choice.
+1. Every page is parsed into its blocks and containers. A container's score is the text of its own
+   blocks, less what stands in links, and most of its parts' scores; the best one is the page's own choice.
 2. A choice is generalised to a path of tags and classes (digits and ids left out). In Spark, the
    pages of each host vote for the paths, weighted by how much of a page's text they hold.
 3. Each page is extracted again from the containers at the path its host elected, or at its own
-   choice where the host's path is missing.
+   choice where the host's path is missing, with what stands directly in the containers around them.
+
+Boilerplate is what stands in elements that say so by their tag, and in those that say so by a class,
+id or role. Some of these words are weak: where nothing else would be left, they do not count. It is
+left out piece by piece, also inside a block. Parsing takes time and memory in proportion to the page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
-from .common import cut, text_or_empty
+from .common import cut, maybe_broadcast, text_or_empty
 
 #: HTML element names and what they mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,180 +31,291 @@ SILENT = frozenset("script style noscript template svg math iframe object canvas
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDER = frozenset("article main section div td body".split())
-NOISE = re.compile(
-    r"^(ad|ads|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|"
-    r"nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|widgets|related|recommended|share|sharing|social|comment|comments|disqus|reply|replies|footer|foot|header|masthead|"
-    r"topbar|toolbar|pagination|pager|login|search|legal|copyright|skip)$")
+NOISE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter nav navbar navigation menu breadcrumb breadcrumbs sidebar "
+                  "related share sharing comment comments disqus replies footer masthead pagination login search".split())
+WEAK = frozenset("banner notice notices alert overlay subscribe signup side aside widget widgets recommended social reply foot header topbar toolbar pager legal copyright skip".split())
+#: Parts of names that only say what shape a thing has: beside them the others decide.
+SHAPE = frozenset("area bar block box btn button buttons body bottom card cell col column container content div element fixed form group holder horizontal icon icons inner inline item items label large left line link links list "
+                  "main mobile outer page panel post posts right row section site slot small sticky text title top unit vertical wrap wrapper zone js is has the".split())
 #: What a start tag ends when it comes while that is open, up to a container.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENS = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<!--|<!\[CDATA\[|<[!?]|</")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_MARK = re.compile("[\"'>]")
 _SPACE = re.compile(r"\s+")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
+#: How much of a part's score goes to the container around it.
+PASSED = 0.97
 
 
 class _Node:
-    __slots__ = ("tag", "cls", "up", "noise", "chars", "linked", "paragraphs")
+    __slots__ = ("tag", "cls", "up", "at", "key")
 
-    def __init__(self, tag, cls, up, noise):
-        self.tag, self.cls, self.up, self.noise = tag, cls, up, noise
-        self.chars = self.linked = self.paragraphs = 0
+    def __init__(self, tag, cls, up, at):
+        self.tag, self.cls, self.up, self.at = tag, cls, up, at
+        step = tag + "".join(f".{c}" for c in cls)
+        self.key = b"" if up is None else hashlib.blake2b(up.key + step.encode("utf-8", "replace"), digest_size=12).digest()
 
     def path(self) -> str:
+        """The last steps, and a hash of all."""
         parts, x = [], self
-        while x is not None and x.tag != "#":
+        while x is not None and x.tag != "#" and len(parts) < 6:
             parts.append(x.tag + "".join(f".{c}" for c in x.cls))
             x = x.up
-        return ">".join(reversed(parts))
+        return ">".join(reversed(parts)) + "#" + self.key.hex()
+
+
+class Page:
+    """A page's blocks, in order: text, text without weakly named boilerplate, how much of it is linked, and the innermost container."""
+
+    def __init__(self):
+        self.nodes = [_Node("#", (), None, 0)]
+        self.blocks: list[tuple[str, str, int, _Node]] = []
+
+    def told(self) -> list[tuple[str, int, _Node]]:
+        """The blocks that count: (text, linked characters, container)."""
+        if any(t for _, t, _, _ in self.blocks):
+            return [(t, min(n, len(t)), x) for _, t, n, x in self.blocks if t]
+        return [(t, min(n, len(t)), x) for t, _, n, x in self.blocks if t]
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(text)} if text else {}
 
 
-def blocks(html: str) -> list[tuple[str, _Node, bool]]:
-    """(text, innermost container, in a boilerplate part) of each block, in page order."""
-    root = _Node("#", (), None, False)
-    stack: list[tuple[str, _Node, bool]] = [("#", root, False)]  # tag, container, whether it is noise
-    out: list[tuple[str, _Node, bool]] = []
+def _named(words: list[str]) -> int:
+    """2 if a class, id or role names boilerplate, 1 if it does so weakly."""
+    most = 0
+    for word in words:
+        parts = [x for x in re.split(r"[^a-z]+", word) if x]
+        said = [x for x in parts if x not in SHAPE]
+        if said and all(x in NOISE or x in WEAK for x in said):
+            most = max(most, 2 if any(x in NOISE for x in said) else 1)
+    return most
+
+
+def _tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Behind the ``>`` that ends a tag, quoted ones aside; -1 if there is none.
+
+    ``dead`` holds the marks from which a quote was found not to end, so that no stretch is gone through twice.
+    """
+    seen, i = [], at
+    while True:
+        m = _MARK.search(html, i)
+        if m is None or m.start() in dead:
+            break
+        k = m.start()
+        if html[k] == ">":
+            return k + 1
+        seen.append(k)
+        i = html.find(html[k], k + 1) + 1
+        if not i:
+            break
+    dead.update(seen)
+    return html.find(">", at) + 1 or -1
+
+
+def parse(html: str) -> Page:
+    page = Page()
+    nodes = page.nodes
+    # open elements: tag, container, level of boilerplate (2: left out, 1: weakly named)
+    stack: list[tuple[str, _Node, int]] = [("#", nodes[0], 0)]
+    where: dict[str, list[int]] = {}  # places of open elements by tag
+    holders, solid, articles = [0], [0], 0  # open containers; open blocks that a paragraph cannot hold
     buf: list[str] = []
-    links = [0, 0]  # depth of links, characters in links
+    firm: list[str] = []
+    linked = links = 0
 
     def flush():
+        nonlocal linked
         if buf:
-            text = _SPACE.sub(" ", unescape("".join(buf))).strip()
+            whole = _SPACE.sub(" ", unescape("".join(buf))).strip()
+            if whole:
+                clean = whole if len(firm) == len(buf) else _SPACE.sub(" ", unescape("".join(firm))).strip()
+                page.blocks.append((whole, clean, linked, stack[-1][1]))
             buf.clear()
-            if text:
-                _, node, noise = stack[-1]
-                out.append((text, node, noise))
-                node.chars += len(text)
-                node.linked += min(links[1], len(text))
-                node.paragraphs += 1
-        links[1] = 0
+            firm.clear()
+        linked = 0
+
+    def say(text):
+        nonlocal linked
+        level = stack[-1][2]
+        if level < 2:
+            buf.append(text)
+            if level == 0:
+                firm.append(text)
+            if links:
+                linked += len(text)
 
     def pop_to(i):
-        if any(t in BLOCK for t, _, _ in stack[i:]):
+        nonlocal articles, links
+        if any(stack[k][0] in BLOCK for k in range(i, len(stack))):
             flush()
-        del stack[i:]
+        while len(stack) > i:
+            tag, _, _ = stack.pop()
+            where[tag].pop()
+            if tag == "a":
+                links -= 1
+            if tag in ("article", "main"):
+                articles -= 1
+            for opened in (holders, solid):
+                if opened[-1] == len(stack):
+                    opened.pop()
 
     at, size = 0, len(html)
+    dead: set[int] = set()
     while at < size:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start() if m else size]
-        if text:
-            buf.append(text)
-            if links[0]:
-                links[1] += len(text)
-        if not m:
+        m = _OPENS.search(html, at)
+        if m is None:
+            say(html[at:])
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if m.start() > at:
+            say(html[at : m.start()])
+        opening = m[0]
+        if not m[2]:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(opening, ">")
+            at = html.find(close, m.end())
+            if at < 0:
+                break
+            at += len(close)
             continue
+        end = _tag_end(html, m.end(), dead)
+        if end < 0:  # a tag that the page ends in
+            break
+        inside, at = html[m.end() : end - 1], end
+        tag = m[2].lower()
         if m[1]:
-            if tag == "a":
-                links[0] = max(0, links[0] - 1)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+            if where.get(tag):
+                i = where[tag][-1]
+                if tag in BLOCK or holders[-1] < i:
                     pop_to(i)
-                    break
-                if stack[i][0] in HOLDER and tag not in BLOCK:
-                    break
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             elif tag == "br":
-                buf.append(" ")
+                say(" ")
             continue
         if tag in _RAW:
-            end = _RAW[tag].search(html, at)
-            at = end.end() if end else size
+            e = _RAW[tag].search(html, at)
+            at = e.end() if e else size
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ENDS.get(tag, ("p",)):
-                    pop_to(i)
-                    break
-                if stack[i][0] in BLOCK and stack[i][0] != "p":
-                    break
+            i = max((where[t][-1] for t in ENDS.get(tag, ("p",)) if where.get(t)), default=-1)
+            if i > 0 and solid[-1] <= i:
+                pop_to(i)
             flush()
-        if m[3].rstrip().endswith("/") and tag in SILENT:
+        if inside.rstrip().endswith("/") and tag in SILENT:
             continue
-        a = _attributes(m[3])
+        a = _attributes(inside)
         classes = tuple(sorted({re.sub(r"\d+", "#", c.lower()) for c in a.get("class", "").split()}))
-        words = re.split(r"[^a-z]+", " ".join((*classes, a.get("id", "").lower(), a.get("role", "").lower())))
-        noise = stack[-1][2] or tag in SILENT or (tag in AROUND) or "hidden" in a or a.get("aria-hidden") == "true" or any(NOISE.match(x) for x in words if x) and tag not in ("body", "html", "article", "main")
-        if tag == "header" and not stack[-1][2] and any(t in ("article", "main") for t, _, _ in stack) and not any(NOISE.match(x) for x in words if x):
-            noise = False  # an article's own heading
+        level = stack[-1][2]
+        named = 0 if tag in ("body", "html", "article", "main") else _named([*classes, *a.get("id", "").lower().split(), a.get("role", "").lower()])
+        own = tag == "header" and articles > 0 and named < 2  # an article's own heading
+        if tag in SILENT or tag in AROUND and not own or "hidden" in a or a.get("aria-hidden") == "true":
+            level = 2
+        elif not own:
+            level = max(level, named)
         if tag == "a":
-            links[0] += 1
+            links += 1
+        if tag in ("article", "main"):
+            articles += 1
         node = stack[-1][1]
-        if tag in HOLDER or tag in AROUND or noise and tag in BLOCK:
-            node = _Node(tag, classes, node, noise)
-        stack.append((tag, node, noise))
+        if tag in HOLDER or level and tag in BLOCK:
+            node = _Node(tag, classes, node, len(nodes))
+            nodes.append(node)
+        where.setdefault(tag, []).append(len(stack))
+        if tag in HOLDER:
+            holders.append(len(stack))
+        if tag in BLOCK and tag != "p":
+            solid.append(len(stack))
+        stack.append((tag, node, level))
     flush()
-    return out
-
+    return page
 
-def _within(node: _Node, top: _Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.up
-    return False
 
-
-def choose(found: list[tuple[str, _Node, bool]]) -> _Node | None:
-    """The container with the best score: its text outside links, a part of it passed up."""
-    score: dict[int, tuple[float, int, _Node]] = {}
-    for k, (text, node, noise) in enumerate(found):
-        if noise:
+def choose(page: Page) -> _Node | None:
+    """The container with the best score; the first of equal ones, the outer one before its parts."""
+    score, first = [0.0] * len(page.nodes), [len(page.blocks)] * len(page.nodes)
+    told = page.told()
+    chars, linked = [0] * len(page.nodes), [0] * len(page.nodes)
+    for text, n, node in told:
+        chars[node.at] += len(text)
+        linked[node.at] += n
+    for k, (text, _, node) in enumerate(told):
+        score[node.at] += len(text) * (1 - linked[node.at] / chars[node.at])
+        first[node.at] = min(first[node.at], k)
+    best = None
+    for node in reversed(page.nodes):  # parts come after what holds them
+        i = node.at
+        whole = node.tag in ("article", "main", "section", "div", "body", "#")
+        if node.up is not None:
+            up = node.up.at
+            score[up] += (PASSED if whole else 1) * score[i]
+            first[up] = min(first[up], first[i])
+        if not whole:
             continue
-        share, x = 1.0, node
-        link = node.linked / max(1, node.chars)
-        while x is not None and x.tag != "#":
-            bonus = {"article": 1.3, "main": 1.15}.get(x.tag, 1.0)
-            s, first, _ = score.get(id(x), (0.0, k, x))
-            score[id(x)] = s + bonus * share * len(text) * (1 - link), first, x
-            share *= 0.9
-            x = x.up
-    return max(score.values(), key=lambda v: (v[0], -v[1]), default=(0, 0, None))[2]
+        mine = score[i] * {"article": 1.3, "main": 1.15}.get(node.tag, 1.0), -first[i], -i
+        if first[i] < len(page.blocks) and (best is None or mine > best[0]):
+            best = mine, node
+    return best[1] if best else None
 
 
-def text_at(found: list[tuple[str, _Node, bool]], path: str | None) -> str:
-    """The blocks in containers at a path; without the path, in the page's own choice."""
-    tops, seen = [], set()
+def chosen(page: Page, path: str | None) -> list[_Node]:
+    """The containers at a path that hold text; without any, the page's own choice."""
+    tops = []
     if path is not None:
-        for _, node, _ in found:
-            x = node
-            while x is not None:
-                if id(x) not in seen:
-                    seen.add(id(x))
-                    if not x.noise and x.path() == path:
-                        tops.append(x)
-                x = x.up
+        key = bytes.fromhex(path.rsplit("#", 1)[1])
+        tops = [x for x in page.nodes if x.key == key]
+        if tops:
+            ids = {id(x) for x in _under(page, tops)[1]}
+            if not any(id(node) in ids for _, _, node in page.told()):
+                tops = []
     if not tops:
-        own = choose(found)
+        own = choose(page)
         tops = [own] if own is not None else []
-    if tops:
-        return "\n\n".join(t for t, node, noise in found if not noise and any(_within(node, top) for top in tops))
-    return "\n\n".join(t for t, _, noise in found if not noise)
+    return tops
+
+
+def _under(page: Page, tops: list[_Node]) -> tuple[list[bool], list[_Node]]:
+    mark = [False] * len(page.nodes)
+    for x in tops:
+        mark[x.at] = True
+    for node in page.nodes[1:]:
+        mark[node.at] = mark[node.at] or mark[node.up.at]
+    return mark, [x for x in page.nodes if mark[x.at]]
+
+
+def text_at(page: Page, path: str | None) -> str:
+    """The blocks in the chosen containers, and what stands directly in those around them if it is not mostly links."""
+    tops = chosen(page, path)
+    told = page.told()
+    if not tops:
+        return "\n\n".join(t for t, _, _ in told)
+    inside, _ = _under(page, tops)
+    around = [False] * len(page.nodes)
+    for x in tops:
+        x = x.up
+        while x is not None and not around[x.at]:
+            around[x.at] = True
+            x = x.up
+    return "\n\n".join(t for t, n, node in told if inside[node.at] or around[node.at] and 2 * n < len(t))
 
 
 def _votes(batches):
     for b in batches:
         paths, weights = [], []
         for h in b.column(1):
-            found = blocks(h.as_py())
-            top = choose(found)
+            page = parse(h.as_py())
+            top = choose(page)
             if top is None:
                 paths.append(None)
                 weights.append(0.0)
                 continue
-            held = sum(len(t) for t, node, noise in found if not noise and _within(node, top))
+            inside, _ = _under(page, [top])
+            told = page.told()
             paths.append(top.path())
-            weights.append(round(held / max(1, sum(len(t) for t, _, noise in found if not noise)), 3))
+            weights.append(round(sum(len(t) for t, _, node in told if inside[node.at]) / sum(len(t) for t, _, _ in told), 3))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string()), pa.array(weights, pa.float64())], ["host", "path", "weight"])
 
 
@@ -217,13 +333,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     votes = votes.filter("path is not null").groupBy("host", "path").agg(F.sum(F.col("weight").cast("decimal(20,3)")).alias("w"))
     best = Window.partitionBy("host").orderBy(F.desc("w"), "path")
     elected = cut(votes.withColumn("r", F.row_number().over(best)).filter("r = 1").select("host", "path"))
-    from .common import maybe_broadcast
-
     kind = {f.name: f.dataType.simpleString() for f in base.schema.fields}
 
     def again(batches):
         for b in batches:
-            texts = [text_at(blocks(h.as_py()), p.as_py()) for h, p in zip(b.column("html"), b.column("path"))]
+            texts = [text_at(parse(h.as_py()), p.as_py()) for h, p in zip(b.column("html"), b.column("path"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column("path")],
                 ["page_id", "url", "text", "n_chars", "path"])

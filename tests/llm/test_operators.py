@@ -1,7 +1,9 @@
 import collections
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -513,3 +515,89 @@ def test_sql_twins(spark, tmp_path):
         cols = sorted(want.columns)
         key = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None)))
         assert cols == sorted(got.columns) and key(got) == key(want), name
+
+
+# ------------------------------------------------------------------ pages: pieces, weak names, time
+
+class Dom(HTMLParser):
+    """A plain reading of well-formed pages: what stands in no boilerplate element, block by block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.text, self.open = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.VOID:
+            self.text.append(" " if tag == "br" else "")
+            return
+        a = dict(attrs)
+        bad = tag in html.SILENT | html.AROUND or "hidden" in a or any(c in html.NOISE for c in (a.get("class") or "").split())
+        if tag in html.BLOCK:
+            self.flush()
+        self.open.append((tag, bad or bool(self.open) and self.open[-1][1]))
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCK:
+            self.flush()
+        if tag not in html.VOID:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if not self.open or not self.open[-1][1]:
+            self.text.append(data)
+
+    def flush(self):
+        t = " ".join("".join(self.text).split())
+        self.out += [t] if t else []
+        self.text = []
+
+
+def test_pages_against_a_plain_reading():
+    r = random.Random(3)
+
+    def inline(depth):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            parts.append(prose(r.randint(1, 5), r.random()) + r.choice(["", " &amp; ", "<br>"]))
+            if depth and r.random() < 0.4:
+                tag = r.choice(["b", "i", "span", "em", "select", "button", "math", 'span class="advert"', "span hidden", 'a class="share"'])
+                parts.append(f"<{tag}>{inline(depth - 1)}</{tag.split()[0]}>")
+        return " ".join(parts)
+
+    def block(depth):
+        kind = r.choice(["p", "h2", "blockquote", "div", "section", "ul", "nav", 'div class="ad"', "form", "aside"])
+        if kind == "ul":
+            inner = "".join(f"<li>{inline(1)}</li>" for _ in range(2))
+        elif depth and kind in ("div", "section"):
+            inner = "".join(block(depth - 1) for _ in range(r.randint(1, 3)))
+        else:
+            inner = inline(2)
+        return f"<{kind}>{inner}</{kind.split()[0]}>"
+
+    for _ in range(300):
+        body = "<article>" + "".join(block(2) for _ in range(r.randint(1, 5))) + "</article>"
+        dom = Dom()
+        dom.feed(page(body))
+        dom.flush()
+        assert html.text_at(html.parse(page(body)), None) == "\n\n".join(dom.out)
+
+
+@pytest.mark.parametrize("source, want", [
+    ('<p>a <span class="advert">BUY NOW</span> b</p>', "a b"), ("<p>a <select><option>x<option>y</select> b <button>k</button></p>", "a b"),
+    ('<p>a <span hidden>z</span><a class="share">s</a> b</p>', "a b"), ("<p>a <math>m</math><video>v</video> b</p>", "a b"),
+    ('<div class="side"><p>only text</p></div>', "only text"), ('<div class="legal"><p>only text</p></div>', "only text"),
+    ('<article><p>one</p><p class="social-science">two</p></article>', "one\n\ntwo"),
+    ("<div><p>lead</p><div class=b><p>" + "long " * 60 + "</p></div></div>", "lead\n\n" + ("long " * 60).strip()),
+    ("<article><header><h1>H</h1></header><div><p>" + "long " * 60 + "</p></div></article>", "H\n\n" + ("long " * 60).strip()),
+    ('<div class="comment-list"><p>c</p></div>', ""), ("a < b && c <3 d", "a < b && c <3 d"), ("<ul><li>One<li>Two</ul><table><tr><td>c1<td>c2</table>", "One\n\nTwo\n\nc1\n\nc2"),
+])
+def test_what_a_page_says(source, want):
+    assert html.text_at(html.parse(source), None) == want
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, '<a "' * 250_000, "<a \">' " * 150_000, "<div>x" * 150_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<div>" * 100_000 + "</section>" * 100_000,
+                                    "<i>" * 100_000 + "<p></p>" * 100_000, "<" * 1_000_000, "<script>" * 100_000, '<p class="' + "a " * 400_000 + '">x'])
+def test_hostile_pages_take_seconds(source):
+    began = time.process_time()
+    html.text_at(html.parse(source), None)
+    assert time.process_time() - began < 15
