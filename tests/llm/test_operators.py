@@ -601,3 +601,55 @@ def test_hostile_pages_take_seconds(source):
     began = time.process_time()
     html.text_at(html.parse(source), None)
     assert time.process_time() - began < 15
+
+
+# ------------------------------------------------------------------ quality: words of all scripts
+
+def word_features(text):
+    """Even buckets: words and their beginnings."""
+    out = []
+    for _, _, raw, off in common.runs(pa.array([text])):
+        _, bucket, _ = quality.run_features(raw, off)
+        out += [b for b in bucket.tolist() if b % 2 == 0]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("a, b", [("“scum”", "scum"), ("scum…", "scum"), ("—scum—", "scum"), ("«Müll»", "müll"), ("ÉTÉ", "été"), ("ПРИВЕТ", "привет"), ("ΑΒΓΔ！", "αβγδ"), ("Scum.", "scum"), ("¿Qué?", "qué")])
+def test_words_share_features_whatever_stands_around_them(a, b):
+    assert word_features(a) == word_features(b) and word_features(a) != word_features(b + "x")
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("aAzÉßİŁ汉Я“”…«ﬁ \n."), max_size=30))
+def test_folding_keeps_the_bytes_in_place(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    low, cls = quality.folded(raw)
+    want = "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in text).encode()
+    assert len(low) == len(raw) == len(cls) and (low.tobytes() == want or text.lower().encode() == low.tobytes())
+
+
+def ordinal_loss(par, rows, grades):
+    """The negative log likelihood of the cumulative link, written out."""
+    w, cuts = par[:-2], [par[-2], par[-2] + np.exp(par[-1])]
+    total = 0.0
+    for x, y in zip(rows, grades):
+        z = float(np.dot(w, x))
+        below = [0.0] + [1 / (1 + np.exp(-(c - z))) for c in cuts] + [1.0]
+        total -= np.log(max(below[y + 1] - below[y], 1e-12))
+    return total
+
+
+def test_ordinal_fit_against_plain_descent():
+    """On few features the sparse fit grades like a plain minimiser of the written-out likelihood."""
+    r = np.random.RandomState(5)
+    x = r.rand(400, 3)
+    y = np.digitize(x @ [3.0, -2.0, 0.0] + r.logistic(size=400) * 0.3, [-0.2, 1.0])
+    par = np.zeros(5)
+    for step in range(400):
+        g = np.array([(ordinal_loss(par + 1e-5 * e, x[:, :], y) - ordinal_loss(par - 1e-5 * e, x, y)) / 2e-5 for e in np.eye(5)])
+        par -= 0.01 * g / np.sqrt(1 + (g**2).mean())
+        if step > 150 and np.abs(g).max() < 1:
+            break
+    m = quality.fit([(np.array([2, 4, 6]), v, int(k)) for v, k in zip(x, y)], steps=3000)
+    a, b = x @ par[:3], x @ m.weights[[2, 4, 6]]
+    assert np.corrcoef(a, b)[0, 1] > 0.98 and (np.diff(m.cuts) > 0).all()
