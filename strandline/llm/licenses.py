@@ -252,14 +252,15 @@ def model() -> Model:
 def _judged(sums: DataFrame, m: Model) -> DataFrame:
     """Sums over a paragraph's n-grams -> family, probability, containment, confirmed."""
     z = F.array(*[(F.col(f"c{i}") + F.lit(int(b))) / F.lit(SCALE * m.temperature) for i, b in enumerate(m.biases)])
-    # the notice best held, by class; unknown and none have no notice
-    held = F.array(*[
-        F.array_max(F.array(F.lit(0.0), *[F.col(f"t{i}") / F.lit(len(g)) for i, (f, g) in enumerate(m.templates) if f == c])) for c in CLASSES])
-    step = sums.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "first_word", "last_word", z.alias("z"), held.alias("held"))
+    step = sums.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "first_word", "last_word", z.alias("z"), "held")
     step = step.withColumn("top", F.array_max("z")).withColumn("best", F.array_position("z", F.col("top")).cast("int"))
     step = step.withColumn("p", 1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
     step = step.withColumn("nothing", F.col("p") * F.exp(F.element_at("z", CLASSES.index("none") + 1) - F.col("top")))
-    step = step.withColumn("own", F.element_at("held", F.col("best"))).withColumn("name", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("best")))
+    # the paragraph of the family that is best held; unknown and none have none
+    of_class = F.array(*[F.array(*[F.lit(i) for i, (f, _) in enumerate(m.templates) if f == c]).cast("array<int>") for c in CLASSES])
+    sizes = F.array(*[F.lit(len(g)) for _, g in m.templates])
+    share = F.transform(F.element_at(of_class, F.col("best")), lambda t: F.size(F.filter("held", lambda x: x == t)) / F.element_at(sizes, t + 1))
+    step = step.withColumn("own", F.coalesce(F.array_max(share), F.lit(0.0))).withColumn("name", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("best")))
     known = F.col("name").isin(*FAMILIES)
     sure = (F.col("p") >= ALONE) | (F.col("p") >= CONFIDENT) & (F.col("own") >= CONFIRMED)
     step = step.withColumn("family", F.when(known & sure, F.col("name")).when(F.col("nothing") >= NONE, "none").otherwise("unknown"))
@@ -290,10 +291,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return F.transform(out, lambda g, i: F.struct(i.alias("pos"), g.alias("gram")))
 
     each = parts.select("doc_id", "row", "paragraph", F.explode(F.concat(joined(1), joined(2), joined(3))).alias("x")).select("doc_id", "row", "paragraph", "x.pos", "x.gram")
-    rows = [(g, *ws, *ts) for g, ws, ts in m.table()]
-    cols = [f"c{i}" for i in range(len(CLASSES))] + [f"t{i}" for i in range(len(m.templates))]
+    rows = [(g, *ws, [i for i, x in enumerate(ts) if x]) for g, ws, ts in m.table()]
+    cols = [f"c{i}" for i in range(len(CLASSES))]
     # as many rows as the licence texts have n-grams
-    table = spark.createDataFrame(rows, "gram string, " + ", ".join(f"{c} int" for c in cols))
+    table = spark.createDataFrame(rows, "gram string, " + ", ".join(f"{c} int" for c in cols) + ", templates array<int>")
     hits = each.join(F.broadcast(table.select("gram")), "gram")
     # stretches of known n-grams; a window holds the hits of one paragraph
     along = Window.partitionBy("row", "paragraph").orderBy("pos")
@@ -301,7 +302,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hits = hits.withColumn("stretch", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     keys = ["doc_id", "row", "paragraph", "stretch"]
     distinct = hits.groupBy(*keys, "gram").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    sums = distinct.join(F.broadcast(table), "gram").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols], F.min("a").alias("first_word"), F.max("b").alias("last_word"))
+    sums = distinct.join(F.broadcast(table), "gram").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols], F.flatten(F.collect_list("templates")).alias("held"), F.min("a").alias("first_word"), F.max("b").alias("last_word"))
     return _judged(sums, m).filter("family <> 'none'")
 
 
