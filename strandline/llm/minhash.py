@@ -7,11 +7,12 @@
    posterior after m of n agreements is Beta(m + 1, n - m + 1); a pair is dropped as soon as its
    posterior chance to reach the threshold is under ``miss``.
 4. Survivors are verified on their full sets.
-5. Buckets whose members are in different components by then are gone through again, block against
-   block for large ones, signatures and sets at hand: pairs across components are pruned in the same
-   way, and the survivors verified from the most similar one down, skipping those connected
-   meanwhile. A pair is looked at in the first bucket that it shares, and none is capped; only
-   links leave the task.
+5. Buckets whose members are in different components by then are gone through again: the members
+   outside the bucket's largest component meet all its members, block against block for large ones,
+   signatures and sets at hand. Pairs across components are pruned in the same way, and the survivors
+   verified from the most similar one down, skipping those connected meanwhile. A pair is looked at in
+   the first bucket that it shares, and none is capped; only links leave the task. With S members, m of
+   them outside the largest component, this takes S * m comparisons and 2 * S * m / BLOCK rows.
 
 Components come from alternating large-star and small-star steps on the verified links.
 """
@@ -33,7 +34,9 @@ ROWS, BANDS = 5, 25
 HASHES, BATCH = 128, 32
 MISS = 1e-4
 #: Members of one block, and bytes of their sets, when a large bucket is compared block against block.
-BLOCK, BLOCK_BYTES = 256, 16 << 20
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Members of a hub that are verified in one task.
+HUB = 4096
 
 _rng = np.random.RandomState(20)
 _A = (_rng.randint(0, 2**31, HASHES).astype(np.uint32) * np.uint32(2)) | np.uint32(1)
@@ -192,16 +195,15 @@ class _Forest:
 
 def _across(least: dict[int, int], percent: int):
     """Members of a bucket (or of two of its blocks), grouped -> verified links across components."""
-    def candidates(key, pivot, ids, comp, sig, keys, block):
+    def candidates(key, pivot, major, ids, comp, sig, keys, block):
         """Pairs whose first common bucket this is, that may reach the threshold, with agreements."""
         band = int(np.flatnonzero(keys[0] == key)[0])
         own, other = np.flatnonzero(block == 0), np.flatnonzero(block == 1)
-        two = len(other) > 0
         for x in own.tolist():
             if ids[x] == pivot:
                 continue  # met every member already
-            y = other if two else own[own > x]
-            y = y[(comp[y] != comp[x]) & (ids[y] != pivot)]
+            # of two members outside the largest component, one meets the other
+            y = other[(comp[other] != comp[x]) & (ids[other] != pivot) & ((comp[other] == major) | (ids[other] > ids[x]))]
             if band and len(y):
                 y = y[~(keys[y, :band] == keys[x, :band]).any(1)]
             if len(y):
@@ -210,12 +212,12 @@ def _across(least: dict[int, int], percent: int):
                     yield np.full(len(live), x), y[live], same[live]
 
     def group(key, rows) -> list[tuple[int, int]]:
-        pivot, ids, comp, block = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        pivot, major, ids, comp, block = (np.array([r[k] for r in rows], np.int64) for k in range(5))
         if len(np.unique(comp)) < 2:
             return []
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(-1, HASHES)
-        keys = np.array([r[5] for r in rows], np.int64)
-        found = list(candidates(key, pivot[0], ids, comp, sig, keys, block))
+        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(-1, HASHES)
+        keys = np.array([r[6] for r in rows], np.int64)
+        found = list(candidates(key, pivot[0], major[0], ids, comp, sig, keys, block))
         if not found:
             return []
         x, y, same = (np.concatenate(c) for c in zip(*found))
@@ -226,7 +228,7 @@ def _across(least: dict[int, int], percent: int):
                 continue
             for r in (a, b):
                 if r not in sets:
-                    sets[r] = np.frombuffer(rows[r][6], np.uint64)
+                    sets[r] = np.frombuffer(rows[r][7], np.uint64)
             both = _shared(sets[a], sets[b])
             if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 forest.join(int(comp[a]), int(comp[b]))
@@ -240,7 +242,7 @@ def _across(least: dict[int, int], percent: int):
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("key", "i", "j", "pivot", "id", "comp", "block", "sig", "keys", "set")]
+            cols = [b.column(c).to_pylist() for c in ("key", "i", "j", "pivot", "major", "id", "comp", "block", "sig", "keys", "set")]
             for key, i, j, *r in zip(*cols):
                 if (key, i, j) != now:
                     if len(rows) > 1:
@@ -309,15 +311,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = drop_ids(linked.select("id", "n", "sig", "keys"), others, "id")
 
     exploded = reps.select("id", "n", F.explode("keys").alias("key"))
-    crowded = cut(exploded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), F.sum("n").alias("total")).filter("size > 1"))
-    members = cut(exploded.drop("n").join(crowded, "key"))
+    crowded = cut(exploded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1"))
+    members = cut(exploded.join(crowded, "key"))
     ids = cut(members.select("id").distinct())
     few = maybe_broadcast(ids, 2_000_000)
     sigs = cut(reps.select("id", "sig", "keys").join(few, "id", "left_semi").dropDuplicates(["id"]))
     sets = cut(map_arrow(base.join(few, "id", "left_semi"), _shingle_sets(k), "id long, set binary").filter(F.length("set") > 0).dropDuplicates(["id"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(64)))
+        hubs = cut(pairs.groupBy("u").count().filter(F.col("count") > HUB))
+        pairs = pairs.join(maybe_broadcast(hubs), "u", "left").withColumn("chunk", F.pmod(F.xxhash64("v"), F.coalesce(F.ceil(F.col("count") / HUB), F.lit(1)))).drop("count")
         right = pairs.join(sets, pairs.v == sets.id).select("u", "chunk", "v", "set")
         left = pairs.select("u", "chunk").distinct().join(sets, F.col("u") == sets.id).select("u", "chunk", F.lit(None).cast("long").alias("v"), "set")
         both = left.union(right).repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.col("v").asc_nulls_first())
@@ -333,12 +336,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = cut(members.filter("size > 2").join(maybe_broadcast(labels), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
     apart = cut(named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key"))
     if apart.limit(1).count():
-        spread = named.join(maybe_broadcast(apart), "key", "left_semi")
-        spread = spread.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int"))
-        spread = spread.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("key", "pivot", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                               F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("block"))
+        spread = cut(named.join(maybe_broadcast(apart), "key", "left_semi"))
+        # the largest component of each bucket, and how many blocks its members and those outside of it make
+        sizes = spread.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("bytes"))
+        sizes = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"), F.sum("bytes").alias("bytes"))
+        blocks = [F.ceil(F.greatest(m / BLOCK, F.col("bytes") * 8 * m / F.col("all") / BLOCK_BYTES)).cast("int") for m in (F.col("all") - F.col("most"), F.col("all"))]
+        sizes = cut(sizes.select("key", "major", blocks[0].alias("few"), blocks[1].alias("many")))
+        spread = spread.select("key", "pivot", "id", "comp").join(maybe_broadcast(sizes), "key")
+
+        def dealt(rows, side, own, other, n_own, n_other):
+            return rows.withColumn(own, F.pmod(F.xxhash64("id", F.lit(side)), F.col(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).withColumn("block", F.lit(side))
+
+        spread = dealt(spread.filter("comp <> major"), 0, "i", "j", "few", "many").unionByName(dealt(spread, 1, "j", "i", "many", "few")).drop("few", "many")
         spread = spread.join(sigs, "id").join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         more = cut(map_arrow(spread, _across(least, percent), "u long, v long"))
         if more.limit(1).count():

@@ -709,3 +709,25 @@ def test_ordinal_fit_against_plain_descent():
     m = quality.fit([(np.array([2, 4, 6]), v, int(k)) for v, k in zip(x, y)], steps=3000)
     a, b = x @ par[:3], x @ m.weights[[2, 4, 6]]
     assert np.corrcoef(a, b)[0, 1] > 0.98 and (np.diff(m.cuts) > 0).all()
+
+
+# ------------------------------------------------------------------ near-duplicates: large buckets in blocks
+
+def test_large_buckets_in_blocks(spark):
+    """Groups without a hub, in buckets of many small blocks, against all pairs."""
+    texts = []
+    for g in range(4):
+        words_ = prose(60, 100 + g).split()
+        for i in range(45):  # a chain: each is near the next ones only
+            w = words_[:]
+            for k in range(i // 3):
+                w[(7 * k) % 60] = f"g{g}k{k}"
+            texts.append(" ".join(w))
+    want, _ = brute.components(dict(enumerate(texts)))
+    kept = minhash.BLOCK, minhash.BLOCK_BYTES, minhash.HUB
+    minhash.BLOCK, minhash.BLOCK_BYTES, minhash.HUB = 4, 4000, 3
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    finally:
+        minhash.BLOCK, minhash.BLOCK_BYTES, minhash.HUB = kept
+    assert got == want
