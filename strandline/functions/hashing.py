@@ -44,3 +44,17 @@ def masked_hash(key: Column, k: int) -> Column:
     x = add(add(x, left(x, 2)), left(x, 4))
     x = xor(x, F.shiftright(x, 28))
     return add(x, left(x, 31))
+
+
+def mixed64(x: Column) -> tuple[Column, Column]:
+    """One round of 64-bit mixing of a long: the upper and the lower 32 bits of the result."""
+    factor = 0xFF51AFD7ED558CCD
+    low32 = F.lit(MASK32)
+    x = xor(x, F.shiftrightunsigned(x, 33))
+    a, b = x.bitwiseAND(low32), F.shiftrightunsigned(x, 32)
+    c, d = factor & MASK32, factor >> 32
+    # a * c by halves of c; what passes 32 bits is carried
+    p, q = a * (c & 0xFFFF), a * (c >> 16)
+    lower = p + q.bitwiseAND(F.lit(0xFFFF)) * 65536
+    upper = (F.shiftright(lower, 32) + F.shiftright(q, 16) + times32(a, d) + times32(b, c)).bitwiseAND(low32)
+    return upper, xor(lower.bitwiseAND(low32), F.shiftright(upper, 1))

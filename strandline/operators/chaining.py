@@ -1,6 +1,6 @@
-"""Chaining of anchors: a grouped kernel per query.
+"""Chaining of anchors: a grouped kernel per query and target strand.
 
-Anchors of a query are in one group; seeds too frequent to be of use are left out before (see
+Anchors of a query on one strand of a target are in one group; seeds too frequent to be of use are left out before (see
 ``seeding.anchors``), which bounds a group by the query's length times the cap.
 """
 
@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -28,6 +28,7 @@ class ChainOptions:
     skip: float = 0.0
     spliced: bool = False
     max_drop: int | None = None
+    segments: int = 1
 
 
 def gap_limits(short_reads: bool, fragment: bool, max_gap: int, max_gap_ref: int, max_frag: int, query_length: int) -> tuple[int, int]:
@@ -44,15 +45,15 @@ def link_scores(q, t, span, seg, i: int, lo: int, o: ChainOptions) -> np.ndarray
     dq, dr = q[i] - q[lo:i], t[i] - t[lo:i]
     same = seg[lo:i] == seg[i]
     d = np.abs(dr - dq)
-    bad = (dq <= 0) | (dq > o.max_dist_x) | same & ((dr == 0) | (dq > o.max_dist_y) | (d > o.bw))
+    bad = (dq <= 0) | (dq > o.max_dist_x) | same & ((dr == 0) | (dq > o.max_dist_y) | (d > o.bw) | (o.segments > 1 and not o.spliced) & (dr > o.max_dist_y))
     least = np.minimum(dq, dr)
     sc = np.minimum(span[lo:i], least).astype(np.float64)
     linear = o.gap * d + o.skip * least
     log = np.where(d >= 1, np.log2(d + 1.0), 0.0)
     free = o.spliced & (dr > dq) | ~same
     cost = np.where(free, np.minimum(linear, log), linear + 0.5 * log)
-    sc = np.where((d > 0) | (least > span[lo:i]), sc - np.trunc(cost), sc)
-    sc = np.where(~same & (dr == 0), sc + 1, sc)
+    # ends of segments that overlap on the target are worth a little instead of costing
+    sc = np.where(~same & (dr == 0), sc + 1, np.where((d > 0) | (least > span[lo:i]), sc - np.trunc(cost), sc))
     return np.where(bad, -np.inf, sc)
 
 
@@ -74,11 +75,7 @@ def best_scores(q, t, span, seg, o: ChainOptions) -> tuple[np.ndarray, np.ndarra
 
 
 def best_scores_by_range(q, t, span, o: ChainOptions) -> tuple[np.ndarray, np.ndarray]:
-    """The same for long gaps: distance costs are linear, so the best earlier anchor is a range maximum.
-
-    Candidates are the anchors whose query places lie within reach, ranked by score less their own
-    diagonal's cost; near ones are scored exactly.
-    """
+    """The same for long gaps: no band, and every earlier anchor within reach is scored, however many there are."""
     n = len(q)
     f, before = span.astype(np.float64).copy(), np.full(n, -1)
     seg = np.zeros(n, np.int64)
@@ -89,25 +86,19 @@ def best_scores_by_range(q, t, span, o: ChainOptions) -> tuple[np.ndarray, np.nd
             lo += 1
         if lo == i:
             continue
-        part = np.flatnonzero((q[lo:i] < q[i]) & (q[i] - q[lo:i] <= o.max_dist_x)) + lo
-        if not len(part):
-            continue
-        near = part[-o.max_iter:]
-        key = f[part] + 0.5 * o.gap * (q[part] + t[part])
-        picks = np.unique(np.append(near[-50:], part[int(np.argmax(key))]))
-        s = np.array([f[j] + link_scores(q[[j, i]], t[[j, i]], span[[j, i]], seg[:2], 1, 0, wide)[0] for j in picks])
+        s = f[lo:i] + link_scores(q, t, span, seg, i, lo, wide)
         k = len(s) - 1 - int(np.argmax(s[::-1]))
         if s[k] > f[i]:
-            f[i], before[i] = s[k], picks[k]
+            f[i], before[i] = s[k], lo + k
     return f, before
 
 
 def backtrack(f: np.ndarray, before: np.ndarray, o: ChainOptions) -> list[tuple[float, list[int]]]:
-    """Chains by falling score; an anchor is in one chain only, and a walk ends where the score has
-    fallen too far below its best."""
+    """Chains by falling score, of equal ones from the later anchor first; a walk ends where the score has
+    fallen too far below its best. An anchor is walked over once only, also by a chain that is too poor to keep."""
     drop = np.inf if o.spliced else (o.max_drop if o.max_drop is not None else o.bw)
     used, out = np.zeros(len(f), bool), []
-    for end in np.lexsort((np.arange(len(f)), -f)).tolist():
+    for end in np.lexsort((-np.arange(len(f)), -f)).tolist():
         if used[end] or f[end] < o.min_score:
             continue
         walk, x = [], end
@@ -123,29 +114,48 @@ def backtrack(f: np.ndarray, before: np.ndarray, o: ChainOptions) -> list[tuple[
                 break
             x = nxt
         walk = walk[:best_len]
+        used[walk] = True
         if len(walk) >= o.min_cnt and best >= o.min_score:
-            used[walk] = True
             out.append((best, walk[::-1]))
     return out
 
 
-def chains(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_gaps: bool = False) -> DataFrame:
-    """(qid, tid, rev, tpos, qpos, span) -> with chain (by falling score in the query) and score, chained anchors only."""
+ANCHOR = "struct<tpos:long,qpos:long,span:int>"
+CHAIN = f"qid long, tid long, rev int, chain long, score long, cnt long, qs long, qe long, rs long, re long, mlen long, blen long, places array<{ANCHOR}>"
+
+
+def chain_rows(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_gaps: bool = False) -> DataFrame:
+    """(qid, tid, rev, tpos, qpos, span) -> one row per chain: its number by falling score in the query, score, extent,
+    matched and block length (see ``regions.summarise_chains``) and anchors.
+
+    A group is a query's anchors on a target's strand; chains are numbered over the query afterwards.
+    """
     ship(anchors.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for (tid, rev), g in pdf.groupby(["tid", "rev"], sort=True):
-            g = g.sort_values(["tpos", "qpos"], kind="stable")
-            q, t, span = (g[c].to_numpy(np.int64) for c in ("qpos", "tpos", "span"))
-            seg = g["seg"].to_numpy(np.int64) if "seg" in g else np.zeros(len(g), np.int64)
-            f, before = best_scores_by_range(q, t, span, options) if long_gaps else best_scores(q, t, span, seg, options)
-            found += [(s, int(tid), int(rev), int(t[w[0]]), g.iloc[w]) for s, w in backtrack(f, before, options)]
-        found.sort(key=lambda c: (-c[0], c[1], c[2], c[3]))
-        rows = [g[["qid", "tid", "rev", "tpos", "qpos", "span"]].assign(chain=k, score=int(s)) for k, (s, _, _, _, g) in enumerate(found)]
-        return pd.concat(rows) if rows else pdf[["qid", "tid", "rev", "tpos", "qpos", "span"]].iloc[:0].assign(chain=0, score=0)
+        g = pdf.sort_values(["tpos", "qpos"], kind="stable")
+        q, t, span = (g[c].to_numpy(np.int64) for c in ("qpos", "tpos", "span"))
+        seg = g["seg"].to_numpy(np.int64) if "seg" in g else np.zeros(len(g), np.int64)
+        f, before = best_scores_by_range(q, t, span, options) if long_gaps else best_scores(q, t, span, seg, options)
+        key = tuple(int(g[c].iloc[0]) for c in ("qid", "tid", "rev"))
+        rows = []
+        for s, w in backtrack(f, before, options):
+            a, b, n = q[w], t[w], span[w]
+            dq, dt = np.diff(a), np.diff(b)
+            mlen = n[0] + np.minimum(np.minimum(dq, dt), n[1:]).sum()
+            rows.append((*key, 0, int(s), len(w), (a - n + 1).min(), a.max() + 1, (b - n + 1).min(), b.max() + 1, mlen, n[0] + np.maximum(dq, dt).sum(),
+                         [{"tpos": int(y), "qpos": int(x), "span": int(z)} for x, y, z in zip(a, b, n)]))
+        return pd.DataFrame(rows, columns=["qid", "tid", "rev", "chain", "score", "cnt", "qs", "qe", "rs", "re", "mlen", "blen", "places"])
+
+    found = anchors.groupBy("qid", "tid", "rev").applyInPandas(run, CHAIN)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "tid", "rev", F.element_at("places", 1).tpos)
+    return found.withColumn("chain", F.row_number().over(w).cast("long") - 1)
 
-    return anchors.groupBy("qid").applyInPandas(run, "qid long, tid long, rev int, tpos long, qpos long, span int, chain long, score long")
+
+def chains(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_gaps: bool = False) -> DataFrame:
+    """(qid, tid, rev, tpos, qpos, span, chain, score): chained anchors only."""
+    rows = chain_rows(anchors, options, long_gaps)
+    return rows.select("qid", "tid", "rev", F.explode("places").alias("x"), "chain", "score").select("qid", "tid", "rev", "x.tpos", "x.qpos", "x.span", "chain", "score")
 
 
 def rechain_with(anchors: DataFrame, first: DataFrame, options: ChainOptions, query_lengths: DataFrame, share: float = 0.5) -> DataFrame:
@@ -157,18 +167,24 @@ def rechain_with(anchors: DataFrame, first: DataFrame, options: ChainOptions, qu
 
 
 def parents(regions: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 - 1, sub_diff: int = 6) -> DataFrame:
-    """Primary or secondary by overlap on the query: (qid, rank, qs, qe, score, cnt) -> with parent, subsc, n_sub.
+    """Primary or secondary by overlap on the query: (qid, rank, qs, qe, score, cnt) -> with parent, subsc, n_sub, dp_max2.
 
     Hits come by rank. One that overlaps an earlier primary enough, for what it covers alone, is its
-    secondary; it may raise the primary's second-best score and its number of near-equal rivals.
+    secondary; it may raise the primary's second-best score and its number of near-equal rivals: those
+    with as many anchors and, of aligned hits (a column dp_max, and tid, rs and re) elsewhere, those
+    that align nearly as well.
     """
     ship(regions.sparkSession)
-    fields = regions.schema.simpleString()[7:-1].split(",")
+    aligned = "dp_max" in regions.columns
+    regions = regions.drop("parent", "subsc", "n_sub", "dp_max2")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in regions.schema.fields]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank").reset_index(drop=True)
         qs, qe, sc, cnt, rank = (pdf[c].tolist() for c in ("qs", "qe", "score", "cnt", "rank"))
-        primaries, parent, subsc, n_sub = [], [0] * len(pdf), [0] * len(pdf), [0] * len(pdf)
+        dp = pdf["dp_max"].tolist() if aligned else None
+        places = list(zip(pdf["tid"], pdf["rs"], pdf["re"])) if aligned else None
+        primaries, parent, subsc, n_sub, second = [], [0] * len(pdf), [0] * len(pdf), [0] * len(pdf), [0] * len(pdf)
         for i in range(len(pdf)):
             over = [p for p in primaries if min(qe[i], qe[p]) > max(qs[i], qs[p])]
             covered, reach = 0, qs[i]
@@ -182,11 +198,15 @@ def parents(regions: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 -
                 if common / short - alone / long_ > mask_level and alone <= mask_len:
                     parent[i] = rank[p]
                     subsc[p] = max(subsc[p], sc[i])
-                    n_sub[p] += int(cnt[i] >= cnt[p] or sc[i] + sub_diff >= sc[p])
+                    rival = cnt[i] >= cnt[p]
+                    if aligned and (places[i] != places[p] or common != short):
+                        second[p] = max(second[p], dp[i])
+                        rival = rival or dp[p] - dp[i] <= sub_diff
+                    n_sub[p] += int(rival)
                     break
             else:
                 parent[i] = rank[i]
                 primaries.append(i)
-        return pdf.assign(parent=parent, subsc=subsc, n_sub=n_sub)
+        return pdf.assign(parent=parent, subsc=subsc, n_sub=n_sub, dp_max2=second)
 
-    return regions.groupBy("qid").applyInPandas(run, ", ".join(x.replace(":", " ", 1) for x in fields) + ", parent long, subsc long, n_sub long")
+    return regions.groupBy("qid").applyInPandas(run, ", ".join(fields) + ", parent long, subsc long, n_sub long, dp_max2 long")

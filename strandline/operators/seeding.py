@@ -52,17 +52,31 @@ def repetitive_length(filtered: DataFrame) -> DataFrame:
     return s.groupBy("seq_id").agg(F.sum(F.greatest(F.lit(0), F.col("en") - F.greatest("st", "reach"))).alias("rep_len"))
 
 
-def anchors(queries: DataFrame, targets: DataFrame, query_lengths: DataFrame, cap: int | None = None) -> DataFrame:
+def too_frequent(targets: DataFrame, cap: int | DataFrame) -> DataFrame:
+    """Keys that targets have more than ``cap`` times."""
+    n = targets.groupBy("key").agg(F.count("*").alias("n"))
+    if isinstance(cap, DataFrame):
+        n = n.crossJoin(F.broadcast(cap.toDF("cap")))  # a single row
+    return n.filter(F.col("n") > (F.col("cap") if isinstance(cap, DataFrame) else cap)).select("key")
+
+
+def with_names(anchors_df: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """Anchors with qname, qlen, tname and tlen; queries and targets: (rid, name, length)."""
+    q = queries.select(F.col("rid").alias("qid"), F.col("name").alias("qname"), F.col("length").alias("qlen"))
+    t = targets.select(F.col("rid").alias("tid"), F.col("name").alias("tname"), F.col("length").alias("tlen"))
+    return anchors_df.join(q, "qid").join(t, "tid")
+
+
+def anchors(queries: DataFrame, targets: DataFrame, query_lengths: DataFrame, cap: int | DataFrame | None = None) -> DataFrame:
     """(qid, tid, rev, tpos, qpos, span): equal keys of queries and targets.
 
-    ``targets`` are seeds; keys with more than ``cap`` of them go before the join, which keeps a
-    frequent key from making the product of its two sides. On the other strand a query's place is
+    ``targets`` are seeds; keys with more than ``cap`` of them (a number, or a table of one) go before the
+    join, which keeps a frequent key from making the product of its two sides. On the other strand a query's place is
     counted from its end.
     """
     t = targets.select("key", F.col("seq_id").alias("tid"), F.col("pos").alias("tpos"), F.col("strand").alias("tstrand"))
     if cap is not None:
-        frequent = t.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
-        t = t.join(frequent, "key", "left_anti")
+        t = t.join(too_frequent(targets, cap), "key", "left_anti")
     q = queries.select("key", F.col("seq_id").alias("qid"), "pos", "span", "strand").join(query_lengths.withColumnRenamed("seq_id", "qid"), "qid")
     a = q.join(t, "key").withColumn("rev", (F.col("strand") != F.col("tstrand")).cast("int"))
     place = F.when(F.col("rev") == 0, F.col("pos")).otherwise(F.col("length") - (F.col("pos") + 1 - F.col("span")) - 1)
@@ -75,13 +89,13 @@ def merged_order(anchors_df: DataFrame) -> DataFrame:
 
 
 def no_diagonal(anchors_df: DataFrame) -> DataFrame:
-    """Without a sequence's seeds on itself at the same place."""
-    return anchors_df.filter(~((F.col("qid") == F.col("tid")) & (F.col("rev") == 0) & (F.col("qpos") == F.col("tpos"))))
+    """Without a sequence's seeds on itself at the same place: the same name and length (see ``with_names``)."""
+    return anchors_df.filter(~((F.col("qname") == F.col("tname")) & (F.col("qlen") == F.col("tlen")) & (F.col("rev") == 0) & (F.col("qpos") == F.col("tpos"))))
 
 
 def no_dual(anchors_df: DataFrame) -> DataFrame:
     """Each pair of sequences once: queries whose name comes after the target's are skipped."""
-    return anchors_df.filter(F.col("qid").cast("string") <= F.col("tid").cast("string"))
+    return anchors_df.filter(F.col("qname") <= F.col("tname"))
 
 
 def strand_only(anchors_df: DataFrame, reverse: bool) -> DataFrame:

@@ -1,6 +1,6 @@
 """Sampling operators: DataFrames of sequences to DataFrames of hits.
 
-Input: (seq_id, seq) with bases only. Each operator is one pass of an Arrow kernel over the rows as
+Input: (seq_id, seq) with bases only; where a key takes several columns, seq_id is a struct of them. Each operator is one pass of an Arrow kernel over the rows as
 they lie: no shuffle, and whatever follows is planned by Catalyst.
 """
 
@@ -21,6 +21,10 @@ def _ids_at(ids: pa.Array, off: np.ndarray, at: np.ndarray) -> tuple[pa.Array, n
     return ids.take(pa.array(row)), at - off[row]
 
 
+def _id_kind(seqs: DataFrame) -> str:
+    return seqs.schema["seq_id"].dataType.simpleString()
+
+
 def minimizers(seqs: DataFrame, k: int = 15, w: int = 11, canonical: bool = True, block_compat: bool = False) -> DataFrame:
     """(seq_id, pos, hash): pos is a k-mer's begin, the hash has its low 8 bits cleared."""
     def run(batches):
@@ -30,7 +34,7 @@ def minimizers(seqs: DataFrame, k: int = 15, w: int = 11, canonical: bool = True
             ids, pos = _ids_at(b.column(0), off, at)
             yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int64()), pa.array(h.astype(np.int64))], ["seq_id", "pos", "hash"])
 
-    return map_arrow(seqs.select("seq_id", "seq"), run, "seq_id long, pos long, hash long")
+    return map_arrow(seqs.select("seq_id", "seq"), run, f"seq_id {_id_kind(seqs)}, pos long, hash long")
 
 
 def syncmers(seqs: DataFrame, k: int = 31, s: int = 11, t: int = 0, closed: bool = True, strict: bool = False, canonical: bool = True) -> DataFrame:
@@ -44,7 +48,7 @@ def syncmers(seqs: DataFrame, k: int = 31, s: int = 11, t: int = 0, closed: bool
             ids, pos = _ids_at(b.column(0), off, K.syncmer_places(codes, off, k, s, t, closed, strict, canonical))
             yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int64())], ["seq_id", "pos"])
 
-    return map_arrow(seqs.select("seq_id", "seq"), run, "seq_id long, pos long")
+    return map_arrow(seqs.select("seq_id", "seq"), run, f"seq_id {_id_kind(seqs)}, pos long")
 
 
 def smer_hashes(seqs: DataFrame, s: int = 11, canonical: bool = True) -> DataFrame:
@@ -78,7 +82,7 @@ def sampled_kmers(seqs: DataFrame, k: int = 15, w: int = 11, sampler: str = "min
             ids, pos = _ids_at(b.column(0), off, at)
             yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int64()), pa.array(x.view(np.int64)), pa.array(strand.astype(np.int32))], ["seq_id", "pos", "kmer", "strand"])
 
-    return map_arrow(seqs.select("seq_id", "seq"), run, "seq_id long, pos long, kmer long, strand int")
+    return map_arrow(seqs.select("seq_id", "seq"), run, f"seq_id {_id_kind(seqs)}, pos long, kmer long, strand int")
 
 
 def seeds(seqs: DataFrame, k: int = 15, w: int = 11) -> DataFrame:

@@ -8,7 +8,7 @@ from ..operators import index, regions, seeding, sketch
 from . import oracle as O
 from .sketch_queries import sequences, table
 
-K, W, CAP = 15, 11, 200
+K, W = 15, 11
 
 
 def targets(s, d):
@@ -35,7 +35,7 @@ def _stats(s, d):
 
 
 def _cutoff(s, d):
-    c = index.key_counts(targets(s, d)).cache()
+    c = index.key_counts(targets(s, d))
     cuts = [index.max_occ(c, f).select(F.lit(f).alias("fraction"), "max_occ") for f in (0.5, 0.02, 0.0002)]
     return cuts[0].union(cuts[1]).union(cuts[2]).crossJoin(index.mid_occ(c))
 
@@ -47,7 +47,18 @@ def _lookup(s, d):
 
 
 def _anchors(s, d):
-    return seeding.anchors(query_seeds(s, d), targets(s, d), query_lengths(s, d), CAP)
+    t = targets(s, d)
+    return seeding.anchors(query_seeds(s, d), t, query_lengths(s, d), index.mid_occ(index.key_counts(t)))
+
+
+def _names(s, d, name, id_col):
+    return sequences(s, d, name, id_col).select(F.col("seq_id").alias("rid"), F.concat(F.lit("s"), (F.col("seq_id") % 100).cast("string")).alias("name"), F.length("seq").cast("long").alias("length"))
+
+
+def _no_dual(s, d):
+    """Items and documents under names that the two tables share."""
+    a = seeding.with_names(_anchors(s, d), _names(s, d, "benchmark", "item_id"), _names(s, d, "documents", "doc_id"))
+    return _summed(seeding.no_dual(seeding.no_diagonal(a)))
 
 
 def _summed(a):
@@ -116,7 +127,8 @@ def _halves(s, d):
 def _pairs(s, d):
     reads = _halves(s, d)
     lengths = reads.select("seq_id", F.length("seq").cast("long").alias("length"))
-    r = regions.ranked(_regions(seeding.anchors(sketch.seeds(reads, K, W), targets(s, d), lengths, 20)))
+    t = targets(s, d)
+    r = regions.ranked(_regions(seeding.anchors(sketch.seeds(reads, K, W), t, lengths, index.mid_occ(index.key_counts(t)))))
     fragment = lambda x: x.withColumn("qid", F.floor(F.col("qid") / 2).cast("long"))
     return regions.pairs(fragment(r.filter("qid % 2 = 0")), fragment(r.filter("qid % 2 = 1")), 5000)
 
@@ -135,8 +147,7 @@ def _fragment_split(s, d):
 
     t = table(s, d, "conversations").select(F.col("conv_id").alias("frag_id"), F.col("turn").alias("seg"), bases("text").alias("seq"))
     off = seeding.fragment_offsets(t.select("frag_id", "seg", F.length("seq").cast("long").alias("length")))
-    keyed = t.select((F.col("frag_id") * 1000 + F.col("seg")).alias("seq_id"), "seq")
-    m = sketch.minimizers(keyed, 10, 5).select(F.floor(F.col("seq_id") / 1000).cast("long").alias("frag_id"), (F.col("seq_id") % 1000).alias("seg"), "pos")
+    m = sketch.minimizers(t.select(F.struct("frag_id", "seg").alias("seq_id"), "seq"), 10, 5).select("seq_id.frag_id", "seq_id.seg", "pos")
     whole = m.join(off, ["frag_id", "seg"]).select(F.col("frag_id").alias("qid"), F.lit(0).alias("tid"), F.lit(0).alias("rev"), F.lit(0).alias("tpos"), (F.col("pos") + F.col("offset")).alias("qpos"), F.lit(10).alias("span"))
     return seeding.split_by_segment(whole, off).groupBy("qid", "seg").agg(F.count("*").alias("n"), F.sum("qpos").alias("pos_sum"))
 
@@ -152,7 +163,7 @@ QUERIES = {
     "seeds_streak_select": _streaks,
     "seed_rep_len": _rep_len,
     "anchors": lambda s, d: _summed(_anchors(s, d)),
-    "anchors_no_dual": lambda s, d: _summed(seeding.no_dual(seeding.no_diagonal(_anchors(s, d)))),
+    "anchors_no_dual": _no_dual,
     "anchors_reverse": lambda s, d: _summed(seeding.strand_only(_anchors(s, d), True)),
     "chain_regions": lambda s, d: _pseudo_regions(s, d).select("qid", "tid", "rev", "cnt", "qs", "qe", "rs", "re", "mlen", "blen"),
     "regions_topn": _topn,
@@ -167,8 +178,9 @@ _B, _I = O.seqs(), O.seqs("i", "benchmark", "item_id")
 _T = f"{_B}, {O.seeds('t', 'b', K, W)}"
 _C = f"{_T}, cnt AS (SELECT key, count(*) AS n FROM t GROUP BY key)"
 _H = "i AS (SELECT seq_id*2 AS seq_id, substr(seq, 1, length(seq)//2) AS seq FROM b UNION ALL SELECT seq_id*2 + 1, substr(seq, length(seq)//2 + 1) FROM b)"
-_A = (f"{_C}, {_I}, {O.seeds('q', 'i', K, W)}, a AS (SELECT q.seq_id AS qid, t.seq_id AS tid, CAST(q.strand <> t.strand AS INT) AS rev, t.pos AS tpos, "
-      f"CASE WHEN q.strand = t.strand THEN q.pos ELSE length(i.seq) - (q.pos + 1 - q.span) - 1 END AS qpos, q.span FROM q JOIN i ON q.seq_id = i.seq_id JOIN t ON q.key = t.key JOIN cnt ON cnt.key = t.key WHERE cnt.n <= {CAP})")
+_CAP = ("ranked AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS c FROM cnt), cap AS (SELECT coalesce(max(greatest(10, least(1000000, n + 1))), 1000000) AS mid_occ FROM ranked WHERE k = CAST(floor((1 - 0.0002::DOUBLE)*c) AS BIGINT))")
+_A = (f"{_C}, {_CAP}, {_I}, {O.seeds('q', 'i', K, W)}, a AS (SELECT q.seq_id AS qid, t.seq_id AS tid, CAST(q.strand <> t.strand AS INT) AS rev, t.pos AS tpos, "
+      f"CASE WHEN q.strand = t.strand THEN q.pos ELSE length(i.seq) - (q.pos + 1 - q.span) - 1 END AS qpos, q.span FROM q JOIN i ON q.seq_id = i.seq_id JOIN t ON q.key = t.key JOIN cnt ON cnt.key = t.key WHERE cnt.n <= (SELECT mid_occ FROM cap))")
 _SUM = "SELECT qid, tid, rev, count(*) AS n, min(qpos) AS q0, max(qpos) AS q1, min(tpos) AS t0, max(tpos) AS t1 FROM a {where} GROUP BY qid, tid, rev"
 _R = (_A + ", g AS (SELECT *, tpos - lag(tpos) OVER w AS dt, qpos - lag(qpos) OVER w AS dq FROM a WINDOW w AS (PARTITION BY qid, tid, rev ORDER BY tpos, qpos)), "
       "r0 AS (SELECT qid, tid, rev, count(*) AS cnt, min(qpos - span + 1) AS qs, max(qpos + 1) AS qe, min(tpos - span + 1) AS rs, max(tpos + 1) AS re, "
@@ -176,7 +188,7 @@ _R = (_A + ", g AS (SELECT *, tpos - lag(tpos) OVER w AS dt, qpos - lag(qpos) OV
       "r AS (SELECT *, (tid*7919 + rs*31 + rev) % 1000003 AS hash FROM r0), rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY mlen DESC, hash DESC, tid, rs, rev) AS rank FROM r)")
 _S = f"{_C}, sc AS (SELECT t.seq_id, t.pos, t.span, cnt.n FROM t JOIN cnt USING (key))"
 
-_P = _R.replace(_I, _H).replace(f"cnt.n <= {CAP}", "cnt.n <= 20")
+_P = _R.replace(_I, _H)
 
 ORACLES = {
     "index_build": f"WITH {_T}, o AS (SELECT key, list({{'rid': seq_id, 'pos': pos, 'strand': strand}} ORDER BY seq_id, pos, strand) AS occ FROM t GROUP BY key) "
@@ -186,7 +198,8 @@ ORACLES = {
     "index_cutoff": f"WITH {_C}, rk AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS k, count(*) OVER () AS c FROM cnt), f AS (SELECT unnest([0.5, 0.02, 0.0002]::DOUBLE[]) AS fraction), "
     "m AS (SELECT fraction, n + 1 AS max_occ FROM f JOIN rk ON k = CAST(floor((1 - fraction)*c) AS BIGINT)) SELECT fraction, max_occ, (SELECT greatest(10, least(1000000, max_occ)) FROM m WHERE fraction = 0.0002) AS mid_occ FROM m",
     "index_lookup": f"WITH {_C}, {_I}, {O.seeds('q', 'i', K, W)} SELECT q.seq_id, count(*) AS seeds_found, CAST(sum(n) AS BIGINT) AS hits, max(n) AS most FROM q JOIN cnt USING (key) GROUP BY q.seq_id",
-    "key_collision_audit": f"WITH {_T} SELECT count(DISTINCT c) AS raw_keys, (SELECT count(DISTINCT key) FROM t) AS hash_keys, count(*) AS seeds FROM t_c",
+    "key_collision_audit": f"WITH {_T} SELECT count(DISTINCT c) AS raw_keys, (SELECT count(DISTINCT key) FROM t) AS hash_keys, count(DISTINCT CAST(xor(y, y >> 33) % {1 << 2 * K}::UBIGINT AS UBIGINT)) AS mixed_keys, count(*) AS seeds "
+    "FROM (SELECT c, CAST((CAST(xor(c, c >> 33) AS UHUGEINT)*18397679294719823053::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS y FROM t_c)",
     "seeds_tandem": f"WITH {_T}, l AS (SELECT *, lag(key) OVER w AS p, lead(key) OVER w AS x FROM t WINDOW w AS (PARTITION BY seq_id ORDER BY pos)) SELECT seq_id, pos, key FROM l WHERE key = p OR key = x",
     "seeds_qocc_filter": f"WITH {_T}, l AS (SELECT *, count(*) OVER (PARTITION BY seq_id, key) AS n, count(*) OVER (PARTITION BY seq_id) AS a FROM t) SELECT seq_id, count(*) AS kept, CAST(sum(pos) AS BIGINT) AS pos_sum FROM l WHERE NOT (n > 2 AND n > a*0.005) GROUP BY seq_id",
     "seeds_streak_select": f"WITH {_S}, h AS (SELECT sc.*, length(b.seq) AS len, n > 2 AS bad FROM sc JOIN b USING (seq_id)), "
@@ -195,7 +208,7 @@ ORACLES = {
     "h2 AS (SELECT *, row_number() OVER (PARTITION BY seq_id, streak, bad ORDER BY n, pos) AS rk, least(128, floor((pe - ps)/50.0 + 0.499)) AS k FROM h1) SELECT seq_id, pos, n, (NOT bad OR (rk <= k AND n <= 400)) AS kept FROM h2",
     "seed_rep_len": f"WITH {_S}, s AS (SELECT seq_id, pos - span + 1 AS st, pos + 1 AS en FROM sc WHERE n > 2), e AS (SELECT DISTINCT seq_id, unnest(range(st, en)) AS p FROM s) SELECT seq_id, count(*) AS rep_len FROM e GROUP BY seq_id",
     "anchors": f"WITH {_A} " + _SUM.format(where=""),
-    "anchors_no_dual": f"WITH {_A} " + _SUM.format(where="WHERE NOT (qid = tid AND rev = 0 AND qpos = tpos) AND CAST(qid AS VARCHAR) <= CAST(tid AS VARCHAR)"),
+    "anchors_no_dual": f"WITH {_A} " + _SUM.format(where="JOIN i ON i.seq_id = a.qid JOIN b ON b.seq_id = a.tid WHERE NOT (qid % 100 = tid % 100 AND length(i.seq) = length(b.seq) AND rev = 0 AND qpos = tpos) AND 's' || (qid % 100) <= 's' || (tid % 100)"),
     "anchors_reverse": f"WITH {_A} " + _SUM.format(where="WHERE rev = 1"),
     "chain_regions": f"WITH {_R} SELECT qid, tid, rev, cnt, qs, qe, rs, re, mlen, blen FROM r",
     "regions_topn": f"WITH {_R}, p AS (SELECT rk.*, first_value(mlen) OVER (PARTITION BY qid ORDER BY rank) AS ps FROM rk), "
@@ -208,5 +221,5 @@ ORACLES = {
     "pairing": f"WITH {_P}, p AS (SELECT x.qid//2 AS qid, x.tid, x.rev, x.rank AS rank1, y.rank AS rank2, x.mlen + y.mlen AS score, row_number() OVER (PARTITION BY x.qid//2 ORDER BY x.mlen + y.mlen DESC, x.hash + y.hash DESC, x.tid, x.rank, y.rank) AS k "
     "FROM rk x JOIN rk y ON x.qid % 2 = 0 AND y.qid = x.qid + 1 AND x.tid = y.tid AND x.rev = y.rev WHERE greatest(x.rs, y.rs) - least(x.re, y.re) <= 5000) SELECT qid, tid, rev, rank1, rank2, score FROM p WHERE k = 1",
     "fragment_offsets": "SELECT conv_id AS frag_id, turn AS seg, CAST(length(coalesce(text,'')) AS BIGINT) AS length, CAST(coalesce(sum(length(coalesce(text,''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM conversations",
-    "fragment_split": f"WITH b AS (SELECT conv_id*1000 + turn AS seq_id, {O.BASES} AS seq FROM conversations), {O.minimizers('m', 'b', 10, 5)} SELECT seq_id // 1000 AS qid, seq_id % 1000 AS seg, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM m GROUP BY ALL",
+    "fragment_split": f"WITH b AS (SELECT {{'frag': conv_id, 'seg': turn}} AS seq_id, {O.BASES} AS seq FROM conversations), {O.minimizers('m', 'b', 10, 5)} SELECT seq_id.frag AS qid, seq_id.seg AS seg, count(*) AS n, CAST(sum(pos) AS BIGINT) AS pos_sum FROM m GROUP BY ALL",
 }

@@ -118,7 +118,5 @@ def _stretches(spark, path: str, sample) -> DataFrame:
 
     reads = read_sequences(spark, path).select("rid", "seq")
     runs = sketch.runs_of_bases(reads, "rid", "seq")
-    keyed = runs.select((F.col("seq_id") * (1 << 36) + F.col("start")).alias("seq_id"), "seq")  # stretches within 64 Gb of a record's begin
-    hits = sample(keyed)
-    rid, start = F.shiftright("seq_id", 36), F.col("seq_id").bitwiseAND(F.lit((1 << 36) - 1))
-    return hits.select(rid.alias("rid"), (start + F.col("pos")).alias("pos"), *[c for c in hits.columns if c not in ("seq_id", "pos")])
+    hits = sample(runs.select(F.struct("seq_id", "start").alias("seq_id"), "seq"))
+    return hits.select(F.col("seq_id.seq_id").alias("rid"), (F.col("seq_id.start") + F.col("pos")).alias("pos"), *[c for c in hits.columns if c not in ("seq_id", "pos")])

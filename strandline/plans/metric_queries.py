@@ -19,7 +19,7 @@ def _tolerance(s, d):
 
 
 def _texts(s, d):
-    e = table(s, d, "events").filter("event_id < 1000").select("event_id")
+    e = table(s, d, "events").select("event_id")
     n = F.col("event_id")
     t = F.concat((n % 97).cast("string"), F.element_at(F.array(F.lit("k"), F.lit("M"), F.lit("G"), F.lit("")), (n % 4 + 1).cast("int")))
     name = F.concat(F.lit("read"), n.cast("string"), F.when(n % 3 == 0, "/1").when(n % 3 == 1, "/2").otherwise(""))
@@ -41,7 +41,7 @@ ORACLES = {
     "metrics_tolerance": f"WITH {_E}, m AS (SELECT tool AS name, 140.0::DOUBLE AS expected, round(avg(value), 6) AS value FROM e GROUP BY tool), d AS (SELECT *, 100*abs(value-expected)/abs(expected) AS d FROM m) "
     "SELECT name, expected, value, round(d, 6) AS deviation, CASE WHEN d <= 2 THEN 'ok' WHEN d <= 8 THEN 'warn' ELSE 'fail' END AS status FROM d",
     "metrics_grid": f"WITH {_E} SELECT tool, threads, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std FROM e GROUP BY ALL",
-    "scalar_texts": r"WITH e AS (SELECT event_id AS n, 'read' || event_id || CASE event_id % 3 WHEN 0 THEN '/1' WHEN 1 THEN '/2' ELSE '' END AS nm FROM events WHERE event_id < 1000) "
+    "scalar_texts": r"WITH e AS (SELECT event_id AS n, 'read' || event_id || CASE event_id % 3 WHEN 0 THEN '/1' WHEN 1 THEN '/2' ELSE '' END AS nm FROM events) "
     r"SELECT n AS event_id, CAST(floor((n % 97) * CASE n % 4 WHEN 0 THEN 1e3 WHEN 1 THEN 1e6 WHEN 2 THEN 1e9 ELSE 1.0 END + 0.499) AS BIGINT) AS number, regexp_replace(nm, '/[0-9]$', '') AS fragment, "
     r"CAST(ceil(greatest(round((n % 50)/7.0::DOUBLE*1048576), 4096.0)/4096)*4096 AS BIGINT) AS bytes, nm AS name, 'a' || chr(9) || 'b' || chr(92) || nm AS unescaped FROM e",
 }

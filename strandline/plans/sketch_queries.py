@@ -30,9 +30,8 @@ def _segments(s, d):
 
 def _segment_syncmers(s, d):
     runs = sketch.runs_of_bases(table(s, d, "documents"), "doc_id", "text").filter(F.length("seq") >= 4)
-    keyed = runs.withColumn("doc", F.col("seq_id")).withColumn("seq_id", F.col("doc") * 1_000_000 + F.col("start"))
-    hits = sketch.syncmers(keyed, 4, 2)
-    return hits.select(F.floor(F.col("seq_id") / 1_000_000).cast("long").alias("doc_id"), (F.col("seq_id") % 1_000_000 + F.col("pos")).alias("pos"))
+    hits = sketch.syncmers(runs.select(F.struct("seq_id", "start").alias("seq_id"), "seq"), 4, 2)
+    return hits.select(F.col("seq_id.seq_id").alias("doc_id"), (F.col("seq_id.start") + F.col("pos")).alias("pos"))
 
 
 def _revcomp(s, d):
@@ -158,7 +157,7 @@ ORACLES = {
     "syncmers_open": _sync(k=31, s=11, t=10, closed=False),
     "syncmers_open_strict": _sync(k=31, s=11, strict=True),
     "syncmers_fwd": _sync(k=21, s=11, canonical=False),
-    "segment_syncmers": f"WITH {_RUNS}, b AS (SELECT seq_id*1000000 + file_offset AS seq_id, upper(run) AS seq FROM sg WHERE type = 'BASES'), {O.syncmers('s', 'b', 4, 2)} SELECT seq_id // 1000000 AS doc_id, seq_id % 1000000 + pos AS pos FROM s",
+    "segment_syncmers": f"WITH {_RUNS}, b AS (SELECT {{'doc': seq_id, 'start': file_offset}} AS seq_id, upper(run) AS seq FROM sg WHERE type = 'BASES'), {O.syncmers('s', 'b', 4, 2)} SELECT seq_id.doc AS doc_id, seq_id.start + pos AS pos FROM s",
     "harvest_kmers": f"WITH {_B}, {O.minimizers('m', 'b', 15, 11)} SELECT m.seq_id, m.pos, least(f, r) AS kmer, CAST(r < f AS INT) AS strand FROM m JOIN m_k k ON m.seq_id = k.seq_id AND m.pos = k.pos",
     "mix64_keys": f"WITH {_B}, {O.syncmers('s', 'b', 31, 11)}, j AS (SELECT s.seq_id, s.pos, b.seq FROM s JOIN b USING (seq_id)), c AS (SELECT seq_id, pos, {O.le_code(31)} AS f, {O.le_reverse(31)} AS r FROM j), "
     "x1 AS (SELECT seq_id, pos, CAST(r < f AS INT) AS strand, xor(least(f, r), least(f, r) >> 33) AS x FROM c), x2 AS (SELECT seq_id, pos, strand, CAST((CAST(x AS UHUGEINT)*18397679294719823053::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS x FROM x1) "

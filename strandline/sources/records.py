@@ -1,8 +1,8 @@
 """Readers of sequence records and of the tables that go with them.
 
 Records are split by Spark's text source on their own separators, so a file is read by as many tasks
-as it has splits, and compressed files are decompressed on the way. The order of lines within a file
-comes from a numbering of its partitions, never from task-dependent ids alone.
+as it has splits, and compressed files are decompressed on the way. Lines are numbered within their
+file, from the files' splits and where they begin, whatever tasks they come from.
 """
 
 from __future__ import annotations
@@ -25,36 +25,52 @@ def read_sequences(spark: SparkSession, path: str, format: str | None = None, **
     return read_fastq(spark, path, **options) if kind == "fastq" else read_fasta(spark, path, **options)
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """``rid``: consecutive from 0 in the order of a column, by ranges and their sizes; no single-task sort."""
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    skip = counts.withColumn("_skip", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_skip")
-    return ranged.withColumn("_l", local).join(F.broadcast(skip), "_part").withColumn("rid", F.col("_skip") + F.col("_l") - 1).drop("_part", "_l", "_skip")
+def _pieces(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(file, n, value): a file's pieces between separators, numbered from 0 in their order, for every file of a path.
+
+    A split's pieces lie in their order in one partition, and splits are ordered by file and where they
+    begin. So pieces are numbered within splits, and a table with a row per split says how many come before.
+    """
+    raw = spark.read.option("lineSep", sep).text(path)
+    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_begin"), F.monotonically_increasing_id().alias("_at"))
+    splits = raw.groupBy("file", "_begin").agg(F.count("*").alias("_n"))
+    skip = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("file", "_begin").orderBy("_at"))
+    both = raw.withColumn("_i", inside).join(F.broadcast(splits.select("file", "_begin", skip.alias("_skip"))), ["file", "_begin"])  # a row per split
+    return both.select("file", (F.col("_skip") + F.col("_i") - 1).alias("n"), "value")
+
+
+def _over_files(records: DataFrame) -> DataFrame:
+    """(file, n, ...) -> with ``rid``: records counted through the files in the order of their paths, empty places left out."""
+    block = F.floor(F.col("n") / 65536)
+    r = records.withColumn("_block", block)
+    counts = r.groupBy("file", "_block").agg(F.count("*").alias("_c"))
+    skip = F.coalesce(F.sum("_c").over(Window.orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per 65536 records
+    inside = F.row_number().over(Window.partitionBy("file", "_block").orderBy("n"))
+    both = r.withColumn("_i", inside).join(F.broadcast(counts.select("file", "_block", skip.alias("_skip"))), ["file", "_block"])
+    return both.withColumn("rid", F.col("_skip") + F.col("_i") - 1).drop("_skip", "_i", "_block")
 
 
 def read_fasta(spark: SparkSession, path: str, u_to_t: bool = True) -> DataFrame:
-    """Records begin at a '>' wherever it stands; the first line is a header even without one."""
-    raw = spark.read.option("lineSep", ">").text(path).withColumn("_at", F.monotonically_increasing_id())
-    raw = raw.filter(F.length(F.trim("value")) > 0)
+    """Records begin at a '>' wherever it stands; the first line of a file is a header even without one."""
+    raw = _pieces(spark, path, ">").filter(F.length(F.trim("value")) > 0)
     lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
     body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "")
     seq = F.translate(body, "Uu", "Tt") if u_to_t else body
     header = F.element_at(lines, 1)
-    out = raw.select("_at", sequence_name(header).alias("name"), F.regexp_extract(header, r"^\S*\s+(.*)$", 1).alias("comment"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
-    return _numbered(out, "_at").select("rid", "name", "comment", "seq", "qual")
+    out = raw.select("file", "n", sequence_name(header).alias("name"), F.regexp_extract(header, r"^\S*\s+(.*)$", 1).alias("comment"), seq.alias("seq"), F.lit(None).cast("string").alias("qual"))
+    return _over_files(out).select("rid", "name", "comment", "seq", "qual")
 
 
 def read_fastq(spark: SparkSession, path: str, u_to_t: bool = True, with_qual: bool = True) -> DataFrame:
-    """Exactly four lines a record, neither '@' nor '+' checked; carriage returns and byte order marks are dropped."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "[\r" + chr(0xFEFF) + "]", "").alias("value"))
-    n = _numbered(lines, "_at").withColumn("_r", F.floor(F.col("rid") / 4)).withColumn("_k", F.col("rid") % 4)
-    at = lambda k: F.max(F.when(F.col("_k") == k, F.col("value")))
-    r = n.groupBy("_r").agg(at(0).alias("h"), at(1).alias("s"), at(3).alias("q")).filter("h <> '' or s <> ''")
+    """Exactly four lines a record of a file, neither '@' nor '+' checked; carriage returns and byte order marks are dropped."""
+    lines = _pieces(spark, path, "\n").withColumn("value", F.regexp_replace("value", "[\r" + chr(0xFEFF) + "]", ""))
+    at = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
+    r = lines.groupBy("file", F.floor(F.col("n") / 4).alias("n")).agg(at(0).alias("h"), at(1).alias("s"), at(3).alias("q")).filter("h <> '' or s <> ''")
     h = F.regexp_replace("h", "^@", "")
     seq = F.translate("s", "Uu", "Tt") if u_to_t else F.col("s")
-    return r.select(F.col("_r").alias("rid"), sequence_name(h).alias("name"), F.regexp_extract(h, r"^\S*\s+(.*)$", 1).alias("comment"), seq.alias("seq"), (F.col("q") if with_qual else F.lit(None).cast("string")).alias("qual"))
+    out = r.select("file", "n", sequence_name(h).alias("name"), F.regexp_extract(h, r"^\S*\s+(.*)$", 1).alias("comment"), seq.alias("seq"), (F.col("q") if with_qual else F.lit(None).cast("string")).alias("qual"))
+    return _over_files(out).select("rid", "name", "comment", "seq", "qual")
 
 
 def read_paired(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -79,7 +95,9 @@ def fragments(reads: DataFrame) -> DataFrame:
     r = r.withColumn("_block", block)
     inside = r.withColumn("_f", last_start.over(Window.partitionBy("_block").orderBy("rid")))
     starts = r.filter("_new").groupBy("_block").agg(F.max("rid").alias("_s"))
-    carry = starts.withColumn("_carry", F.last("_s").over(Window.orderBy("_block"))).select((F.col("_block") + 1).alias("_block"), "_carry")
+    # every block has its row, also one that a fragment runs all through
+    starts = r.select("_block").distinct().join(starts, "_block", "left")
+    carry = starts.withColumn("_carry", F.last("_s", True).over(Window.orderBy("_block"))).select((F.col("_block") + 1).alias("_block"), "_carry")
     out = inside.join(F.broadcast(carry), "_block", "left").withColumn("frag_id", F.coalesce("_f", "_carry"))
     return out.withColumn("seg", F.col("rid") - F.col("frag_id")).select("frag_id", "seg", "rid", F.col("_name").alias("name"), "seq", "qual")
 

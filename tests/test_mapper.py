@@ -243,6 +243,10 @@ def test_parents(spark):
     df = spark.createDataFrame(rows, "qid long, rank long, qs long, qe long, score long, cnt long")
     got = {r["rank"]: (r.parent, r.subsc, r.n_sub) for r in C.parents(df).collect()}
     assert got == {1: (1, 80, 1), 2: (1, 0, 0), 3: (3, 0, 0)}
+    few = df.withColumn("cnt", C.F.when(C.F.col("rank") == 1, 9).otherwise(3).cast("long"))
+    assert {r["rank"]: r.n_sub for r in C.parents(few).collect()} == {1: 0, 2: 0, 3: 0}  # scores of chains alone make no rival
+    near = few.withColumns({"dp_max": C.F.lit(100) - C.F.col("rank") * 4, "tid": C.F.col("rank"), "rs": C.F.lit(0), "re": C.F.lit(9)})
+    assert {r["rank"]: (r.n_sub, r.dp_max2) for r in C.parents(near).collect()} == {1: (1, 92), 2: (0, 0), 3: (0, 0)}
 
 
 def test_regions_tools(spark):

@@ -76,3 +76,25 @@ def test_gaps_break_kmers(spark):
     df = spark.createDataFrame([(1, "xxACGTNacgt"), (2, None), (3, "")], "seq_id long, text string")
     got = sorted((r.seq_id, r.file_offset, r.logical_len, r.type) for r in sketch.segments(df).collect())
     assert got == [(1, 0, 2, "N_GAP"), (1, 2, 4, "BASES"), (1, 6, 1, "N_GAP"), (1, 7, 4, "BASES")]
+
+
+def test_folders_of_files_in_many_splits(spark, tmp_path):
+    """Every record of every file as a plain reading has it, in order, though splits and tasks mix files."""
+    want_q, want_a = [], []
+    for d in ("q", "a"):
+        (tmp_path / d).mkdir()
+    for f in range(3):
+        q = [(f"f{f}r{i}", "ACGT" * (10 + i % 7) + "ACGT"[i % 4], "I" * (41 + i % 5)) for i in range(90 + f)]
+        write(tmp_path / "q" / f"{f}.fq", "".join(f"@{n} c\n{s}\n+\n{x}\n" for n, s, x in q))
+        write(tmp_path / "a" / f"{f}.fa", "".join(f">{n} c\n{s[:20]}\n{s[20:]}\n" for n, s, _ in q))
+        want_q += q
+        want_a += [(n, s) for n, s, _ in q]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = R.read_fastq(spark, str(tmp_path / "q")).orderBy("rid").collect()
+        assert [(r.name, r.seq, r.qual) for r in got] == want_q and [r.rid for r in got] == list(range(len(want_q)))
+        got = R.read_fasta(spark, str(tmp_path / "a")).orderBy("rid").collect()
+        assert [(r.name, r.seq) for r in got] == want_a and [r.rid for r in got] == list(range(len(want_a)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
