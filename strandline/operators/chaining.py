@@ -6,14 +6,15 @@ Anchors of a query on one strand of a target are in one group; seeds too frequen
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import map_arrow, ship
 
 
 @dataclass(frozen=True)
@@ -120,34 +121,90 @@ def backtrack(f: np.ndarray, before: np.ndarray, o: ChainOptions) -> list[tuple[
     return out
 
 
+#: A query is chained again with a wider band if its best chain leaves so many bases, or covers so much of it.
+UNCOVERED, COVERED = 1000, 0.1
 ANCHOR = "struct<tpos:long,qpos:long,span:int>"
 CHAIN = f"qid long, tid long, rev int, chain long, score long, cnt long, qs long, qe long, rs long, re long, mlen long, blen long, places array<{ANCHOR}>"
 
 
-def chain_rows(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_gaps: bool = False) -> DataFrame:
+def chain_rows(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_gaps: bool = False, limits=None, wider: int = 0) -> DataFrame:
     """(qid, tid, rev, tpos, qpos, span) -> one row per chain: its number by falling score in the query, score, extent,
     matched and block length (see ``regions.summarise_chains``) and anchors.
 
-    A group is a query's anchors on a target's strand; chains are numbered over the query afterwards.
+    A group is a query's anchors on a target's strand; chains are numbered over the query afterwards. With a
+    column ``length`` of the query, ``limits`` gives the largest distances for it (see ``gap_limits``), and chains
+    of a group that leave much of the query uncovered are chained again with a band of ``wider``.
     """
-    ship(anchors.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.sort_values(["tpos", "qpos"], kind="stable")
-        q, t, span = (g[c].to_numpy(np.int64) for c in ("qpos", "tpos", "span"))
-        seg = g["seg"].to_numpy(np.int64) if "seg" in g else np.zeros(len(g), np.int64)
-        f, before = best_scores_by_range(q, t, span, options) if long_gaps else best_scores(q, t, span, seg, options)
-        key = tuple(int(g[c].iloc[0]) for c in ("qid", "tid", "rev"))
+    has = [c for c in ("seg", "length") if c in anchors.columns]
+    columns = ["qid", "tid", "rev", "tpos", "qpos", "span", *has]
+
+    def chained(q, t, span, seg, o, long_gaps):
+        f, before = best_scores_by_range(q, t, span, o) if long_gaps else best_scores(q, t, span, seg, o)
+        return backtrack(f, before, o)
+
+    def group(c: dict[str, np.ndarray]) -> list[tuple]:
+        q, t, span = c["qpos"], c["tpos"], c["span"]
+        seg = c["seg"] if "seg" in c else np.zeros(len(q), np.int64)
+        length = int(c["length"][0]) if "length" in c else 0
+        o = options
+        if limits is not None:
+            on_query, on_target = limits(length)
+            o = replace(options, max_dist_x=max(on_target, on_query), max_dist_y=on_query)
+        found = chained(q, t, span, seg, o, long_gaps)
+        if wider > options.bw and len(found) > 1:
+            covered = int(q[found[0][1][-1]] - q[found[0][1][0]])
+            if length - covered > UNCOVERED or covered > length * COVERED:
+                used = np.sort(np.concatenate([w for _, w in found]))
+                q, t, span, seg = q[used], t[used], span[used], seg[used]
+                found = chained(q, t, span, seg, replace(o, bw=wider, max_dist_x=max(o.max_dist_x, wider), max_drop=wider), True)
         rows = []
-        for s, w in backtrack(f, before, options):
+        for s, w in found:
             a, b, n = q[w], t[w], span[w]
             dq, dt = np.diff(a), np.diff(b)
             mlen = n[0] + np.minimum(np.minimum(dq, dt), n[1:]).sum()
-            rows.append((*key, 0, int(s), len(w), (a - n + 1).min(), a.max() + 1, (b - n + 1).min(), b.max() + 1, mlen, n[0] + np.maximum(dq, dt).sum(),
+            rows.append((*(int(c[k][0]) for k in ("qid", "tid", "rev")), 0, int(s), len(w), int((a - n + 1).min()), int(a.max() + 1), int((b - n + 1).min()), int(b.max() + 1), int(mlen), int(n[0] + np.maximum(dq, dt).sum()),
                          [{"tpos": int(y), "qpos": int(x), "span": int(z)} for x, y, z in zip(a, b, n)]))
-        return pd.DataFrame(rows, columns=["qid", "tid", "rev", "chain", "score", "cnt", "qs", "qe", "rs", "re", "mlen", "blen", "places"])
-
-    found = anchors.groupBy("qid", "tid", "rev").applyInPandas(run, CHAIN)
+        return rows
+
+    schema = pa.schema([*((n, pa.int32() if n == "rev" else pa.int64()) for n in ("qid", "tid", "rev", "chain", "score", "cnt", "qs", "qe", "rs", "re", "mlen", "blen")),
+                        ("places", pa.list_(pa.struct([("tpos", pa.int64()), ("qpos", pa.int64()), ("span", pa.int32())])))])
+
+    def some(c, a, b):
+        """Rows of the groups between a and b, which begin where a key changes."""
+        key = np.stack([c[k][a:b] for k in ("qid", "tid", "rev")])
+        edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [b - a]]) + a
+        most = np.add.reduceat(c["span"][a:b], edge[:-1] - a)  # no chain scores more than its spans
+        for x, y, m in zip(edge[:-1].tolist(), edge[1:].tolist(), most.tolist()):
+            if y - x >= options.min_cnt and m >= options.min_score:
+                yield from group({k: v[x:y] for k, v in c.items()})
+
+    def run(batches):
+        held: list[dict[str, np.ndarray]] = []
+
+        def out(rows):
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+
+        for batch in batches:
+            c = {k: batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, k in enumerate(columns)}
+            if not batch.num_rows:
+                continue
+            key = np.stack([c[k] for k in ("qid", "tid", "rev")])
+            last = key[:, -1:]
+            open_ = int(np.flatnonzero((key != last).any(0)).max(initial=-1)) + 1  # where the last group begins
+            if held and (open_ or any((held[-1][k][-1] != last[i, 0]) for i, k in enumerate(("qid", "tid", "rev")))):
+                c = {k: np.concatenate([*(h[k] for h in held), c[k]]) for k in columns}
+                open_ += sum(len(h["qid"]) for h in held)
+                held = []
+            if open_:
+                yield out(list(some(c, 0, open_)))
+                c = {k: v[open_:] for k, v in c.items()}
+            held.append(c)
+        if held:
+            c = {k: np.concatenate([h[k] for h in held]) for k in columns}
+            yield out(list(some(c, 0, len(c["qid"]))))
+
+    dealt = anchors.select(*columns).repartition("qid", "tid", "rev").sortWithinPartitions("qid", "tid", "rev", "tpos", "qpos")
+    found = map_arrow(dealt, run, CHAIN)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "tid", "rev", F.element_at("places", 1).tpos)
     return found.withColumn("chain", F.row_number().over(w).cast("long") - 1)
 
@@ -158,14 +215,6 @@ def chains(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_gaps
     return rows.select("qid", "tid", "rev", F.explode("places").alias("x"), "chain", "score").select("qid", "tid", "rev", "x.tpos", "x.qpos", "x.span", "chain", "score")
 
 
-def rechain_with(anchors: DataFrame, first: DataFrame, options: ChainOptions, query_lengths: DataFrame, share: float = 0.5) -> DataFrame:
-    """Queries of which the best chain covers too little are chained again with a wider band."""
-    best = first.filter("chain = 0").groupBy("qid").agg((F.max("qpos") - F.min("qpos")).alias("covered"))
-    poor = query_lengths.select(F.col("seq_id").alias("qid"), "length").join(best, "qid", "left").filter(F.coalesce("covered", F.lit(0)) < F.col("length") * share).select("qid")
-    again = chains(anchors.join(poor, "qid", "left_semi"), options, long_gaps=True)
-    return first.join(poor, "qid", "left_anti").select(again.columns).union(again)
-
-
 def parents(regions: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 - 1, sub_diff: int = 6) -> DataFrame:
     """Primary or secondary by overlap on the query: (qid, rank, qs, qe, score, cnt) -> with parent, subsc, n_sub, dp_max2.
 

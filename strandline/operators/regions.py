@@ -31,51 +31,72 @@ def ranked(regions: DataFrame) -> DataFrame:
     return regions.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def top_secondaries(regions: DataFrame, pri_ratio: float = 0.8, min_diff: int = 30, best_n: int = 5) -> DataFrame:
+def with_parent(regions: DataFrame, *columns: str) -> DataFrame:
+    """With ``_p``: these columns of the row that each row's parent is. A window over the query's few rows, not a join."""
+    rows = F.collect_list(F.struct("rank", *columns)).over(Window.partitionBy("qid"))
+    return regions.withColumn("_p", rows).withColumn("_p", F.get(F.filter("_p", lambda x: x["rank"] == F.col("parent")), F.lit(0)))
+
+
+def top_secondaries(regions: DataFrame, pri_ratio: float = 0.8, min_diff: int = 30, best_n: int = 5, rescue_score: int | None = None) -> DataFrame:
     """Primaries, and of each query's secondaries the first ``best_n`` that come near enough to their parent's score.
 
-    A row is primary if it is its own parent (``parent`` = ``rank``).
+    A row is primary if it is its own parent (``parent`` = ``rank``). Where rows have their extent, a copy of its
+    parent is no secondary. With ``rescue_score`` a row on the other strand than its parent's stays for that
+    (``strand_retained``) if it scores more.
     """
-    p = regions.select("qid", F.col("rank").alias("parent"), F.col("score").alias("pscore"))
-    r = regions.join(p, ["qid", "parent"], "left").withColumn("primary", F.col("parent") == F.col("rank"))
-    near = (F.col("score") >= F.col("pscore") * pri_ratio) | (F.col("score") + min_diff >= F.col("pscore"))
-    r = r.withColumn("_in", ~F.col("primary") & near)
+    where = [c for c in ("tid", "qs", "qe", "rs", "re", "rev") if c in regions.columns]
+    r = with_parent(regions, "score", *where).withColumn("primary", F.col("parent") == F.col("rank"))
+    near = (F.col("score") >= F.col("_p.score") * pri_ratio) | (F.col("score") + min_diff >= F.col("_p.score"))
+    same = F.lit(False)
+    if len(where) == 6:
+        same = F.lit(True)
+        for c in ("tid", "qs", "qe", "rs", "re"):
+            same = same & F.col(c).eqNullSafe(F.col(f"_p.{c}"))
+    turned = F.lit(False)
+    if rescue_score is not None:
+        turned = ~near & (F.col("score") > rescue_score) & (F.col("rev") != F.col("_p.rev"))
+        r = r.withColumn("strand_retained", ~F.col("primary") & F.coalesce(turned, F.lit(False)))
+    r = r.withColumn("_in", ~F.col("primary") & F.coalesce(near & ~same | turned, F.lit(False)))
     n = F.row_number().over(Window.partitionBy("qid", "_in").orderBy("rank"))
-    return r.withColumn("_n", n).filter(F.col("primary") | F.col("_in") & (F.col("_n") <= best_n)).drop("_in", "_n", "pscore")
+    return r.withColumn("_n", n).filter(F.col("primary") | F.col("_in") & (F.col("_n") <= best_n)).drop("_in", "_n", "_p")
 
 
 def fragment_secondaries(regions: DataFrame, pri1: float = 0.2, pri2: float = 0.7, max_gap: int = 800) -> DataFrame:
     """For read pairs: a laxer ratio for secondaries that lie near their parent."""
-    p = regions.select("qid", F.col("rank").alias("parent"), F.col("score").alias("pscore"), F.col("tid").alias("ptid"), F.col("rs").alias("prs"), F.col("rev").alias("prev"))
-    near = (F.col("tid") == F.col("ptid")) & (F.col("rev") == F.col("prev")) & (F.abs(F.col("rs") - F.col("prs")) < max_gap)
+    near = (F.col("tid") == F.col("_p.tid")) & (F.col("rev") == F.col("_p.rev")) & (F.abs(F.col("rs") - F.col("_p.rs")) < max_gap)
     ratio = F.when(near, pri1).otherwise(pri2)
-    r = regions.join(p, ["qid", "parent"], "left")
-    return r.filter((F.col("parent") == F.col("rank")) | (F.col("score") >= F.col("pscore") * ratio)).drop("pscore", "ptid", "prs", "prev")
+    r = with_parent(regions, "score", "tid", "rs", "rev")
+    return r.filter((F.col("parent") == F.col("rank")) | (F.col("score") >= F.col("_p.score") * ratio)).drop("_p")
 
 
 def strand_filter(regions: DataFrame) -> DataFrame:
     """Rows kept for their strand stay if they diverge under five times their parent, or under one per cent."""
-    p = regions.select("qid", F.col("rank").alias("parent"), F.col("div").alias("pdiv"))
-    ok = ~F.col("strand_retained") | (F.col("div") < F.col("pdiv") * 5) | (F.col("div") < 0.01)
-    return regions.join(p, ["qid", "parent"], "left").filter(ok).drop("pdiv")
+    ok = ~F.col("strand_retained") | (F.col("div") < F.col("_p.div") * 5) | (F.col("div") < 0.01)
+    return with_parent(regions, "div").filter(ok).drop("_p")
 
 
-def region_filter(regions: DataFrame, min_cnt: int = 3, min_mlen: int = 0, min_dp: int = 0) -> DataFrame:
-    return regions.filter((F.col("cnt") >= min_cnt) & (F.col("mlen") >= min_mlen) & (F.coalesce("dp_max", F.lit(min_dp)) >= min_dp))
+def region_filter(regions: DataFrame, min_cnt: int = 3, min_mlen: int = 0, min_dp: int = 0, max_clip: float = 1.0) -> DataFrame:
+    """Aligned rows with anchors, matches and score enough, that are not clipped by more than a share of the query at
+    both ends. Inversions and parts of a chain that was split need not have the anchors."""
+    few = F.col("cnt") < min_cnt
+    for c in ("inv", "split"):
+        if c in regions.columns:
+            few = few & ~F.col(c)
+    clipped = (F.col("qs") > F.col("qlen") * max_clip) & (F.col("qlen") - F.col("qe") > F.col("qlen") * max_clip) if "qlen" in regions.columns else F.lit(False)
+    return regions.filter(~few & (F.col("mlen") >= min_mlen) & (F.col("dp_max") >= min_dp) & ~clipped)
 
 
-def mark_alternates(regions: DataFrame, refs: DataFrame, drop: float = 0.15) -> DataFrame:
+def mark_alternates(regions: DataFrame, refs: DataFrame, drop: float = 0.15, by: str = "score") -> DataFrame:
     """Scores on alternate contigs count less when hits are ranked."""
     r = regions.join(refs.select(F.col("rid").alias("tid"), "is_alt"), "tid", "left")
-    return r.withColumn("rank_score", F.when(F.col("is_alt"), F.floor(F.col("score") * (1 - drop) + 0.499)).otherwise(F.col("score")))
+    return r.withColumn("rank_score", F.when(F.col("is_alt"), F.floor(F.col(by) * (1 - drop) + 0.499)).otherwise(F.col(by)))
 
 
 def renumbered(regions: DataFrame) -> DataFrame:
     """Ranks without holes after a filter, parents with them; rows whose parent went are their own."""
     w = Window.partitionBy("qid").orderBy("rank")
-    r = regions.withColumn("new", F.row_number().over(w))
-    p = r.select("qid", F.col("rank").alias("parent"), F.col("new").alias("new_parent"))
-    return r.join(p, ["qid", "parent"], "left").withColumn("parent", F.coalesce("new_parent", "new")).withColumn("rank", F.col("new")).drop("new", "new_parent")
+    r = with_parent(regions.withColumn("new", F.row_number().over(w).cast("long")), "new")
+    return r.withColumn("parent", F.coalesce(F.col("_p.new"), F.col("new"))).withColumn("rank", F.col("new")).drop("new", "_p")
 
 
 def sam_primary(regions: DataFrame) -> DataFrame:
@@ -96,6 +117,30 @@ def mapq(regions: DataFrame, min_chain_score: int = 40) -> DataFrame:
     return regions.withColumn("mapq", F.when(F.col("primary"), F.greatest(F.lit(0), F.least(F.lit(60), q))).otherwise(0).cast("int"))
 
 
+def mapq_aligned(regions: DataFrame, min_chain_score: int = 40, match: int = 2, short_reads: bool = False) -> DataFrame:
+    """Mapping quality of aligned rows: ``mapq``'s columns, and mlen, blen, dp_max, dp_max2, inv.
+
+    The share of matches scales it, and the second-best alignment and the second-best chain lower it
+    together; of long reads it is no more than the difference of the two alignments allows. A primary
+    that aligns better than any rival has 1 at least; inversions have what their neighbours have.
+    """
+    total = F.sum(F.when(F.col("primary"), F.col("score")).otherwise(0)).over(Window.partitionBy("qid"))
+    by_score = F.when(F.col("score") > 100, F.lit(1.0)).otherwise(F.col("score") * 0.01) * (total / (total + F.col("rep_len")))
+    by_count = F.when(F.col("cnt") > 10, F.lit(1.0)).otherwise(F.col("cnt") * 0.1)
+    subsc = F.greatest(F.col("subsc"), F.lit(min_chain_score))
+    identity = F.col("mlen") / F.col("blen")
+    scale = 40.0 * identity * F.least(by_score, by_count) * F.log(F.col("dp_max") / F.lit(float(match)))
+    chains = subsc / F.col("score0")
+    both = F.col("dp_max2") / F.col("dp_max") * chains
+    x = F.floor(scale * (1.0 - both * both))
+    if not short_reads:
+        x = F.least(x, F.floor(6.02 * identity * identity * (F.col("dp_max") - F.col("dp_max2")) / float(match) + 0.499))
+    q = F.when((F.col("dp_max2") > 0) & (F.col("dp_max") > 0), x).otherwise(F.floor(scale * (1.0 - chains))) - F.floor(4.343 * F.log(F.col("n_sub") + 1.0) + 0.499)
+    q = F.greatest(F.lit(0), F.least(F.lit(60), q))
+    q = F.when((q == 0) & (F.col("dp_max") > F.col("dp_max2")), 1).otherwise(q)
+    return inversion_mapq(regions.withColumn("mapq", F.when(F.col("primary") & ~F.col("inv"), q).otherwise(0).cast("int")))
+
+
 def inversion_mapq(regions: DataFrame) -> DataFrame:
     """An inversion has the lesser quality of its neighbours on the query."""
     w = Window.partitionBy("qid").orderBy("qs")
@@ -131,6 +176,39 @@ def pairs(first: DataFrame, second: DataFrame, max_gap: int) -> DataFrame:
     return p.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("qid", "tid", "rev", "rank1", "rank2", (F.col("score1") + F.col("score2")).alias("score"))
 
 
+def pair_up(hits: DataFrame, max_gap: int, bonus: int = 33, sub_diff: int = 6, match: int = 2) -> DataFrame:
+    """Hits of read pairs: (frag, seg, rank, parent, tid, rev, rs, re, dp_max, hash, mapq, primary, sam_pri) -> with ``proper``.
+
+    Mates face each other on one contig, the left one not more than ``max_gap`` before the right one. Of pairs
+    that align nearly as well as both best ends could, the best one is proper: its hits become primary, and
+    their quality rises towards the pair's, which rival pairs lower.
+    """
+    side = F.col("rev").bitwiseXOR(F.col("seg"))
+    best_ends = hits.groupBy("frag", "seg").agg(F.max("dp_max").alias("m")).groupBy("frag").agg(F.sum("m").alias("most"), F.count("*").alias("ends")).filter("ends = 2")
+    h = hits.join(best_ends, "frag").withColumn("_o", side)
+    part = lambda right: h.filter((F.col("seg") == F.col("_o")) != F.lit(right)).select("frag", "tid", "_o", "most", *[F.col(c).alias(f"{c}_{int(right)}") for c in ("seg", "rank", "rs", "re", "dp_max", "hash", "mapq")])
+    p = part(False).join(part(True).drop("most"), ["frag", "tid", "_o"]).filter((F.col("rs_1") >= F.col("rs_0")) & (F.col("rs_1") - F.col("re_0") <= max_gap))
+    p = p.withColumn("s", F.col("dp_max_0") + F.col("dp_max_1")).filter(F.col("s") >= F.greatest(F.lit(0), F.col("most") - bonus))
+    w = Window.partitionBy("frag").orderBy(F.desc("s"), F.desc(F.col("hash_0") + F.col("hash_1")), "tid", "rank_0", "rank_1")
+    every = Window.partitionBy("frag")
+    p = p.withColumns({"_r": F.row_number().over(w), "_next": F.lead("s").over(w), "_n": F.count("*").over(every), "_max": F.max("s").over(every)})
+    p = p.withColumn("_sub", F.sum((F.col("s") + sub_diff >= F.col("_max")).cast("int")).over(every)).filter("_r = 1")
+    q = F.greatest("mapq_0", "mapq_1")
+    q = F.when(F.col("_n") > 1, F.least(q, F.floor(6.02 * (F.col("s") - F.col("_next")) / float(match) - 4.343 * F.log(F.col("_sub").cast("double"))))).otherwise(q)
+    ends = F.explode(F.array(*[F.struct(F.col(f"seg_{k}").alias("seg"), F.col(f"rank_{k}").alias("_best")) for k in (0, 1)]))
+    floor = F.when(F.col("_n") == 1, 2).when(F.col("s") > F.col("_next"), 1).otherwise(0)
+    p = p.select("frag", q.alias("_q"), floor.alias("_floor"), ends.alias("e")).select("frag", "_q", "_floor", "e.seg", "e._best")
+    h = hits.join(p, ["frag", "seg"], "left")
+    old = h.filter("rank = _best").select("frag", "seg", F.col("parent").alias("_old"), F.col("sam_pri").alias("_was"))
+    h = h.join(old, ["frag", "seg"], "left")
+    mine = F.coalesce(F.col("rank") == F.col("_best"), F.lit(False))
+    lifted = F.coalesce((F.col("_old") != F.col("_best")) & (F.col("parent") == F.col("_old")), F.lit(False))
+    quality = F.when(mine, F.greatest(pair_mapq(F.col("mapq"), F.greatest("_q", F.lit(0))), F.col("_floor"))).when(lifted & (F.col("rank") == F.col("_old")), 0).otherwise(F.col("mapq")).cast("int")
+    h = h.withColumn("mapq", quality).withColumn("proper", mine).withColumn("sam_pri", F.when(F.col("_was") == F.lit(False), mine).otherwise(F.col("sam_pri")))
+    h = h.withColumn("parent", F.when(lifted, F.col("_best")).otherwise(F.col("parent"))).withColumn("primary", F.col("parent") == F.col("rank"))
+    return h.drop("_q", "_floor", "_best", "_old", "_was")
+
+
 def pair_mapq(own: Column, pair: Column) -> Column:
     """A read's quality, lifted towards that of its pair."""
     return F.when(own < pair, F.floor(0.2 * own + 0.8 * pair + 0.499)).otherwise(own).cast("int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,14 @@ def tandem(seeds: DataFrame) -> DataFrame:
     return seeds.withColumn("tandem", same(F.lag("key")) | same(F.lead("key")))
 
 
-def query_frequency_filter(seeds: DataFrame, most: int, fraction: float = 0.01) -> DataFrame:
+def query_frequency_filter(seeds: DataFrame, most: int | Column, fraction: float = 0.01) -> DataFrame:
     """Drop keys that a query has more than ``most`` times and in more than a share of its seeds."""
     own, all_ = Window.partitionBy("seq_id", "key"), Window.partitionBy("seq_id")
     s = seeds.withColumn("_n", F.count("*").over(own)).withColumn("_all", F.count("*").over(all_))
     return s.filter(~((F.col("_n") > most) & (F.col("_n") > F.col("_all") * fraction))).drop("_n", "_all")
 
 
-def select_streaks(hits: DataFrame, lengths: DataFrame, max_occ: int, max_max_occ: int, dist: int) -> DataFrame:
+def select_streaks(hits: DataFrame, lengths: DataFrame, max_occ: int | Column, max_max_occ: int, dist: int) -> DataFrame:
     """(seq_id, pos, n) -> with ``kept``: of each streak of frequent seeds the rarest few.
 
     A streak lies between two seeds that occur at most ``max_occ`` times (or a query's end); it keeps
@@ -29,7 +29,7 @@ def select_streaks(hits: DataFrame, lengths: DataFrame, max_occ: int, max_max_oc
     """
     w = Window.partitionBy("seq_id").orderBy("pos")
     h = hits.join(lengths, "seq_id").withColumn("_bad", F.col("n") > max_occ)
-    if dist <= 0 or max_max_occ <= max_occ:
+    if dist <= 0 or isinstance(max_occ, int) and max_max_occ <= max_occ:
         return h.withColumn("kept", ~F.col("_bad")).drop("_bad", "length")
     good = F.when(~F.col("_bad"), F.col("pos"))
     h = h.withColumns({

@@ -21,7 +21,7 @@ def _records(s, d, name, id_col, prefix):
 
 
 def _options():
-    return preset(k=11, w=5, min_cnt=2, min_chain_score=18, mid_occ=60)
+    return preset(k=11, w=5, min_cnt=2, min_chain_score=18, min_dp_max=20)
 
 
 def _chains(s, d):
@@ -70,7 +70,7 @@ QUERIES = {
     "sdust": lambda s, d: sketch.low_complexity(sequences(s, d, "benchmark", "item_id")),
     "chains": _chains,
     "chains_long_gaps": _long_chains,
-    "parents": lambda s, d: mapper.regions_of(_chains(s, d), _options()).select("qid", "tid", "rev", "rank", "parent", "subsc", "n_sub"),
+    "parents": lambda s, d: mapper.regions_of(chaining.chain_rows(_anchors(s, d), chaining.ChainOptions(min_cnt=2, min_score=15)), _options()).select("qid", "tid", "rev", "rank", "parent", "subsc", "n_sub"),
     "mappings": lambda s, d: _mapped(s, d, False),
     "align_affine": _pairwise,
     "paf": _paf,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import chaining, index, regions, seeding, sketch
-from ..runtime import ship
+from ..runtime import cut, ship
 from .options import Options, preset
 
 
@@ -20,87 +23,223 @@ def seeds_of(refs_or_reads: DataFrame, o: Options) -> DataFrame:
     return out
 
 
-def cap_of(target_seeds: DataFrame, o: Options) -> int:
-    """The largest number of occurrences of a key that is looked up: a single number."""
+@dataclass(frozen=True)
+class Index:
+    """Seeds of references, the references (rid, name, seq, and is_alt where known), and the options that made them."""
+    seeds: DataFrame
+    refs: DataFrame
+    options: Options
+
+
+def build_index(refs: DataFrame, options: Options | str | None = None) -> Index:
+    o = options if isinstance(options, Options) else preset(options)
+    return Index(cut(seeds_of(refs, o)), refs, o)
+
+
+def save_index(x: Index, path: str) -> None:
+    """Three tables: seeds dealt by key, references, and one row of options."""
+    x.seeds.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(64))).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/seeds")
+    x.refs.write.mode("overwrite").parquet(f"{path}/refs")
+    x.refs.sparkSession.createDataFrame([(json.dumps(asdict(x.options)),)], "options string").write.mode("overwrite").parquet(f"{path}/options")
+
+
+def load_index(spark, path: str, options: Options | None = None) -> Index:
+    """An index that was saved; options other than k, w and compression may be given anew."""
+    made = Options(**json.loads(spark.read.parquet(f"{path}/options").first()[0]))
+    o = options or made
+    if (o.k, o.w, o.compressed) != (made.k, made.w, made.compressed):
+        raise ValueError("the index was made with another k, w or compression")
+    return Index(spark.read.parquet(f"{path}/seeds").drop("bucket"), spark.read.parquet(f"{path}/refs"), o)
+
+
+def index_parts(refs: DataFrame, bases: int, options: Options | str | None = None) -> list[Index]:
+    """References as indexes of about so many bases each, for a store that cannot hold one; ids stay those of the whole."""
+    ids = refs.select("rid", F.length("seq").alias("n")).select("rid", F.floor(F.coalesce(F.sum("n").over(Window.orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / bases).alias("part"))
+    n = ids.agg(F.max("part")).first()[0]
+    return [build_index(refs.join(ids.filter(F.col("part") == k).select("rid"), "rid", "left_semi"), options) for k in range((n if n is not None else -1) + 1)]
+
+
+def cap_of(target_seeds: DataFrame, o: Options) -> DataFrame:
+    """One row: the largest number of occurrences of a key that is looked up."""
     if o.mid_occ > 0:
-        return o.mid_occ
-    return index.mid_occ(index.key_counts(target_seeds), o.mid_occ_fraction, o.min_mid_occ, o.max_mid_occ).first()[0]
+        return target_seeds.sparkSession.range(1).select(F.lit(o.mid_occ).cast("long").alias("cap"))
+    return index.mid_occ(index.key_counts(target_seeds), o.mid_occ_fraction, o.min_mid_occ, o.max_mid_occ).toDF("cap")
 
 
-def anchors_of(reads: DataFrame, refs: DataFrame, o: Options) -> DataFrame:
-    targets = seeds_of(refs, o)
-    q = seeds_of(reads, o)
-    lengths = reads.select(F.col("rid").alias("seq_id"), F.length("seq").cast("long").alias("length"))
+def query_seeds(reads: DataFrame, x: Index) -> DataFrame:
+    """Seeds of reads that the index has: (key, seq_id, pos, span, strand, n, length, kept).
+
+    ``kept`` are those that are not too frequent there, and of a streak of too frequent ones the rarest few.
+    """
+    o = x.options
+    cap = F.broadcast(cap_of(x.seeds, o))  # a single row
+    q = seeds_of(reads, o).crossJoin(cap)
     if o.q_occ_fraction > 0:
-        q = seeding.query_frequency_filter(q, cap_of(targets, o), o.q_occ_fraction)
-    a = seeding.anchors(q, targets, lengths, cap_of(targets, o))
-    if o.no_diagonal:
-        a = seeding.no_diagonal(a)
-    if o.no_dual:
-        a = seeding.no_dual(a)
+        q = seeding.query_frequency_filter(q, F.col("cap"), o.q_occ_fraction)
+    q = q.join(index.key_counts(x.seeds), "key")
+    lengths = reads.select(F.col("rid").alias("seq_id"), F.length("seq").cast("long").alias("length"))
+    return seeding.select_streaks(q, lengths, F.col("cap"), o.max_max_occ, o.occ_dist).join(lengths, "seq_id")
+
+
+def anchors_of(q: DataFrame, reads: DataFrame, x: Index) -> DataFrame:
+    o = x.options
+    kept = q.filter("kept")
+    a = seeding.anchors(kept.select("key", "seq_id", "pos", "span", "strand"), x.seeds, kept.select("seq_id", "length").distinct())
+    if o.no_diagonal or o.no_dual:
+        named = lambda d: d.select("rid", "name", F.length("seq").cast("long").alias("length"))
+        a = seeding.with_names(a, named(reads), named(x.refs))
+        a = seeding.no_diagonal(a) if o.no_diagonal else a
+        a = seeding.no_dual(a) if o.no_dual else a
+        a = a.drop("qname", "tname", "qlen", "tlen")
     if o.forward_only or o.reverse_only:
         a = seeding.strand_only(a, o.reverse_only)
-    return a
+    return a.join(reads.select(F.col("rid").alias("qid"), F.length("seq").cast("long").alias("length")), "qid")
 
 
-def chains_of(reads: DataFrame, refs: DataFrame, o: Options) -> DataFrame:
-    return chaining.chains(anchors_of(reads, refs, o), o.chaining(), long_gaps=o.rmq)
+def chains_of(a: DataFrame, o: Options) -> DataFrame:
+    limits = None
+    if o.short_reads:
+        limits = lambda n: chaining.gap_limits(True, o.fragments, o.max_gap, o.max_gap_ref, o.max_frag_len, n)
+    wider = 0 if o.no_long_join or o.spliced or o.short_reads else o.bw_long
+    return chaining.chain_rows(a, o.chaining(), o.rmq, limits, wider)
 
 
-def regions_of(chains: DataFrame, o: Options) -> DataFrame:
-    """Ranked regions with parents, secondaries selected."""
-    r = regions.summarise_chains(chains).join(chains.select("qid", "chain", "score").distinct(), ["qid", "chain"])
-    r = r.withColumn("hash", F.abs(F.xxhash64("qid", "tid", "rs", "rev")) % 2147483647)
-    r = chaining.parents(regions.ranked(r).select("qid", "tid", "rev", "chain", "cnt", "qs", "qe", "rs", "re", "mlen", "blen", "score", "hash", "rank"), o.mask_level)
-    if not o.all_chains:
-        r = regions.top_secondaries(r, 0.0 if o.no_secondary else o.pri_ratio, 2 * o.k, 0 if o.no_secondary else o.best_n)
+def regions_of(rows: DataFrame, o: Options, alternates: DataFrame | None = None) -> DataFrame:
+    """Rows of ``chaining.chain_rows``, or aligned ones (with dp_max), ranked, with parents and the secondaries that stay."""
+    by = "dp_max" if "dp_max" in rows.columns else "score"
+    r = rows.withColumn("hash", F.abs(F.xxhash64("qid", "tid", "rs", "rev")) % 2147483647)
+    if alternates is not None:
+        r = regions.mark_alternates(r.drop("is_alt", "rank_score"), alternates, o.alt_drop, by)
     else:
-        r = r.withColumn("primary", F.col("parent") == F.col("rank"))
-    return r
+        r = r.withColumn("rank_score", F.col(by))
+    w = Window.partitionBy("qid").orderBy(F.desc("rank_score"), F.desc("score"), F.desc("hash"), "tid", "rs", "rev")
+    r = r.withColumn("rank", F.row_number().over(w).cast("long"))
+    r = chaining.parents(r, o.mask_level, sub_diff=2 * o.match + o.mismatch)
+    if o.all_chains:
+        return r.withColumn("primary", F.col("parent") == F.col("rank")).withColumn("strand_retained", F.lit(False))
+    return regions.top_secondaries(r, 2.0 if o.no_secondary else o.pri_ratio, -(1 << 30) if o.no_secondary else 2 * o.k, 0 if o.no_secondary else o.best_n, None if o.no_secondary else 2 * o.min_chain_score)
 
 
-def map_reads(reads: DataFrame, refs: DataFrame, options: Options | str | None = None, with_alignment: bool = True) -> DataFrame:
-    """reads and refs: (rid, name, seq, ...) -> a row per mapping.
+#: Bases of a reference that are held together when windows of it are cut.
+WINDOW_BLOCK = 1 << 18
 
-    Coordinates are those of the strand as stored; qs and qe of the forward query. Alignments need the
-    two strings at hand, so a region meets its read and its reference by joins on their ids.
+
+def target_windows(regions_df: DataFrame, refs: DataFrame, block: int = WINDOW_BLOCK) -> DataFrame:
+    """(row, tid, w0, w1) -> (row, target): the bases w0..w1 of each region's reference.
+
+    References are cut into blocks, and a region meets the blocks its window lies in, so neither a row nor a
+    task ever holds a whole chromosome for a short window of it.
     """
-    o = options if isinstance(options, Options) else preset(options)
-    chains = chains_of(reads, refs, o)
-    r = regions_of(chains, o).withColumn("score0", F.col("score")).withColumn("rep_len", F.lit(0))
-    r = regions.sam_primary(regions.mapq(r, o.min_chain_score))
-    q = reads.select(F.col("rid").alias("qid"), F.col("name").alias("qname"), F.length("seq").cast("long").alias("qlen"), F.col("seq").alias("qseq"))
-    t = refs.select(F.col("rid").alias("tid"), F.col("name").alias("tname"), F.length("seq").cast("long").alias("tlen"), F.col("seq").alias("tseq"))
-    turned = lambda a, b: (F.when(F.col("rev") == 1, F.col("qlen") - F.col(b)).otherwise(F.col(a)), F.when(F.col("rev") == 1, F.col("qlen") - F.col(a)).otherwise(F.col(b)))
-    keep = ["qid", "qname", "qlen", "tid", "tname", "tlen", "rev", "cnt", "score", "subsc", "n_sub", "mapq", "rank", "parent", "primary", "sam_pri"]
+    n = F.length("seq")
+    pieces = refs.select(F.col("rid").alias("tid"), "seq", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / block).cast("int"))).alias("block"))
+    pieces = pieces.select("tid", "block", F.substring("seq", F.col("block") * block + 1, F.lit(block)).alias("piece"))
+    need = regions_df.select("row", "tid", "w0", "w1", F.explode(F.sequence(F.floor(F.col("w0") / block).cast("int"), F.floor(F.greatest(F.col("w1") - 1, F.col("w0")) / block).cast("int"))).alias("block"))
+    low = F.col("block") * block
+    cut = F.substring("piece", (F.greatest(F.col("w0") - low, F.lit(0)) + 1).cast("int"), (F.least(F.col("w1"), low + block) - F.greatest("w0", low)).cast("int"))
+    got = need.join(pieces, ["tid", "block"]).select("row", "block", cut.alias("piece"))
+    return got.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda p: p.piece), "").alias("target"))
+
+
+ALIGNED = "qid long, qname string, qlen long, tid long, tname string, tlen long, rev int, cnt long, score long, score0 long, rep_len long, qs long, qe long, rs long, re long, mlen long, blen long, dp_score long, dp_max long, nm long, n_ambi long, div double, inv boolean, split boolean, cigar string, cs string, md string"
+
+
+def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
+    """One region's row, with its query and target window -> aligned rows: one, or its parts where the score falls, with
+    what lies turned between them."""
+    query = A.reverse_complement(x.qseq) if x.rev else x.qseq
+    band, between = int(o.bw * 1.5 + 1), int(max(o.bw, o.bw_long) * 1.5 + 1)
+    todo = [[(int(p["qpos"]), int(p["tpos"]) - x.w0, int(p["span"])) for p in x.places]]
+    out, rows = [], []
+    while todo:
+        places = todo.pop(0)
+        got = A.align_chain(query, x.target, places, scoring, band, o.zdrop, o.spliced, between)
+        at = A.drops(got["cigar"], query[got["qs"] :], x.target[got["rs"] :], o.zdrop, scoring)
+        cut = next((i for i, p in enumerate(places) if p[0] - p[2] + 1 >= got["qs"] + at[0]), 0) if at else 0
+        if 0 < cut < len(places):  # aligned anew in two parts
+            todo = [places[:cut], places[cut:], *todo]
+            continue
+        out.append((got, len(places), False, x.rev))
+    parts = len(out) > 1
+    for (a, *_), (b, *_) in zip(out[:-1], out[1:]):
+        q, t = query[a["qe"] : b["qs"]], x.target[a["re"] : b["rs"]]
+        if q and t and min(len(q), len(t)) >= o.k and A.inverted(q, t, scoring, o.min_dp_max):
+            turned = A.best_local(A.reverse_complement(q), t, scoring)
+            turned.update(qs=len(query) - b["qs"] + turned["qs"], qe=len(query) - b["qs"] + turned["qe"], rs=a["re"] + turned["rs"], re=a["re"] + turned["re"])
+            out.append((turned, 0, True, 1 - x.rev))
+    for got, cnt, inv, rev in out:
+        text = A.reverse_complement(x.qseq) if rev else x.qseq
+        part, target = text[got["qs"] : got["qe"]], x.target[got["rs"] : got["re"]]
+        s = A.summary(got["cigar"], part, target, scoring)
+        a, b = (x.qlen - got["qe"], x.qlen - got["qs"]) if rev else (got["qs"], got["qe"])
+        score = x.score if not parts else max(1, x.score * cnt // max(1, len(x.places)))
+        rows.append((x.qid, x.qname, x.qlen, x.tid, x.tname, x.tlen, rev, cnt, score, score, x.rep_len, a, b, got["rs"] + x.w0, got["re"] + x.w0, s["mlen"], s["blen"], got["dp_score"], s["dp_max"], s["nm"], s["n_ambi"],
+                     round(1 - s["event_identity"], 6), inv, parts, A.text(got["cigar"]), A.cs_tag(got["cigar"], part, target), A.md_tag(got["cigar"], part, target)))
+    return rows
+
+
+def map_reads(reads: DataFrame, refs: DataFrame | Index, options: Options | str | None = None, with_alignment: bool = True) -> DataFrame:
+    """reads and refs: (rid, name, seq, ...), or refs as an index -> a row per mapping.
+
+    Coordinates are those of the strand as stored; qs and qe of the forward query. Regions are ranked and
+    chosen by their chains, aligned against windows of the references, and then ranked, chosen and
+    qualified anew by their alignments.
+    """
+    x = refs if isinstance(refs, Index) else build_index(refs, options)
+    o = x.options
+    alternates = x.refs.select("rid", "is_alt") if "is_alt" in x.refs.columns else None
+    q = cut(query_seeds(reads, x))
+    rows = chains_of(anchors_of(q, reads, x), o)
+    r = regions_of(rows, o, alternates).withColumn("score0", F.col("score"))
+    rep = seeding.repetitive_length(q.filter("not kept")).select(F.col("seq_id").alias("qid"), "rep_len")
+    r = r.join(rep, "qid", "left").withColumn("rep_len", F.coalesce("rep_len", F.lit(0)).cast("long"))
+    names = reads.select(F.col("rid").alias("qid"), F.col("name").alias("qname"), F.length("seq").cast("long").alias("qlen"), F.col("seq").alias("qseq"))
+    targets = x.refs.select(F.col("rid").alias("tid"), F.col("name").alias("tname"), F.length("seq").cast("long").alias("tlen"))
     if not with_alignment:
-        m = r.join(q.drop("qseq"), "qid").join(t.drop("tseq"), "tid")
-        a, b = turned("qs", "qe")
-        return m.select(*keep, a.alias("qs"), b.alias("qe"), "rs", "re", "mlen", "blen")
-    places = chains.groupBy("qid", "chain").agg(F.sort_array(F.collect_list(F.struct("tpos", "qpos", "span"))).alias("places"))
-    m = r.join(places, ["qid", "chain"]).join(q, "qid").join(t, "tid")
-    m = m.select(*keep, "places", "qseq", "tseq")
+        r = regions.sam_primary(regions.mapq(r, o.min_chain_score)).join(names.drop("qseq"), "qid").join(targets, "tid")
+        turned = [F.when(F.col("rev") == 1, F.col("qlen") - F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("qs", "qe"), ("qe", "qs"))]
+        return r.select("qid", "qname", "qlen", "tid", "tname", "tlen", "rev", "cnt", "score", "subsc", "n_sub", "rep_len", "mapq", "rank", "parent", "primary", "sam_pri", *turned, "rs", "re", "mlen", "blen")
+    r = r.select("qid", "tid", "rev", "cnt", "score", "rep_len", "qs", "qe", "rs", "re", "places", F.xxhash64("qid", "chain").alias("row")).join(names, "qid").join(targets, "tid")
+    reach = int(o.bw * 1.5 + 1)
+    r = r.withColumn("w0", F.greatest(F.lit(0), F.col("rs") - F.col("qs") - reach)).withColumn("w1", F.least("tlen", F.col("re") + F.col("qlen") - F.col("qe") + reach))
+    r = cut(r)
+    r = r.join(target_windows(r.select("row", "tid", "w0", "w1"), x.refs), "row")
     ship(reads.sparkSession)
-    scoring, zdrop, spliced = o.scoring(), o.zdrop, o.spliced
-    band, band_between = int(o.bw * 1.5 + 1), int(max(o.bw, o.bw_long) * 1.5 + 1)
+    scoring, columns = o.scoring(), [c.split()[0] for c in ALIGNED.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for x in pdf.itertuples(index=False):
-                query = A.reverse_complement(x.qseq) if x.rev else x.qseq
-                got = A.align_chain(query, x.tseq, [(int(p["qpos"]), int(p["tpos"]), int(p["span"])) for p in x.places], scoring, band, zdrop, spliced, band_between)
-                part, target = query[got["qs"] : got["qe"]], x.tseq[got["rs"] : got["re"]]
-                s = A.summary(got["cigar"], part, target, scoring)
-                a, b = (x.qlen - got["qe"], x.qlen - got["qs"]) if x.rev else (got["qs"], got["qe"])
-                rows.append((*[getattr(x, k) for k in keep], a, b, got["rs"], got["re"], s["mlen"], s["blen"], got["dp_score"], s["dp_max"], s["nm"], s["n_ambi"], round(1 - s["event_identity"], 6),
-                             A.text(got["cigar"]), A.cs_tag(got["cigar"], part, target), A.md_tag(got["cigar"], part, target)))
-            yield pd.DataFrame(rows, columns=names)
-
-    names = [*keep, "qs", "qe", "rs", "re", "mlen", "blen", "dp_score", "dp_max", "nm", "n_ambi", "div", "cigar", "cs", "md"]
-    kinds = {f.name: f.dataType.simpleString() for f in m.schema.fields}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", qs long, qe long, rs long, re long, mlen long, blen long, dp_score long, dp_max long, nm long, n_ambi long, div double, cigar string, cs string, md string"
-    return m.mapInPandas(run, schema)
+            yield pd.DataFrame([row for y in pdf.itertuples(index=False) for row in _alignments(y, o, scoring)], columns=columns)
+
+    aligned = regions.region_filter(r.mapInPandas(run, ALIGNED), o.min_cnt, o.min_chain_score, o.min_dp_max, o.max_clip)
+    out = regions.strand_filter(regions_of(aligned, o, alternates))
+    out = regions.renumbered(out).withColumn("primary", F.col("parent") == F.col("rank"))
+    return regions.mapq_aligned(regions.sam_primary(out), o.min_chain_score, o.match, o.short_reads)
+
+
+def map_pairs(reads: DataFrame, refs: DataFrame | Index, options: Options | str | None = None) -> DataFrame:
+    """(frag_id, seg, name, seq) -> mappings of both mates, with frag, seg and ``proper``."""
+    x = refs if isinstance(refs, Index) else build_index(refs, options)
+    o = x.options
+    single = reads.withColumn("rid", F.col("frag_id") * 2 + F.col("seg"))
+    m = map_reads(single.select("rid", "name", "seq"), x)
+    m = m.withColumn("frag", F.floor(F.col("qid") / 2).cast("long")).withColumn("seg", (F.col("qid") % 2).cast("int"))
+    return regions.pair_up(m, o.max_gap_ref if o.max_gap_ref > 0 else max(o.max_gap, o.max_frag_len), o.pair_bonus, 2 * o.match + o.mismatch, o.match)
+
+
+def merged_parts(reads: DataFrame, parts: list[Index]) -> DataFrame:
+    """Mappings to an index in several parts as those to the whole: ranked, chosen and qualified over all parts.
+
+    The repetitive length is the greatest of the parts.
+    """
+    found = [map_reads(reads, p) for p in parts]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    o = parts[0].options
+    rep = F.max("rep_len").over(Window.partitionBy("qid"))
+    out = out.withColumn("rep_len", rep).drop("rank", "parent", "subsc", "n_sub", "dp_max2", "primary", "sam_pri", "mapq", "hash", "rank_score", "strand_retained")
+    out = regions_of(out, o)
+    return regions.mapq_aligned(regions.sam_primary(out), o.min_chain_score, o.match, o.short_reads)
 
 
 def extract_positions(spark, path: str, k: int = 31, s: int = 11) -> DataFrame:

@@ -33,6 +33,8 @@ class Options:
     pri_ratio: float = 0.8
     best_n: int = 5
     alt_drop: float = 0.15
+    max_clip: float = 1.0
+    pair_bonus: int = 33
     match: int = 2
     mismatch: int = 4
     transition: int = 0

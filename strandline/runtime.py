@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,3 +33,31 @@ def map_arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
     """mapInArrow with this package at hand."""
     ship(df.sparkSession)
     return df.mapInArrow(kernel, schema)
+
+
+_own_dir: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of the cluster; a temporary one of our own only in local mode."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if d:
+        return d
+    app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if app not in _own_dir:
+        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="strandline-")
+    return _own_dir[app]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it again: it is computed once, and lost executors cost nothing
+    afterwards. The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark).rstrip('/')}/strandline-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
