@@ -37,12 +37,13 @@ def _mapped(s, d, aligned=True):
 
 
 def _paf(s, d):
-    return formats.paf(_mapped(s, d), {"NM": ("i", "nm"), "ms": ("i", "dp_max"), "AS": ("i", "dp_score"), "cm": ("i", "cnt"), "s1": ("i", "score"), "s2": ("i", "subsc"), "de": ("f", "div"), "cg": ("Z", "cigar"), "cs": ("Z", "cs")})
+    return formats.full_paf(_mapped(s, d))
 
 
 def _sam(s, d):
-    reads = _records(s, d, "benchmark", "item_id", "item").select(F.col("name").alias("qname"), "seq", F.lit(None).cast("string").alias("qual"))
-    return formats.sam(_mapped(s, d).withColumn("seg", F.lit(0)).join(reads, "qname"))
+    reads = _records(s, d, "benchmark", "item_id", "item").select(F.col("rid").alias("qid"), F.col("name").alias("qname"), F.length("seq").cast("long").alias("qlen"), "seq", F.lit(None).cast("string").alias("qual"))
+    found = formats.with_unmapped(_mapped(s, d), reads.select("qid", "qname", "qlen")).withColumn("seg", F.lit(0))
+    return formats.sam(found.join(reads.select("qid", "seq", "qual"), "qid"))
 
 
 def _pairwise(s, d):

@@ -117,7 +117,9 @@ def regions_of(rows: DataFrame, o: Options, alternates: DataFrame | None = None)
     r = chaining.parents(r, o.mask_level, sub_diff=2 * o.match + o.mismatch)
     if o.all_chains:
         return r.withColumn("primary", F.col("parent") == F.col("rank")).withColumn("strand_retained", F.lit(False))
-    return regions.top_secondaries(r, 2.0 if o.no_secondary else o.pri_ratio, -(1 << 30) if o.no_secondary else 2 * o.k, 0 if o.no_secondary else o.best_n, None if o.no_secondary else 2 * o.min_chain_score)
+    if o.no_secondary:
+        return regions.top_secondaries(r, best_n=0).withColumn("strand_retained", F.lit(False))
+    return regions.top_secondaries(r, o.pri_ratio, 2 * o.k, o.best_n, 2 * o.min_chain_score)
 
 
 #: Bases of a reference that are held together when windows of it are cut.
@@ -140,7 +142,7 @@ def target_windows(regions_df: DataFrame, refs: DataFrame, block: int = WINDOW_B
     return got.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda p: p.piece), "").alias("target"))
 
 
-ALIGNED = "qid long, qname string, qlen long, tid long, tname string, tlen long, rev int, cnt long, score long, score0 long, rep_len long, qs long, qe long, rs long, re long, mlen long, blen long, dp_score long, dp_max long, nm long, n_ambi long, div double, inv boolean, split boolean, cigar string, cs string, md string"
+ALIGNED = "qid long, qname string, qlen long, tid long, tname string, tlen long, rev int, cnt long, score long, score0 long, rep_len long, qs long, qe long, rs long, re long, mlen long, blen long, dp_score long, dp_max long, nm long, n_ambi long, div double, inv boolean, split boolean, trans string, cigar string, cs string, ds string, md string"
 
 
 def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
@@ -153,6 +155,12 @@ def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
     while todo:
         places = todo.pop(0)
         got = A.align_chain(query, x.target, places, scoring, band, o.zdrop, o.spliced, between)
+        got["trans"] = None
+        if o.spliced:  # both strands of the transcript are tried
+            other = A.align_chain(query, x.target, places, scoring, band, o.zdrop, True, between, turned=True)
+            same = got["dp_score"] >= other["dp_score"]
+            got = got if same else other
+            got["trans"] = ("-" if same == bool(x.rev) else "+") if any(op == "N" for op, _ in got["cigar"]) else None
         at = A.drops(got["cigar"], query[got["qs"] :], x.target[got["rs"] :], o.zdrop, scoring)
         cut = next((i for i, p in enumerate(places) if p[0] - p[2] + 1 >= got["qs"] + at[0]), 0) if at else 0
         if 0 < cut < len(places):  # aligned anew in two parts
@@ -173,7 +181,7 @@ def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
         a, b = (x.qlen - got["qe"], x.qlen - got["qs"]) if rev else (got["qs"], got["qe"])
         score = x.score if not parts else max(1, x.score * cnt // max(1, len(x.places)))
         rows.append((x.qid, x.qname, x.qlen, x.tid, x.tname, x.tlen, rev, cnt, score, score, x.rep_len, a, b, got["rs"] + x.w0, got["re"] + x.w0, s["mlen"], s["blen"], got["dp_score"], s["dp_max"], s["nm"], s["n_ambi"],
-                     round(1 - s["event_identity"], 6), inv, parts, A.text(got["cigar"]), A.cs_tag(got["cigar"], part, target), A.md_tag(got["cigar"], part, target)))
+                     round(1 - s["event_identity"], 6), inv, parts, got.get("trans"), A.text(got["cigar"]), A.cs_tag(got["cigar"], part, target), A.cs_tag(got["cigar"], part, target, marked=True), A.md_tag(got["cigar"], part, target)))
     return rows
 
 

@@ -22,13 +22,38 @@ def paf(m: DataFrame, tags: dict[str, tuple[str, str]] | None = None) -> DataFra
     Needs qname, qlen, qs, qe, rev, tname, tlen, rs, re, mlen, blen, mapq; ``tags`` names further
     columns as {tag: (type, column)}, nulls left out.
     """
-    tp = F.when(F.col("primary"), "tp:A:P").otherwise("tp:A:S") if "primary" in m.columns else F.lit(None).cast("string")
+    tp = F.lit(None).cast("string")
+    if "primary" in m.columns:
+        turned = F.col("inv") if "inv" in m.columns else F.lit(False)
+        tp = F.when(F.col("primary"), F.when(turned, "tp:A:I").otherwise("tp:A:P")).otherwise(F.when(turned, "tp:A:i").otherwise("tp:A:S"))
     cols = ["qname", "qlen", "qs", "qe", None, "tname", "tlen", "rs", "re", "mlen", "blen", "mapq"]
     strand = F.when(F.col("rev") == 1, "-").otherwise("+")
     more = [_tag(t, kind, F.col(c)) for t, (kind, c) in (tags or {}).items()]
     return m.select(F.concat_ws("\t", *[strand if c is None else F.col(c).cast("string") for c in cols], tp, *more).alias("value"))
 
 
+#: The tags of PAF lines of alignments, their types and columns.
+TAGS = {"NM": ("i", "nm"), "ms": ("i", "dp_max"), "AS": ("i", "dp_score"), "nn": ("i", "n_ambi"), "ts": ("A", "trans"), "cm": ("i", "cnt"), "s1": ("i", "score"), "s2": ("i", "s2"), "de": ("f", "div"), "zd": ("i", "zd"), "rl": ("i", "rep_len"),
+        "cg": ("Z", "cigar"), "cs": ("Z", "cs"), "ds": ("Z", "ds"), "MD": ("Z", "md")}
+
+
+def full_paf(m: DataFrame, leave_out: tuple[str, ...] = ("ds", "MD")) -> DataFrame:
+    """PAF lines of ``map_reads`` with all tags that are asked for; reads without a mapping come with stars (see ``with_unmapped``)."""
+    m = m.withColumn("s2", F.when(F.col("primary"), F.col("subsc"))).withColumn("zd", F.when(F.col("split"), 1))
+    m = m.withColumn("div", F.when(F.col("div") == 0, "0").otherwise(F.format_string("%.4f", "div")))
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("qs", "qe", "tlen", "rs", "re", "mlen", "blen", "mapq")}
+    mapped = paf(m.filter("tname is not null"), {t: c for t, c in TAGS.items() if t not in leave_out})
+    bare = m.filter("tname is null").withColumns(zero)
+    line = F.concat_ws("\t", "qname", F.col("qlen").cast("string"), F.lit("0\t0\t*\t*\t0\t0\t0\t0\t0\t0"), F.concat(F.lit("rl:i:"), F.coalesce("rep_len", F.lit(0)).cast("string")))
+    return mapped.unionByName(bare.select(line.alias("value")))
+
+
+def with_unmapped(m: DataFrame, reads: DataFrame) -> DataFrame:
+    """Mappings, and the reads (qid, qname, qlen) that have none, with nulls."""
+    none = reads.join(m.select("qid").distinct(), "qid", "left_anti")
+    return m.unionByName(none.withColumn("primary", F.lit(False)).withColumn("sam_pri", F.lit(False)), allowMissingColumns=True)
+
+
 def sam_header(spark: SparkSession, refs: DataFrame, read_group: str | None = None, program: str = "strandline", version: str = "1") -> DataFrame:
     """@HD, @SQ in the references' order, @RG, @PG: (ord, value)."""
     rows = [(0, "@HD\tVN:1.6\tSO:unsorted\tGO:query")]
@@ -60,7 +85,7 @@ def sam(m: DataFrame, soft_clip: bool = False) -> DataFrame:
     paired = F.coalesce(F.col("paired"), F.lit(False)) if "paired" in m.columns else F.lit(False)
     unmapped = F.col("tname").isNull()
     m = m.withColumn("paired", paired).withColumn("unmapped", unmapped)
-    own = m.filter("sam_pri or unmapped").select("qname", (1 - F.col("seg")).alias("seg"), F.col("tname").alias("mt"), F.col("rs").alias("ms"), F.col("re").alias("me"), F.col("rev").alias("mate_rev"), F.col("unmapped").alias("mate_unmapped"))
+    own = m.filter(F.coalesce(F.col("sam_pri"), F.lit(False)) | F.col("unmapped")).select("qname", (1 - F.col("seg")).alias("seg"), F.col("tname").alias("mt"), F.col("rs").alias("ms"), F.col("re").alias("me"), F.col("rev").alias("mate_rev"), F.col("unmapped").alias("mate_unmapped"))
     m = m.join(own, ["qname", "seg"], "left")
     left, right = F.when(F.col("rev") == 1, F.col("qlen") - F.col("qe")).otherwise(F.col("qs")), F.when(F.col("rev") == 1, F.col("qs")).otherwise(F.col("qlen") - F.col("qe"))
     soft = F.col("sam_pri") | F.lit(soft_clip)

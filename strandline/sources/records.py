@@ -7,6 +7,9 @@ file, from the files' splits and where they begin, whatever tasks they come from
 
 from __future__ import annotations
 
+import io
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +105,27 @@ def fragments(reads: DataFrame) -> DataFrame:
     return out.withColumn("seg", F.col("rid") - F.col("frag_id")).select("frag_id", "seg", "rid", F.col("_name").alias("name"), "seq", "qual")
 
 
+def read_standard_input(spark: SparkSession, stream, kind: str = "fasta", batch: int = 10_000) -> DataFrame:
+    """Records of a pipe, parsed as it is read; they go to the shared folder batch by batch and so need not fit the driver."""
+    from ..runtime import scratch_dir
+    from ..streaming.record_stream import advance
+
+    path, state, held, at = f"{scratch_dir(spark).rstrip('/')}/input-{uuid.uuid4().hex}", (0, 0, "", {}), [], 0
+    schema = "rid long, name string, comment string, seq string, qual string"
+    spark.createDataFrame([], schema).write.parquet(path)
+    text = io.TextIOWrapper(stream, encoding="utf-8", newline="")
+    while True:
+        chunk = text.read(1 << 22)
+        state, out = advance(state, [(at, chunk, not chunk)], kind)
+        at += len(chunk)
+        held += out
+        if held and (len(held) >= batch or not chunk):
+            spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+            held = []
+        if not chunk:
+            return spark.read.schema(schema).parquet(path)
+
+
 def from_strings(spark: SparkSession, seqs: list[str], names: list[str] | None = None) -> DataFrame:
     """A few sequences at hand as records."""
     rows = [(i, names[i] if names else str(i), "", s, None) for i, s in enumerate(seqs)]
