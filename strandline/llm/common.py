@@ -2,51 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut, scratch_dir  # noqa: F401
+
 #: ASCII white space, as the contracts of the operators state it, and a word.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side with at most this many rows of a few numbers each may be broadcast.
 BROADCAST_ROWS = 200_000
 
-_own_dir: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one of our own only in local mode."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d
-    app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="strandline-")
-    return _own_dir[app]
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts the lineage.
-
-    Lost executors cost nothing afterwards. The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/strandline-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a (written, narrow) table is small enough to broadcast."""
     return df.limit(rows + 1).count() <= rows
