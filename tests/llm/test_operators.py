@@ -731,3 +731,22 @@ def test_large_buckets_in_blocks(spark):
     finally:
         minhash.BLOCK, minhash.BLOCK_BYTES, minhash.HUB = kept
     assert got == want
+
+
+# ------------------------------------------------------------------ packing: every character
+
+def test_both_tokenizers_agree_on_every_character():
+    """Each code point beside letters, digits, marks and spaces, where its class decides how words are cut."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    wrong = []
+    for i in range(0, len(every), 500):
+        part = every[i : i + 500]
+        text = "".join(f"a{c}b 1{c}2 .{c}! {c}{c}x  {c} \n" for c in part)
+        if packing.token_ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids:
+            continue
+        wrong += [hex(ord(c)) for c in part if packing.token_ids(t := f"a{c}b 1{c}2 .{c}! {c}{c}x  {c} \n").tolist() != tok.encode(t, add_special_tokens=False).ids]
+    assert not wrong, (len(wrong), wrong[:20])

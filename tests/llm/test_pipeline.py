@@ -37,3 +37,28 @@ def test_stages_take_effect(spark):
     packed = frames[5].collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in rows[4]}
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and no rows at all."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, "no id here", "en", "a", 10), (9001, None, None, None, None), (9002, "", "en", "b", 0), (9003, "long " * 60_000, "en", "b", 300_000), (9003, "long " * 60_000, "en", "b", 300_000)], base.schema)
+    docs = base.union(odd).withColumns({c: spark_lit(i) for i, c in enumerate(["id", "row", "kept", "key", "size", "path", "n", "h", "component_id", "taken"])})
+    frame = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns, name
+            assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        else:
+            assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        frame = out.cache()
+        assert frame.count() > 0, name
+
+
+def spark_lit(value):
+    from pyspark.sql import functions as F
+
+    return F.lit(value)
