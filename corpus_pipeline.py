@@ -1,4 +1,9 @@
-"""A corpus pipeline: quality, exact copies, near copies, source mix, packing."""
+"""A corpus pipeline: quality, exact copies, near copies, source mix, packing.
+
+Each stage takes whole rows and returns the rows it keeps with the columns they came with, whatever these
+are called; the last one returns pieces. Null texts are empty, null ids stay null, repeated rows are rows
+of their own, and a table without rows gives one without rows; what each stage does with them:
+"""
 
 from __future__ import annotations
 
@@ -9,28 +14,28 @@ from strandline.llm.common import cut
 
 
 def sound(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier grades sound and clean; the others go."""
+    """Documents that the classifier grades sound and clean; the others go, and so do texts without a word."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("grade", quality.grade())
     return quality.selected(docs, quality.train(docs, labels))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id stays."""
+    """Of equal texts, the row with the smallest doc_id stays (null ids last; of equal ids one row)."""
     return exact_dedup.without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked near copies, the document with the smallest doc_id stays."""
+    """Of linked near copies, the document with the smallest doc_id stays; rows with a null id stay."""
     return minhash.without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, the last one of a source in part; a null source is one more source."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences; an empty text is its closing token."""
     return packing.pack(docs)
 
 
@@ -41,6 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of a folder, each written and read again before the next one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
