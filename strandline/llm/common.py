@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,16 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive tasks, and an executor's memory has a limit."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 # ---------------------------------------------------------------- word hashing
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
