@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, html, licenses, lm, minhash, mixing, packing, pii, quality
+from . import ann, bpe, exact_dedup, fim, html, licenses, lm, minhash, mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": lambda s, d: exact_dedup.exact_duplicates(table(s, d, "documents").select("doc_id", "text")),
     "op9_pii": lambda s, d: pii.query(table(s, d, "documents")),
     "op10_lm": lambda s, d: lm.query(table(s, d, "documents")),
+    "op11_fim": lambda s, d: fim.query(table(s, d, "documents")),
+    "op12_bpe": lambda s, d: bpe.query(table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
+    "op11_fim": fim.ORACLE,
     "op8_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, CAST(count(*) OVER (PARTITION BY t) AS BIGINT) AS group_size,
