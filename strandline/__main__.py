@@ -40,7 +40,7 @@ def _scan(spark: SparkSession, a) -> None:
 
 def _statistics(x: mapper.Index) -> str:
     total = x.refs.agg(F.coalesce(F.sum(F.length("seq").cast("long")), F.lit(0)).alias("total_length"))
-    s = index.stats(index.key_counts(x.seeds), total).first()
+    s = index.stats(x.counts, total).first()
     return "RESULT|index|" + "|".join(f"{k}={v}" for k, v in s.asDict().items())
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,13 +61,31 @@ def name_to_id(refs: DataFrame) -> DataFrame:
     return refs.groupBy("name").agg(F.min("rid").alias("rid"))
 
 
-def save(index: DataFrame, path: str, buckets: int = 64) -> None:
-    """Parquet, dealt by key, so that a later join on key reads it in place."""
-    index.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).write.partitionBy("bucket").mode("overwrite").parquet(path)
+def save(table: DataFrame, path: str, buckets: int | None = None) -> None:
+    """A table with a column ``key`` as Parquet files bucketed and sorted by it, and beside them how they are laid out.
+
+    One shuffle. By default there are as many buckets as the session has shuffle partitions, as Spark reads buckets in place only
+    if they are as many at least. What lay there before is replaced, so a save that was interrupted is simply repeated.
+    """
+    spark = table.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layout = {"buckets": n, "columns": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)}
+    name = _register(spark, f"{path}/entries", layout)
+    table.repartition(n, "key").write.insertInto(name, overwrite=True)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay
+    spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/layout")
 
 
 def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    """A table that ``save`` wrote. Joins and groups on its key shuffle the other side only: the table itself is read bucket by bucket."""
+    return spark.table(_register(spark, f"{path}/entries", json.loads(spark.read.text(f"{path}/layout").first()[0])))
+
+
+def _register(spark, path: str, layout: dict) -> str:
+    """Files that are there or will be, under a new name in the session's catalog; without the catalog Spark knows no buckets."""
+    name, place = f"strandline_{uuid.uuid4().hex}", path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({layout['columns']}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {layout['buckets']} BUCKETS LOCATION '{place}'")
+    return name
 
 
 def merge_parts(parts: list[DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import chaining, index, regions, seeding, sketch
-from ..runtime import cut, ship
+from ..runtime import cut, scratch_path, ship
 from .options import Options, preset
 
 
@@ -25,20 +25,27 @@ def seeds_of(refs_or_reads: DataFrame, o: Options) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Seeds of references, the references (rid, name, seq, and is_alt where known), and the options that made them."""
+    """Seeds of references and how often each key occurs, both bucketed by key; the references (rid, name, seq, and is_alt where
+    known), and the options that made them. Look-ups shuffle what is looked up, never the index."""
     seeds: DataFrame
+    counts: DataFrame
     refs: DataFrame
     options: Options
 
 
 def build_index(refs: DataFrame, options: Options | str | None = None) -> Index:
     o = options if isinstance(options, Options) else preset(options)
-    return Index(cut(seeds_of(refs, o)), refs, o)
+    path, spark = scratch_path(refs.sparkSession), refs.sparkSession
+    index.save(seeds_of(refs, o), f"{path}/seeds")
+    seeds = index.load(spark, f"{path}/seeds")
+    index.save(index.key_counts(seeds), f"{path}/counts")  # counted within the buckets
+    return Index(seeds, index.load(spark, f"{path}/counts"), refs, o)
 
 
 def save_index(x: Index, path: str) -> None:
-    """Three tables: seeds dealt by key, references, and one row of options."""
-    x.seeds.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(64))).write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/seeds")
+    """Four tables: seeds and counts bucketed by key, references, and one row of options."""
+    index.save(x.seeds, f"{path}/seeds")
+    index.save(x.counts, f"{path}/counts")
     x.refs.write.mode("overwrite").parquet(f"{path}/refs")
     x.refs.sparkSession.createDataFrame([(json.dumps(asdict(x.options)),)], "options string").write.mode("overwrite").parquet(f"{path}/options")
 
@@ -49,7 +56,7 @@ def load_index(spark, path: str, options: Options | None = None) -> Index:
     o = options or made
     if (o.k, o.w, o.compressed) != (made.k, made.w, made.compressed):
         raise ValueError("the index was made with another k, w or compression")
-    return Index(spark.read.parquet(f"{path}/seeds").drop("bucket"), spark.read.parquet(f"{path}/refs"), o)
+    return Index(index.load(spark, f"{path}/seeds"), index.load(spark, f"{path}/counts"), spark.read.parquet(f"{path}/refs"), o)
 
 
 def index_parts(refs: DataFrame, bases: int, options: Options | str | None = None) -> list[Index]:
@@ -59,11 +66,11 @@ def index_parts(refs: DataFrame, bases: int, options: Options | str | None = Non
     return [build_index(refs.join(ids.filter(F.col("part") == k).select("rid"), "rid", "left_semi"), options) for k in range((n if n is not None else -1) + 1)]
 
 
-def cap_of(target_seeds: DataFrame, o: Options) -> DataFrame:
+def cap_of(counts: DataFrame, o: Options) -> DataFrame:
     """One row: the largest number of occurrences of a key that is looked up."""
     if o.mid_occ > 0:
-        return target_seeds.sparkSession.range(1).select(F.lit(o.mid_occ).cast("long").alias("cap"))
-    return index.mid_occ(index.key_counts(target_seeds), o.mid_occ_fraction, o.min_mid_occ, o.max_mid_occ).toDF("cap")
+        return counts.sparkSession.range(1).select(F.lit(o.mid_occ).cast("long").alias("cap"))
+    return index.mid_occ(counts, o.mid_occ_fraction, o.min_mid_occ, o.max_mid_occ).toDF("cap")
 
 
 def query_seeds(reads: DataFrame, x: Index) -> DataFrame:
@@ -72,11 +79,11 @@ def query_seeds(reads: DataFrame, x: Index) -> DataFrame:
     ``kept`` are those that are not too frequent there, and of a streak of too frequent ones the rarest few.
     """
     o = x.options
-    cap = F.broadcast(cap_of(x.seeds, o))  # a single row
+    cap = F.broadcast(cap_of(x.counts, o))  # a single row
     q = seeds_of(reads, o).crossJoin(cap)
     if o.q_occ_fraction > 0:
         q = seeding.query_frequency_filter(q, F.col("cap"), o.q_occ_fraction)
-    q = q.join(index.key_counts(x.seeds), "key")
+    q = q.join(x.counts, "key")
     lengths = reads.select(F.col("rid").alias("seq_id"), F.length("seq").cast("long").alias("length"))
     return seeding.select_streaks(q, lengths, F.col("cap"), o.max_max_occ, o.occ_dist).join(lengths, "seq_id")
 

@@ -51,13 +51,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there goes when the application ends."""
+    path = f"{scratch_dir(spark).rstrip('/')}/strandline-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it again: it is computed once, and lost executors cost nothing
-    afterwards. The files go when the application ends."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/strandline-{uuid.uuid4().hex}"
+    afterwards."""
+    path = scratch_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
