@@ -27,6 +27,9 @@ import struct
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,39 +43,45 @@ from .common import text_or_empty
 VOCABULARY = "word_bpe_49k.json"
 #: Code points a block has, symbols a long word is merged by, characters of a word that is remembered, words remembered.
 BLOCK, STEP, SHORT, WORDS = 1 << 16, 1 << 12, 48, 1 << 17
-#: Ids that a task gathers before it hands them on.
+#: Bytes of ids or characters of text that a task gathers before it hands them on.
 FLUSH = 1 << 22
 
 
 class Rules:
-    """A merge list with word ends, and how far ahead it has to look."""
+    """A merge list with word ends, and how far ahead it has to look.
+
+    Symbols are characters here, so that a word is a string of them and a pair two characters: the bytes within a word are
+    0..255, the last byte of a word 256 more, what rule k makes 512 + k.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, self.special = spec["model"], {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab, self.end = model["vocab"], model["end_of_word_suffix"]
-        pairs = [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in model["merges"]]
         self.token: dict[int, str] = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         letters = byte_letters()
-        self.inner = [vocab[c] for c in letters]
-        self.last = [vocab[c + self.end] for c in letters]
-        self.rank: dict[tuple[int, int], int] = {}
-        self.made: list[int] = []
-        for k, (a, b) in enumerate(pairs):
-            self.rank[vocab[a], vocab[b]] = k
-            self.made.append(vocab[a + b])
-        if len(set(self.made)) < len(self.made):
-            raise ValueError("a token is made by two rules")
-        self.length = dict.fromkeys([*self.inner, *self.last], 1)
+        symbol = {t: chr(k) for k, t in enumerate([*letters, *(c + self.end for c in letters)])}
+        self.rank: dict[str, int] = {}
+        self.made: list[str] = []
+        for k, pair in enumerate(model["merges"]):
+            x, y = pair.split(" ") if isinstance(pair, str) else pair
+            if x + y in symbol:
+                raise ValueError("a token is made by two rules")
+            self.rank[symbol[x] + symbol[y]] = k  # a part that no rule has made yet is no key: then the list is refused
+            symbol[x + y] = chr(512 + k)
+            self.made.append(chr(512 + k))
+        self.packed = {c: struct.pack("<I", vocab[t]) for t, c in symbol.items()}
+        self.pairs = list(self.rank)
+        self.length = dict.fromkeys(map(chr, range(512)), 1)
         self.lookahead = self._reach()
         self.longest = max(self.length.values())
 
     def _reach(self) -> int:
         """The greatest reach of a rule, in symbols."""
-        ranks: dict[int, list[int]] = {}  # by left token: ranks of its rules, rising
-        upto: dict[int, list[int]] = {}  # and the greatest reach of these and those before
-        tree: dict[int, tuple[int, int]] = {}  # token -> (its rule, its right part)
+        ranks: dict[str, list[int]] = {}  # by left symbol: ranks of its rules, rising
+        upto: dict[str, list[int]] = {}  # and the greatest reach of these and those before
+        tree: dict[str, tuple[int, str]] = {}  # symbol -> (its rule, its right part)
         most = 0
         for (s, c), k in self.rank.items():
             self.length[self.made[k]] = self.length[s] + self.length[c]
@@ -92,48 +101,45 @@ class Rules:
             tree[self.made[k]] = k, c
         return most
 
-    def merge(self, symbols: list[int]) -> list[int]:
+    def pack(self, symbols: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, symbols))
+
+    def merge(self, symbols: str) -> str:
         """Apply the rules: lowest rank first, leftmost first."""
         rank, made, n = self.rank, self.made, len(symbols)
         if n <= SHORT:
-            return self._merge_few(list(symbols))
+            return self._merge_few(symbols)
         at, nxt, prv = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(rank[p], i, p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in rank]
+        heap = [(rank[p], i, p) for i, p in enumerate(map(add, symbols, symbols[1:])) if p in rank]
         heapq.heapify(heap)
         while heap:
             k, i, pair = heapq.heappop(heap)
             j = nxt[i]
-            if j >= n or (at[i], at[j]) != pair:
+            if j >= n or at[i] + at[j] != pair:
                 continue
-            at[i], at[j] = made[k], -1
+            at[i], at[j] = made[k], ""
             nxt[i] = m = nxt[j]
             if m < n:
                 prv[m] = i
-                p = at[i], at[m]
+                p = at[i] + at[m]
                 if p in rank:
                     heapq.heappush(heap, (rank[p], i, p))
             h = prv[i]
             if h >= 0:
-                p = at[h], at[i]
+                p = at[h] + at[i]
                 if p in rank:
                     heapq.heappush(heap, (rank[p], h, p))
-        return [x for x in at if x >= 0]
-
-    def _merge_few(self, at: list[int]) -> list[int]:
-        rank, none = self.rank.get, len(self.made)
-        ranks = [rank(p, none) for p in zip(at, at[1:])]
-        while ranks:
-            k = min(ranks)
-            if k == none:
+        return "".join(at)
+
+    def _merge_few(self, symbols: str) -> str:
+        """All places of the lowest pair at once: what a rule makes is a part of later rules only."""
+        rank, made, none = self.rank.get, self.made, repeat(len(self.made))
+        while len(symbols) > 1:
+            k = min(map(rank, map(add, symbols, symbols[1:]), none))
+            if k == len(made):
                 break
-            i = ranks.index(k)
-            at[i : i + 2] = [self.made[k]]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((at[i], at[i + 1]), none)
-            if i:
-                ranks[i - 1] = rank((at[i - 1], at[i]), none)
-        return at
+            symbols = symbols.replace(self.pairs[k], made[k])
+        return symbols
 
 
 class Words(dict):
@@ -143,10 +149,11 @@ class Words(dict):
         self.rules, self.merger = rules, Merger(rules)
 
     def __missing__(self, word: str) -> bytes:
-        raw, rules = word.encode(), self.rules
+        raw = word if word.isascii() else word.encode().decode("latin-1")
         if len(raw) > SHORT:
-            return b"".join(map(pack, self.merger.feed(raw))) + pack(self.merger.close())
-        ids = pack(rules.merge([*[rules.inner[b] for b in raw[:-1]], rules.last[raw[-1]]]))
+            return b"".join(self.merger.feed(raw)) + self.merger.close()
+        rules = self.rules
+        ids = rules.pack(rules.merge(raw[:-1] + chr(256 + ord(raw[-1]))))
         if len(self) >= WORDS:
             self.clear()
         self[word] = ids
@@ -154,32 +161,29 @@ class Words(dict):
 
 
 class Merger:
-    """One word at a time, in pieces of any size; holds at most ``step`` and the bound's symbols."""
+    """One word at a time, its bytes as characters, in pieces of any size; holds at most ``step`` and the bound's symbols."""
 
     def __init__(self, rules: Rules, step: int = STEP) -> None:
-        self.rules, self.full = rules, step + rules.lookahead + rules.longest
-        self.held: list[int] = []
-        self.byte: int | None = None  # the last byte read: it may be the word's last
-
-    def feed(self, piece: bytes) -> Iterator[list[int]]:
-        inner = self.rules.inner
-        for a in range(0, len(piece), STEP):
-            for b in piece[a : a + STEP]:
-                if self.byte is not None:
-                    self.held.append(inner[self.byte])
-                self.byte = b
-            if len(self.held) >= self.full:
+        self.rules, self.step, self.full = rules, step, step + rules.lookahead + rules.longest
+        self.held = ""
+        self.last = ""  # the last byte read: it may be the word's last
+
+    def feed(self, piece: str) -> Iterator[bytes]:
+        for a in range(0, len(piece), self.step):
+            part = self.last + piece[a : a + self.step]
+            self.held, self.last = self.held + part[:-1], part[-1]
+            if len(self.held) > self.full - self.step:
                 yield self._stable()
 
-    def close(self) -> list[int]:
+    def close(self) -> bytes:
         """The rest of the word."""
-        if self.byte is None:
-            return []
-        out = self.rules.merge([*self.held, self.rules.last[self.byte]])
-        self.held, self.byte = [], None
-        return out
+        if not self.last:
+            return b""
+        out = self.rules.merge(self.held + chr(256 + ord(self.last)))
+        self.held = self.last = ""
+        return self.rules.pack(out)
 
-    def _stable(self) -> list[int]:
+    def _stable(self) -> bytes:
         tokens, length = self.rules.merge(self.held), self.rules.length
         k, behind = len(tokens), 0
         while behind <= self.rules.lookahead:
@@ -187,7 +191,7 @@ class Merger:
             behind += length[tokens[k]]
         # the boundary before token k has more than the bound behind it
         self.held = self.held[len(self.held) - behind :]
-        return tokens[:k]
+        return self.rules.pack(tokens[:k])
 
 
 class Encoder:
@@ -246,7 +250,7 @@ class Encoder:
         for m in self.found.finditer(raw):
             yield from self._plain(raw[at : m.start()])
             yield from self._close()
-            yield pack([self.rules.special[m[0]]])
+            yield struct.pack("<I", self.rules.special[m[0]])
             at = m.end()
         yield from self._plain(raw[at:])
 
@@ -259,7 +263,7 @@ class Encoder:
         if self.open:
             at = self.OPEN[self.open].match(shadow).end()
             if at:
-                yield from map(pack, self.merger.feed(text[:at].encode()))
+                yield from self.merger.feed(text[:at].encode().decode("latin-1"))
             if at == len(text):
                 return
             yield from self._close()
@@ -276,7 +280,7 @@ class Encoder:
         yield b"".join(map(self.words.__getitem__, words))
         if last:
             self.open = "L" if self.OPEN["L"].match(shadow[-1]).end() else "O"
-            yield from map(pack, self.merger.feed(last.encode()))
+            yield from self.merger.feed(last.encode().decode("latin-1"))
 
     def _goes_on(self, shadow: str, span: tuple[int, int]) -> bool:
         """Whether the last word of a block may continue in the next one."""
@@ -289,9 +293,7 @@ class Encoder:
 
     def _close(self) -> Iterator[bytes]:
         self.open = ""
-        rest = self.merger.close()
-        if rest:
-            yield pack(rest)
+        yield self.merger.close()
 
     def _shadow(self, text: str) -> str:
         """The text with characters younger than this interpreter's tables replaced by one of the class that the library gives them."""
@@ -363,10 +365,6 @@ def starts_anew(c: str) -> bool:
     return not jamo and unicodedata.category(head)[0] != "M" and unicodedata.category(head) != "Cn"
 
 
-def pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 _made: dict = {}
 
 
@@ -387,80 +385,88 @@ def _kept(kind, folder: str | None, *more):
     return _made[key]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str | None = None) -> DataFrame:
-    """One row per row: doc_id, ids (array of int).
-
-    Nulls: a null text is empty and has no ids, a null id stays null. Repeated rows come out as often as they
-    come. No other column is read. An empty table gives an empty one. Texts of any length are encoded whole;
-    beside the ids themselves the encoder holds a block of code points and, of a long word, `STEP` symbols and
-    the lookahead of the merge list. Only composing characters without a plain one between them make a block longer.
-    """
+def encoding(folder: str | None = None):
+    """Batches of (id, text) -> batches of (doc_id, ids)."""
+    def made(rows):
+        values = pa.array(np.frombuffer(b"".join(r[1] for r in rows), "<i4"), pa.int32())
+        sizes = np.cumsum([0, *(len(r[1]) // 4 for r in rows)])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], ["doc_id", "ids"])
 
     def kernel(batches):
-        machine = _kept(Encoder, tokenizer_dir)
-
-        def made(rows):
-            values = pa.array(np.frombuffer(b"".join(r[1] for r in rows), "<i4"), pa.int32())
-            sizes = np.cumsum([0, *(len(r[1]) // 4 for r in rows)])
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], ["doc_id", "ids"])
-
+        machine = _kept(Encoder, folder)
         rows, held = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows.append((doc, b"".join(machine.encode(text.as_py()))))
                 held += len(rows[-1][1])
-                if held >= 4 * FLUSH:
+                if held >= FLUSH:
                     yield made(rows)
                     rows, held = [], 0
         if rows:
             yield made(rows)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_arrow(texts, kernel, "doc_id long, ids array<int>")
-
+    return kernel
 
-def decode(encoded: DataFrame, readable: bool = False, id_col: str = "doc_id", ids_col: str = "ids", tokenizer_dir: str | None = None) -> DataFrame:
-    """One row per row: doc_id, ids as they came, decoded (text).
-
-    Null ids and ids that the vocabulary does not have are passed over; a null array is an empty one and its
-    text empty. Repeated rows, extra columns and an empty table as for `encode`.
-    """
 
+def decoding(folder: str | None = None, readable: bool = False):
+    """Batches of (id, ids) -> the same with the text."""
     def kernel(batches):
-        machine = _kept(Decoder, tokenizer_dir, readable)
+        machine = _kept(Decoder, folder, readable)
 
         def made(rows, ids):
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[1] for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
 
         for batch in batches:
-            rows, held, since = [], 0, 0
-            docs_, column = batch.column(0).to_pylist(), batch.column(1)
-            for k, doc in enumerate(docs_):
+            rows, held, since, column = [], 0, 0, batch.column(1)
+            for k, doc in enumerate(batch.column(0).to_pylist()):
                 ids = column[k].values
-                step = range(0, len(ids), BLOCK)
-                text = "".join([machine.feed(ids[a : a + BLOCK].to_pylist()) for a in step]) + machine.close()
+                text = "".join([machine.feed(ids[a : a + BLOCK].to_pylist()) for a in range(0, len(ids), BLOCK)]) + machine.close()
                 rows.append((doc, text))
-                held += len(ids)
+                held += len(text)
                 if held >= FLUSH:
                     yield made(rows, column[since : k + 1])
                     rows, held, since = [], 0, k + 1
             if rows:
                 yield made(rows, column[since:])
 
+    return kernel
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_dir: str | None = None) -> DataFrame:
+    """One row per row: doc_id, ids (array of int).
+
+    Nulls: a null text is empty and has no ids, a null id stays null. Repeated rows come out as often as they
+    come. No other column is read. An empty table gives an empty one. Texts of any length are encoded whole;
+    beside the ids themselves the encoder holds a block of code points and, of a long word, `STEP` symbols and
+    the lookahead of the merge list. Only composing characters without a plain one between them make a block longer.
+    """
+    return map_arrow(_texts(docs, id_col, text_col), encoding(tokenizer_dir), "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, readable: bool = False, id_col: str = "doc_id", ids_col: str = "ids", tokenizer_dir: str | None = None) -> DataFrame:
+    """One row per row: doc_id, ids as they came, decoded (text).
+
+    Null ids and ids that the vocabulary does not have are passed over; a null array is an empty one and its
+    text empty. Repeated rows, extra columns and an empty table as for `encode`.
+    """
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-    return map_arrow(rows, kernel, "doc_id long, ids array<int>, decoded string")
+    return map_arrow(rows, decoding(tokenizer_dir, readable), "doc_id long, ids array<int>, decoded string")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    def digests(batches):
-        from hashlib import sha256
+    """Digests of what both directions give, taken in the pass that makes it."""
+    encoded, decoded = encoding(), decoding()
 
-        for b in batches:
+    def digests(batches):
+        hashed = lambda raw: sha256(raw).hexdigest()
+        for b in decoded(encoded(batches)):
             ids = b.column("ids")
             values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            hashes = [sha256(values[a:z].astype("<u4").tobytes()).hexdigest() for a, z in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(hashes, pa.string()), b.column("decoded_sha256")],
-                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array([hashed(values[a:z].astype("<u4").tobytes()) for a, z in zip(offsets, offsets[1:])], pa.string()),
+                                              pa.array([hashed(x.as_buffer()) for x in b.column("decoded")], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    made = decode(encode(docs)).select("doc_id", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-    return map_arrow(made, digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(_texts(docs, "doc_id", "text"), digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
