@@ -60,6 +60,7 @@ def _map(spark: SparkSession, a) -> None:
     else:
         found = mapper.map_reads(reads, x).withColumn("seg", F.lit(0))
         q = reads.withColumn("qid", F.col("rid")).withColumn("seg", F.lit(0))
+    found = mapper.written(found, x.options)
     lengths = q.select("qid", F.col("name").alias("qname"), F.length("seq").cast("long").alias("qlen"), "seg")
     found = formats.with_unmapped(found, lengths)
     if a.sam:

@@ -215,17 +215,20 @@ def chains(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_gaps
     return rows.select("qid", "tid", "rev", F.explode("places").alias("x"), "chain", "score").select("qid", "tid", "rev", "x.tpos", "x.qpos", "x.span", "chain", "score")
 
 
-def parents(regions: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 - 1, sub_diff: int = 6) -> DataFrame:
+def parents(regions: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 - 1, sub_diff: int = 6, alt_drop: float = 0.15) -> DataFrame:
     """Primary or secondary by overlap on the query: (qid, rank, qs, qe, score, cnt) -> with parent, subsc, n_sub, dp_max2.
 
     Hits come by rank. One that overlaps an earlier primary enough, for what it covers alone, is its
     secondary; it may raise the primary's second-best score and its number of near-equal rivals: those
     with as many anchors and, of aligned hits (a column dp_max, and tid, rs and re) elsewhere, those
-    that align nearly as well.
+    that align nearly as well. A rival on an alternate contig (``is_alt``) counts for less against one that is not.
+    What rows bring along as ``subsc`` is only ever raised, and the first row's ``n_sub`` is counted on: rivals that were met among
+    the chains and are gone since still make a hit less sure.
     """
     ship(regions.sparkSession)
     aligned = "dp_max" in regions.columns
-    regions = regions.drop("parent", "subsc", "n_sub", "dp_max2")
+    carried = [c for c in ("subsc", "n_sub") if c in regions.columns]
+    regions = regions.drop("parent", "dp_max2")
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in regions.schema.fields]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,6 +237,15 @@ def parents(regions: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 -
         dp = pdf["dp_max"].tolist() if aligned else None
         places = list(zip(pdf["tid"], pdf["rs"], pdf["re"])) if aligned else None
         primaries, parent, subsc, n_sub, second = [], [0] * len(pdf), [0] * len(pdf), [0] * len(pdf), [0] * len(pdf)
+        if "subsc" in carried:
+            subsc = pdf["subsc"].fillna(0).astype("int64").tolist()
+        if "n_sub" in carried and len(pdf):
+            n_sub[0] = int(pdf["n_sub"][0] or 0)
+        alt = pdf["is_alt"].fillna(False).astype(bool).tolist() if "is_alt" in pdf else [False] * len(pdf)
+
+        def less(score, i, p):
+            return max(1, int(score * (1.0 - alt_drop) + 0.499)) if alt[i] and not alt[p] and score >= 0 else score
+
         for i in range(len(pdf)):
             over = [p for p in primaries if min(qe[i], qe[p]) > max(qs[i], qs[p])]
             covered, reach = 0, qs[i]
@@ -246,10 +258,10 @@ def parents(regions: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 -
                 short, long_ = sorted((qe[i] - qs[i], qe[p] - qs[p]))
                 if common / short - alone / long_ > mask_level and alone <= mask_len:
                     parent[i] = rank[p]
-                    subsc[p] = max(subsc[p], sc[i])
+                    subsc[p] = max(subsc[p], less(sc[i], i, p))
                     rival = cnt[i] >= cnt[p]
                     if aligned and (places[i] != places[p] or common != short):
-                        second[p] = max(second[p], dp[i])
+                        second[p] = max(second[p], less(dp[i], i, p))
                         rival = rival or dp[p] - dp[i] <= sub_diff
                     n_sub[p] += int(rival)
                     break
@@ -258,4 +270,5 @@ def parents(regions: DataFrame, mask_level: float = 0.5, mask_len: int = 2**31 -
                 primaries.append(i)
         return pdf.assign(parent=parent, subsc=subsc, n_sub=n_sub, dp_max2=second)
 
-    return regions.groupBy("qid").applyInPandas(run, ", ".join(fields) + ", parent long, subsc long, n_sub long, dp_max2 long")
+    new = [f"{c} long" for c in ("parent", "subsc", "n_sub", "dp_max2") if c not in carried]
+    return regions.groupBy("qid").applyInPandas(run, ", ".join([*fields, *new]))

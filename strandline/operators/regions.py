@@ -56,17 +56,59 @@ def top_secondaries(regions: DataFrame, pri_ratio: float = 0.8, min_diff: int =
     if rescue_score is not None:
         turned = ~near & (F.col("score") > rescue_score) & (F.col("rev") != F.col("_p.rev"))
         r = r.withColumn("strand_retained", ~F.col("primary") & F.coalesce(turned, F.lit(False)))
-    r = r.withColumn("_in", ~F.col("primary") & F.coalesce(near & ~same | turned, F.lit(False)))
+    inv = F.coalesce(F.col("inv"), F.lit(False)) if "inv" in regions.columns else F.lit(False)  # these stay in any case
+    r = r.withColumn("_in", ~F.col("primary") & ~inv & F.coalesce(near & ~same | turned, F.lit(False)))
+    n = F.row_number().over(Window.partitionBy("qid", "_in").orderBy("rank"))
+    return r.withColumn("_n", n).filter(F.col("primary") | inv | F.col("_in") & (F.col("_n") <= best_n)).drop("_in", "_n", "_p")
+
+
+def fragment_secondaries(regions: DataFrame, pri_ratio: float = 0.5, near_ratio: float = 0.2, one_ratio: float = 0.7, min_diff: int = 42, best_n: int = 20) -> DataFrame:
+    """Of chains of read pairs the primaries and the first ``best_n`` secondaries that come near enough to their parent.
+
+    Rows have ``first`` and ``second``, the mates' lengths, and ``frag_gap``, how far apart they may lie. A secondary beside its
+    parent needs little of its score (it may hold the other mate); one elsewhere needs ``pri_ratio``, and more if it
+    has one mate where its parent has both.
+    """
+    r = with_parent(regions, "score", "tid", "rev", "qs", "qe", "rs", "re").withColumn("primary", F.col("parent") == F.col("rank"))
+    most = F.col("first") + F.col("second") + F.col("frag_gap")
+    near = (F.col("tid") == F.col("_p.tid")) & (F.col("rev") == F.col("_p.rev")) & (F.col("re") - F.col("_p.rs") < most) & (F.col("_p.re") - F.col("rs") < most)
+    both = lambda p: (F.col(f"{p}qs") < F.col("first")) & (F.col(f"{p}qe") > F.col("first"))
+    ratio = F.when(near, near_ratio).when(both("") | (both("") == both("_p.")), pri_ratio).otherwise(one_ratio)
+    enough = (F.col("score") + min_diff >= F.col("_p.score")) | (F.col("score") >= F.col("_p.score") * ratio)
+    r = r.withColumn("_in", ~F.col("primary") & F.coalesce(enough, F.lit(False)))
     n = F.row_number().over(Window.partitionBy("qid", "_in").orderBy("rank"))
     return r.withColumn("_n", n).filter(F.col("primary") | F.col("_in") & (F.col("_n") <= best_n)).drop("_in", "_n", "_p")
 
 
-def fragment_secondaries(regions: DataFrame, pri1: float = 0.2, pri2: float = 0.7, max_gap: int = 800) -> DataFrame:
-    """For read pairs: a laxer ratio for secondaries that lie near their parent."""
-    near = (F.col("tid") == F.col("_p.tid")) & (F.col("rev") == F.col("_p.rev")) & (F.abs(F.col("rs") - F.col("_p.rs")) < max_gap)
-    ratio = F.when(near, pri1).otherwise(pri2)
-    r = with_parent(regions, "score", "tid", "rs", "rev")
-    return r.filter((F.col("parent") == F.col("rank")) | (F.col("score") >= F.col("_p.score") * ratio)).drop("_p")
+def split_fragments(regions: DataFrame) -> DataFrame:
+    """Chains of read pairs (with ``places``, ``first`` and ``second``) as chains of the mates that they touch.
+
+    A mate's chain has the anchors that lie in it, in its own coordinates, and the score of the whole; qid becomes
+    2 * qid + the mate's number.
+    """
+    total = F.col("first") + F.col("second")
+    seg = F.explode(F.array(F.lit(0), F.lit(1))).alias("seg")
+    r = regions.withColumn("seg", seg).withColumn("qlen", F.when(F.col("seg") == 0, F.col("first")).otherwise(F.col("second")))
+    begin = F.when(F.col("seg") == 0, F.lit(0)).otherwise(F.col("first"))
+    r = r.withColumn("_off", F.when(F.col("rev") == 1, total - F.col("qlen") - begin).otherwise(begin))
+    inside = F.filter("places", lambda p: (p.qpos >= F.col("_off")) & (p.qpos < F.col("_off") + F.col("qlen")))
+    r = r.withColumn("places", F.transform(inside, lambda p: F.struct(p.tpos.alias("tpos"), (p.qpos - F.col("_off")).alias("qpos"), p.span.alias("span"))))
+    n = F.size("places")
+    r = r.filter(n > 0).withColumn("qid", F.col("qid") * 2 + F.col("seg"))
+    later = lambda f: F.aggregate(F.zip_with(F.slice("places", F.lit(1), n - 1), F.slice("places", F.lit(2), n - 1), f), F.lit(0).cast("long"), lambda a, b: a + b)
+    head = F.element_at("places", 1).span
+    r = r.withColumns({
+        "cnt": n.cast("long"),
+        "_a": F.array_min(F.transform("places", lambda p: p.qpos - p.span + 1)), "_b": F.array_max(F.transform("places", lambda p: p.qpos + 1)),
+        "rs": F.array_min(F.transform("places", lambda p: p.tpos - p.span + 1)), "re": F.array_max(F.transform("places", lambda p: p.tpos + 1)),
+        "mlen": head + later(lambda p, c: F.least(c.qpos - p.qpos, c.tpos - p.tpos, c.span)), "blen": head + later(lambda p, c: F.greatest(c.qpos - p.qpos, c.tpos - p.tpos))})
+    return on_forward(r.drop("qs", "qe").withColumnsRenamed({"_a": "qs", "_b": "qe"})).drop("_off")
+
+
+def on_forward(regions: DataFrame) -> DataFrame:
+    """Extents on the strand that matched as extents on the forward query, or back; rows have ``qlen``."""
+    turned = {a: F.when(F.col("rev") == 1, F.col("qlen") - F.col(b)).otherwise(F.col(a)) for a, b in (("qs", "qe"), ("qe", "qs"))}
+    return regions.withColumns(turned)
 
 
 def strand_filter(regions: DataFrame) -> DataFrame:
@@ -89,7 +131,7 @@ def region_filter(regions: DataFrame, min_cnt: int = 3, min_mlen: int = 0, min_d
 def mark_alternates(regions: DataFrame, refs: DataFrame, drop: float = 0.15, by: str = "score") -> DataFrame:
     """Scores on alternate contigs count less when hits are ranked."""
     r = regions.join(refs.select(F.col("rid").alias("tid"), "is_alt"), "tid", "left")
-    return r.withColumn("rank_score", F.when(F.col("is_alt"), F.floor(F.col(by) * (1 - drop) + 0.499)).otherwise(F.col(by)))
+    return r.withColumn("rank_score", F.when(F.col("is_alt") & (F.col(by) >= 0), F.greatest(F.lit(1), F.floor(F.col(by) * (1 - drop) + 0.499))).otherwise(F.col(by)))
 
 
 def renumbered(regions: DataFrame) -> DataFrame:
@@ -117,12 +159,13 @@ def mapq(regions: DataFrame, min_chain_score: int = 40) -> DataFrame:
     return regions.withColumn("mapq", F.when(F.col("primary"), F.greatest(F.lit(0), F.least(F.lit(60), q))).otherwise(0).cast("int"))
 
 
-def mapq_aligned(regions: DataFrame, min_chain_score: int = 40, match: int = 2, short_reads: bool = False) -> DataFrame:
+def mapq_aligned(regions: DataFrame, min_chain_score: int = 40, match: int = 2, short_reads: bool = False, spliced: bool = False) -> DataFrame:
     """Mapping quality of aligned rows: ``mapq``'s columns, and mlen, blen, dp_max, dp_max2, inv.
 
     The share of matches scales it, and the second-best alignment and the second-best chain lower it
     together; of long reads it is no more than the difference of the two alignments allows. A primary
-    that aligns better than any rival has 1 at least; inversions have what their neighbours have.
+    that aligns better than any rival has 1 at least; inversions have what their neighbours have. Of short spliced reads
+    chains tell little, so alignments alone count, and the only placement over an intron has 10 more.
     """
     total = F.sum(F.when(F.col("primary"), F.col("score")).otherwise(0)).over(Window.partitionBy("qid"))
     by_score = F.when(F.col("score") > 100, F.lit(1.0)).otherwise(F.col("score") * 0.01) * (total / (total + F.col("rep_len")))
@@ -131,10 +174,14 @@ def mapq_aligned(regions: DataFrame, min_chain_score: int = 40, match: int = 2,
     identity = F.col("mlen") / F.col("blen")
     scale = 40.0 * identity * F.least(by_score, by_count) * F.log(F.col("dp_max") / F.lit(float(match)))
     chains = subsc / F.col("score0")
-    both = F.col("dp_max2") / F.col("dp_max") * chains
+    both = F.col("dp_max2") / F.col("dp_max") * (F.lit(1.0) if short_reads and spliced else chains)
     x = F.floor(scale * (1.0 - both * both))
     if not short_reads:
         x = F.least(x, F.floor(6.02 * identity * identity * (F.col("dp_max") - F.col("dp_max2")) / float(match) + 0.499))
+    if short_reads and spliced:
+        over = F.coalesce(F.col("cigar").contains("N"), F.lit(False))
+        rivals = F.sum((~F.col("primary") & over).cast("int")).over(Window.partitionBy("qid"))
+        x = x + F.when(over & (rivals == 0), 10).otherwise(0)
     q = F.when((F.col("dp_max2") > 0) & (F.col("dp_max") > 0), x).otherwise(F.floor(scale * (1.0 - chains))) - F.floor(4.343 * F.log(F.col("n_sub") + 1.0) + 0.499)
     q = F.greatest(F.lit(0), F.least(F.lit(60), q))
     q = F.when((q == 0) & (F.col("dp_max") > F.col("dp_max2")), 1).otherwise(q)
@@ -142,10 +189,11 @@ def mapq_aligned(regions: DataFrame, min_chain_score: int = 40, match: int = 2,
 
 
 def inversion_mapq(regions: DataFrame) -> DataFrame:
-    """An inversion has the lesser quality of its neighbours on the query."""
-    w = Window.partitionBy("qid").orderBy("qs")
-    both = F.least(F.coalesce(F.lag("mapq").over(w), F.col("mapq")), F.coalesce(F.lead("mapq").over(w), F.col("mapq")))
-    return regions.withColumn("mapq", F.when(F.col("inv"), both).otherwise(F.col("mapq")))
+    """An inversion that is a primary has the lesser quality of the primaries before and behind it on the target; without both, its own."""
+    w = Window.partitionBy("qid", "primary").orderBy(*[c for c in ("tid", "rs", "rank") if c in regions.columns])
+    before, behind = F.lag("mapq").over(w), F.lead("mapq").over(w)
+    there = F.col("inv") & F.col("primary") & before.isNotNull() & behind.isNotNull()
+    return regions.withColumn("mapq", F.when(there, F.least(before, behind)).otherwise(F.col("mapq")))
 
 
 def divergence(n_match: Column, n_tot: Column, k: Column) -> Column:
@@ -179,15 +227,15 @@ def pairs(first: DataFrame, second: DataFrame, max_gap: int) -> DataFrame:
 def pair_up(hits: DataFrame, max_gap: int, bonus: int = 33, sub_diff: int = 6, match: int = 2) -> DataFrame:
     """Hits of read pairs: (frag, seg, rank, parent, tid, rev, rs, re, dp_max, hash, mapq, primary, sam_pri) -> with ``proper``.
 
-    Mates face each other on one contig, the left one not more than ``max_gap`` before the right one. Of pairs
+    Mates face each other on one contig, the left one not more than ``max_gap`` (or a column ``frag_gap``) before the right one. Of pairs
     that align nearly as well as both best ends could, the best one is proper: its hits become primary, and
     their quality rises towards the pair's, which rival pairs lower.
     """
     side = F.col("rev").bitwiseXOR(F.col("seg"))
     best_ends = hits.groupBy("frag", "seg").agg(F.max("dp_max").alias("m")).groupBy("frag").agg(F.sum("m").alias("most"), F.count("*").alias("ends")).filter("ends = 2")
     h = hits.join(best_ends, "frag").withColumn("_o", side)
-    part = lambda right: h.filter((F.col("seg") == F.col("_o")) != F.lit(right)).select("frag", "tid", "_o", "most", *[F.col(c).alias(f"{c}_{int(right)}") for c in ("seg", "rank", "rs", "re", "dp_max", "hash", "mapq")])
-    p = part(False).join(part(True).drop("most"), ["frag", "tid", "_o"]).filter((F.col("rs_1") >= F.col("rs_0")) & (F.col("rs_1") - F.col("re_0") <= max_gap))
+    part = lambda right: h.filter((F.col("seg") == F.col("_o")) != F.lit(right)).select("frag", "tid", "_o", "most", *[c for c in ("frag_gap",) if c in hits.columns], *[F.col(c).alias(f"{c}_{int(right)}") for c in ("seg", "rank", "rs", "re", "dp_max", "hash", "mapq")])
+    p = part(False).join(part(True).drop("most", "frag_gap"), ["frag", "tid", "_o"]).filter((F.col("rs_1") >= F.col("rs_0")) & (F.col("rs_1") - F.col("re_0") <= (F.col("frag_gap") if "frag_gap" in hits.columns else max_gap)))
     p = p.withColumn("s", F.col("dp_max_0") + F.col("dp_max_1")).filter(F.col("s") >= F.greatest(F.lit(0), F.col("most") - bonus))
     w = Window.partitionBy("frag").orderBy(F.desc("s"), F.desc(F.col("hash_0") + F.col("hash_1")), "tid", "rank_0", "rank_1")
     every = Window.partitionBy("frag")

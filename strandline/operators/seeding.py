@@ -77,10 +77,11 @@ def anchors(queries: DataFrame, targets: DataFrame, query_lengths: DataFrame, ca
     t = targets.select("key", F.col("seq_id").alias("tid"), F.col("pos").alias("tpos"), F.col("strand").alias("tstrand"))
     if cap is not None:
         t = t.join(too_frequent(targets, cap), "key", "left_anti")
-    q = queries.select("key", F.col("seq_id").alias("qid"), "pos", "span", "strand").join(query_lengths.withColumnRenamed("seq_id", "qid"), "qid")
+    more = [c for c in ("seg",) if c in queries.columns]  # which mate of a fragment a seed is of
+    q = queries.select("key", F.col("seq_id").alias("qid"), "pos", "span", "strand", *more).join(query_lengths.withColumnRenamed("seq_id", "qid"), "qid")
     a = q.join(t, "key").withColumn("rev", (F.col("strand") != F.col("tstrand")).cast("int"))
     place = F.when(F.col("rev") == 0, F.col("pos")).otherwise(F.col("length") - (F.col("pos") + 1 - F.col("span")) - 1)
-    return a.select("qid", "tid", "rev", "tpos", place.alias("qpos"), "span")
+    return a.select("qid", "tid", "rev", "tpos", place.alias("qpos"), "span", *more)
 
 
 def merged_order(anchors_df: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.seq import reverse_complement
 from ..operators import alignment as A
 from ..operators import chaining, index, regions, seeding, sketch
 from ..runtime import cut, scratch_path, ship
@@ -73,46 +74,93 @@ def cap_of(counts: DataFrame, o: Options) -> DataFrame:
     return index.mid_occ(counts, o.mid_occ_fraction, o.min_mid_occ, o.max_mid_occ).toDF("cap")
 
 
-def query_seeds(reads: DataFrame, x: Index) -> DataFrame:
+def _lengths(reads: DataFrame) -> DataFrame:
+    """(seq_id, length) of what is chained as one: a read, or both mates of a fragment end to end."""
+    n = F.length("seq").cast("long")
+    if "frag_id" in reads.columns:
+        return reads.groupBy(F.col("frag_id").alias("seq_id")).agg(F.sum(n).alias("length"))
+    return reads.select(F.col("rid").alias("seq_id"), n.alias("length"))
+
+
+def query_seeds(reads: DataFrame, x: Index, cap: DataFrame | None = None) -> DataFrame:
     """Seeds of reads that the index has: (key, seq_id, pos, span, strand, n, length, kept).
 
-    ``kept`` are those that are not too frequent there, and of a streak of too frequent ones the rarest few.
+    ``kept`` are those that are not too frequent there, and of a streak of too frequent ones the rarest few. Reads with a
+    ``frag_id`` are mates: their seeds are those of the fragment, places counted on from mate to mate, with ``seg``.
     """
     o = x.options
-    cap = F.broadcast(cap_of(x.counts, o))  # a single row
-    q = seeds_of(reads, o).crossJoin(cap)
+    cap = F.broadcast(cap if cap is not None else cap_of(x.counts, o))  # a single row
+    q = seeds_of(reads, o)
+    if "frag_id" in reads.columns:
+        at = seeding.fragment_offsets(reads.select("frag_id", "seg", "rid", F.length("seq").cast("long").alias("length")))
+        at = at.select(F.col("rid").alias("seq_id"), "frag_id", "seg", "offset")
+        q = q.join(at, "seq_id").withColumn("pos", F.col("pos") + F.col("offset")).drop("seq_id", "offset").withColumnRenamed("frag_id", "seq_id")
+    q = q.crossJoin(cap)
     if o.q_occ_fraction > 0:
         q = seeding.query_frequency_filter(q, F.col("cap"), o.q_occ_fraction)
     q = q.join(x.counts, "key")
-    lengths = reads.select(F.col("rid").alias("seq_id"), F.length("seq").cast("long").alias("length"))
+    lengths = _lengths(reads)
     return seeding.select_streaks(q, lengths, F.col("cap"), o.max_max_occ, o.occ_dist).join(lengths, "seq_id")
 
 
 def anchors_of(q: DataFrame, reads: DataFrame, x: Index) -> DataFrame:
     o = x.options
     kept = q.filter("kept")
-    a = seeding.anchors(kept.select("key", "seq_id", "pos", "span", "strand"), x.seeds, kept.select("seq_id", "length").distinct())
+    a = seeding.anchors(kept.select("key", "seq_id", "pos", "span", "strand", *[c for c in ("seg",) if c in q.columns]), x.seeds, kept.select("seq_id", "length").distinct())
     if o.no_diagonal or o.no_dual:
         named = lambda d: d.select("rid", "name", F.length("seq").cast("long").alias("length"))
-        a = seeding.with_names(a, named(reads), named(x.refs))
+        whole = reads.filter("seg = 0").withColumn("rid", F.col("frag_id")) if "frag_id" in reads.columns else reads
+        a = seeding.with_names(a, named(whole), named(x.refs))
         a = seeding.no_diagonal(a) if o.no_diagonal else a
         a = seeding.no_dual(a) if o.no_dual else a
         a = a.drop("qname", "tname", "qlen", "tlen")
     if o.forward_only or o.reverse_only:
         a = seeding.strand_only(a, o.reverse_only)
-    return a.join(reads.select(F.col("rid").alias("qid"), F.length("seq").cast("long").alias("length")), "qid")
+    return a.join(_lengths(reads).withColumnRenamed("seq_id", "qid"), "qid")
 
 
 def chains_of(a: DataFrame, o: Options) -> DataFrame:
     limits = None
     if o.short_reads:
         limits = lambda n: chaining.gap_limits(True, o.fragments, o.max_gap, o.max_gap_ref, o.max_frag_len, n)
-    wider = 0 if o.no_long_join or o.spliced or o.short_reads else o.bw_long
-    return chaining.chain_rows(a, o.chaining(), o.rmq, limits, wider)
+    both = "seg" in a.columns
+    wider = 0 if o.no_long_join or o.spliced or o.short_reads or both else o.bw_long
+    options = replace(o.chaining(), segments=2) if both else o.chaining()
+    return chaining.chain_rows(a, options, o.rmq, limits, wider)
 
 
-def regions_of(rows: DataFrame, o: Options, alternates: DataFrame | None = None) -> DataFrame:
-    """Rows of ``chaining.chain_rows``, or aligned ones (with dp_max), ranked, with parents and the secondaries that stay."""
+def chained(reads: DataFrame, x: Index) -> tuple[DataFrame, DataFrame]:
+    """(seeds, chains) of reads or fragments.
+
+    Where ``max_occ`` allows more than the first look-up did, reads that lost seeds to it and have no chain, or whose best chain
+    lacks a mate, are looked up and chained anew with it: the others are kept apart from them, so only these few pay.
+    """
+    o = x.options
+    q = cut(query_seeds(reads, x))
+    rows = chains_of(anchors_of(q, reads, x), o)
+    if o.rmq or o.max_occ <= 0 or not (o.short_reads or o.spliced or o.no_long_join) or o.max_occ <= cap_of(x.counts, o).first()[0]:
+        return q, rows
+    rows = cut(rows)
+    whole = rows.filter("chain = 0").select("qid", "rev", "places")
+    if "frag_id" in reads.columns:  # both mates have anchors in the best chain
+        ends = reads.groupBy(F.col("frag_id").alias("qid")).agg(F.max(F.when(F.col("seg") == 0, F.length("seq"))).alias("a"), F.coalesce(F.max(F.when(F.col("seg") == 1, F.length("seq"))), F.lit(0)).alias("b"))
+        first = F.when(F.col("rev") == 1, F.col("b")).otherwise(F.col("a"))
+        low, high = F.array_min(F.transform("places", lambda p: p.qpos)), F.array_max(F.transform("places", lambda p: p.qpos))
+        whole = whole.join(ends, "qid").filter((F.col("b") == 0) | (low < first) & (high >= first))
+    again = q.filter("not kept").select(F.col("seq_id").alias("qid")).distinct().join(whole.select("qid"), "qid", "left_anti")
+    again = cut(again)
+    by = "frag_id" if "frag_id" in reads.columns else "rid"
+    few = reads.join(again.withColumnRenamed("qid", by), by, "left_semi")
+    wide = reads.sparkSession.range(1).select(F.lit(o.max_occ).cast("long").alias("cap"))
+    q2 = cut(query_seeds(few, x, wide))
+    rows2 = chains_of(anchors_of(q2, few, x), o)
+    rows = rows.join(again, "qid", "left_anti").unionByName(rows2)
+    return q.join(again.withColumnRenamed("qid", "seq_id"), "seq_id", "left_anti").unionByName(q2), rows
+
+
+def regions_of(rows: DataFrame, o: Options, alternates: DataFrame | None = None, select: bool = True) -> DataFrame:
+    """Rows of ``chaining.chain_rows``, or aligned ones (with dp_max), ranked, with parents and, unless all are wanted, the
+    secondaries that stay. All are made with secondaries: ``no_secondary`` is a matter of what is written (see ``written``)."""
     by = "dp_max" if "dp_max" in rows.columns else "score"
     r = rows.withColumn("hash", F.abs(F.xxhash64("qid", "tid", "rs", "rev")) % 2147483647)
     if alternates is not None:
@@ -121,12 +169,15 @@ def regions_of(rows: DataFrame, o: Options, alternates: DataFrame | None = None)
         r = r.withColumn("rank_score", F.col(by))
     w = Window.partitionBy("qid").orderBy(F.desc("rank_score"), F.desc("score"), F.desc("hash"), "tid", "rs", "rev")
     r = r.withColumn("rank", F.row_number().over(w).cast("long"))
-    r = chaining.parents(r, o.mask_level, sub_diff=2 * o.match + o.mismatch)
-    if o.all_chains:
-        return r.withColumn("primary", F.col("parent") == F.col("rank")).withColumn("strand_retained", F.lit(False))
-    if o.no_secondary:
-        return regions.top_secondaries(r, best_n=0).withColumn("strand_retained", F.lit(False))
-    return regions.top_secondaries(r, o.pri_ratio, 2 * o.k, o.best_n, 2 * o.min_chain_score)
+    r = chaining.parents(r, o.mask_level, sub_diff=2 * o.match + o.mismatch, alt_drop=o.alt_drop)
+    if not select or o.all_chains or o.pri_ratio <= 0:
+        r = r.withColumn("primary", F.col("parent") == F.col("rank"))
+        return r if "strand_retained" in r.columns else r.withColumn("strand_retained", F.lit(False))
+    if "first" in r.columns:
+        return regions.fragment_secondaries(r, o.pri_ratio, min_diff=2 * o.k, best_n=o.best_n).withColumn("strand_retained", F.lit(False))
+    if by == "dp_max":  # chains that were kept for their strand are not kept for it again
+        return regions.top_secondaries(r, o.pri_ratio, 2 * o.k, o.best_n)
+    return regions.top_secondaries(r, o.pri_ratio, 2 * o.k, o.best_n, int(o.max_gap * 0.8))
 
 
 #: Bases of a reference that are held together when windows of it are cut.
@@ -149,7 +200,7 @@ def target_windows(regions_df: DataFrame, refs: DataFrame, block: int = WINDOW_B
     return got.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda p: p.piece), "").alias("target"))
 
 
-ALIGNED = "qid long, qname string, qlen long, tid long, tname string, tlen long, rev int, cnt long, score long, score0 long, rep_len long, qs long, qe long, rs long, re long, mlen long, blen long, dp_score long, dp_max long, nm long, n_ambi long, div double, inv boolean, split boolean, trans string, cigar string, cs string, ds string, md string"
+ALIGNED = "qid long, qname string, qlen long, tid long, tname string, tlen long, rev int, cnt long, score long, score0 long, rep_len long, qs long, qe long, rs long, re long, mlen long, blen long, dp_score long, dp_max long, nm long, n_ambi long, div double, inv boolean, split boolean, strand_retained boolean, subsc long, n_sub long, trans string, cigar string, cs string, ds string, md string"
 
 
 def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
@@ -184,14 +235,35 @@ def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
     for got, cnt, inv, rev in out:
         text = A.reverse_complement(x.qseq) if rev else x.qseq
         part, target = text[got["qs"] : got["qe"]], x.target[got["rs"] : got["re"]]
-        s = A.summary(got["cigar"], part, target, scoring)
+        s = A.summary(got["cigar"], part, target, scoring, not (o.short_reads or o.spliced and o.fragments))
         a, b = (x.qlen - got["qe"], x.qlen - got["qs"]) if rev else (got["qs"], got["qe"])
         score = x.score if not parts else max(1, x.score * cnt // max(1, len(x.places)))
         rows.append((x.qid, x.qname, x.qlen, x.tid, x.tname, x.tlen, rev, cnt, score, score, x.rep_len, a, b, got["rs"] + x.w0, got["re"] + x.w0, s["mlen"], s["blen"], got["dp_score"], s["dp_max"], s["nm"], s["n_ambi"],
-                     round(1 - s["event_identity"], 6), inv, parts, got.get("trans"), A.text(got["cigar"]), A.cs_tag(got["cigar"], part, target), A.cs_tag(got["cigar"], part, target, marked=True), A.md_tag(got["cigar"], part, target)))
+                     round(1 - s["event_identity"], 6), inv, parts, bool(x.strand_retained) and not inv, 0 if inv else x.subsc, 0 if inv else x.n_sub, got.get("trans"), A.text(got["cigar"]), A.cs_tag(got["cigar"], part, target), A.cs_tag(got["cigar"], part, target, marked=True), A.md_tag(got["cigar"], part, target)))
     return rows
 
 
+def _index(refs: DataFrame | Index, options: Options | str | None) -> Index:
+    """An index as it is, one with other options (of the same sampling), or a new one."""
+    if not isinstance(refs, Index):
+        return build_index(refs, options)
+    if options is None:
+        return refs
+    o, made = options if isinstance(options, Options) else preset(options), refs.options
+    if (o.k, o.w, o.compressed) != (made.k, made.w, made.compressed):
+        raise ValueError("the index was made with another k, w or compression")
+    return Index(refs.seeds, refs.counts, refs.refs, o)
+
+
+def _alternates(x: Index) -> DataFrame | None:
+    return x.refs.select("rid", "is_alt") if "is_alt" in x.refs.columns else None
+
+
+def written(found: DataFrame, o: Options) -> DataFrame:
+    """What goes into files: without secondaries, where the options say so."""
+    return found.filter(F.col("parent").isNull() | (F.col("parent") == F.col("rank"))) if o.no_secondary else found
+
+
 def map_reads(reads: DataFrame, refs: DataFrame | Index, options: Options | str | None = None, with_alignment: bool = True) -> DataFrame:
     """reads and refs: (rid, name, seq, ...), or refs as an index -> a row per mapping.
 
@@ -199,48 +271,89 @@ def map_reads(reads: DataFrame, refs: DataFrame | Index, options: Options | str
     chosen by their chains, aligned against windows of the references, and then ranked, chosen and
     qualified anew by their alignments.
     """
-    x = refs if isinstance(refs, Index) else build_index(refs, options)
+    x = _index(refs, options)
     o = x.options
-    alternates = x.refs.select("rid", "is_alt") if "is_alt" in x.refs.columns else None
-    q = cut(query_seeds(reads, x))
-    rows = chains_of(anchors_of(q, reads, x), o)
-    r = regions_of(rows, o, alternates).withColumn("score0", F.col("score"))
+    reads = reads.drop("frag_id", "seg")
+    q, rows = chained(reads, x)
+    rows = regions.on_forward(rows.join(_lengths(reads).toDF("qid", "qlen"), "qid"))
+    r = regions_of(rows, o, _alternates(x)).withColumn("score0", F.col("score")).drop("qlen")
     rep = seeding.repetitive_length(q.filter("not kept")).select(F.col("seq_id").alias("qid"), "rep_len")
     r = r.join(rep, "qid", "left").withColumn("rep_len", F.coalesce("rep_len", F.lit(0)).cast("long"))
     names = reads.select(F.col("rid").alias("qid"), F.col("name").alias("qname"), F.length("seq").cast("long").alias("qlen"), F.col("seq").alias("qseq"))
     targets = x.refs.select(F.col("rid").alias("tid"), F.col("name").alias("tname"), F.length("seq").cast("long").alias("tlen"))
     if not with_alignment:
         r = regions.sam_primary(regions.mapq(r, o.min_chain_score)).join(names.drop("qseq"), "qid").join(targets, "tid")
-        turned = [F.when(F.col("rev") == 1, F.col("qlen") - F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("qs", "qe"), ("qe", "qs"))]
-        return r.select("qid", "qname", "qlen", "tid", "tname", "tlen", "rev", "cnt", "score", "subsc", "n_sub", "rep_len", "mapq", "rank", "parent", "primary", "sam_pri", *turned, "rs", "re", "mlen", "blen")
-    r = r.select("qid", "tid", "rev", "cnt", "score", "rep_len", "qs", "qe", "rs", "re", "places", F.xxhash64("qid", "chain").alias("row")).join(names, "qid").join(targets, "tid")
+        return r.select("qid", "qname", "qlen", "tid", "tname", "tlen", "rev", "cnt", "score", "subsc", "n_sub", "rep_len", "mapq", "rank", "parent", "primary", "sam_pri", "qs", "qe", "rs", "re", "mlen", "blen")
+    return _aligned(r, names, x, o.min_cnt)
+
+
+def _aligned(r: DataFrame, names: DataFrame, x: Index, min_cnt: int) -> DataFrame:
+    """Chosen chains, extents on the forward query -> aligned, filtered, ranked, chosen and qualified rows."""
+    o = x.options
+    targets = x.refs.select(F.col("rid").alias("tid"), F.col("name").alias("tname"), F.length("seq").cast("long").alias("tlen"))
+    r = r.select("qid", "tid", "rev", "cnt", "score", "score0", "rep_len", "subsc", "n_sub", "strand_retained", "qs", "qe", "rs", "re", "places", F.struct("qid", "chain").alias("row")).join(names, "qid").join(targets, "tid")
+    r = regions.on_forward(r)  # back to the strand that is aligned
     reach = int(o.bw * 1.5 + 1)
     r = r.withColumn("w0", F.greatest(F.lit(0), F.col("rs") - F.col("qs") - reach)).withColumn("w1", F.least("tlen", F.col("re") + F.col("qlen") - F.col("qe") + reach))
     r = cut(r)
     r = r.join(target_windows(r.select("row", "tid", "w0", "w1"), x.refs), "row")
-    ship(reads.sparkSession)
+    ship(x.refs.sparkSession)
     scoring, columns = o.scoring(), [c.split()[0] for c in ALIGNED.split(", ")]
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame([row for y in pdf.itertuples(index=False) for row in _alignments(y, o, scoring)], columns=columns)
 
-    aligned = regions.region_filter(r.mapInPandas(run, ALIGNED), o.min_cnt, o.min_chain_score, o.min_dp_max, o.max_clip)
+    return _qualified(regions.region_filter(r.mapInPandas(run, ALIGNED), min_cnt, o.min_chain_score, o.min_dp_max, o.max_clip), o, _alternates(x))
+
+
+def _qualified(aligned: DataFrame, o: Options, alternates: DataFrame | None) -> DataFrame:
     out = regions.strand_filter(regions_of(aligned, o, alternates))
     out = regions.renumbered(out).withColumn("primary", F.col("parent") == F.col("rank"))
-    return regions.mapq_aligned(regions.sam_primary(out), o.min_chain_score, o.match, o.short_reads)
+    short = o.short_reads or o.spliced and o.fragments
+    return regions.mapq_aligned(regions.sam_primary(out), o.min_chain_score, o.match, short, o.spliced)
 
 
 def map_pairs(reads: DataFrame, refs: DataFrame | Index, options: Options | str | None = None) -> DataFrame:
-    """(frag_id, seg, name, seq) -> mappings of both mates, with frag, seg and ``proper``."""
-    x = refs if isinstance(refs, Index) else build_index(refs, options)
+    """(frag_id, seg, name, seq) -> mappings of both mates, with frag, seg and ``proper``.
+
+    With ``fragments`` mates (which face each other) are chained as one query, the second one turned: a mate in a repeat is
+    placed by the other. Chains are chosen as the fragment's, then split, and each mate's are aligned, ranked and
+    qualified by themselves. Spliced reads, and mates without ``fragments``, are mapped apart and paired.
+    """
+    x = _index(refs, options)
     o = x.options
     single = reads.withColumn("rid", F.col("frag_id") * 2 + F.col("seg"))
-    m = map_reads(single.select("rid", "name", "seq"), x)
+    if o.fragments and not o.spliced:
+        m = _map_fragments(single.select("rid", "frag_id", "seg", "name", "seq"), x)
+    else:
+        m = map_reads(single.select("rid", "name", "seq"), x)
     m = m.withColumn("frag", F.floor(F.col("qid") / 2).cast("long")).withColumn("seg", (F.col("qid") % 2).cast("int"))
     return regions.pair_up(m, o.max_gap_ref if o.max_gap_ref > 0 else max(o.max_gap, o.max_frag_len), o.pair_bonus, 2 * o.match + o.mismatch, o.match)
 
 
+def _map_fragments(mates: DataFrame, x: Index) -> DataFrame:
+    o = x.options
+    turned = mates.withColumn("seq", F.when(F.col("seg") == 1, reverse_complement("seq")).otherwise(F.col("seq")))
+    q, rows = chained(turned, x)
+    n = lambda k: F.coalesce(F.max(F.when(F.col("seg") == k, F.length("seq"))), F.lit(0)).cast("long")
+    ends = turned.groupBy(F.col("frag_id").alias("qid")).agg(n(0).alias("first"), n(1).alias("second")).withColumn("qlen", F.col("first") + F.col("second"))
+    gap = F.lit(o.max_gap_ref) if o.max_gap_ref > 0 else F.greatest(F.lit(o.max_gap), F.lit(o.max_frag_len) - F.col("qlen"))
+    ends = cut(ends.withColumn("frag_gap", gap.cast("long")))
+    rows = regions.on_forward(rows.join(ends, "qid"))
+    r = regions_of(rows, o, _alternates(x))
+    rep = seeding.repetitive_length(q.filter("not kept")).select(F.col("seq_id").alias("qid"), "rep_len")
+    r = r.join(rep, "qid", "left").withColumn("rep_len", F.coalesce("rep_len", F.lit(0)).cast("long"))
+    r = regions.split_fragments(r.select("qid", "tid", "rev", "chain", "score", "rs", "re", "mlen", "blen", "places", "rep_len", "first", "second", "qs", "qe", "cnt"))
+    r = regions_of(r.drop("first", "second", "seg"), o, _alternates(x), select=False).withColumn("score0", F.col("score")).drop("qlen")
+    names = turned.select(F.col("rid").alias("qid"), F.col("name").alias("qname"), F.length("seq").cast("long").alias("qlen"), F.col("seq").alias("qseq"))
+    out = _aligned(r, names, x, 0)
+    second = F.col("qid") % 2 == 1  # back to the mate as it came
+    back = {a: F.when(second, F.col("qlen") - F.col(b)).otherwise(F.col(a)) for a, b in (("qs", "qe"), ("qe", "qs"))}
+    out = out.withColumns({**back, "rev": F.when(second, 1 - F.col("rev")).otherwise(F.col("rev")).cast("int")})
+    return out.join(ends.select(F.col("qid").alias("_f"), "frag_gap"), F.floor(F.col("qid") / 2) == F.col("_f")).drop("_f")
+
+
 def merged_parts(reads: DataFrame, parts: list[Index]) -> DataFrame:
     """Mappings to an index in several parts as those to the whole: ranked, chosen and qualified over all parts.
 
@@ -252,9 +365,12 @@ def merged_parts(reads: DataFrame, parts: list[Index]) -> DataFrame:
         out = out.unionByName(f)
     o = parts[0].options
     rep = F.max("rep_len").over(Window.partitionBy("qid"))
-    out = out.withColumn("rep_len", rep).drop("rank", "parent", "subsc", "n_sub", "dp_max2", "primary", "sam_pri", "mapq", "hash", "rank_score", "strand_retained")
-    out = regions_of(out, o)
-    return regions.mapq_aligned(regions.sam_primary(out), o.min_chain_score, o.match, o.short_reads)
+    out = out.withColumn("rep_len", rep).drop("rank", "parent", "n_sub", "dp_max2", "primary", "sam_pri", "mapq", "hash", "rank_score", "is_alt")
+    marks = [m for m in map(_alternates, parts) if m is not None]
+    alternates = marks[0] if marks else None
+    for m in marks[1:]:
+        alternates = alternates.unionByName(m)
+    return _qualified(out, o, alternates)
 
 
 def extract_positions(spark, path: str, k: int = 31, s: int = 11) -> DataFrame:

@@ -259,8 +259,10 @@ def test_regions_tools(spark):
     two = spark.createDataFrame([(0, 0, 9, 0, 70, 2)], one.schema)
     got = R.merged_parts([one, two], [0, 10]).orderBy("rank").collect()
     assert [(r.tid, r.rank) for r in got] == [(10, 1), (0, 2)]
-    inv = spark.createDataFrame([(0, 0, 40, False), (0, 50, 0, True), (0, 90, 20, False)], "qid long, qs long, mapq int, inv boolean")
-    assert [r.mapq for r in R.inversion_mapq(inv).orderBy("qs").collect()] == [40, 20, 20]
+    # neighbours are primaries by their place on the target, whatever their place on the query; the last two rows are no neighbours
+    inv = spark.createDataFrame([(0, 0, 100, 1, True, 40, False), (0, 0, 200, 2, True, 0, True), (0, 0, 300, 3, True, 20, False), (0, 0, 210, 4, False, 0, False), (1, 0, 9, 1, True, 30, False), (1, 0, 50, 2, True, 0, True)],
+                                "qid long, tid long, rs long, rank long, primary boolean, mapq int, inv boolean")
+    assert [r.mapq for r in R.inversion_mapq(inv).orderBy("qid", "rank").collect()] == [40, 20, 20, 0, 30, 0]
     rows = [(0, 1, 1, 100, 0.01, False), (0, 2, 1, 90, 0.2, True), (0, 3, 1, 10, 0.005, True), (0, 4, 2, 5, 0.0, False)]
     r = spark.createDataFrame(rows, "qid long, rank long, parent long, score long, div double, strand_retained boolean")
     left = R.strand_filter(r)
