@@ -42,7 +42,7 @@ from .common import text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 #: Code points a block has, symbols a long word is merged by, characters of a word that is remembered, words remembered.
-BLOCK, STEP, SHORT, WORDS = 1 << 16, 1 << 12, 48, 1 << 17
+BLOCK, STEP, SHORT, WORDS = 1 << 16, 1 << 12, 48, 1 << 19
 #: Bytes of ids or characters of text that a task gathers before it hands them on.
 FLUSH = 1 << 22
 
@@ -72,7 +72,7 @@ class Rules:
             symbol[x + y] = chr(512 + k)
             self.made.append(chr(512 + k))
         self.packed = {c: struct.pack("<I", vocab[t]) for t, c in symbol.items()}
-        self.pairs = list(self.rank)
+        self.joins, self.none = list(zip(self.rank, self.made)), repeat(len(self.made))
         self.length = dict.fromkeys(map(chr, range(512)), 1)
         self.lookahead = self._reach()
         self.longest = max(self.length.values())
@@ -133,12 +133,12 @@ class Rules:
 
     def _merge_few(self, symbols: str) -> str:
         """All places of the lowest pair at once: what a rule makes is a part of later rules only."""
-        rank, made, none = self.rank.get, self.made, repeat(len(self.made))
-        while len(symbols) > 1:
-            k = min(map(rank, map(add, symbols, symbols[1:]), none))
-            if k == len(made):
-                break
-            symbols = symbols.replace(self.pairs[k], made[k])
+        rank, joins, none, last = self.rank.get, self.joins, self.none, len(self.made)
+        k = min(map(rank, map(add, symbols, symbols[1:]), none), default=last)
+        while k < last:
+            pair, new = joins[k]
+            symbols = symbols.replace(pair, new)
+            k = min(map(rank, map(add, symbols, symbols[1:]), none), default=last)
         return symbols
 
 
@@ -153,7 +153,7 @@ class Words(dict):
         if len(raw) > SHORT:
             return b"".join(self.merger.feed(raw)) + self.merger.close()
         rules = self.rules
-        ids = rules.pack(rules.merge(raw[:-1] + chr(256 + ord(raw[-1]))))
+        ids = b"".join(map(rules.packed.__getitem__, rules._merge_few(raw[:-1] + chr(256 + ord(raw[-1])))))
         if len(self) >= WORDS:
             self.clear()
         self[word] = ids
