@@ -189,9 +189,10 @@ def find(t: str) -> list[tuple[int, int, str]]:
                     free["url"] = m.end()
         elif at >= free["secret"]:
             m = _VALUE.match(t, last + 1)
-            if m and any(c in _DIGITS for c in m[2]):
-                out.append((m.start(2), m.end(2), "secret"))
+            if m:  # a value without digits has no part with one either, so what it covers is not gone through again
                 free["secret"] = m.end(2)
+                if any(c in _DIGITS for c in m[2]):
+                    out.append((m.start(2), m.end(2), "secret"))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda s: (s[0], rank[s[2]], s[1]))
 
