@@ -76,22 +76,91 @@ def best_scores(q, t, span, seg, o: ChainOptions) -> tuple[np.ndarray, np.ndarra
 
 
 def best_scores_by_range(q, t, span, o: ChainOptions) -> tuple[np.ndarray, np.ndarray]:
-    """The same for long gaps: no band, and every earlier anchor within reach is scored, however many there are."""
+    """The same for long gaps: no band, and every earlier anchor within reach counts, found by range maxima.
+
+    Anchors stand in a tree in the order of their diagonals, with the best score of each range of them. What a link
+    adds is at most the earlier anchor's span less the cost of the distance of diagonals, so a range that cannot beat
+    the best link so far is left out whole; the more promising of two ranges is looked at first. The result is that of scoring all
+    earlier anchors, in a time that grows with the logarithm of their number as long as scores rise along chains.
+    """
     n = len(q)
-    f, before = span.astype(np.float64).copy(), np.full(n, -1)
-    seg = np.zeros(n, np.int64)
-    lo = 0
-    wide = ChainOptions(o.max_dist_x, o.max_dist_x, o.max_dist_x, o.max_iter, o.min_cnt, o.min_score, o.gap, o.skip, o.spliced, o.max_drop)
+    f, before = [float(x) for x in span], [-1] * n
+    if n < 2:
+        return np.array(f), np.array(before, np.int64)
+    reach, gap, skip, free = int(o.max_dist_x), float(o.gap), float(o.skip), bool(o.spliced)
+    order = np.lexsort((np.arange(n), t - q))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    size = 1 << (n - 1).bit_length()
+    least_q, most_q = np.full(2 * size, np.iinfo(np.int64).max), np.full(2 * size, np.iinfo(np.int64).min)  # query places of each range
+    least_q[size : size + n] = most_q[size : size + n] = q[order]
+    half = size
+    while half > 1:
+        half >>= 1
+        least_q[half : 2 * half] = least_q[2 * half : 4 * half].reshape(-1, 2).min(1)
+        most_q[half : 2 * half] = most_q[2 * half : 4 * half].reshape(-1, 2).max(1)
+    least_q, most_q = least_q.tolist(), most_q.tolist()
+    diagonal, order, place = (t - q)[order].tolist(), order.tolist(), place.tolist()
+    qs, ts, spans = q.tolist(), t.tolist(), span.tolist()
+    top = [-np.inf] * (2 * size)  # the best score plus span of each range
+    log2 = [0.0, *np.log2(np.arange(1, 4097) + 1.0).tolist()]
+
+    def put(x: int, value: float) -> None:
+        x += size
+        top[x] = value
+        x >>= 1
+        while x:
+            m = max(top[2 * x], top[2 * x + 1])
+            if top[x] == m:
+                break
+            top[x] = m
+            x >>= 1
+
+    lo = there = 0
     for i in range(n):
-        while t[i] - t[lo] > o.max_dist_x:
+        while there < i and ts[there] < ts[i]:  # anchors of one place are no predecessors of each other
+            put(place[there], f[there] + spans[there])
+            there += 1
+        while ts[i] - ts[lo] > reach:
+            if lo < there:
+                put(place[lo], -np.inf)
             lo += 1
-        if lo == i:
-            continue
-        s = f[lo:i] + link_scores(q, t, span, seg, i, lo, wide)
-        k = len(s) - 1 - int(np.argmax(s[::-1]))
-        if s[k] > f[i]:
-            f[i], before[i] = s[k], lo + k
-    return f, before
+        d, best, link = ts[i] - qs[i], f[i], -1
+        todo = [(1, 0, size)]
+        while todo:
+            x, a, b = todo.pop()
+            if top[x] <= best:
+                continue
+            if x >= size:
+                j = order[a]
+                dq, dr = qs[i] - qs[j], ts[i] - ts[j]
+                if dq <= 0 or dq > reach:
+                    continue
+                wide, least = abs(dr - dq), min(dq, dr)
+                s = min(spans[j], least)
+                if wide or least > spans[j]:
+                    line = gap * wide + skip * least
+                    log = 0.0 if not wide else log2[wide] if wide < 4097 else float(np.log2(wide + 1.0))
+                    s -= int(min(line, log) if free and dr > dq else line + 0.5 * log)
+                if f[j] + s > best:
+                    best, link = f[j] + s, j
+                continue
+            m = (a + b) >> 1
+            sides = []
+            for y, u, v in ((2 * x, a, m), (2 * x + 1, m, b)):
+                if top[y] > best and least_q[y] < qs[i] and most_q[y] >= qs[i] - reach:
+                    first, last = diagonal[u], diagonal[min(v, n) - 1]
+                    near = first - d if d < first else d - last if d > last else 0
+                    cost = near * gap
+                    if free and d > last:  # gaps of the query cost no more than a logarithm
+                        cost = min(cost, log2[near] if near < 4097 else float(np.log2(near + 1.0)))
+                    bound = top[y] - int(cost)
+                    if bound > best:
+                        sides.append((bound, y, u, v))
+            sides.sort()
+            todo.extend(x[1:] for x in sides)
+        f[i], before[i] = best, link
+    return np.array(f), np.array(before, np.int64)
 
 
 def backtrack(f: np.ndarray, before: np.ndarray, o: ChainOptions) -> list[tuple[float, list[int]]]:
