@@ -23,6 +23,7 @@ import codecs
 import heapq
 import json
 import os
+import re
 import struct
 import unicodedata
 from bisect import bisect_left
@@ -198,6 +199,7 @@ class Encoder:
     """A text in blocks of code points; what is kept between them is the rest of a block and an open word."""
 
     WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
     OPEN = {"L": regex.compile(r"\p{L}*"), "O": regex.compile(r"[^\s\p{L}\p{N}]*")}
 
     def __init__(self, path: str, step: int = STEP) -> None:
@@ -257,8 +259,13 @@ class Encoder:
     def _plain(self, raw: str) -> Iterator[bytes]:
         if not raw:
             return
-        text = raw.lower() if raw.isascii() else self.normal(raw)
-        shadow = text if raw.isascii() else self._shadow(text)
+        if raw.isascii():
+            text = shadow = raw.lower()
+        else:
+            young = [c for c in set(raw) if unicodedata.category(c) == "Cn"]
+            # the library's own tables where this interpreter's do not know a character; white space stays, it is dropped anyway
+            text = self.normal(raw) if young else unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
+            shadow = self._shadow(text) if young else text
         at = 0
         if self.open:
             at = self.OPEN[self.open].match(shadow).end()
@@ -269,7 +276,7 @@ class Encoder:
             yield from self._close()
         spans = None
         if shadow is text:
-            words = self.WORD.findall(text, at)
+            words = (self.PLAIN if at == 0 and raw.isascii() else self.WORD).findall(text, at)
         else:
             spans = [m.span() for m in self.WORD.finditer(shadow, at)]
             words = [text[a:b] for a, b in spans]
@@ -331,7 +338,10 @@ class Decoder:
         self.first, self.text = True, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        raw = self.between.join([t for t in map(self.table.get, ids) if t is not None])
+        try:
+            raw = self.between.join(map(self.table.__getitem__, ids))
+        except KeyError:
+            raw = self.between.join([t for t in map(self.table.get, ids) if t is not None])
         if raw and not self.first:
             raw = self.between + raw
         self.first &= not raw
