@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions.seq import bases
+from ..functions.seq import bases, reverse_complement
 from ..operators import alignment as A
 from ..operators import chaining, sketch
 from ..runtime import map_arrow
@@ -46,6 +46,16 @@ def _sam(s, d):
     return formats.sam(found.join(reads.select("qid", "seq", "qual"), "qid"))
 
 
+def _short_pairs(s, d):
+    """Halves of benchmark items as mates that face each other, mapped to the documents as short reads."""
+    b = _records(s, d, "benchmark", "item_id", "item").withColumn("half", F.floor(F.length("seq") / 2).cast("int"))
+    mate = lambda seg, seq: b.select(F.col("rid").alias("frag_id"), F.lit(seg).alias("seg"), "name", seq.alias("seq"))
+    reads = mate(0, F.substring("seq", F.lit(1), F.col("half"))).union(mate(1, reverse_complement(F.substring("seq", F.col("half") + 1, F.length("seq")))))
+    o = preset("sr", k=11, w=5, min_cnt=2, min_chain_score=12, min_dp_max=20)
+    m = mapper.map_pairs(reads, _records(s, d, "documents", "doc_id", "doc"), o)
+    return m.select("frag", "seg", "tname", "rev", "qs", "qe", "rs", "re", "rank", "parent", "primary", "proper", "mapq", "cigar")
+
+
 def _pairwise(s, d):
     """Neighbouring benchmark items aligned with each other: global, dual and single cost, and local."""
     b = sequences(s, d, "benchmark", "item_id").filter(F.length("seq") > 0)
@@ -74,6 +84,7 @@ QUERIES = {
     "parents": lambda s, d: mapper.regions_of(chaining.chain_rows(_anchors(s, d), chaining.ChainOptions(min_cnt=2, min_score=15)), _options()).select("qid", "tid", "rev", "rank", "parent", "subsc", "n_sub"),
     "mappings": lambda s, d: _mapped(s, d, False),
     "align_affine": _pairwise,
+    "pairs_sr": _short_pairs,
     "paf": _paf,
     "sam": _sam,
 }
