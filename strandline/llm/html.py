@@ -8,8 +8,14 @@
    choice where the host's path is missing, with what stands directly in the containers around them.
 
 Boilerplate is what stands in elements that say so by their tag, and in those that say so by a class,
-id or role. Some of these words are weak: where nothing else would be left, they do not count. It is
+id or role. Some of these words are weak: where nothing else would be left, they do not count. Nor do
+strong ones and forms around nearly all that a page tells (see `MAIN`): an article may stand in a form. It is
 left out piece by piece, also inside a block. Parsing takes time and memory in proportion to the page.
+
+What stands beside the chosen containers, under the same parent, is told too unless it is mostly links or
+recurs: blocks outside of the pages' own choices are counted by host in Spark, and those that stand on
+several pages and a good share of them are the host's, not the page's, and so is all that stands in a container
+of a class in which such a block stands.
 """
 
 from __future__ import annotations
@@ -46,6 +52,11 @@ _SPACE = re.compile(r"\s+")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
 #: How much of a part's score goes to the container around it.
 PASSED = 0.97
+#: An element that says it is boilerplate is the main text all the same if it holds so many characters that are not linked,
+#: so many times what stands elsewhere, and nothing in it says so again (as each of a list of comments would).
+MAIN, ELSEWHERE = 500, 20
+#: A block recurs on a host if it stands on so many of its pages, and on this share of them.
+RECURS, RECURS_SHARE = 3, 0.2
 
 
 class _Node:
@@ -56,6 +67,10 @@ class _Node:
         step = tag + "".join(f".{c}" for c in cls)
         self.key = b"" if up is None else hashlib.blake2b(up.key + step.encode("utf-8", "replace"), digest_size=12).digest()
 
+    def place(self) -> int | None:
+        """A hash of the path of a container that has a class."""
+        return int.from_bytes(self.key[:8], "little", signed=True) if self.cls else None
+
     def path(self) -> str:
         """The last steps, and a hash of all."""
         parts, x = [], self
@@ -83,6 +98,10 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(text)} if text else {}
 
 
+def block_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def _named(words: list[str]) -> int:
     """2 if a class, id or role names boilerplate, 1 if it does so weakly."""
     most = 0
@@ -116,9 +135,22 @@ def _tag_end(html: str, at: int, dead: set[int]) -> int:
 
 
 def parse(html: str) -> Page:
+    """A page's blocks; parsed again without the boilerplate mark of an element that holds what the page tells."""
+    page, marked = _parsed(html, -1)
+    told = sum(max(0, len(t) - n) for t, _, n, _ in page.blocks)
+    best = max(marked, key=lambda m: m[1] * (m[2] == 0), default=None)
+    if best and best[2] == 0 and best[1] >= MAIN and best[1] >= ELSEWHERE * told:
+        page, _ = _parsed(html, best[0])
+    return page
+
+
+def _parsed(html: str, spared: int) -> tuple[Page, list[list[int]]]:
+    """The page, and of each outermost strongly marked element its place in the page, unlinked characters and how many
+    marked elements it holds. The one at ``spared`` counts as not marked."""
     page = Page()
+    marked: list[list[int]] = []
     nodes = page.nodes
-    # open elements: tag, container, level of boilerplate (2: left out, 1: weakly named)
+    # open elements: tag, container, level of boilerplate (3: never told, 2: left out, 1: weakly named)
     stack: list[tuple[str, _Node, int]] = [("#", nodes[0], 0)]
     where: dict[str, list[int]] = {}  # places of open elements by tag
     holders, solid, articles = [0], [0], 0  # open containers; open blocks that a paragraph cannot hold
@@ -140,7 +172,10 @@ def parse(html: str) -> Page:
     def say(text):
         nonlocal linked
         level = stack[-1][2]
-        if level < 2:
+        if level == 2:
+            if not links and text.strip():
+                marked[-1][1] += len(text)
+        elif level < 2:
             buf.append(text)
             if level == 0:
                 firm.append(text)
@@ -212,9 +247,15 @@ def parse(html: str) -> Page:
         level = stack[-1][2]
         named = 0 if tag in ("body", "html", "article", "main") else _named([*classes, *a.get("id", "").lower().split(), a.get("role", "").lower()])
         own = tag == "header" and articles > 0 and named < 2  # an article's own heading
-        if tag in SILENT or tag in AROUND and not own or "hidden" in a or a.get("aria-hidden") == "true":
+        if level == 3 or tag in SILENT or "hidden" in a or a.get("aria-hidden") == "true":
+            level = 3
+        elif (tag in AROUND and not own or named == 2 and not own) and m.start() != spared:
+            if level < 2:
+                marked.append([m.start(), 0, int(tag in AROUND and tag != "form")])
+            else:
+                marked[-1][2] += 1
             level = 2
-        elif not own:
+        elif not own and m.start() != spared:
             level = max(level, named)
         if tag == "a":
             links += 1
@@ -231,7 +272,7 @@ def parse(html: str) -> Page:
             solid.append(len(stack))
         stack.append((tag, node, level))
     flush()
-    return page
+    return page, marked
 
 
 def choose(page: Page) -> _Node | None:
@@ -286,37 +327,45 @@ def _under(page: Page, tops: list[_Node]) -> tuple[list[bool], list[_Node]]:
     return mark, [x for x in page.nodes if mark[x.at]]
 
 
-def text_at(page: Page, path: str | None) -> str:
-    """The blocks in the chosen containers, and what stands directly in those around them if it is not mostly links."""
+def text_at(page: Page, path: str | None, recurring: frozenset = frozenset()) -> str:
+    """The blocks in the chosen containers, and what stands directly in those around them or in their neighbours if it is not
+    mostly links; of neighbours nothing that recurs on the host, and where their class is another one sentences only."""
     tops = chosen(page, path)
     told = page.told()
     if not tops:
         return "\n\n".join(t for t, _, _ in told)
     inside, _ = _under(page, tops)
+    beside, _ = _under(page, [x for x in page.nodes if x.up is not None and any(x.up is y.up for y in tops)])
     around = [False] * len(page.nodes)
     for x in tops:
         x = x.up
         while x is not None and not around[x.at]:
             around[x.at] = True
             x = x.up
-    return "\n\n".join(t for t, n, node in told if inside[node.at] or around[node.at] and 2 * n < len(t))
+    return "\n\n".join(t for t, n, node in told if inside[node.at] or 2 * n < len(t) and (around[node.at] or beside[node.at] and _goes_with(t, node, tops) and block_hash(t) not in recurring and node.place() not in recurring))
+
+
+def _goes_with(text: str, node: _Node, tops: list[_Node]) -> bool:
+    """Whether a block beside the choice may be more of it: in a container of no other class, or as a sentence."""
+    return not node.cls or any(node.cls == x.cls for x in tops) or text.rstrip("\"'»”’)]")[-1:] in tuple(".!?…。！？:")
 
 
 def _votes(batches):
+    """For each page its vote (path and weight), and a row for each different block beside its choice."""
     for b in batches:
-        paths, weights = [], []
-        for h in b.column(1):
+        rows: list[tuple] = []
+        for host, url, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             page = parse(h.as_py())
             top = choose(page)
             if top is None:
-                paths.append(None)
-                weights.append(0.0)
+                rows.append((host, url, None, 0.0, None, None))
                 continue
             inside, _ = _under(page, [top])
             told = page.told()
-            paths.append(top.path())
-            weights.append(round(sum(len(t) for t, _, node in told if inside[node.at]) / sum(len(t) for t, _, _ in told), 3))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string()), pa.array(weights, pa.float64())], ["host", "path", "weight"])
+            rows.append((host, url, top.path(), round(sum(len(t) for t, _, node in told if inside[node.at]) / sum(len(t) for t, _, _ in told), 3), None, None))
+            rows += [(host, url, None, None, *x) for x in {(block_hash(t), node.place()) for t, n, node in told if not inside[node.at] and 2 * n < len(t)}]
+        cols = list(zip(*rows)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()))], ["host", "page", "path", "weight", "block", "place"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -328,19 +377,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), text_or_empty(html_col).alias("html"))
-    votes = map_arrow(base.select("host", "html"), _votes, "host string, path string, weight double")
+    said = cut(map_arrow(base.select("host", F.xxhash64("page_id", "url").alias("page"), "html"), _votes, "host string, page long, path string, weight double, block long, place long"))
     # summed where the pages are, so that a large host is a few rows per task
-    votes = votes.filter("path is not null").groupBy("host", "path").agg(F.sum(F.col("weight").cast("decimal(20,3)")).alias("w"))
+    votes = said.filter("path is not null").groupBy("host", "path").agg(F.sum(F.col("weight").cast("decimal(20,3)")).alias("w"))
     best = Window.partitionBy("host").orderBy(F.desc("w"), "path")
-    elected = cut(votes.withColumn("r", F.row_number().over(best)).filter("r = 1").select("host", "path"))
+    elected = votes.withColumn("r", F.row_number().over(best)).filter("r = 1").select("host", "path")
+    # a block of a host is counted once a page; those on a good share of the pages are few, however many pages there are
+    pages_of = said.filter("block is null").groupBy("host", "page").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("pages"))
+    blocks = said.filter("block is not null").groupBy("host", "block", "place", "page").agg(F.lit(1).alias("x")).groupBy("host", "block", "place").agg(F.count("*").alias("n"))
+    blocks = blocks.join(pages_of, "host").filter((F.col("n") >= RECURS) & (F.col("n") >= F.col("pages") * RECURS_SHARE)).groupBy("host").agg(F.array_union(F.collect_set("block"), F.collect_set("place")).alias("blocks"))
+    elected = cut(elected.join(blocks, "host", "full"))
     kind = {f.name: f.dataType.simpleString() for f in base.schema.fields}
 
     def again(batches):
         for b in batches:
-            texts = [text_at(parse(h.as_py()), p.as_py()) for h, p in zip(b.column("html"), b.column("path"))]
+            texts = [text_at(parse(h.as_py()), p.as_py(), frozenset(x.as_py() or ())) for h, p, x in zip(b.column("html"), b.column("path"), b.column("blocks"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column("path")],
                 ["page_id", "url", "text", "n_chars", "path"])
 
-    both = base.join(maybe_broadcast(elected), "host", "left").select("page_id", "url", "html", "path")
+    both = base.join(maybe_broadcast(elected), "host", "left").select("page_id", "url", "html", "path", "blocks")
     return map_arrow(both, again, f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long, path string")
