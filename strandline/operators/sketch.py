@@ -146,19 +146,21 @@ def unmasked(seeds_df: DataFrame, masked: DataFrame) -> DataFrame:
 
 def segments(texts: DataFrame, id_col: str = "seq_id", text_col: str = "text") -> DataFrame:
     """(seq_id, file_offset, logical_len, type): maximal stretches of bases (BASES) and of others (N_GAP)."""
+    return _stretches(texts, id_col, text_col).drop("run")
+
+
+def _stretches(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     runs = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("[ACGTacgt]+|[^ACGTacgt]+"), F.lit(0))
     r = texts.select(F.col(id_col).alias("seq_id"), F.posexplode(runs).alias("i", "run"))
     before = Window.partitionBy("seq_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     n = F.length("run").cast("long")
     return r.select("seq_id", F.coalesce(F.sum(n).over(before), F.lit(0)).alias("file_offset"), n.alias("logical_len"),
-                    F.when(F.col("run").rlike("^[ACGTacgt]"), "BASES").otherwise("N_GAP").alias("type"))
+                    F.when(F.col("run").rlike("^[ACGTacgt]"), "BASES").otherwise("N_GAP").alias("type"), "run")
 
 
 def runs_of_bases(texts: DataFrame, id_col: str = "seq_id", text_col: str = "text") -> DataFrame:
     """(seq_id, start, seq): stretches of bases as sequences of their own; no k-mer spans a gap."""
-    s = segments(texts, id_col, text_col).filter("type = 'BASES'")
-    return s.join(texts.select(F.col(id_col).alias("seq_id"), F.col(text_col).alias("_t")), "seq_id").select(
-        "seq_id", F.col("file_offset").alias("start"), F.upper(F.substring("_t", F.col("file_offset").cast("int") + 1, F.col("logical_len").cast("int"))).alias("seq"))
+    return _stretches(texts, id_col, text_col).filter("type = 'BASES'").select("seq_id", F.col("file_offset").alias("start"), F.upper("run").alias("seq"))
 
 
 def halo_blocks(seqs: DataFrame, size: int, k: int, w: int = 1) -> DataFrame:

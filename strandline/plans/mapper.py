@@ -212,10 +212,10 @@ def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
     out, rows = [], []
     while todo:
         places = todo.pop(0)
-        got = A.align_chain(query, x.target, places, scoring, band, o.zdrop, o.spliced, between)
+        got = A.align_chain(query, x.target, places, scoring, band, o.zdrop, o.spliced, between, end_bonus=o.end_bonus)
         got["trans"] = None
         if o.spliced:  # both strands of the transcript are tried
-            other = A.align_chain(query, x.target, places, scoring, band, o.zdrop, True, between, turned=True)
+            other = A.align_chain(query, x.target, places, scoring, band, o.zdrop, True, between, turned=True, end_bonus=o.end_bonus)
             same = got["dp_score"] >= other["dp_score"]
             got = got if same else other
             got["trans"] = ("-" if same == bool(x.rev) else "+") if any(op == "N" for op, _ in got["cigar"]) else None

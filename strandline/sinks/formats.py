@@ -12,6 +12,10 @@ from ..functions.seq import reverse_complement
 MAX_OPS = 65535
 
 
+#: Bases of a reference that are held together.
+BLOCK = 1 << 18
+
+
 def _tag(name: str, kind: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}:{kind}:"), value.cast("string")))
 
@@ -22,16 +26,20 @@ def paf(m: DataFrame, tags: dict[str, tuple[str, str]] | None = None) -> DataFra
     Needs qname, qlen, qs, qe, rev, tname, tlen, rs, re, mlen, blen, mapq; ``tags`` names further
     columns as {tag: (type, column)}, nulls left out.
     """
-    tp = F.lit(None).cast("string")
-    if "primary" in m.columns:
-        turned = F.col("inv") if "inv" in m.columns else F.lit(False)
-        tp = F.when(F.col("primary"), F.when(turned, "tp:A:I").otherwise("tp:A:P")).otherwise(F.when(turned, "tp:A:i").otherwise("tp:A:S"))
+    tp = _kind(m)
     cols = ["qname", "qlen", "qs", "qe", None, "tname", "tlen", "rs", "re", "mlen", "blen", "mapq"]
     strand = F.when(F.col("rev") == 1, "-").otherwise("+")
     more = [_tag(t, kind, F.col(c)) for t, (kind, c) in (tags or {}).items()]
     return m.select(F.concat_ws("\t", *[strand if c is None else F.col(c).cast("string") for c in cols], tp, *more).alias("value"))
 
 
+def _kind(m: DataFrame) -> Column:
+    if "primary" not in m.columns:
+        return F.lit(None).cast("string")
+    turned = F.coalesce(F.col("inv"), F.lit(False)) if "inv" in m.columns else F.lit(False)
+    return F.when(F.col("primary"), F.when(turned, "tp:A:I").otherwise("tp:A:P")).otherwise(F.when(turned, "tp:A:i").otherwise("tp:A:S"))
+
+
 #: The tags of PAF lines of alignments, their types and columns.
 TAGS = {"NM": ("i", "nm"), "ms": ("i", "dp_max"), "AS": ("i", "dp_score"), "nn": ("i", "n_ambi"), "ts": ("A", "trans"), "cm": ("i", "cnt"), "s1": ("i", "score"), "s2": ("i", "s2"), "de": ("f", "div"), "zd": ("i", "zd"), "rl": ("i", "rep_len"),
         "cg": ("Z", "cigar"), "cs": ("Z", "cs"), "ds": ("Z", "ds"), "MD": ("Z", "md")}
@@ -80,7 +88,8 @@ def sam(m: DataFrame, soft_clip: bool = False) -> DataFrame:
 
     Needs qname, seg, qlen, seq, qual, tname, rs, re, qs, qe, rev, mapq, cigar (text, without clips),
     primary, sam_pri, nm; mates by (qname, other seg) if ``paired``. Supplementary records list each
-    other in SA; an alignment of too many operations keeps them in CG.
+    other in SA; an alignment of too many operations keeps them in CG. Scores, kind, anchors, divergence and
+    repetitive length follow as tags where their columns are there.
     """
     paired = F.coalesce(F.col("paired"), F.lit(False)) if "paired" in m.columns else F.lit(False)
     unmapped = F.col("tname").isNull()
@@ -113,12 +122,24 @@ def sam(m: DataFrame, soft_clip: bool = False) -> DataFrame:
         F.when(F.col("unmapped"), "*").when(many, short).otherwise(full),
         F.when(F.col("mt").isNull(), "*").when(same, "=").otherwise(F.col("mt")), F.coalesce(F.col("ms") + 1, F.lit(0)).cast("string"), F.coalesce(tlen, F.lit(0)).cast("string"),
         F.coalesce(F.when(turned, reverse_complement(piece)).otherwise(piece), F.col("seq"), F.lit("*")), F.coalesce(F.when(turned, F.reverse(qpiece)).otherwise(qpiece), F.lit("*")),
-        F.when(~F.col("unmapped"), _tag("NM", "i", F.col("nm"))), F.when(F.col("primary") & (others != ""), F.concat(F.lit("SA:Z:"), others)), F.when(many, F.concat(F.lit("CG:Z:"), full)))
+        F.when(~F.col("unmapped"), _tag("NM", "i", F.col("nm"))), *[F.when(~F.col("unmapped"), x) for x in _sam_tags(m)], F.when(F.col("primary") & (others != ""), F.concat(F.lit("SA:Z:"), others)), F.when(many, F.concat(F.lit("CG:Z:"), full)))
     return m.select("qname", value.alias("value"))
 
 
-def junctions(m: DataFrame, refs: DataFrame) -> DataFrame:
-    """Introns of alignments as BED6: (value); the score tells how usual their splice signals are."""
+def _sam_tags(m: DataFrame) -> list[Column]:
+    has = lambda c, x: x if c in m.columns else F.lit(None).cast("string")
+    plain = [has(c, _tag(t, kind, F.col(c))) for t, (kind, c) in TAGS.items() if t in ("ms", "AS", "nn", "ts", "cm", "s1", "rl") and c in m.columns]
+    second = has("subsc", F.when(F.col("primary"), _tag("s2", "i", F.col("subsc")))) if "subsc" in m.columns else F.lit(None).cast("string")
+    div = F.concat(F.lit("de:f:"), F.when(F.col("div") == 0, "0").otherwise(F.format_string("%.4f", "div"))) if "div" in m.columns else F.lit(None).cast("string")
+    split = F.when(F.col("split"), "zd:i:1") if "split" in m.columns else F.lit(None).cast("string")
+    return [*plain, _kind(m), second, div, split]
+
+
+def junctions(m: DataFrame, refs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Introns of alignments as BED6: (value); the score tells how usual their splice signals are.
+
+    References are met in blocks (each with the first base of the next), so no row holds a contig for the two bases at an intron's end.
+    """
     op = F.split(F.regexp_replace("cigar", r"([0-9]+)([MIDN=X])", "$1 $2;"), ";")
     ops = F.transform(F.filter(op, lambda x: x != ""), lambda x: F.struct(F.split(x, " ")[0].cast("long").alias("n"), F.split(x, " ")[1].alias("op")))
     step = F.aggregate(
@@ -126,8 +147,16 @@ def junctions(m: DataFrame, refs: DataFrame) -> DataFrame:
         lambda a, o: F.struct((a.at + F.when(o.op.isin("M", "D", "N", "=", "X"), o.n).otherwise(0)).alias("at"),
                               F.when(o.op == "N", F.concat(a.out, F.array(F.struct(a.at.alias("st"), (a.at + o.n).alias("en"))))).otherwise(a.out).alias("out")))
     i = m.withColumn("_i", F.explode(step.out)).select("qname", "tname", "rev", F.col("_i.st").alias("st"), F.col("_i.en").alias("en"))
-    i = i.join(refs.select(F.col("name").alias("tname"), "seq"), "tname")
-    a, b = F.upper(F.substring("seq", (F.col("st") + 1).cast("int"), F.lit(2))), F.upper(F.substring("seq", (F.col("en") - 1).cast("int"), F.lit(2)))
+    last = F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / block).cast("int")
+    pieces = refs.select(F.col("name").alias("tname"), "seq", F.explode(F.sequence(F.lit(0), last)).alias("_block"))
+    pieces = pieces.select("tname", "_block", F.substring("seq", F.col("_block") * block + 1, F.lit(block + 1)).alias("_piece"))
+
+    def two(i, at, name):
+        i = i.withColumn("_block", F.floor(at / block).cast("int")).join(pieces, ["tname", "_block"])
+        return i.withColumn(name, F.upper(F.substring("_piece", (at - F.col("_block") * block + 1).cast("int"), F.lit(2)))).drop("_block", "_piece")
+
+    i = two(two(i, F.col("st"), "_a"), F.col("en") - 2, "_b")
+    a, b = F.col("_a"), F.col("_b")
     first, last = F.when(F.col("rev") == 1, reverse_complement(b)).otherwise(a), F.when(F.col("rev") == 1, reverse_complement(a)).otherwise(b)
     score = F.when(first == "GT", 3).when(first == "GC", 2).when(first == "AT", 1).otherwise(0) + F.when(last == "AG", 3).when(last == "AC", 1).otherwise(0)
     return i.select(F.concat_ws("\t", "tname", F.col("st").cast("string"), F.col("en").cast("string"), "qname", score.cast("string"), F.when(F.col("rev") == 1, "-").otherwise("+")).alias("value"))

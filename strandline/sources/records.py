@@ -8,7 +8,6 @@ file, from the files' splits and where they begin, whatever tasks they come from
 from __future__ import annotations
 
 import io
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,10 +106,10 @@ def fragments(reads: DataFrame) -> DataFrame:
 
 def read_standard_input(spark: SparkSession, stream, kind: str = "fasta", batch: int = 10_000) -> DataFrame:
     """Records of a pipe, parsed as it is read; they go to the shared folder batch by batch and so need not fit the driver."""
-    from ..runtime import scratch_dir
+    from ..runtime import scratch_path
     from ..streaming.record_stream import advance
 
-    path, state, held, at = f"{scratch_dir(spark).rstrip('/')}/input-{uuid.uuid4().hex}", (0, 0, "", {}), [], 0
+    path, state, held, at = scratch_path(spark), (0, 0, "", {}), [], 0
     schema = "rid long, name string, comment string, seq string, qual string"
     spark.createDataFrame([], schema).write.parquet(path)
     text = io.TextIOWrapper(stream, encoding="utf-8", newline="")

@@ -176,3 +176,33 @@ def test_range_maxima_on_many_anchors():
     began = time.process_time()
     f, _ = C.best_scores_by_range(q, t, np.full(len(t), 19), C.ChainOptions(max_dist_x=100_000, gap=0.152))
     assert f[-1] > 19 * 0.5 * len(t) and time.process_time() - began < 30
+
+
+def test_end_bonus_reaches_the_end():
+    same = dna(60)
+    q, t = same + "AC", same + "AG"
+    s = A.Scoring(mismatch=8, gap_open=12)
+    wild = A.align(q, t, s, "extend", band=10)
+    assert (wild.query_end, A.text(wild.cigar)) == (61, "61M")
+    whole = A.align(q, t, s, "extend", band=10, end_bonus=10)
+    assert (whole.query_end, A.text(whole.cigar), whole.score) == (62, "62M", 114)
+    assert A.align(same + "ACCCC", same + "AGGGG", s, "extend", band=10, end_bonus=10).query_end == 61
+
+
+def test_junctions_at_borders_of_blocks(spark):
+    from strandline.sinks import formats
+
+    for lead in range(1, 9):
+        seq = "A" * lead + "GT" + "C" * 10 + "AG" + "TTTT"
+        m = spark.createDataFrame([("r", "c", 0, 0, f"{lead}M14N4M")], "qname string, tname string, rev int, rs long, cigar string")
+        refs = spark.createDataFrame([("c", seq)], "name string, seq string")
+        assert [r.value for r in formats.junctions(m, refs, 4).collect()] == [f"c\t{lead}\t{lead + 14}\tr\t6\t+"]
+
+
+def test_sam_has_the_tags_of_alignments(indexed, spark):
+    from strandline.sinks import formats
+
+    reads = frame(spark, [("u", GENOME[500:650])])
+    m = mapper.map_reads(reads, indexed).withColumn("seg", C.F.lit(0)).join(reads.selectExpr("name as qname", "seq", "cast(null as string) as qual"), "qname")
+    line, = [r.value.split("\t") for r in formats.sam(m).collect()]
+    assert line[:6] == ["u", "0", "g", "501", "60", "150M"] and {"NM:i:0", "ms:i:300", "AS:i:300", "nn:i:0", "tp:A:P", "de:f:0", "rl:i:0"} <= set(line[11:])
