@@ -208,21 +208,28 @@ def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
     what lies turned between them."""
     query = A.reverse_complement(x.qseq) if x.rev else x.qseq
     band, between = int(o.bw * 1.5 + 1), int(max(o.bw, o.bw_long) * 1.5 + 1)
-    todo = [[(int(p["qpos"]), int(p["tpos"]) - x.w0, int(p["span"])) for p in x.places]]
+    todo = [([(int(p["qpos"]), int(p["tpos"]) - x.w0, int(p["span"])) for p in x.places], o.zdrop)]
     out, rows = [], []
     while todo:
-        places = todo.pop(0)
-        got = A.align_chain(query, x.target, places, scoring, band, o.zdrop, o.spliced, between, end_bonus=o.end_bonus)
+        places, zdrop = todo.pop(0)
+        got = A.align_chain(query, x.target, places, scoring, band, zdrop, o.spliced, between, end_bonus=o.end_bonus)
         got["trans"] = None
         if o.spliced:  # both strands of the transcript are tried
             other = A.align_chain(query, x.target, places, scoring, band, o.zdrop, True, between, turned=True, end_bonus=o.end_bonus)
             same = got["dp_score"] >= other["dp_score"]
             got = got if same else other
             got["trans"] = ("-" if same == bool(x.rev) else "+") if any(op == "N" for op, _ in got["cigar"]) else None
-        at = A.drops(got["cigar"], query[got["qs"] :], x.target[got["rs"] :], o.zdrop, scoring)
+        at = None
+        if not (o.spliced or o.short_reads or o.forward_only or o.reverse_only):
+            # a lesser fall parts the chain if what lies in it aligns on the other strand
+            fall, (qa, ta), (qb, tb) = A.deepest_drop(got["cigar"], query[got["qs"] : got["qe"]], x.target[got["rs"] : got["re"]], scoring)
+            if fall > o.zdrop_inv and 0 < min(qb - qa, tb - ta) and max(qb - qa, tb - ta) < o.max_gap:
+                if A.inverted(query[got["qs"] + qa : got["qs"] + qb], x.target[got["rs"] + ta : got["rs"] + tb], scoring, max(o.min_dp_max, o.min_chain_score * o.match)):
+                    at, zdrop = (qa, ta), o.zdrop_inv
+        at = at or A.drops(got["cigar"], query[got["qs"] :], x.target[got["rs"] :], o.zdrop, scoring)
         cut = next((i for i, p in enumerate(places) if p[0] - p[2] + 1 >= got["qs"] + at[0]), 0) if at else 0
         if 0 < cut < len(places):  # aligned anew in two parts
-            todo = [places[:cut], places[cut:], *todo]
+            todo = [(places[:cut], zdrop), (places[cut:], zdrop), *todo]
             continue
         out.append((got, len(places), False, x.rev))
     parts = len(out) > 1

@@ -206,3 +206,42 @@ def test_sam_has_the_tags_of_alignments(indexed, spark):
     m = mapper.map_reads(reads, indexed).withColumn("seg", C.F.lit(0)).join(reads.selectExpr("name as qname", "seq", "cast(null as string) as qual"), "qname")
     line, = [r.value.split("\t") for r in formats.sam(m).collect()]
     assert line[:6] == ["u", "0", "g", "501", "60", "150M"] and {"NM:i:0", "ms:i:300", "AS:i:300", "nn:i:0", "tp:A:P", "de:f:0", "rl:i:0"} <= set(line[11:])
+
+
+@pytest.mark.parametrize("size", [300, 400])
+def test_inversions_that_fall_less_than_zdrop(spark, size):
+    r = random.Random(size)
+    genome = "".join(r.choices("ACGT", k=9000))
+    read = genome[1000:4000] + A.reverse_complement(genome[4000 : 4000 + size]) + genome[4000 + size : 7400]
+    got = mapper.map_reads(frame(spark, [("r", read), ("plain", genome[1000:7400])]), frame(spark, [("g", genome)]), "map-ont").collect()
+    inv = [x for x in got if x.inv]
+    assert len(inv) == 1 and inv[0].rev == 1 and abs(inv[0].rs - 4000) < 20 and abs(inv[0].re - 4000 - size) < 20
+    both = sorted((x.rs, x.re) for x in got if x.qname == "r" and not x.inv and x.primary)
+    assert len(both) == 2 and both[0][0] == 1000 and abs(both[0][1] - 4000) < 20 and abs(both[1][0] - 4000 - size) < 20 and both[1][1] == 7400
+    assert [(x.rs, x.re, x.inv) for x in got if x.qname == "plain"] == [(1000, 7400, False)]
+
+
+def test_deepest_drop_by_steps():
+    r = random.Random(4)
+    s = A.Scoring()
+    for _ in range(200):
+        cigar = [("M" if k % 2 == 0 else r.choice("ID"), r.randrange(1, 15)) for k in range(r.choice([1, 3, 5]))]
+        q = "".join(r.choices("ACGT", k=sum(n for op, n in cigar if op != "D")))
+        t, i = "", 0
+        for op, n in cigar:
+            t += "" if op == "I" else "".join(r.choices("ACGT", k=n)) if op == "D" else "".join(c if r.random() < 0.7 else r.choice("ACGT") for c in q[i : i + n])
+            i += n * (op != "D")
+        i = j = score = best = most = 0
+        at = (0, 0)
+        for op, n in cigar:
+            for k in range(n if op == "M" else 1):
+                if op == "M":
+                    score += s.match if q[i] == t[j] else -s.mismatch
+                    i, j = i + 1, j + 1
+                else:
+                    score -= s.gap_open + s.gap_extend * n
+                    i, j = i + n * (op == "I"), j + n * (op == "D")
+                if score >= best:
+                    best, at = score, (i, j)
+                most = max(most, best - score - abs((i - at[0]) - (j - at[1])) * s.gap_extend)
+        assert A.deepest_drop(cigar, q, t, s)[0] == most
