@@ -567,10 +567,11 @@ def test_sql_twins(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     for name, sql in queries.oracles().items():
-        got, want = queries.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(sql).df()
-        cols = sorted(want.columns)
-        key = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).itertuples(index=False, name=None)))
-        assert cols == sorted(got.columns) and key(got) == key(want), name
+        got, want = queries.QUERIES[name](spark, str(tmp_path)), con.execute(sql)
+        cols = [c[0] for c in want.description]
+        assert sorted(cols) == sorted(got.columns)
+        # rows as they are: a table of pandas would make floats of whole numbers beside nulls
+        assert sorted(map(str, map(tuple, got.select(*cols).collect()))) == sorted(map(str, want.fetchall())), name
 
 
 # ------------------------------------------------------------------ pages: pieces, weak names, time
