@@ -14,11 +14,11 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import index, sketch
+from .operators import index, intervals, sketch
 from .plans import mapper
 from .plans.options import PRESETS, Options, preset
 from .sinks import formats
-from .sources.records import longest_id, read_paired, read_sequences, read_standard_input
+from .sources.records import longest_id, read_bed12, read_paired, read_sequences, read_splice_scores, read_standard_input
 
 
 def _read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -44,6 +44,20 @@ def _statistics(x: mapper.Index) -> str:
     return "RESULT|index|" + "|".join(f"{k}={v}" for k, v in s.asDict().items())
 
 
+def _known(spark: SparkSession, a, x: mapper.Index) -> mapper.Known | None:
+    """What the command line names of introns: annotation and jumps as BED12, splice scores as a table."""
+    if not (a.introns or a.splice_scores or a.jumps or a.more_jumps):
+        return None
+    introns = intervals.introns_of_bed12(read_bed12(spark, a.introns)) if a.introns else None
+    scores = None
+    if a.splice_scores:
+        o, refs = x.options, x.refs.select("name", "rid", F.length("seq").alias("len"))
+        most = min(63, max((o.gap_open2 + 1) // 2 - 1, o.gap_open2 - o.gap_open))
+        scores = intervals.splice_scores(read_splice_scores(spark, a.splice_scores), refs, most, a.splice_score_scale).filter("pos > 0")
+    found = [intervals.jumps(intervals.introns_of_bed12(read_bed12(spark, path)), flag).drop("strand") for path, flag in ((a.jumps, 1), (a.more_jumps, 2)) if path]
+    return mapper.Known(introns, scores, intervals.merge_jumps(*found) if found else None)
+
+
 def _map(spark: SparkSession, a) -> None:
     given = {f.name: v for f in fields(Options) if (v := getattr(a, f.name)) is not None}
     o = preset(a.preset, **given)
@@ -52,13 +66,13 @@ def _map(spark: SparkSession, a) -> None:
         mapper.save_index(x, a.save_index)
     if a.statistics:
         print(_statistics(x))
-    reads = _read(spark, a.reads)
+    reads, known = _read(spark, a.reads), _known(spark, a, x)
     if a.mates:
         both = read_paired(reads, _read(spark, a.mates))
-        found = mapper.map_pairs(both, x)
+        found = mapper.map_pairs(both, x, known=known)
         q = both.withColumn("qid", F.col("frag_id") * 2 + F.col("seg"))
     else:
-        found = mapper.map_reads(reads, x).withColumn("seg", F.lit(0))
+        found = mapper.map_reads(reads, x, known=known).withColumn("seg", F.lit(0))
         q = reads.withColumn("qid", F.col("rid")).withColumn("seg", F.lit(0))
     found = mapper.written(found, x.options)
     lengths = q.select("qid", F.col("name").alias("qname"), F.length("seq").cast("long").alias("qlen"), "seg")
@@ -100,6 +114,11 @@ def main(argv: list[str] | None = None) -> None:
     m.add_argument("--statistics", action="store_true", help="print what the index holds")
     m.add_argument("--read-group")
     m.add_argument("--junctions", action="store_true", help="write introns as BED")
+    m.add_argument("--introns", help="known introns as BED12, cheaper in spliced alignments")
+    m.add_argument("--splice-scores", help="scores of splice sites by tabs, instead of known introns")
+    m.add_argument("--splice-score-scale", type=float, default=0.7)
+    m.add_argument("--jumps", help="annotated introns as BED12 that ends of spliced alignments go over")
+    m.add_argument("--more-jumps", help="further ones, such as those of a first pass")
     m.add_argument("--cs", action="store_true")
     m.add_argument("--ds", action="store_true")
     m.add_argument("--md", action="store_true")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import reverse_complement
 from ..operators import alignment as A
-from ..operators import chaining, index, regions, seeding, sketch
+from ..operators import chaining, index, intervals, jumping, regions, seeding, sketch
 from ..runtime import cut, scratch_path, ship
 from .options import Options, preset
 
@@ -34,6 +34,19 @@ class Index:
     options: Options
 
 
+@dataclass(frozen=True)
+class Known:
+    """What is known of introns before reads are mapped; all of it is used for spliced reads only.
+
+    ``introns`` (chrom, st, en, strand) make their ends cheaper in alignments; ``scores`` (rid, strand, pos, type, score, see
+    ``intervals.splice_scores``) take their place where given; over ``jumps`` (chrom, off, off2, flag, see ``intervals.jumps``)
+    the ends of aligned reads are carried on.
+    """
+    introns: DataFrame | None = None
+    scores: DataFrame | None = None
+    jumps: DataFrame | None = None
+
+
 def build_index(refs: DataFrame, options: Options | str | None = None) -> Index:
     o = options if isinstance(options, Options) else preset(options)
     path, spark = scratch_path(refs.sparkSession), refs.sparkSession
@@ -203,22 +216,57 @@ def target_windows(regions_df: DataFrame, refs: DataFrame, block: int = WINDOW_B
 ALIGNED = "qid long, qname string, qlen long, tid long, tname string, tlen long, rev int, cnt long, score long, score0 long, rep_len long, qs long, qe long, rs long, re long, mlen long, blen long, dp_score long, dp_max long, nm long, n_ambi long, div double, inv boolean, split boolean, strand_retained boolean, subsc long, n_sub long, trans string, cigar string, cs string, ds string, md string"
 
 
-def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
+def known_in(windows: DataFrame, known: Known | None) -> DataFrame:
+    """(row, tid, tname, w0, w1) -> (row, introns, scores): what is known within each window, places counted from its begin.
+
+    Joined by bins of places; a row gets what lies in its window, which the read's reach bounds. Columns are null where nothing is.
+    """
+    none = windows.select("row", F.lit(None).cast("array<struct<st:long,en:long,strand:string>>").alias("introns"), F.lit(None).cast("array<struct<pos:long,strand:string,acceptor:boolean,score:int>>").alias("scores"))
+    if known is None:
+        return none
+    at = windows.select("row", F.col("tid").cast("string").alias("tid"), "tname", F.col("w0").alias("st"), F.col("w1").alias("en"))
+    if known.scores is not None:
+        p = known.scores.select(F.col("rid").cast("string").alias("chrom"), F.when(F.col("strand") > 0, "+").otherwise("-").alias("strand"), "pos", (F.col("type") == "A").alias("acceptor"), F.col("score").cast("int").alias("score"))
+        p = intervals.points_within(at.withColumnRenamed("tid", "chrom"), p, "pos").withColumn("pos", F.col("pos") - F.col("st"))
+        got = p.groupBy("row").agg(F.collect_list(F.struct("pos", "strand", "acceptor", "score")).alias("scores"))
+        return none.drop("scores").join(got, "row", "left")
+    if known.introns is not None:
+        i = known.introns.filter("strand in ('+', '-')").select("chrom", F.col("st").alias("a"), F.col("en").alias("b"), "strand").distinct()
+        i = intervals.points_within(at.withColumnRenamed("tname", "chrom"), i, "a").filter(F.col("b") <= F.col("en"))
+        got = i.groupBy("row").agg(F.collect_list(F.struct((F.col("a") - F.col("st")).alias("st"), (F.col("b") - F.col("st")).alias("en"), "strand")).alias("introns"))
+        return none.drop("introns").join(got, "row", "left")
+    return none
+
+
+def _listed(values) -> list:
+    return [] if values is None else list(values)
+
+
+def _sites(x, o: Options, scored: bool) -> tuple[A.Sites, A.Sites]:
+    """Ends of introns in a region's window, for transcripts of the target's strand and of the other one."""
+    costs = A.plain_site_cost(o.noncanonical) if o.plain_sites else A.SITE_COST
+    introns = [(p["st"], p["en"], p["strand"]) for p in _listed(x.introns)]
+    scores = [(p["pos"], p["strand"], p["acceptor"], p["score"]) for p in _listed(x.scores)] if scored else None
+    return tuple(A.splice_sites(x.target, turned, costs, introns, o.junction_bonus, scores, o.junction_penalty) for turned in (False, True))
+
+
+def _alignments(x, o: Options, scoring: A.Scoring, scored: bool = False) -> list[tuple]:
     """One region's row, with its query and target window -> aligned rows: one, or its parts where the score falls, with
     what lies turned between them."""
     query = A.reverse_complement(x.qseq) if x.rev else x.qseq
     band, between = int(o.bw * 1.5 + 1), int(max(o.bw, o.bw_long) * 1.5 + 1)
     todo = [([(int(p["qpos"]), int(p["tpos"]) - x.w0, int(p["span"])) for p in x.places], o.zdrop)]
     out, rows = [], []
+    forward, turned = _sites(x, o, scored) if o.spliced else (None, None)
     while todo:
         places, zdrop = todo.pop(0)
-        got = A.align_chain(query, x.target, places, scoring, band, zdrop, o.spliced, between, end_bonus=o.end_bonus)
+        got = A.align_chain(query, x.target, places, scoring, band, zdrop, o.spliced, between, end_bonus=o.end_bonus, sites=forward, reach=o.max_gap)
         got["trans"] = None
         if o.spliced:  # both strands of the transcript are tried
-            other = A.align_chain(query, x.target, places, scoring, band, o.zdrop, True, between, turned=True, end_bonus=o.end_bonus)
-            same = got["dp_score"] >= other["dp_score"]
-            got = got if same else other
-            got["trans"] = ("-" if same == bool(x.rev) else "+") if any(op == "N" for op, _ in got["cigar"]) else None
+            other = A.align_chain(query, x.target, places, scoring, band, zdrop, True, between, turned=True, end_bonus=o.end_bonus, sites=turned, reach=o.max_gap)
+            lead = got["dp_score"] - other["dp_score"]
+            got = got if lead >= 0 else other
+            got["trans"] = ("+" if (lead > 0) != bool(x.rev) else "-") if lead else None
         at = None
         if not (o.spliced or o.short_reads or o.forward_only or o.reverse_only):
             # a lesser fall parts the chain if what lies in it aligns on the other strand
@@ -243,6 +291,8 @@ def _alignments(x, o: Options, scoring: A.Scoring) -> list[tuple]:
         text = A.reverse_complement(x.qseq) if rev else x.qseq
         part, target = text[got["qs"] : got["qe"]], x.target[got["rs"] : got["re"]]
         s = A.summary(got["cigar"], part, target, scoring, not (o.short_reads or o.spliced and o.fragments))
+        if o.spliced and s["spliced"]:  # a strand that the sites tell counts in the read's favour
+            s["dp_max"] = max(0, s["dp_max"] + (A.strand_bonus(scoring) if got.get("trans") else -(o.match + o.mismatch)))
         a, b = (x.qlen - got["qe"], x.qlen - got["qs"]) if rev else (got["qs"], got["qe"])
         score = x.score if not parts else max(1, x.score * cnt // max(1, len(x.places)))
         rows.append((x.qid, x.qname, x.qlen, x.tid, x.tname, x.tlen, rev, cnt, score, score, x.rep_len, a, b, got["rs"] + x.w0, got["re"] + x.w0, s["mlen"], s["blen"], got["dp_score"], s["dp_max"], s["nm"], s["n_ambi"],
@@ -271,8 +321,8 @@ def written(found: DataFrame, o: Options) -> DataFrame:
     return found.filter(F.col("parent").isNull() | (F.col("parent") == F.col("rank"))) if o.no_secondary else found
 
 
-def map_reads(reads: DataFrame, refs: DataFrame | Index, options: Options | str | None = None, with_alignment: bool = True) -> DataFrame:
-    """reads and refs: (rid, name, seq, ...), or refs as an index -> a row per mapping.
+def map_reads(reads: DataFrame, refs: DataFrame | Index, options: Options | str | None = None, with_alignment: bool = True, known: Known | None = None) -> DataFrame:
+    """reads and refs: (rid, name, seq, ...), or refs as an index -> a row per mapping; ``known`` introns are for spliced reads.
 
     Coordinates are those of the strand as stored; qs and qe of the forward query. Regions are ranked and
     chosen by their chains, aligned against windows of the references, and then ranked, chosen and
@@ -291,25 +341,33 @@ def map_reads(reads: DataFrame, refs: DataFrame | Index, options: Options | str
     if not with_alignment:
         r = regions.sam_primary(regions.mapq(r, o.min_chain_score)).join(names.drop("qseq"), "qid").join(targets, "tid")
         return r.select("qid", "qname", "qlen", "tid", "tname", "tlen", "rev", "cnt", "score", "subsc", "n_sub", "rep_len", "mapq", "rank", "parent", "primary", "sam_pri", "qs", "qe", "rs", "re", "mlen", "blen")
-    return _aligned(r, names, x, o.min_cnt)
+    found = _aligned(r, names, x, o.min_cnt, known)
+    if o.spliced and known is not None and known.jumps is not None:
+        found = jumping.over_jumps(found, names.select("qid", "qseq"), x.refs, known.jumps, o.scoring(), target_windows, o.jump_min_match)
+    return found
 
 
-def _aligned(r: DataFrame, names: DataFrame, x: Index, min_cnt: int) -> DataFrame:
+def _aligned(r: DataFrame, names: DataFrame, x: Index, min_cnt: int, known: Known | None = None) -> DataFrame:
     """Chosen chains, extents on the forward query -> aligned, filtered, ranked, chosen and qualified rows."""
     o = x.options
     targets = x.refs.select(F.col("rid").alias("tid"), F.col("name").alias("tname"), F.length("seq").cast("long").alias("tlen"))
     r = r.select("qid", "tid", "rev", "cnt", "score", "score0", "rep_len", "subsc", "n_sub", "strand_retained", "qs", "qe", "rs", "re", "places", F.struct("qid", "chain").alias("row")).join(names, "qid").join(targets, "tid")
     r = regions.on_forward(r)  # back to the strand that is aligned
-    reach = int(o.bw * 1.5 + 1)
-    r = r.withColumn("w0", F.greatest(F.lit(0), F.col("rs") - F.col("qs") - reach)).withColumn("w1", F.least("tlen", F.col("re") + F.col("qlen") - F.col("qe") + reach))
+    # as far as a band reaches; ends of spliced reads as far as their matches can pay for
+    reach = F.lit(o.max_gap if o.spliced else int(o.bw * 1.5 + 1))
+    before, after = (F.lit(0), F.lit(0)) if o.spliced else (F.col("qs"), F.col("qlen") - F.col("qe"))
+    r = r.withColumn("w0", F.greatest(F.lit(0), F.col("rs") - before - reach)).withColumn("w1", F.least("tlen", F.col("re") + after + reach))
     r = cut(r)
     r = r.join(target_windows(r.select("row", "tid", "w0", "w1"), x.refs), "row")
+    scored = o.spliced and known is not None and known.scores is not None
+    if o.spliced:
+        r = r.join(known_in(r.select("row", "tid", "tname", "w0", "w1"), known), "row")
     ship(x.refs.sparkSession)
     scoring, columns = o.scoring(), [c.split()[0] for c in ALIGNED.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([row for y in pdf.itertuples(index=False) for row in _alignments(y, o, scoring)], columns=columns)
+            yield pd.DataFrame([row for y in pdf.itertuples(index=False) for row in _alignments(y, o, scoring, scored)], columns=columns)
 
     return _qualified(regions.region_filter(r.mapInPandas(run, ALIGNED), min_cnt, o.min_chain_score, o.min_dp_max, o.max_clip), o, _alternates(x))
 
@@ -321,7 +379,7 @@ def _qualified(aligned: DataFrame, o: Options, alternates: DataFrame | None) ->
     return regions.mapq_aligned(regions.sam_primary(out), o.min_chain_score, o.match, short, o.spliced)
 
 
-def map_pairs(reads: DataFrame, refs: DataFrame | Index, options: Options | str | None = None) -> DataFrame:
+def map_pairs(reads: DataFrame, refs: DataFrame | Index, options: Options | str | None = None, known: Known | None = None) -> DataFrame:
     """(frag_id, seg, name, seq) -> mappings of both mates, with frag, seg and ``proper``.
 
     With ``fragments`` mates (which face each other) are chained as one query, the second one turned: a mate in a repeat is
@@ -334,7 +392,7 @@ def map_pairs(reads: DataFrame, refs: DataFrame | Index, options: Options | str
     if o.fragments and not o.spliced:
         m = _map_fragments(single.select("rid", "frag_id", "seg", "name", "seq"), x)
     else:
-        m = map_reads(single.select("rid", "name", "seq"), x)
+        m = map_reads(single.select("rid", "name", "seq"), x, known=replace(known, jumps=None) if known else None)  # mates do not jump
     m = m.withColumn("frag", F.floor(F.col("qid") / 2).cast("long")).withColumn("seg", (F.col("qid") % 2).cast("int"))
     return regions.pair_up(m, o.max_gap_ref if o.max_gap_ref > 0 else max(o.max_gap, o.max_frag_len), o.pair_bonus, 2 * o.match + o.mismatch, o.match)
 

@@ -52,6 +52,8 @@ class Options:
     noncanonical: int = 0
     junction_bonus: int = 0
     junction_penalty: int = 0
+    jump_min_match: int = 3
+    plain_sites: bool = False
     rmq: bool = False
     short_reads: bool = False
     fragments: bool = False
