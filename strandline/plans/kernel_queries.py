@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seq import bases, reverse_complement
 from ..operators import alignment as A
-from ..operators import chaining, sketch
+from ..operators import chaining, intervals, sketch
 from ..runtime import map_arrow
 from ..sinks import formats
 from . import mapper
@@ -56,6 +56,21 @@ def _short_pairs(s, d):
     return m.select("frag", "seg", "tname", "rev", "qs", "qe", "rs", "re", "rank", "parent", "primary", "proper", "mapq", "cigar")
 
 
+def _spliced(s, d):
+    """Benchmark items without their middle third mapped as spliced reads to the whole items and the documents; the thirds are
+    known introns and jumps."""
+    b = _records(s, d, "benchmark", "item_id", "item").withColumn("third", F.floor(F.length("seq") / 3).cast("int"))
+    third = F.col("third")
+    reads = b.select("rid", "name", F.concat(F.substring("seq", F.lit(1), third), F.substring("seq", 2 * third + 1, F.length("seq"))).alias("seq"))
+    introns = b.filter("third > 0").select(F.col("name").alias("chrom"), third.cast("long").alias("st"), (2 * third).cast("long").alias("en"), F.lit("+").alias("strand"), F.lit(1).alias("score"))
+    merged = intervals.merge_introns(introns)
+    known = mapper.Known(merged, jumps=intervals.jumps(merged, 1))
+    o = preset("splice", k=11, w=5, min_cnt=2, min_chain_score=18, min_dp_max=20, gap_open2=20, junction_bonus=14)
+    items = b.select((F.col("rid") + (1 << 40)).alias("rid"), "name", "seq")  # beside the documents' numbers
+    m = mapper.map_reads(reads, items.unionByName(_records(s, d, "documents", "doc_id", "doc")), o, known=known)
+    return m.select("qname", "qlen", "tname", "rev", "qs", "qe", "rs", "re", "rank", "parent", "primary", "mapq", "dp_score", "trans", "cigar")
+
+
 def _pairwise(s, d):
     """Neighbouring benchmark items aligned with each other: global, dual and single cost, and local."""
     b = sequences(s, d, "benchmark", "item_id").filter(F.length("seq") > 0)
@@ -85,6 +100,7 @@ QUERIES = {
     "mappings": lambda s, d: _mapped(s, d, False),
     "align_affine": _pairwise,
     "pairs_sr": _short_pairs,
+    "spliced_known": _spliced,
     "paf": _paf,
     "sam": _sam,
 }
