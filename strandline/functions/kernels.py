@@ -166,11 +166,54 @@ def native_sketch(seq: str, w: int, k: int, compressed: bool = False) -> list[tu
     k-mers that share a window's least hash are minimizers. Other letters than bases break k-mers but
     not windows. With ``compressed``, a run of one base counts as one and spans the run.
     """
+    if not compressed and k % 2:
+        key, at, strand = block_sketch(seq.encode(), w, k, 0, len(seq), True)
+        return list(zip(key.tolist(), [k] * len(key), at.tolist(), strand.tolist()))
     if not compressed and seq and not set(seq) - set("ACGTacgt"):
         return _plain_sketch(seq, w, k)
     return _stepwise_sketch(seq, w, k, compressed)
 
 
+_BASE = np.full(256, 4, np.uint8)
+for _i, _c in enumerate("ACGT"):
+    _BASE[ord(_c)] = _BASE[ord(_c.lower())] = _i
+_BASE[ord("U")] = _BASE[ord("u")] = 3
+
+
+def block_sketch(text: bytes, w: int, k: int, low: int, high: int, ends: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, last base, strand) of minimizers whose last base is in [low, high) of a piece of a sequence; k is odd.
+
+    An odd k-mer is never its own reverse complement, so windows hold w neighbouring k-mers, and what is a minimizer depends on
+    w + k - 2 letters before its last base and w - 1 after it. A piece that holds these tells its own; with ``ends`` it
+    reaches the sequence's end, whose last w letters have a minimizer though no window may be full there.
+    """
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    base = _BASE[np.frombuffer(text, np.uint8)]
+    if len(base) < k:
+        return none
+    place = np.arange(len(base))
+    run = place - np.maximum.accumulate(np.where(base > 3, place, -1))  # bases in a row up to here
+    fwd, rev = big_endian(base & 3, k)
+    run = run[k - 1 :]
+    known = run >= k
+    x = np.where(known, masked64(np.minimum(fwd, rev), k), ~np.uint64(0))
+    keep = np.zeros(len(x), bool)
+    if len(x) >= w:
+        full = run[w - 1 :] >= w + k - 1
+        side = np.zeros(w - 1, np.uint64)
+        least = np.concatenate([side, np.where(full, sliding_min(x, w), np.uint64(0)), side])
+        count = np.concatenate([[0], np.cumsum(np.concatenate([side.astype(bool), full, side.astype(bool)]))])
+        keep = known & (count[w:] > count[:-w]) & (~sliding_min(~least, w) == x)
+    if ends:
+        last = x[max(0, len(x) - w) :]
+        if known[len(x) - len(last) :].any():
+            keep[len(x) - 1 - int(np.argmin(last[::-1]))] = True
+    keep[: max(0, low - k + 1)] = False
+    keep[max(0, high - k + 1) :] = False
+    at = np.flatnonzero(keep)
+    return x[at], at + k - 1, (fwd[at] > rev[at]).astype(np.int32)
+
+
 def _plain_sketch(seq: str, w: int, k: int) -> list[tuple[int, int, int, int]]:
     """Bases only: an entry is a minimizer if the greatest minimum of the windows that hold it is its own."""
     codes = _CODE[np.frombuffer(seq.encode(), np.uint8)]

@@ -101,19 +101,68 @@ def seeds(seqs: DataFrame, k: int = 15, w: int = 11) -> DataFrame:
     return map_arrow(seqs.select("seq_id", "seq"), run, "seq_id long, key long, span int, pos long, strand int")
 
 
-def native_seeds(seqs: DataFrame, k: int = 15, w: int = 10, compressed: bool = False) -> DataFrame:
-    """(seq_id, key, span, pos, strand) with ties, strand, and optional homopolymer compression."""
-    if not (0 < w < 256 and 0 < k <= 28):
-        raise ValueError("0 < w < 256 and 0 < k <= 28")
+#: Letters of a sequence that are sketched at once.
+SKETCH_BLOCK = 1 << 20
 
-    def run(batches):
-        for b in batches:
-            rows = [(i, *e) for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for e in K.native_sketch(s or "", w, k, compressed)]
-            c = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int32())],
-                                             ["seq_id", "key", "span", "pos", "strand"])
 
-    return map_arrow(seqs.select("seq_id", "seq"), run, "seq_id long, key long, span int, pos long, strand int")
+def native_seeds(seqs: DataFrame, k: int = 15, w: int = 10, compressed: bool = False, spread: bool = False, block: int = SKETCH_BLOCK) -> DataFrame:
+    """(seq_id, key, span, pos, strand) with ties, strand, and optional homopolymer compression.
+
+    With an odd ``k`` and without compression long sequences are sketched in blocks that overlap as far as windows reach, each of
+    which gives the minimizers that end in it, so no worker holds a chromosome's seeds; ``spread`` deals the blocks to all tasks.
+    Otherwise what a window holds has no bound in letters, and a sequence is sketched as a whole.
+    """
+    if not (0 < w < 256 and 0 < k <= 28):
+        raise ValueError("0 < w < 256 and 0 < k <= 28")
+    if block < w:
+        raise ValueError("a block holds a window at least")
+    schema = "seq_id long, key long, span int, pos long, strand int"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def batches_of(found):
+        """Columns of single sequences as batches of a bounded number of seeds, or of one sequence's."""
+        held, out = 0, []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names)
+
+        for columns in found:
+            out.append(columns)
+            held += len(columns[0])
+            if held >= 1 << 20:
+                yield batch()
+                held, out = 0, []
+        if out:
+            yield batch()
+
+    def whole(batches):
+        def found():
+            for b in batches:
+                for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    seeds = K.native_sketch(s or "", w, k, compressed)
+                    yield np.full(len(seeds), i), *np.array(seeds, np.int64).reshape(-1, 4).T
+
+        yield from batches_of(found())
+
+    def pieces(batches):
+        def found():
+            for b in batches:
+                for i, first, own, n, text in zip(*(b.column(c).to_pylist() for c in ("seq_id", "first", "own", "n", "seq"))):
+                    key, at, strand = K.block_sketch(text.encode(), w, k, own - first, own - first + block, first + len(text) == n)
+                    yield np.full(len(key), i), key.view(np.int64), np.full(len(key), k), at + first, strand
+
+        yield from batches_of(found())
+
+    if compressed or k % 2 == 0:
+        return map_arrow(seqs.select("seq_id", "seq"), whole, schema)
+    n = F.length("seq").cast("long")
+    b = seqs.filter("seq <> ''").select("seq_id", "seq", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("_b"))
+    own = F.col("_b") * block
+    first = F.greatest(own - (w + k - 2), F.lit(0))
+    b = b.select("seq_id", first.alias("first"), own.alias("own"), "n", F.substring("seq", (first + 1).cast("int"), (own + block + w - 1 - first).cast("int")).alias("seq"))
+    if spread:
+        b = b.repartition("seq_id", "own")
+    return map_arrow(b, pieces, schema)
 
 
 def low_complexity(seqs: DataFrame, threshold: int = 20, window: int = 64) -> DataFrame:

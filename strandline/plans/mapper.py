@@ -16,9 +16,9 @@ from ..runtime import cut, scratch_path, ship
 from .options import Options, preset
 
 
-def seeds_of(refs_or_reads: DataFrame, o: Options) -> DataFrame:
+def seeds_of(refs_or_reads: DataFrame, o: Options, spread: bool = False) -> DataFrame:
     s = refs_or_reads.select(F.col("rid").alias("seq_id"), "seq")
-    out = sketch.native_seeds(s, o.k, o.w, o.compressed)
+    out = sketch.native_seeds(s, o.k, o.w, o.compressed, spread)
     if o.dust:
         out = sketch.unmasked(out, sketch.low_complexity(s, o.dust))
     return out
@@ -50,7 +50,7 @@ class Known:
 def build_index(refs: DataFrame, options: Options | str | None = None) -> Index:
     o = options if isinstance(options, Options) else preset(options)
     path, spark = scratch_path(refs.sparkSession), refs.sparkSession
-    index.save(seeds_of(refs, o), f"{path}/seeds")
+    index.save(seeds_of(refs, o, spread=True), f"{path}/seeds")
     seeds = index.load(spark, f"{path}/seeds")
     index.save(index.key_counts(seeds), f"{path}/counts")  # counted within the buckets
     return Index(seeds, index.load(spark, f"{path}/counts"), refs, o)

@@ -93,6 +93,22 @@ def test_native_sketch_paths_agree():
     assert K.native_sketch("ACGANA", 3, 4) and K.native_sketch("", 3, 4) == []
 
 
+def test_native_seeds_in_blocks_of_any_size(spark):
+    r = random.Random(12)
+    seqs = ["".join(r.choices("ACGT", k=n)) for n in (1, 11, 19, 20, 700)]
+    seqs += ["", "".join(r.choices("ACGTNu", [9, 9, 9, 9, 1, 1], k=900)), "N" * 50 + seqs[4][:200] + "N" * 300 + seqs[4][:12], "GATTACA" * 60, seqs[4][:60] + "NNN", "A" * 90, seqs[4][:100] + "N" + seqs[4][:14]]
+    df = spark.createDataFrame([*enumerate(seqs), (99, None)], "seq_id long, seq string")
+    for w, k in ((10, 15), (1, 5), (19, 19)):
+        want = sorted((i, *e) for i, s in enumerate(seqs) for e in K._stepwise_sketch(s, w, k, False))
+        for block, spread in ((w, False), (23, True), (64, False), (1 << 20, True)):
+            got = sorted((x.seq_id, x.key, x.span, x.pos, x.strand) for x in sketch.native_seeds(df, k, w, block=block, spread=spread).collect())
+            assert got == want, (w, k, block)
+    whole = sketch.native_seeds(df, 14, 5)
+    assert sorted(tuple(x) for x in whole.collect()) == sorted((i, *e) for i, s in enumerate(seqs) for e in K.native_sketch(s, 5, 14))
+    with pytest.raises(ValueError):
+        sketch.native_seeds(df, 15, 10, block=9)
+
+
 def test_dust_masks_repeats():
     left, right = ("".join(random.Random(seed).choices("ACGT", k=100)) for seed in (1, 2))
     found = K.dust(left + "A" * 60 + right)
