@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BIN = 16384
+#: Places of a bin; so few that a region meets hardly more points than lie in it.
+BIN = 2048
 
 
 def introns_of_bed12(bed: DataFrame, least_score: int = 0) -> DataFrame:
@@ -75,6 +76,19 @@ def points_within(regions: DataFrame, points: DataFrame, place: str, closed_end:
     return r.join(p, ["chrom", "_bin"]).filter(low & high).drop("_bin")
 
 
+def _by_place(regions: DataFrame, found, merged: Column, more: DataFrame | None = None) -> DataFrame:
+    """(region_id, pos, value) of regions of which ``found`` gives each place once, so that only the rows of ids that several
+    regions have, or that ``more`` has rows of, are grouped."""
+    ids = regions.groupBy("region_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("region_id").alias("_id"))
+    if more is not None:
+        ids = ids.union(more.select("region_id")).distinct()
+    r = regions.join(ids.withColumn("_many", F.lit(True)), F.col("region_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    many = found(r.filter("_many").drop("_many"))
+    if more is not None:
+        many = many.unionByName(more)
+    return found(r.filter("_many is null").drop("_many")).unionByName(many.groupBy("region_id", "pos").agg(merged))
+
+
 def annotate_splice_signals(regions: DataFrame, introns: DataFrame) -> DataFrame:
     """(region_id, pos, bits): introns inside a region mark their ends, 1 and 2 on the plus strand, 8 and 4 on the minus."""
     inner = points_within(regions, introns.select("chrom", F.col("st").alias("ist"), F.col("en").alias("ien"), "strand"), "ist").filter(F.col("ien") <= F.col("en"))
@@ -90,5 +104,10 @@ def jumps_in(regions: DataFrame, jump_table: DataFrame) -> DataFrame:
 
 
 def best_splice_scores(regions: DataFrame, scores: DataFrame) -> DataFrame:
-    """(region_id, pos, score): the best score at each place of a region."""
-    return points_within(regions, scores, "pos").groupBy("region_id", (F.col("pos") - F.col("st")).alias("pos")).agg(F.max("score").alias("score"))
+    """(region_id, pos, score): the best score at each place of a region; of each place of a contig it is taken before regions meet it."""
+    best = scores.groupBy("chrom", "pos").agg(F.max("score").alias("score"))
+
+    def found(r):
+        return points_within(r, best, "pos").select("region_id", (F.col("pos") - F.col("st")).alias("pos"), "score")
+
+    return _by_place(regions, found, F.max("score").alias("score"))
