@@ -90,12 +90,30 @@ def _by_place(regions: DataFrame, found, merged: Column, more: DataFrame | None
 
 
 def annotate_splice_signals(regions: DataFrame, introns: DataFrame) -> DataFrame:
-    """(region_id, pos, bits): introns inside a region mark their ends, 1 and 2 on the plus strand, 8 and 4 on the minus."""
-    inner = points_within(regions, introns.select("chrom", F.col("st").alias("ist"), F.col("en").alias("ien"), "strand"), "ist").filter(F.col("ien") <= F.col("en"))
-    plus = F.col("strand") == "+"
-    ends = F.array(F.struct((F.col("ist") - F.col("st")).alias("pos"), F.when(plus, 1).otherwise(8).alias("bit")),
-                   F.struct((F.col("ien") - 1 - F.col("st")).alias("pos"), F.when(plus, 2).otherwise(4).alias("bit")))
-    return inner.select("region_id", F.explode(ends).alias("e")).groupBy("region_id", F.col("e.pos").alias("pos")).agg(F.bit_or("e.bit").alias("bits"))
+    """(region_id, pos, bits): introns inside a region mark their ends, 1 and 2 on the plus strand, 8 and 4 on the minus.
+
+    A begin is marked if the shortest intron from there ends in the region, an end if the shortest up to there begins in it, so
+    introns are reduced to places before they meet regions. Introns that end before they begin mark places outside too and are
+    joined as they are.
+    """
+    plus = F.coalesce(F.col("strand") == "+", F.lit(False))
+    i = introns.select("chrom", F.col("st").alias("ist"), F.col("en").alias("ien"), plus.alias("plus"))
+    none = F.lit(None).cast("long")
+    ends = F.array(F.struct(F.col("ist").cast("long").alias("place"), F.col("ien").cast("long").alias("to"), none.alias("from")),
+                   F.struct((F.col("ien") - 1).cast("long").alias("place"), none.alias("to"), F.when(F.col("ist") < F.col("ien"), F.col("ist").cast("long")).alias("from")))
+    e = i.select("chrom", "plus", F.inline(ends))
+    marks = e.groupBy("chrom", "place").agg(F.min(F.when(F.col("plus"), F.col("to"))).alias("to1"), F.min(F.when(~F.col("plus"), F.col("to"))).alias("to8"),
+                                            F.max(F.when(F.col("plus"), F.col("from"))).alias("from2"), F.max(F.when(~F.col("plus"), F.col("from"))).alias("from4"))
+    bit = lambda ok, b: F.when(ok, b).otherwise(0)
+    bits = (bit(F.col("to1") <= F.col("en"), 1).bitwiseOR(bit(F.col("to8") <= F.col("en"), 8))
+            .bitwiseOR(bit(F.col("from2") >= F.col("st"), 2)).bitwiseOR(bit(F.col("from4") >= F.col("st"), 4)))
+
+    def found(r):
+        return points_within(r, marks, "place").select("region_id", (F.col("place") - F.col("st")).alias("pos"), bits.alias("bits")).filter("bits <> 0")
+
+    turned = points_within(regions, i.filter("ist >= ien").distinct(), "ist").filter(F.col("ien") <= F.col("en"))
+    turned = turned.select("region_id", (F.col("ien") - 1 - F.col("st")).alias("pos"), F.when(F.col("plus"), 2).otherwise(4).alias("bits"))
+    return _by_place(regions, found, F.bit_or("bits").alias("bits"), turned)
 
 
 def jumps_in(regions: DataFrame, jump_table: DataFrame) -> DataFrame:

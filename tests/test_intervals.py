@@ -12,6 +12,18 @@ def _tables(spark):
     return (regions, introns, spark.createDataFrame(regions, "region_id long, chrom string, st long, en long"), spark.createDataFrame(introns, "chrom string, st long, en long, strand string"))
 
 
+def test_splice_signals_of_repeated_and_turned_introns(spark):
+    regions, introns, r, i = _tables(spark)
+    want = {}
+    for rid, chrom, st, en in regions:
+        for c, a, b, strand in introns:
+            if c == chrom and st <= a < en and b <= en:
+                for pos, bit in ((a - st, 1 if strand == "+" else 8), (b - 1 - st, 2 if strand == "+" else 4)):
+                    want[rid, pos] = want.get((rid, pos), 0) | bit
+    rows = intervals.annotate_splice_signals(r, i).collect()
+    assert len(rows) == len(want) and {(x.region_id, x.pos): x.bits for x in rows} == want
+
+
 def test_best_scores_of_repeated_places(spark):
     regions, _, r, _ = _tables(spark)
     rng = random.Random(4)
@@ -27,10 +39,11 @@ def test_best_scores_of_repeated_places(spark):
 
 
 def test_places_of_regions_meet_scores_once(spark):
-    """Rows that regions meet are bounded by places, however often scores come."""
+    """Rows that regions meet are bounded by places, however often scores and introns come."""
     r = spark.range(50).selectExpr("id AS region_id", "'c' AS chrom", "0L AS st", "100L AS en")
     s = spark.range(20000).selectExpr("'c' AS chrom", "id % 10 AS pos", "cast(id % 7 as int) AS score")
-    for df, n in ((intervals.best_splice_scores(r, s), 500),):
+    i = spark.range(20000).selectExpr("'c' AS chrom", "id % 10 AS st", "id % 10 + 20 AS en", "'+' AS strand")
+    for df, n in ((intervals.best_splice_scores(r, s), 500), (intervals.annotate_splice_signals(r, i), 1000)):
         assert df.count() == n
         df.collect()
         assert _most_joined(df) <= 50 * 25
