@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK32 = (1 << 32) - 1
@@ -25,8 +25,8 @@ def fast_hash(x: Column) -> Column:
     return xor(x, F.shiftright(x, 16))
 
 
-def masked_hash(key: Column, k: int) -> Column:
-    """The invertible hash of 2k-bit keys (k <= 28); left shifts are masked beforehand."""
+def masked_steps(k: int) -> list:
+    """The steps of the invertible hash of 2k-bit keys (k <= 28), each a function of a column; left shifts are masked beforehand."""
     mask = (1 << 2 * k) - 1
 
     def left(x: Column, n: int) -> Column:
@@ -36,14 +36,31 @@ def masked_hash(key: Column, k: int) -> Column:
     def add(x: Column, y: Column) -> Column:
         return (x + y).bitwiseAND(F.lit(mask).cast("long"))
 
+    return [
+        lambda x: add(F.lit(mask).cast("long") - x, left(x, 21)),
+        lambda x: xor(x, F.shiftright(x, 24)),
+        lambda x: add(add(x, left(x, 3)), left(x, 8)),
+        lambda x: xor(x, F.shiftright(x, 14)),
+        lambda x: add(add(x, left(x, 2)), left(x, 4)),
+        lambda x: xor(x, F.shiftright(x, 28)),
+        lambda x: add(x, left(x, 31)),
+    ]
+
+
+def masked_hash(key: Column, k: int) -> Column:
+    """The invertible hash of 2k-bit keys as one expression; it holds the key some hundred times, see ``with_masked_hash``."""
     x = key.cast("long")
-    x = add(F.lit(mask).cast("long") - x, left(x, 21))
-    x = xor(x, F.shiftright(x, 24))
-    x = add(add(x, left(x, 3)), left(x, 8))
-    x = xor(x, F.shiftright(x, 14))
-    x = add(add(x, left(x, 2)), left(x, 4))
-    x = xor(x, F.shiftright(x, 28))
-    return add(x, left(x, 31))
+    for step in masked_steps(k):
+        x = step(x)
+    return x
+
+
+def with_masked_hash(df: DataFrame, name: str, key: str, k: int) -> DataFrame:
+    """A table with the hash of a column, a projection a step, so that each step is evaluated once a row."""
+    df = df.withColumn(name, F.col(key).cast("long"))
+    for step in masked_steps(k):
+        df = df.withColumn(name, step(F.col(name)))
+    return df
 
 
 def mixed64(x: Column) -> tuple[Column, Column]:

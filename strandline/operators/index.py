@@ -97,9 +97,11 @@ def merge_parts(parts: list[DataFrame]) -> DataFrame:
 
 
 def collisions(kmers: DataFrame, k: int) -> DataFrame:
-    """Different keys under the raw code, the masked hash and the one-round mix cut to 2k bits."""
-    from ..functions.hashing import masked_hash, mixed64
+    """Different keys under the raw code, the masked hash and the one-round mix cut to 2k bits; hashes are taken of different k-mers only."""
+    from ..functions.hashing import mixed64, with_masked_hash
 
+    each = kmers.groupBy("kmer").agg(F.count("*").alias("seeds"))
     upper, lower = mixed64(F.col("kmer"))
     mixed = F.struct(upper.bitwiseAND(F.lit((1 << max(2 * k - 32, 0)) - 1)).alias("u"), lower.bitwiseAND(F.lit((1 << min(2 * k, 32)) - 1)).alias("l"))
-    return kmers.agg(F.countDistinct("kmer").alias("raw_keys"), F.countDistinct(masked_hash(F.col("kmer"), k)).alias("hash_keys"), F.countDistinct(mixed).alias("mixed_keys"), F.count("*").alias("seeds"))
+    keys = with_masked_hash(each, "hash", "kmer", k).withColumn("mixed", mixed)
+    return keys.agg(F.count("kmer").alias("raw_keys"), F.countDistinct("hash").alias("hash_keys"), F.countDistinct("mixed").alias("mixed_keys"), F.coalesce(F.sum("seeds"), F.lit(0)).alias("seeds"))
