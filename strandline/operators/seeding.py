@@ -27,21 +27,22 @@ def select_streaks(hits: DataFrame, lengths: DataFrame, max_occ: int | Column, m
     one seed per ``dist`` bases, 128 at most, the rarest first, then by place. Seeds that occur more
     than ``max_max_occ`` times go in any case.
     """
-    w = Window.partitionBy("seq_id").orderBy("pos")
     h = hits.join(lengths, "seq_id").withColumn("_bad", F.col("n") > max_occ)
     if dist <= 0 or isinstance(max_occ, int) and max_max_occ <= max_occ:
         return h.withColumn("kept", ~F.col("_bad")).drop("_bad", "length")
-    good = F.when(~F.col("_bad"), F.col("pos"))
+    w = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("_good", F.when(~F.col("_bad"), F.col("pos")))
     h = h.withColumns({
-        "_streak": F.sum((~F.col("_bad")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_from": F.coalesce(F.last(good, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)),
-        "_to": F.coalesce(F.first(good, True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("length")),
+        "_streak": F.sum((~F.col("_bad")).cast("long")).over(w),
+        "_from": F.coalesce(F.last("_good", True).over(w), F.lit(0)),
+        # a frame that goes on to the end would be gone through again for every seed
+        "_to": F.coalesce("_good", F.expr("lead(_good) IGNORE NULLS OVER (PARTITION BY seq_id ORDER BY pos)"), F.col("length")),
     })
     k = F.least(F.lit(128), F.floor((F.col("_to") - F.col("_from")) / F.lit(float(dist)) + 0.499))
+    h = h.withColumn("_k", k).drop("_good", "_from", "_to", "length")
     rank = F.row_number().over(Window.partitionBy("seq_id", "_streak", "_bad").orderBy("n", "pos"))
-    h = h.withColumn("_k", k).withColumn("_r", rank)
-    kept = ~F.col("_bad") | (F.col("_r") <= F.col("_k")) & (F.col("n") <= max_max_occ)
-    return h.withColumn("kept", kept).drop("_bad", "_streak", "_from", "_to", "_k", "_r", "length")
+    kept = ~F.col("_bad") | (rank <= F.col("_k")) & (F.col("n") <= max_max_occ)
+    return h.withColumn("kept", kept).drop("_bad", "_streak", "_k")
 
 
 def repetitive_length(filtered: DataFrame) -> DataFrame:

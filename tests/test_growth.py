@@ -1,9 +1,11 @@
 """Steps whose work or memory has to grow no faster than their input."""
 
+import random
+
 import numpy as np
 
 from strandline.functions.hashing import masked_hash, with_masked_hash
-from strandline.operators import index
+from strandline.operators import index, seeding
 
 
 def _optimized(df) -> str:
@@ -22,3 +24,26 @@ def test_collisions_hash_different_kmers_once(spark):
     assert both.where(masked_hash(both.kmer, 15) != both.h).count() == 0
     none = index.collisions(df.limit(0), 15).first()
     assert tuple(none) == (0, 0, 0, 0)
+
+
+def test_streaks_by_running_frames(spark):
+    rng = random.Random(5)
+    lengths = {i: rng.randrange(200, 900) for i in range(12)}
+    hits = [(i, p, 15, rng.choice([1, 1, 3, 5, 9, 20])) for i in lengths for p in sorted(rng.sample(range(14, lengths[i]), 60))]
+    want = {}
+    for i, n in lengths.items():
+        mine = [h for h in hits if h[0] == i]
+        good = [h[1] for h in mine if h[3] <= 2]
+        streaks = {}
+        for _, p, _, c in mine:
+            want[i, p] = c <= 2
+            if c > 2:
+                streaks.setdefault(sum(g <= p for g in good), []).append((c, p))
+        for s, bad in streaks.items():
+            begin, end = ([0, *good][s], [*good, n][s])
+            for c, p in sorted(bad)[: min(128, int((end - begin) / 50 + 0.499))]:
+                want[i, p] = c <= 10
+    out = seeding.select_streaks(spark.createDataFrame(hits, "seq_id long, pos long, span int, n long"), spark.createDataFrame([*lengths.items()], "seq_id long, length long"), 2, 10, 50)
+    rows = out.collect()
+    assert len(rows) == len(hits) and {(r.seq_id, r.pos): r.kept for r in rows} == want
+    assert "currentrow$(), unboundedfollowing" not in _optimized(out)
