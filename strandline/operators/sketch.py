@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,21 @@ from ..functions import kernels as K
 from ..runtime import map_arrow
 
 
+#: Letters that a kernel treats at once; its arrays take some hundred bytes a letter.
+KERNEL_LETTERS = 1 << 18
+
+
+def _few(batches, letters: int = KERNEL_LETTERS):
+    """Batches of (seq_id, seq) in pieces of so many letters at most, or of one sequence."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + letters, "right")))
+            yield b.slice(at, upto - at)
+            at = upto
+
+
 def _ids_at(ids: pa.Array, off: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Sequence ids of places, and places within their sequences."""
     row = np.searchsorted(off, at, "right") - 1
@@ -28,7 +44,7 @@ def _id_kind(seqs: DataFrame) -> str:
 def minimizers(seqs: DataFrame, k: int = 15, w: int = 11, canonical: bool = True, block_compat: bool = False) -> DataFrame:
     """(seq_id, pos, hash): pos is a k-mer's begin, the hash has its low 8 bits cleared."""
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             codes, off = K.sequences(b.column(1))
             at, h = K.minimizer_places(codes, off, k, w, canonical, 128 if block_compat else None)
             ids, pos = _ids_at(b.column(0), off, at)
@@ -43,7 +59,7 @@ def syncmers(seqs: DataFrame, k: int = 31, s: int = 11, t: int = 0, closed: bool
         raise ValueError("s-mers have at most 16 bases")
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             codes, off = K.sequences(b.column(1))
             ids, pos = _ids_at(b.column(0), off, K.syncmer_places(codes, off, k, s, t, closed, strict, canonical))
             yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int64())], ["seq_id", "pos"])
@@ -54,7 +70,7 @@ def syncmers(seqs: DataFrame, k: int = 31, s: int = 11, t: int = 0, closed: bool
 def smer_hashes(seqs: DataFrame, s: int = 11, canonical: bool = True) -> DataFrame:
     """(seq_id, n, digest): how many s-mers a sequence has, and the XOR of their hashes."""
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             codes, off = K.sequences(b.column(1))
             h = K.kmer_hashes(codes, s, canonical)
             ok = K.fits(off, len(h), s)
@@ -75,7 +91,7 @@ def sampled_kmers(seqs: DataFrame, k: int = 15, w: int = 11, sampler: str = "min
     reverse complement is the lesser code.
     """
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             codes, off = K.sequences(b.column(1))
             at = K.minimizer_places(codes, off, k, w)[0] if sampler == "minimizer" else K.syncmer_places(codes, off, k, s)
             x, strand = K.harvested(codes, at, k, canonical, mixed)
@@ -88,7 +104,7 @@ def sampled_kmers(seqs: DataFrame, k: int = 15, w: int = 11, sampler: str = "min
 def seeds(seqs: DataFrame, k: int = 15, w: int = 11) -> DataFrame:
     """(seq_id, key, span, pos, strand): minimizers for seeding; pos is the k-mer's last base."""
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             codes, off = K.sequences(b.column(1))
             at, _ = K.minimizer_places(codes, off, k, w)
             x, strand = K.harvested(codes, at, k, True, False)
@@ -129,7 +145,7 @@ def native_seeds(seqs: DataFrame, k: int = 15, w: int = 10, compressed: bool = F
         for columns in found:
             out.append(columns)
             held += len(columns[0])
-            if held >= 1 << 20:
+            if held >= 1 << 17:
                 yield batch()
                 held, out = 0, []
         if out:

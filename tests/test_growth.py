@@ -3,15 +3,28 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from strandline.functions.hashing import masked_hash, with_masked_hash
-from strandline.operators import index, seeding
+from strandline.operators import index, seeding, sketch
 
 
 def _optimized(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_kernels_get_few_letters_at_once():
+    rng = random.Random(1)
+    texts = [None if rng.random() < 0.1 else "A" * rng.choice([0, 1, 7, 40, 300]) for _ in range(500)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], ["seq_id", "seq"])
+    pieces = list(sketch._few([b, b.slice(100, 50), b.slice(0, 0)], 256))
+    assert [i for p in pieces for i in p.column(0).to_pylist()] == [*range(500), *range(100, 150)]
+    assert [t for p in pieces for t in p.column(1).to_pylist()] == texts + texts[100:150]
+    letters = [sum(len(t or "") for t in p.column(1).to_pylist()) for p in pieces]
+    assert all(n <= 256 or p.num_rows == 1 for n, p in zip(letters, pieces))
+    assert len(pieces) < 2 * sum(letters) / 256 + 4
+
+
 def test_collisions_hash_different_kmers_once(spark):
     rng = np.random.default_rng(2)
     kmers = rng.integers(0, 4**7, 4000).tolist() + [0] * 500
