@@ -1,12 +1,16 @@
 """Steps whose work or memory has to grow no faster than their input."""
 
+import os
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 
 from strandline.functions.hashing import masked_hash, with_masked_hash
 from strandline.operators import index, seeding, sketch
+from strandline.plans import registry
+from tests.test_intervals import _most_joined
 
 
 def _optimized(df) -> str:
@@ -60,3 +64,19 @@ def test_streaks_by_running_frames(spark):
     rows = out.collect()
     assert len(rows) == len(hits) and {(r.seq_id, r.pos): r.kept for r in rows} == want
     assert "currentrow$(), unboundedfollowing" not in _optimized(out)
+
+
+def test_pairing_meets_copies_once(spark, tmp_path):
+    """Anchors of copies are made once; the result is that of the SQL over all documents."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("ACGT", k=240)) for _ in range(4)]
+    rows = [(100 - i, texts[i % 3] if i < 60 else "" if i < 70 else texts[3]) for i in range(71)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(os.path.join(tmp_path, "documents.parquet"))
+    df = registry.QUERIES["pairing"](spark, str(tmp_path))
+    got = df.select("qid", "tid", "rev", "rank1", "rank2", "score").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT qid, tid, rev, rank1, rank2, score FROM ({registry.ORACLES['pairing']})").fetchall()
+    assert len(want) == 61 and sorted(map(tuple, got)) == sorted(want)
+    df.collect()
+    assert _most_joined(df) < 3 * 20 * 20  # twenty copies of three texts, some forty seeds each
