@@ -373,6 +373,49 @@ def test_language_model_against_a_slow_one(spark):
     assert rows[3].bits_per_byte < 0.5 * rows[4].bits_per_byte
 
 
+class SlowModelOfEveryWord(SlowModel):
+    """Last words that are not among the very frequent ones are contexts too, words out of the dictionary as well."""
+
+    def tokens(self, text):
+        for (*_, two), r, word in super().tokens(text):
+            yield [("one", two[1]), two], r, word
+
+
+def test_every_last_word_is_a_context(spark):
+    """Scores of the query: no last word goes without its own counts, whatever the number of those that are broadcast."""
+    r = random.Random(21)
+    texts = [" ".join(r.choices(VOCAB[:60], k=r.randint(0, 200))) + r.choice(["", " zebra Ünd", " x" * 5]) for _ in range(40)]
+    texts += [texts[3], None, "", "one", "zebra one zebra one"]
+    train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
+    kept, seen = (lm.HEAD, lm.CHUNK_BYTES, lm.PART_BYTES, lm.HOT), []
+    lm.HEAD, lm.CHUNK_BYTES, lm.PART_BYTES, lm.HOT = 50, 2000, 3000, 4
+    take = spark.sparkContext.broadcast
+    try:
+        spark.sparkContext.broadcast = lambda x: seen.append(x) or take(x)
+        rows = {x.doc_id: x for x in lm.query(docs(spark, texts)).collect()}
+    finally:
+        spark.sparkContext.broadcast = take
+        lm.HEAD, lm.CHUNK_BYTES, lm.PART_BYTES, lm.HOT = kept
+    model = next(x for x in seen if isinstance(x, lm.Model))
+    slow = SlowModelOfEveryWord(model, texts, train)
+    for i, t in enumerate(texts):
+        assert rows[i].score == pytest.approx(slow.score(t, train[i]), rel=2e-4), i
+
+
+def test_answers_say_once_what_neighbours_share():
+    r = np.random.RandomState(5)
+    path, _ = lm.branches(r.randint(1, 1000, 300))
+    for some in (1, 7, 400):
+        pair = np.unique(r.randint(0, 3 * 300, some))
+        context, rank = pair // 300, pair % 300
+        w = lm.ways(context, rank, r.randint(0, 4, len(pair)), path)
+        asked = np.flatnonzero(r.rand(len(pair)) < 0.6)
+        w, part = w.take(asked), lm.partings(context[asked], path[rank[asked]])
+        few = lm.unshared(w, part)
+        again = lm.shared(few, part)
+        assert all((getattr(again, k) == getattr(w, k)).all() for k in ("own", "edge", "depth", "drop")) and (some < 400 or len(few.drop) < 0.8 * len(w.drop))
+
+
 def test_codes_are_a_distribution():
     """Chances of all leaves in any context add up to one, and the costs of all bytes too."""
     r = np.random.RandomState(3)
