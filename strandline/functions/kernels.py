@@ -187,10 +187,18 @@ def block_sketch(text: bytes, w: int, k: int, low: int, high: int, ends: bool) -
     w + k - 2 letters before its last base and w - 1 after it. A piece that holds these tells its own; with ``ends`` it
     reaches the sequence's end, whose last w letters have a minimizer though no window may be full there.
     """
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    base = _BASE[np.frombuffer(text, np.uint8)]
+    key, _, at, strand = block_sketches([text], w, k, np.array([low]), np.array([high]), np.array([ends]))
+    return key, at, strand
+
+
+def block_sketches(texts: list[bytes], w: int, k: int, low: np.ndarray, high: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``block_sketch`` of many pieces at once: (key, piece, last base, strand). A letter between them that is no base parts
+    their windows, as full windows hold bases only."""
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    base = _BASE[np.frombuffer(b"#".join(texts), np.uint8)]
     if len(base) < k:
-        return none
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     place = np.arange(len(base))
     run = place - np.maximum.accumulate(np.where(base > 3, place, -1))  # bases in a row up to here
     fwd, rev = big_endian(base & 3, k)
@@ -204,14 +212,18 @@ def block_sketch(text: bytes, w: int, k: int, low: int, high: int, ends: bool) -
         least = np.concatenate([side, np.where(full, sliding_min(x, w), np.uint64(0)), side])
         count = np.concatenate([[0], np.cumsum(np.concatenate([side.astype(bool), full, side.astype(bool)]))])
         keep = known & (count[w:] > count[:-w]) & (~sliding_min(~least, w) == x)
-    if ends:
-        last = x[max(0, len(x) - w) :]
-        if known[len(x) - len(last) :].any():
-            keep[len(x) - 1 - int(np.argmin(last[::-1]))] = True
-    keep[: max(0, low - k + 1)] = False
-    keep[max(0, high - k + 1) :] = False
+    some = ends & (size >= k)
+    at = (begin + size - k)[some, None] - np.arange(w)  # the last w k-mers, from the end
+    inside = at >= begin[some, None]
+    at = np.maximum(at, 0)
+    last = at[np.arange(len(at)), np.argmin(np.where(inside, x[at], ~np.uint64(0)), axis=1)]
+    keep[last[(inside & known[at]).any(1)]] = True
     at = np.flatnonzero(keep)
-    return x[at], at + k - 1, (fwd[at] > rev[at]).astype(np.int32)
+    piece = np.searchsorted(begin, at, "right") - 1
+    pos = at - begin[piece] + k - 1
+    own = (pos >= low[piece]) & (pos < high[piece])
+    at = at[own]
+    return x[at], piece[own], pos[own], (fwd[at] > rev[at]).astype(np.int32)
 
 
 def _plain_sketch(seq: str, w: int, k: int) -> list[tuple[int, int, int, int]]:

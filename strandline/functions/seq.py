@@ -14,7 +14,7 @@ IUPAC_COMPLEMENT = "TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn"
 def bases(text: str | Column = "text") -> Column:
     """The A, C, G and T of a text, upper-cased; null as empty."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^ACGTacgt]", ""))
+    return F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^ACGTacgt]+", ""))
 
 
 def reverse_complement(seq: str | Column) -> Column:

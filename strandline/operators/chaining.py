@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import map_arrow, ship
+from ..runtime import map_arrow, ship, tasks
 
 
 @dataclass(frozen=True)
@@ -42,19 +42,20 @@ def gap_limits(short_reads: bool, fragment: bool, max_gap: int, max_gap_ref: int
 
 
 def link_scores(q, t, span, seg, i: int, lo: int, o: ChainOptions) -> np.ndarray:
-    """What anchor i adds when it follows each of the anchors lo..i-1; minus infinity where it cannot."""
-    dq, dr = q[i] - q[lo:i], t[i] - t[lo:i]
-    same = seg[lo:i] == seg[i]
+    """What anchor i adds when it follows each of the anchors lo..i-1; minus infinity where it cannot. Groups may be rows of arrays."""
+    dq, dr = q[..., i, None] - q[..., lo:i], t[..., i, None] - t[..., lo:i]
+    same = seg[..., lo:i] == seg[..., i, None]
     d = np.abs(dr - dq)
     bad = (dq <= 0) | (dq > o.max_dist_x) | same & ((dr == 0) | (dq > o.max_dist_y) | (d > o.bw) | (o.segments > 1 and not o.spliced) & (dr > o.max_dist_y))
     least = np.minimum(dq, dr)
-    sc = np.minimum(span[lo:i], least).astype(np.float64)
+    span = span[..., lo:i]
+    sc = np.minimum(span, least).astype(np.float64)
     linear = o.gap * d + o.skip * least
     log = np.where(d >= 1, np.log2(d + 1.0), 0.0)
     free = o.spliced & (dr > dq) | ~same
     cost = np.where(free, np.minimum(linear, log), linear + 0.5 * log)
     # ends of segments that overlap on the target are worth a little instead of costing
-    sc = np.where(~same & (dr == 0), sc + 1, np.where((d > 0) | (least > span[lo:i]), sc - np.trunc(cost), sc))
+    sc = np.where(~same & (dr == 0), sc + 1, np.where((d > 0) | (least > span), sc - np.trunc(cost), sc))
     return np.where(bad, -np.inf, sc)
 
 
@@ -75,6 +76,25 @@ def best_scores(q, t, span, seg, o: ChainOptions) -> tuple[np.ndarray, np.ndarra
     return f, before
 
 
+def best_scores_of_groups(q, t, span, seg, o: ChainOptions) -> tuple[np.ndarray, np.ndarray]:
+    """``best_scores`` of many groups at once, which are the rows of arrays; what fills a row up stands behind its anchors and follows none.
+
+    Largest distances of ``o`` may differ by row (columns of one number).
+    """
+    f, before = span.astype(np.float64).copy(), np.full(q.shape, -1)
+    row = np.arange(len(q))
+    for i in range(1, q.shape[1]):
+        a = max(0, i - o.max_iter)
+        if a == i:
+            continue
+        s = f[:, a:i] + link_scores(q, t, span, seg, i, a, o)
+        s[t[:, i, None] - t[:, a:i] > o.max_dist_x] = -np.inf
+        k = s.shape[1] - 1 - np.argmax(s[:, ::-1], axis=1)
+        better = s[row, k] > f[:, i]
+        f[better, i], before[better, i] = s[row, k][better], a + k[better]
+    return f, before
+
+
 def best_scores_by_range(q, t, span, o: ChainOptions) -> tuple[np.ndarray, np.ndarray]:
     """The same for long gaps: no band, and every earlier anchor within reach counts, found by range maxima.
 
@@ -190,6 +210,8 @@ def backtrack(f: np.ndarray, before: np.ndarray, o: ChainOptions) -> list[tuple[
     return out
 
 
+#: Groups of up to so many anchors are scored together, so many pairs of anchors at once.
+SMALL_GROUP, PAIRS_AT_ONCE = 64, 1 << 20
 #: A query is chained again with a wider band if its best chain leaves so many bases, or covers so much of it.
 UNCOVERED, COVERED = 1000, 0.1
 ANCHOR = "struct<tpos:long,qpos:long,span:int>"
@@ -211,15 +233,19 @@ def chain_rows(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_
         f, before = best_scores_by_range(q, t, span, o) if long_gaps else best_scores(q, t, span, seg, o)
         return backtrack(f, before, o)
 
-    def group(c: dict[str, np.ndarray]) -> list[tuple]:
+    def limited(length):
+        on_query, on_target = limits(length)
+        return max(on_target, on_query), on_query
+
+    def group(c: dict[str, np.ndarray], scored=None) -> list[tuple]:
         q, t, span = c["qpos"], c["tpos"], c["span"]
         seg = c["seg"] if "seg" in c else np.zeros(len(q), np.int64)
         length = int(c["length"][0]) if "length" in c else 0
         o = options
         if limits is not None:
-            on_query, on_target = limits(length)
-            o = replace(options, max_dist_x=max(on_target, on_query), max_dist_y=on_query)
-        found = chained(q, t, span, seg, o, long_gaps)
+            x, y = limited(length)
+            o = replace(options, max_dist_x=x, max_dist_y=y)
+        found = backtrack(*scored, o) if scored else chained(q, t, span, seg, o, long_gaps)
         if wider > options.bw and len(found) > 1:
             covered = int(q[found[0][1][-1]] - q[found[0][1][0]])
             if length - covered > UNCOVERED or covered > length * COVERED:
@@ -243,9 +269,36 @@ def chain_rows(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_
         key = np.stack([c[k][a:b] for k in ("qid", "tid", "rev")])
         edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [b - a]]) + a
         most = np.add.reduceat(c["span"][a:b], edge[:-1] - a)  # no chain scores more than its spans
-        for x, y, m in zip(edge[:-1].tolist(), edge[1:].tolist(), most.tolist()):
-            if y - x >= options.min_cnt and m >= options.min_score:
-                yield from group({k: v[x:y] for k, v in c.items()})
+        first, size = edge[:-1], np.diff(edge)
+        todo = np.flatnonzero((size >= options.min_cnt) & (most >= options.min_score))
+        scored = {} if long_gaps else small(c, first[todo], size[todo])
+        for x, n in zip(first[todo].tolist(), size[todo].tolist()):
+            if long_gaps or n > SMALL_GROUP:
+                yield from group({k: v[x : x + n] for k, v in c.items()})
+            elif x in scored:
+                yield from group({k: v[x : x + n] for k, v in c.items()}, scored[x])
+
+    def small(c, first, size):
+        """Best scores, and anchors before, of the small groups that have a chain good enough, by where they begin."""
+        out, begin = {}, 0
+        for upto in (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, SMALL_GROUP):
+            rows = np.flatnonzero((size > begin) & (size <= upto))
+            begin = upto
+            for i in range(0, len(rows), max(1, PAIRS_AT_ONCE // upto)):
+                at, n = first[rows[i : i + PAIRS_AT_ONCE // upto]], size[rows[i : i + PAIRS_AT_ONCE // upto]]
+                place = at[:, None] + np.minimum(np.arange(upto), n[:, None] - 1)
+                q, t, span = (c[k][place] for k in ("qpos", "tpos", "span"))
+                seg = c["seg"][place] if "seg" in c else np.zeros(q.shape, np.int64)
+                o = options
+                if limits is not None:
+                    lengths, back = np.unique(c["length"][at] if "length" in c else np.zeros(len(at), np.int64), return_inverse=True)
+                    x, y = np.array([limited(int(v)) for v in lengths]).T[:, back, None]
+                    o = replace(options, max_dist_x=x, max_dist_y=y)
+                f, before = best_scores_of_groups(q, t, span, seg, o)
+                good = (np.where(np.arange(upto) < n[:, None], f, -np.inf) >= options.min_score).any(1)
+                for g in np.flatnonzero(good).tolist():
+                    out[int(at[g])] = f[g, : n[g]], before[g, : n[g]]
+        return out
 
     def run(batches):
         held: list[dict[str, np.ndarray]] = []
@@ -272,8 +325,9 @@ def chain_rows(anchors: DataFrame, options: ChainOptions = ChainOptions(), long_
             c = {k: np.concatenate([h[k] for h in held]) for k in columns}
             yield out(list(some(c, 0, len(c["qid"]))))
 
-    dealt = anchors.select(*columns).repartition("qid", "tid", "rev").sortWithinPartitions("qid", "tid", "rev", "tpos", "qpos")
-    found = map_arrow(dealt, run, CHAIN)
+    # a number, as adaptive execution would put the few bytes of much work into a few tasks
+    dealt = anchors.select(*columns).repartition(tasks(anchors.sparkSession), "qid", "tid", "rev").sortWithinPartitions("qid", "tid", "rev", "tpos", "qpos")
+    found = map_arrow(dealt, run, CHAIN).repartition(tasks(anchors.sparkSession), "qid")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "tid", "rev", F.element_at("places", 1).tpos)
     return found.withColumn("chain", F.row_number().over(w).cast("long") - 1)
 

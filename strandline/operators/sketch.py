@@ -163,9 +163,12 @@ def native_seeds(seqs: DataFrame, k: int = 15, w: int = 10, compressed: bool = F
     def pieces(batches):
         def found():
             for b in batches:
-                for i, first, own, n, text in zip(*(b.column(c).to_pylist() for c in ("seq_id", "first", "own", "n", "seq"))):
-                    key, at, strand = K.block_sketch(text.encode(), w, k, own - first, own - first + block, first + len(text) == n)
-                    yield np.full(len(key), i), key.view(np.int64), np.full(len(key), k), at + first, strand
+                for part in _few([b]):
+                    ids, first, own, n = (part.column(c).to_numpy() for c in (0, 2, 3, 4))
+                    texts = part.column(1).to_pylist()
+                    ends = first + np.array([len(t) for t in texts]) == n
+                    key, piece, at, strand = K.block_sketches([t.encode() for t in texts], w, k, own - first, own - first + block, ends)
+                    yield ids[piece], key.view(np.int64), np.full(len(key), k), at + first[piece], strand
 
         yield from batches_of(found())
 
@@ -175,7 +178,8 @@ def native_seeds(seqs: DataFrame, k: int = 15, w: int = 10, compressed: bool = F
     b = seqs.filter("seq <> ''").select("seq_id", "seq", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("_b"))
     own = F.col("_b") * block
     first = F.greatest(own - (w + k - 2), F.lit(0))
-    b = b.select("seq_id", first.alias("first"), own.alias("own"), "n", F.substring("seq", (first + 1).cast("int"), (own + block + w - 1 - first).cast("int")).alias("seq"))
+    piece = F.substring("seq", (first + 1).cast("int"), (own + block + w - 1 - first).cast("int"))
+    b = b.select("seq_id", piece.alias("seq"), first.alias("first"), own.alias("own"), "n")
     if spread:
         b = b.repartition("seq_id", "own")
     return map_arrow(b, pieces, schema)

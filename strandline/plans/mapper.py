@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.seq import reverse_complement
 from ..operators import alignment as A
 from ..operators import chaining, index, intervals, jumping, regions, seeding, sketch
-from ..runtime import cut, scratch_path, ship
+from ..runtime import cut, scratch_path, ship, tasks
 from .options import Options, preset
 
 
@@ -50,6 +50,7 @@ class Known:
 def build_index(refs: DataFrame, options: Options | str | None = None) -> Index:
     o = options if isinstance(options, Options) else preset(options)
     path, spark = scratch_path(refs.sparkSession), refs.sparkSession
+    refs = cut(refs)  # read again for names, lengths and windows
     index.save(seeds_of(refs, o, spread=True), f"{path}/seeds")
     seeds = index.load(spark, f"{path}/seeds")
     index.save(index.key_counts(seeds), f"{path}/counts")  # counted within the buckets
@@ -181,6 +182,7 @@ def regions_of(rows: DataFrame, o: Options, alternates: DataFrame | None = None,
     else:
         r = r.withColumn("rank_score", F.col(by))
     w = Window.partitionBy("qid").orderBy(F.desc("rank_score"), F.desc("score"), F.desc("hash"), "tid", "rs", "rev")
+    r = r.repartition(tasks(r.sparkSession), "qid")
     r = r.withColumn("rank", F.row_number().over(w).cast("long"))
     r = chaining.parents(r, o.mask_level, sub_diff=2 * o.match + o.mismatch, alt_drop=o.alt_drop)
     if not select or o.all_chains or o.pri_ratio <= 0:
@@ -369,6 +371,8 @@ def _aligned(r: DataFrame, names: DataFrame, x: Index, min_cnt: int, known: Know
         for pdf in batches:
             yield pd.DataFrame([row for y in pdf.itertuples(index=False) for row in _alignments(y, o, scoring, scored)], columns=columns)
 
+    # few bytes, much work: by an expression, as a partitioning by row is there and would be kept in a few tasks
+    r = r.repartition(tasks(x.refs.sparkSession), F.xxhash64("row"))
     return _qualified(regions.region_filter(r.mapInPandas(run, ALIGNED), min_cnt, o.min_chain_score, o.min_dp_max, o.max_clip), o, _alternates(x))
 
 

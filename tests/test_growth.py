@@ -1,5 +1,6 @@
 """Steps whose work or memory has to grow no faster than their input."""
 
+import collections
 import os
 import random
 
@@ -7,8 +8,9 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
+from strandline.functions import kernels as K
 from strandline.functions.hashing import masked_hash, with_masked_hash
-from strandline.operators import index, seeding, sketch
+from strandline.operators import chaining, index, seeding, sketch
 from strandline.plans import registry
 from tests.test_intervals import _most_joined
 
@@ -80,3 +82,52 @@ def test_pairing_meets_copies_once(spark, tmp_path):
     assert len(want) == 61 and sorted(map(tuple, got)) == sorted(want)
     df.collect()
     assert _most_joined(df) < 3 * 20 * 20  # twenty copies of three texts, some forty seeds each
+
+
+def test_groups_are_scored_together_as_one_by_one():
+    """Links and scores of many small groups in one array: those of each group by itself, ties too, with fillers behind short ones."""
+    r = np.random.RandomState(8)
+    for o in (chaining.ChainOptions(), chaining.ChainOptions(spliced=True, max_dist_x=300), chaining.ChainOptions(segments=2, bw=40, max_iter=3)):
+        size = r.randint(1, 13, 200)
+        place = np.minimum(np.arange(12), size[:, None] - 1)
+        q, t, span = r.randint(0, 400, (200, 12)), np.sort(r.randint(0, 400, (200, 12)), axis=1), r.randint(9, 13, (200, 12))
+        seg = r.randint(0, o.segments, (200, 12))
+        row = np.arange(200)[:, None]
+        f, before = chaining.best_scores_of_groups(*(x[row, place] for x in (q, t, span, seg)), o)
+        for g, n in enumerate(size.tolist()):
+            one, prev = chaining.best_scores(q[g, :n], t[g, :n], span[g, :n], seg[g, :n], o)
+            assert (f[g, :n] == one).all() and (before[g, :n] == prev).all()
+
+
+def test_small_groups_reach_the_backtrack_only_with_a_chain(spark):
+    """A group that no chain good enough ends in costs no loop of its own; chains are those of groups taken one by one."""
+    r = np.random.RandomState(3)
+    rows = [(int(i % 7), int(i), 0, int(x), int(y), 11) for i in range(300) for x, y in zip(sorted(r.randint(0, 2000, 1 + i % 5)), r.randint(0, 2000, 1 + i % 5))]
+    rows += [(1, 5000, 0, 100 + 12 * j, 50 + 12 * j, 11) for j in range(90)] + [(2, 5001, 1, 100 + 12 * j, 50 + 12 * j, 11) for j in range(9)]
+    a = spark.createDataFrame(rows, "qid long, tid long, rev int, tpos long, qpos long, span int")
+    o = chaining.ChainOptions(min_cnt=2, min_score=15)
+    groups = collections.defaultdict(list)
+    for qid, tid, rev, x, y, n in rows:
+        groups[qid, tid, rev].append((x, y, n))
+    want = []
+    for key, g in groups.items():
+        t, q, n = np.array(sorted(g)).T
+        want += [(*key, int(s), len(w)) for s, w in chaining.backtrack(*chaining.best_scores(q, t, n, np.zeros(len(q), int), o), o)]
+    got = chaining.chain_rows(a, o)
+    assert sorted((x.qid, x.tid, x.rev, x.score, x.cnt) for x in got.collect()) == sorted(want) and want
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pieces_are_sketched_together_as_one_by_one():
+    r = np.random.RandomState(2)
+    texts = ["".join(r.choice(list("ACGTN"), n, p=[0.24, 0.24, 0.24, 0.24, 0.04])).encode() for n in r.randint(0, 90, 120)] + [b"", b"ACGTACGTACG", b"N" * 40]
+    n = len(texts)
+    low, high, ends = r.randint(0, 30, n), r.randint(20, 100, n), r.rand(n) < 0.7
+    for w, k in ((5, 11), (10, 15), (1, 3), (60, 5)):
+        key, piece, at, strand = K.block_sketches(texts, w, k, low, high, ends)
+        for i, text in enumerate(texts):
+            one = K.block_sketch(text, w, k, int(low[i]), int(high[i]), bool(ends[i]))
+            mine = piece == i
+            assert (key[mine] == one[0]).all() and (at[mine] == one[1]).all() and (strand[mine] == one[2]).all() and mine.sum() == len(one[0])
+            if ends[i]:
+                assert [(x[0], x[2], x[3]) for x in K._stepwise_sketch(text.decode(), w, k, False) if low[i] <= x[2] < high[i]] == list(zip(key[mine].tolist(), at[mine].tolist(), strand[mine].tolist()))
