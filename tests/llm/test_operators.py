@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -416,6 +417,42 @@ def test_answers_say_once_what_neighbours_share():
         assert all((getattr(again, k) == getattr(w, k)).all() for k in ("own", "edge", "depth", "drop")) and (some < 400 or len(few.drop) < 0.8 * len(w.drop))
 
 
+def test_answers_leave_out_what_the_chunk_can_add_up():
+    """With all pairs of a context at hand nothing falls elsewhere; questions are read back as they were."""
+    r = np.random.RandomState(6)
+    path, _ = lm.branches(r.randint(1, 1000, 300))
+    pair = np.unique(r.randint(0, 40 * 300, 3000))
+    w, part = lm.ways(pair // 300, pair % 300, r.randint(0, 4, len(pair)), path), lm.partings(pair // 300, path[pair % 300])
+    few = lm.unshared(w, part)
+    again = lm.shared(few, part)
+    assert len(few.drop) == 0 < len(w.drop) and all((getattr(again, k) == getattr(w, k)).all() for k in ("own", "edge", "depth", "drop"))
+    words = [f"w{i}" for i in range(300)]
+    model = lm.Model(lm.Dictionary({w.encode(): int(r.randint(1, 99)) for w in words}, 9, 20_000, 300), np.zeros(1, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), None, 32, 4)
+    for n in (0, 1, 5000):
+        pairs = np.unique(r.randint(0, 900, n).astype(np.uint64) << np.uint64(lm.RANK_BITS + 20) | r.randint(0, 300, n).astype(np.uint64))
+        assert (model.unpack(*model.pack(pairs)) == pairs).all()
+
+
+def test_slices_of_a_chunk_change_no_score(spark, monkeypatch):
+    """Chunks are asked and answered as a whole, but taken in and scored a few texts at a time."""
+    texts = docs(spark, [prose(90, i) for i in range(30)] + [None, "one"])
+    seen, take = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: seen.append(x) or take(x))
+    lm.query(texts)
+    model = next(x for x in seen if isinstance(x, lm.Model))
+    batch = texts.selectExpr("doc_id id", "coalesce(text, '') text", "crc32(cast(string(doc_id) as binary)) % 5 != 1 train").toArrow().combine_chunks().to_batches()
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    scores = []
+    for size in (1 << 20, 50):
+        for k in ("SLICE", "MERGED", "BATCH_BYTES"):
+            monkeypatch.setattr(lm, k, size)
+        rows = pa.Table.from_batches(lm._ask(lambda: model)(iter(batch)))
+        sent = {p: rows.filter(pc.equal(rows["key"], p)) for p in set(rows["key"].to_pylist())}
+        answers = pa.concat_tables([lm._answer(lambda: model)([pa.scalar(p)], x) for p, x in sent.items() if p >= 0])
+        scores.append(lm._score(lambda: model)(None, sent[-1], answers))
+    assert scores[0].num_rows == 32 and scores[0].equals(scores[1])
+
+
 def test_codes_are_a_distribution():
     """Chances of all leaves in any context add up to one, and the costs of all bytes too."""
     r = np.random.RandomState(3)
