@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, regions, seeding, sketch
-from ..runtime import cut
+from ..operators import index, mating, regions, seeding, sketch
 from . import oracle as O
 from .sketch_queries import sequences, table
 
@@ -120,31 +119,9 @@ def _divergence(s, d):
     return regions.chain_divergence(a, query_seeds(s, d), K).select("qid", "tid", "n_match", "n_tot", "div")
 
 
-def _halves(b):
-    """Each sequence as a pair of reads: 2 * id and 2 * id + 1."""
-    half = F.floor(F.length("seq") / 2).cast("int")
-    return b.select((F.col("seq_id") * 2).alias("seq_id"), F.substring("seq", F.lit(1), half).alias("seq")).union(
-        b.select((F.col("seq_id") * 2 + 1).alias("seq_id"), F.substring("seq", half + 1, F.length("seq")).alias("seq")))
-
-
 def _pairs(s, d):
-    """Halves of all documents as pairs on all documents. Documents of the same bases are sketched, looked up and summarised once,
-    then stand for each of them as targets before ranks are given, and as fragments at the end."""
-    docs = sequences(s, d)
-    classes = cut(docs.groupBy("seq").agg(F.min("seq_id").alias("seq_id"), F.count("*").alias("size")))
-    members = cut(docs.join(classes.select("seq", F.col("seq_id").alias("class")), "seq").select("class", F.col("seq_id").alias("member")))
-    reads = _halves(classes)
-    lengths = reads.select("seq_id", F.length("seq").cast("long").alias("length"))
-    t = cut(sketch.seeds(classes.select("seq_id", "seq"), K, W))
-    counts = t.join(classes.select("seq_id", "size"), "seq_id").groupBy("key").agg(F.sum("size").alias("n"))
-    frequent = counts.crossJoin(F.broadcast(index.mid_occ(counts))).filter("n > mid_occ").select("key")  # a single row
-    t = t.join(frequent, "key", "left_anti")
-    r = regions.summarise_chains(seeding.anchors(sketch.seeds(reads, K, W), t, lengths).withColumn("chain", F.lit(0))).filter("cnt >= 2")
-    r = r.join(members.withColumnRenamed("class", "tid"), "tid").drop("tid").withColumnRenamed("member", "tid")
-    r = regions.ranked(_scored(r))
-    fragment = lambda x: x.withColumn("qid", F.floor(F.col("qid") / 2).cast("long"))
-    p = regions.pairs(fragment(r.filter("qid % 2 = 0")), fragment(r.filter("qid % 2 = 1")), 5000)
-    return p.join(members.withColumnRenamed("class", "qid"), "qid").withColumn("qid", F.col("member")).drop("member")
+    """Halves of all documents as pairs on all documents."""
+    return mating.pair_halves(sequences(s, d), K, W, 5000)
 
 
 def _collisions(s, d):

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from strandline.functions import kernels as K
 from strandline.functions.hashing import masked_hash, with_masked_hash
-from strandline.operators import chaining, index, seeding, sketch
+from strandline.operators import chaining, index, mating, seeding, sketch
 from strandline.plans import registry
 from tests.test_intervals import _most_joined
 
@@ -84,6 +84,72 @@ def test_pairing_meets_copies_once(spark, tmp_path):
     assert _most_joined(df) < 3 * 20 * 20  # twenty copies of three texts, some forty seeds each
 
 
+def test_pairing_makes_no_rows_of_anchors(spark, tmp_path, monkeypatch):
+    """Near copies, which share most keys: rows that the plan joins do not grow with their pairs. Passages that come back, turned ones too, copies and short texts are there."""
+    monkeypatch.setattr(mating, "BLOCK_SEEDS", 1000)
+    rng = random.Random(9)
+    turned = lambda t: t[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    base, line = "".join(rng.choices("ACGT", k=400)), "".join(rng.choices("ACGT", k=60))
+    texts = []
+    for i in range(60):
+        at = rng.randrange(400)
+        texts.append(base[:at] + rng.choice("ACGT") + base[at + 1 :])
+    texts += [line * 4, line + base[:150] + line + turned(line), turned(base), base[100:330], line, "ACGT", None, texts[3], texts[3].lower()]
+    for i in range(30):  # keys that a few have, so that the cut-off lies above the copies
+        texts.append("".join(rng.choices("ACGT", k=900)))
+    rows = [(i * 37 % 101 + 5, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(os.path.join(tmp_path, "documents.parquet"))
+    df = registry.QUERIES["pairing"](spark, str(tmp_path))
+    got = df.select("qid", "tid", "rev", "rank1", "rank2", "score").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT qid, tid, rev, rank1, rank2, score FROM ({registry.ORACLES['pairing']})").fetchall()
+    assert len(want) > 90 and sorted(map(tuple, got)) == sorted(want)
+    df.collect()
+    assert _most_joined(df) < 10 * len(texts)
+
+
+def test_pairing_in_slices_as_at_once(monkeypatch):
+    """Best pairs and regions before them do not depend on how many anchors a kernel holds, even if a query's own are too many."""
+    r = np.random.RandomState(4)
+    n = 12
+    docs = pa.table({"seq_id": np.arange(n) * 3, "size": r.randint(1, 4, n), "length": np.full(n, 500)})
+    docs = docs.append_column("members", pa.array([[int(i) * 3 + j for j in range(m)] for i, m in enumerate(docs["size"].to_pylist())], pa.list_(pa.int64())))
+    rows = sorted({(int(d), int(p)) for d, p in zip(r.randint(0, n, 900), r.randint(14, 500, 900))})
+    doc, pos = np.array(rows).T
+    seeds = pa.table({"seq_id": doc * 3, "half": np.zeros(len(doc), np.int8), "key": r.randint(0, 60, len(doc)), "pos": pos, "strand": r.randint(0, 2, len(doc))})
+    half = np.where(pos - 14 >= 250, 1, np.where(pos < 250, 0, -1))
+    seeds = seeds.set_column(1, "half", pa.array(half.astype(np.int8)))
+    packed = mating._pack([pa.scalar(0)], seeds, docs)
+    block = mating.Block({c: packed.column(c)[0] for c in packed.column_names}, "")
+    every = np.ones(n, bool)
+    found = []
+    for size, bits in ((1 << 17, 62), (300, 62), (7, 30), (300, 9)):
+        monkeypatch.setattr(mating, "ANCHORS", size)
+        monkeypatch.setattr(mating, "BITS", bits)
+        regions = sorted(zip(*(np.concatenate(c).tolist() for c in zip(*mating.regions_of(block, block, 15, every)))))
+        best = {}
+        for x in zip(*(np.concatenate(c).tolist() for c in zip(*mating.best_pairs(block, block, 15, 5000)))):
+            best[x[0]] = max(best.get(x[0], (-10**9,)), (x[1], x[2], -x[3], *x[4:]))
+        q = np.array(sorted(best))
+        _, _, tid, rev, m1, s1, m2, s2 = np.array([best[i] for i in q.tolist()]).T
+        found.append((regions, best, mating.better(block, block, 15, q, -tid, rev, np.stack([m1, m2], 1), np.stack([s1, s2], 1)).tolist()))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0][1]) == n
+    want = collections.defaultdict(list)
+    for i in range(len(doc)):
+        q = 2 * doc[i] + half[i]
+        for j in np.flatnonzero(seeds["key"].to_numpy() == seeds["key"][i].as_py()) if half[i] >= 0 else []:
+            rev = int(seeds["strand"][i].as_py() != seeds["strand"][int(j)].as_py())
+            place = int(pos[i]) - 250 * int(half[i])
+            want[int(doc[i]), int(doc[j]), rev, int(half[i])].append((int(pos[j]), place if not rev else 250 - (place + 1 - 15) - 1))
+    plain = []
+    for g, a in want.items():
+        a.sort()
+        if len(a) > 1:
+            plain.append((*g, 15 + sum(min(y[0] - x[0], y[1] - x[1], 15) for x, y in zip(a, a[1:])), a[0][0] - 14, a[-1][0] + 1))
+    assert found[0][0] == sorted(plain)
+
+
 def test_groups_are_scored_together_as_one_by_one():
     """Links and scores of many small groups in one array: those of each group by itself, ties too, with fillers behind short ones."""
     r = np.random.RandomState(8)
