@@ -403,6 +403,30 @@ def test_every_last_word_is_a_context(spark):
         assert rows[i].score == pytest.approx(slow.score(t, train[i]), rel=2e-4), i
 
 
+def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
+    """Starting weights are those of all bits of all training texts, long ones too, not of a sample's; so are those of spelled bytes."""
+    monkeypatch.setattr(lm, "SAMPLE_TEXTS", 2)
+    texts = [prose(50, i) for i in range(40)] + [prose(9000, 99), None, ""] + [" ".join(VOCAB[:9]) for _ in range(20)]
+    train = [zlib.crc32(str(i).encode()) % 5 != 1 for i in range(len(texts))]
+    seen, take, bits = [], spark.sparkContext.broadcast, []
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: seen.append(x) or take(x))
+    kept = lm.learned_of_sums
+    monkeypatch.setattr(lm, "learned_of_sums", lambda n, x, start: bits.append(n.sum()) or kept(n, x, start))
+    lm.query(docs(spark, texts).coalesce(1))
+    model = next(x for x in seen if isinstance(x, lm.Model))
+    read = list(lm.read_texts(model, pa.array([t or "" for t, x in zip(texts, train) if x]), np.ones(sum(train), bool)))
+    t, rank, learn = (np.concatenate([r[k] for r in read]) for k in (2, 4, 5))
+    begin = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r[3]) for r in read]))])
+    x, gate, _ = lm.predictors(model, t, begin, rank, learn, model.found).slice(np.arange(len(t)))
+    words = {w for t, x in zip(texts, train) if x for w in brute.words(t)}
+    triples = {(w + b" ")[max(i - 2, 0) : i + 1].rjust(3) for w in (w.lower() for w in words) for i in range(len(w) + 1)}
+    assert len(t) > 9000 and bits[1] == len(gate) == model.words.depth[rank].sum() and bits[0] >= 8 * len(triples)
+    want = lm.learned(np.stack(x, 1), gate, lm.PRIOR)
+    # weights of sums differ a little from those of single bits; what matters is the cost that they give
+    cost = lambda w: float(lm.bit_costs((np.stack(x, 1) * w[gate]).sum(1)).sum())
+    assert cost(model.start) - cost(want) < 0.05 * (cost(lm.PRIOR) - cost(want))
+
+
 def test_answers_say_once_what_neighbours_share():
     r = np.random.RandomState(5)
     path, _ = lm.branches(r.randint(1, 1000, 300))
